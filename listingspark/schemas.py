@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+)
 
 _TABLES = {
     "listings": """id bigint, title string, company string, type string, source_url string,
@@ -39,7 +41,18 @@ _TABLES = {
         employment_type string, experience_level string, company_name string""",
     "skeptics": "listing_key string, available boolean, eligible boolean, reason string",
 }
-SCHEMAS = {name: StructType.fromDDL(" ".join(ddl.split())) for name, ddl in _TABLES.items()}
+_TYPES = {
+    "string": StringType(), "bigint": LongType(), "int": IntegerType(), "double": DoubleType(),
+    "boolean": BooleanType(), "timestamp": TimestampType(), "array<string>": ArrayType(StringType()),
+}
+
+
+def _schema(text: str) -> StructType:
+    pairs = [column.split() for column in text.split(",")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+SCHEMAS = {name: _schema(text) for name, text in _TABLES.items()}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

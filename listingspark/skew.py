@@ -22,13 +22,14 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list
 
 def running(df: DataFrame, key: list[str], at: str, tie: str, totals: dict[str, tuple[str, Column]],
             bucket: str = "hour") -> DataFrame:
-    """Add inclusive running sums or maxima per key in the order (``at``, ``tie``).
+    """Add running totals per key in the order (``at``, ``tie``).
 
-    ``totals`` maps a new column to (``sum`` or ``max``, value).  Work is split by time bucket: totals
+    ``totals`` maps a new column to (function, value): ``sum`` and ``max`` include the row itself,
+    ``max_before`` covers the rows before it.  Work is split by time bucket: totals
     per (key, bucket) first, their prefix over buckets next (one row per bucket, not per event), and a
     short window inside each bucket last.  No task ever holds all rows of one key.
     """
-    functions = {"sum": F.sum, "max": F.max}
+    functions = {"sum": F.sum, "max": F.max, "max_before": F.max}
     df = df.withColumn("_bucket", F.date_trunc(bucket, F.col(at)))
     for name, (_, value) in totals.items():
         df = df.withColumn(f"_v_{name}", value)
@@ -37,10 +38,11 @@ def running(df: DataFrame, key: list[str], at: str, tie: str, totals: dict[str,
     earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select(*key, "_bucket", *[
         functions[fn](f"_b_{n}").over(earlier).alias(f"_s_{n}") for n, (fn, _) in totals.items()])
-    inside = Window.partitionBy(*key, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(at, tie)
     out = df.join(starts, [*key, "_bucket"])
     for n, (fn, _) in totals.items():
-        here = functions[fn](f"_v_{n}").over(inside)
+        last = -1 if fn == "max_before" else 0
+        here = functions[fn](f"_v_{n}").over(inside.rowsBetween(Window.unboundedPreceding, last))
         before = F.col(f"_s_{n}")
         out = out.withColumn(n, F.coalesce(before, F.lit(0)) + here if fn == "sum" else F.greatest(before, here))
     return out.drop("_bucket", *[f"_v_{n}" for n in totals], *[f"_s_{n}" for n in totals])
