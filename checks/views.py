@@ -89,8 +89,20 @@ CHECKS = """SELECT event_id AS id, user_id % 40 AS company_id, ts,
     WHEN 3 THEN 'fetch failed' ELSE 'boom' END AS error_message
 FROM events"""
 
+# Listings whose texts carry the phrases the geographic and relevance rules look for, and source tags.
+POSTINGS = """SELECT id, title, company, type, source_url, application_url, source_platform, category,
+  location_raw, is_active, lang, CASE lang WHEN 'de' THEN array('remote', 'German') WHEN 'fr' THEN array('french ', 'English') WHEN 'es' THEN array('Spanish')
+    ELSE array(source_platform, 'remote', source_platform) END AS tags,
+  concat(CASE id % 16 WHEN 0 THEN 'You must be based in the Netherlands. ' WHEN 1 THEN 'Work from anywhere. ' WHEN 2 THEN 'US-only role. '
+    WHEN 3 THEN 'Our Cebu office pays in USD. ' WHEN 4 THEN 'Citizens of the EU. Wir suchen für unser Unternehmen eine Person und die Arbeit mit Erfahrung. '
+    WHEN 5 THEN 'Nous sommes une entreprise et nous cherchons avec vous pour notre mission dans les clients. ' WHEN 6 THEN 'Authorized to work in the US. '
+    WHEN 7 THEN 'Delivery by courier. ' WHEN 8 THEN '&lt;b&gt;Fish &amp;amp; chips&#8217;s &#x41;&#128512;&#55296; &quot;ok&quot;&lt;/b&gt; ' WHEN 9 THEN 'CasinÃ² <br/>MÃ¼nchen   <i>x</i> '
+    WHEN 10 THEN 'm/w/d Vollzeit ' ELSE '' END, description) AS description
+FROM listings"""
+
 VIEWS = {"listings": LISTINGS, "fetch_events": FETCH_EVENTS, "companies": COMPANIES, "sources": SOURCES,
          "pauses": PAUSES, "checks": CHECKS}
+VIEWS["postings"] = POSTINGS.replace("FROM listings", f"FROM ({LISTINGS}) l0")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -111,7 +123,8 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def oracle(sql: str, *views: str) -> str:
     """Prefix a comparison query with the derived tables it reads."""
-    heads = [f"{v} AS ({VIEWS[v]})" for v in views]
+    # The list constructor is the one word the two dialects spell differently.
+    heads = [f"{v} AS ({VIEWS[v].replace('array(', 'list_value(')})" for v in views]
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(heads) + (", " if heads else "") + body[5:]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
+from ..stages import once
 
 MIN_WORDS, MIN_HITS, MIN_DISTINCT, OVER_ENGLISH = 8, 6, 4, 1.5
 
 
+def _belongs(words: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(words)
+
+
 def with_language(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add column ``name``: a language code when the text is clearly not English, else ``en``.
 
@@ -17,18 +24,16 @@ def with_language(df: DataFrame, text: Column, name: str) -> DataFrame:
     english = V.ENGLISH_STOPWORDS.split()
     lists = {lang: words.split() for lang, words in V.STOPWORDS.items()}
     every = sorted({w for words in [english, *lists.values()] for w in words})
-    df = df.withColumn("_words", F.filter(F.split(F.lower(text), f"[^{V.WORD_CHARS}]+"), lambda w: w != ""))
-    df = df.withColumn("_n", F.size("_words")).withColumn(
-        "_stops", F.filter("_words", lambda w: w.isin(every)))
+    df = once(df, {"_words": F.filter(F.split(F.lower(text), f"[^{V.WORD_CHARS}]+"), lambda w: w != "")})
+    df = once(df, {"_n": F.size("_words"), "_stops": F.filter("_words", lambda w: w.isin(every))}).drop("_words")
     df = df.withColumn("_en", F.size(F.filter("_stops", lambda w: w.isin(english))))
     scores = []
     for rank, (lang, words) in enumerate(lists.items()):
-        mine = F.filter("_stops", lambda w, words=words: w.isin(words))
+        mine = F.filter("_stops", _belongs(words))
         scores.append(F.struct(F.size(mine).alias("hits"), F.lit(-rank).alias("order"), F.lit(lang).alias("lang"),
                                F.size(F.array_distinct(mine)).alias("kinds")))
-    df = df.withColumn("_scores", F.array(*scores))
-    best = F.array_max(F.filter("_scores", lambda s: (s["kinds"] >= MIN_DISTINCT) & (s["hits"] >= MIN_HITS)))
-    df = df.withColumn("_best", best)
+    best = F.array_max(F.filter(F.array(*scores), lambda s: (s["kinds"] >= MIN_DISTINCT) & (s["hits"] >= MIN_HITS)))
+    df = once(df, {"_best": best})
     wins = (F.col("_n") >= MIN_WORDS) & (F.col("_best.hits") > F.col("_en") * OVER_ENGLISH)
     return df.withColumn(name, F.when(wins, F.col("_best.lang")).otherwise("en")).drop(
-        "_words", "_n", "_stops", "_en", "_scores", "_best")
+        "_n", "_stops", "_en", "_best")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
+from ..stages import once
 from .regex import has_text, trim
 
 URL = r"(?is)^(https?)://(?:([^/?#@]*)@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)([?][^#]*)?(#.*)?$"
@@ -27,8 +28,7 @@ def with_url(df: DataFrame, source: str | Column, name: str) -> DataFrame:
     """
     text = trim(F.col(source) if isinstance(source, str) else source)
     parts = f"_{name}_parts"
-    df = df.withColumn(parts, F.split(
-        F.regexp_replace(text, URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP))
+    df = once(df, {parts: F.split(F.regexp_replace(text, URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)})
     p = F.col(parts)
     host = F.lower(p[2])
     scheme = F.lower(p[0])
@@ -38,7 +38,11 @@ def with_url(df: DataFrame, source: str | Column, name: str) -> DataFrame:
         scheme.alias("scheme"), p[1].alias("user"), host.alias("host"), port.alias("port"),
         F.when(p[4] == "", "/").otherwise(p[4]).alias("path"), p[5].alias("query"), p[6].alias("fragment"),
     )
-    return df.withColumn(name, F.when((F.size(p) == len(_FIELDS)) & ~p[2].rlike(BAD_HOST), struct)).drop(parts)
+    df = once(df, {name: F.when((F.size(p) == len(_FIELDS)) & ~p[2].rlike(BAD_HOST), struct)}).drop(parts)
+    u = F.col(name)
+    bare = F.regexp_replace(F.regexp_replace(u["host"], r"\.$", ""), r"^www\.", "")
+    df = once(df, {name: F.when(u.isNotNull(), F.struct(f"{name}.*", bare.alias("bare")))})
+    return once(df, {name: F.when(u.isNotNull(), F.struct(f"{name}.*", _tenant(u).alias("tenant")))})
 
 
 def render(u: Column) -> Column:
@@ -49,7 +53,7 @@ def render(u: Column) -> Column:
 
 def host_of(u: Column) -> Column:
     """Host without a trailing dot and without ``www.``."""
-    return F.regexp_replace(F.regexp_replace(u["host"], r"\.$", ""), r"^www\.", "")
+    return u["bare"]
 
 
 def origin_of(u: Column) -> Column:
@@ -83,7 +87,11 @@ def _segment(u: Column, pattern: str) -> Column:
 
 def tenant_of(u: Column) -> Column:
     """Applicant-tracking tenant such as ``lever:acme``."""
-    host = host_of(u)
+    return u["tenant"]
+
+
+def _tenant(u: Column) -> Column:
+    host = u["bare"]
     first = _segment(u, "^/*([^/]+)")
     return (
         F.when(host == "boards.greenhouse.io", F.concat(F.lit("greenhouse:"), first))

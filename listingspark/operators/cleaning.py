@@ -9,6 +9,7 @@ from ..functions import text as T, urls as U
 from ..functions.regex import blank_to_null, text_or_null, trim
 from ..functions.times import effective_at, parse_time, EFFECTIVE_ORDERS
 from ..schemas import fill
+from ..stages import once
 
 DESCRIPTION_KEY_CHARS = 1500
 
@@ -39,12 +40,14 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
     """
     df = U.with_url(U.with_url(df, "source_url", "_src"), "application_url", "_app")
     src, app = F.col("_src"), F.col("_app")
-    df = df.withColumns({
-        "_safe": U.safe_source(src, F.col("source_url")),
-        "_trusted": U.trusted_apply(app, F.col("application_url"), src, F.col("source_url")),
+    df = once(df, {"_safe": U.safe_source(src, F.col("source_url"))})
+    df = once(df, {
+        "_trusted": F.when(F.col("_safe").isNotNull() & app.isNotNull() & U.attributable(app, src),
+                           U.safe_apply(app, F.col("application_url"))),
         "_had": F.coalesce(F.col("application_url") != "", F.lit(False)),
     })
-    ats = U.ats_of(src)
+    df = once(df, {"_ats": U.ats_of(src)})
+    ats = F.col("_ats")
     return df.withColumns({
         "source_url": F.col("_safe"),
         "application_url": F.when(F.col("_safe").isNotNull(), F.coalesce("_trusted", "_safe")),
@@ -53,7 +56,7 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
         "trusted_source": F.coalesce(U.is_trusted_source(src), F.lit(False)),
         "ats_platform": ats["platform"],
         "ats_token": ats["token"],
-    }).drop("_src", "_app", "_safe", "_trusted", "_had")
+    }).drop("_src", "_app", "_safe", "_trusted", "_had", "_ats")
 
 
 def add_keys(df: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def clean_votes(raw: DataFrame, text_col: str = "response") -> DataFrame:
     body = trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "^```json", ""), "^```", ""), "```$", ""))
     whole = F.try_parse_json(body)
     span = F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit("")))
-    df = raw.withColumn("_v", F.coalesce(whole, span))
+    df = once(raw, {"_v": F.coalesce(whole, span)})
 
     def typed(field: str, kind: str):
         return F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.{field}", "variant")) == kind,

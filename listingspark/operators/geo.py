@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.lang import with_language
 from ..functions.regex import first_match, trim, words
 from ..schemas import fill
+from ..stages import once
 
 PH, APAC, WORLD = words(V.PH_POSITIVE), words(V.APAC_POSITIVE), words(V.WORLDWIDE)
 COUNTRY, STATE, CITY = words(V.COUNTRIES), words(V.US_STATES), words(V.CITIES)
@@ -35,14 +36,15 @@ def geo_gate(df: DataFrame) -> DataFrame:
     """
     keep = df.columns
     df = fill(df, "listings", "tags", "location_raw", "description")
-    df = df.withColumns({
+    df = once(df, {
         "_title": trim(F.coalesce("title", F.lit(""))),
         "_loc": trim(F.coalesce("location_raw", F.lit(""))),
         "_tags": F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: trim(F.lower(t))),
-    }).withColumn("_text", F.concat("_title", F.lit(" "), F.substring(
-        F.coalesce("description", F.lit("")), 1, GATE_CHARS)))
+    })
+    df = once(df, {"_text": F.concat("_title", F.lit(" "), F.substring(
+        F.coalesce("description", F.lit("")), 1, GATE_CHARS))})
     loc, title = F.col("_loc"), F.col("_title")
-    df = df.withColumns({
+    df = once(df, {
         "_ph_loc": first_match(loc, PH), "_ph_text": first_match(F.col("_text"), PH),
         "_apac": F.coalesce(first_match(loc, APAC), first_match(title, APAC)),
         "_state": first_match(loc, STATE), "_country": first_match(loc, COUNTRY), "_city": first_match(loc, CITY),
@@ -84,7 +86,7 @@ def geo_gate(df: DataFrame) -> DataFrame:
         .when(hit("_title_place"), verdict(
             "country_locked", "ineligible", _quoted('Title names location: "', F.col("_title_place"))))
     )
-    df = df.withColumn("_short", short)
+    df = once(df, {"_short": short})
     df = df.withColumn("_lock", F.when(F.col("_short").isNull(), first_match(F.col("_text"), LOCK)))
     rest = (
         F.when(hit("_lock"), verdict("region_excl_ph", "ineligible", _quoted(
@@ -93,7 +95,7 @@ def geo_gate(df: DataFrame) -> DataFrame:
             "worldwide", "eligible_likely", F.lit("Worldwide/anywhere language in posting")))
         .otherwise(verdict("unknown", "unclear", F.lit("No deterministic geo signal")))
     )
-    df = df.withColumn("_gate", F.coalesce("_short", rest))
+    df = once(df, {"_gate": F.coalesce("_short", rest)})
     return df.select(*keep, F.col("_gate.scope").alias("gate_scope"),
                      F.col("_gate.eligibility").alias("gate_eligibility"),
                      F.col("_gate.evidence").alias("gate_evidence"))
@@ -104,10 +106,10 @@ def scan_landing_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The rule reads the first 4,000 visible characters; pages with fewer than 200 are not judged.
     """
-    df = pages.withColumn("_visible", F.substring(T.strip_markup(F.coalesce(F.col(html), F.lit("")), "page"), 1, PAGE_CHARS))
-    df = df.withColumn("_open", (F.length("_visible") >= PAGE_MIN) & ~F.col("_visible").rlike(PH))
+    df = once(pages, {"_visible": F.substring(T.strip_markup(F.coalesce(F.col(html), F.lit("")), "page"), 1, PAGE_CHARS)})
+    df = once(df, {"_open": (F.length("_visible") >= PAGE_MIN) & ~F.col("_visible").rlike(PH)})
     df = with_language(df, F.when(F.col("_open"), F.col("_visible")).otherwise(""), "_lang")
     lock = F.nullif(F.substring(F.regexp_extract("_visible", LOCK, 0), 1, 80), F.lit(""))
-    return df.withColumn("geo_lock", F.when(F.col("_open"), F.when(
+    return once(df, {"geo_lock": F.when(F.col("_open"), F.when(
         F.col("_lang") != "en", _quoted("Landing page is non-English (detected: ", F.col("_lang"), ")")
-    ).otherwise(_quoted('Landing page states: "', lock)))).drop("_visible", "_open", "_lang")
+    ).otherwise(_quoted('Landing page states: "', lock)))}).drop("_visible", "_open", "_lang")

@@ -40,15 +40,18 @@ def _with_tokens(listings: DataFrame) -> DataFrame:
         "_tags": tokens(F.array_join("tags", " "))})
 
 
+def _spans(column: str, size: int) -> Column:
+    """Every run of ``size`` tokens of a field."""
+    return F.transform(F.col(column), lambda _, i: F.slice(F.col(column), i + 1, F.lit(size)))
+
+
 def _frequency(phrase: list[str]) -> Column:
     """How often a phrase occurs, over all fields; it never spans two fields."""
     if len(phrase) == 1:
         per_field = [F.size(F.filter(f"_{f}", lambda t: t == phrase[0])) for f in FIELDS]
     else:
         wanted = F.array(*[F.lit(t) for t in phrase])
-        per_field = [F.size(F.filter(
-            F.transform(F.col(f"_{f}"), lambda t, i, f=f: F.slice(F.col(f"_{f}"), i + 1, F.lit(len(phrase)))),
-            lambda s: s == wanted)) for f in FIELDS]
+        per_field = [F.size(F.filter(_spans(f"_{f}", len(phrase)), lambda s: s == wanted)) for f in FIELDS]
     return reduce(lambda a, b: a + b, per_field)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
@@ -87,6 +89,10 @@ def _needs(c: Column, limit: int) -> Column:
     return F.coalesce((size > 0) & (size <= limit), F.lit(False))
 
 
+def _fits(limit: int) -> Callable[[Column], Column]:
+    return lambda text: _needs(text, limit)
+
+
 def validate_digests(items: DataFrame) -> DataFrame:
     """Add ``item_error``, ``payload_ok`` and ``first_error`` to digest items.
 
@@ -102,7 +108,7 @@ def validate_digests(items: DataFrame) -> DataFrame:
     error = error.when(F.col("transcript_raw").isNotNull() & ~_needs(
         F.col("transcript_raw"), DIGEST_LIMITS["transcript_raw"]), "transcript_raw")
     for name, (count, size) in DIGEST_LISTS.items():
-        fine = (F.size(name) <= count) & F.forall(name, lambda t, size=size: _needs(t, size))
+        fine = (F.size(name) <= count) & F.forall(name, _fits(size))
         error = error.when(F.col(name).isNotNull() & ~fine, name)
     error = error.when(F.col("published_at").isNotNull() & parse_time(F.col("published_at")).isNull(), "published_at")
     df = df.withColumn("item_error", error).drop("_u")
