@@ -213,11 +213,11 @@ def geo_backfill(t: DataFrame, as_of) -> DataFrame:
     """Gate every active row on its text alone; closed rows leave the board, the others are annotated."""
     cols = fill(t, "listings", "geo_scope", "geo_evidence", "geo_checked_at", "updated_at").columns
     active = t.where("is_active")
-    blind = active.withColumns({"_loc": F.col("location_raw"), "location_raw": F.lit(None).cast("string")})
+    blind = active.withColumns({"_kept_location": F.col("location_raw"), "location_raw": F.lit(None).cast("string")})
     gated = fill(geo_gate(blind), "listings", "geo_scope", "geo_evidence", "geo_checked_at", "updated_at")
     closed = F.col("gate_eligibility") == "ineligible"
     done = gated.withColumns({
-        "location_raw": F.col("_loc"),
+        "location_raw": F.col("_kept_location"),
         "geo_scope": F.col("gate_scope"), "ph_eligibility": F.col("gate_eligibility"),
         "geo_evidence": F.substring("gate_evidence", 1, 300), "geo_checked_at": moment(as_of),
         "is_active": ~closed,
