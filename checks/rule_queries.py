@@ -254,7 +254,7 @@ def _clean_page(pages):
 
 @_on_table("page_hosts", "pages")
 def _page_hosts(pages):
-    return U.with_url(pages, "url", "u").select("page_id", "url", U.render(F.col("u")).alias("normal"), U.host_of(F.col("u")).alias("host"))
+    return U.with_url(pages, "url", "u").select("page_id", "url", U.render(U.Url("u")).alias("normal"), U.host_of(U.Url("u")).alias("host"))
 
 
 @_on_table("detect_language", "documents")

@@ -204,7 +204,7 @@ ORIGIN = f"""og AS (SELECT page_id, url, s.scheme || '://' || s.host || s.port A
 
 def _pages_with_origin(spark, sf):
     pages = table(configure(spark), sf, "pages")
-    return U.with_url(pages.select("page_id", "url"), "url", "u").select("page_id", "url", U.origin_of(F.col("u")).alias("origin"))
+    return U.with_url(pages.select("page_id", "url"), "url", "u").select("page_id", "url", U.origin_of(U.Url("u")).alias("origin"))
 
 
 def robots_docs(spark, sf):
@@ -409,7 +409,7 @@ def enrich_batch(companies):
   CASE ats_platform WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || ats_token WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || ats_token || '/jobs' END AS endpoint FROM companies""", "companies")
 def company_urls(companies):
     df = U.with_url(companies, U.check_url(F.col("website")), "u")
-    return df.select("id", U.check_url(F.col("website")).alias("check_url"), F.coalesce(F.col("u.host"), F.lit("unknown")).alias("host"),
+    return df.select("id", U.check_url(F.col("website")).alias("check_url"), F.coalesce(U.Url("u")["host"], F.lit("unknown")).alias("host"),
                      U.ats_url(F.col("ats_platform"), F.col("ats_token"), V.ATS_ENDPOINTS).alias("endpoint"))
 
 

@@ -126,6 +126,8 @@ def oracle(sql: str, *views: str) -> str:
     # The list constructor is the one word the two dialects spell differently.
     heads = [f"{v} AS ({VIEWS[v].replace('array(', 'list_value(')})" for v in views]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*heads, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(heads) + (", " if heads else "") + body[5:]
     return ("WITH " + ", ".join(heads) + " " if heads else "") + body

@@ -33,7 +33,8 @@ def with_language(df: DataFrame, text: Column, name: str) -> DataFrame:
         scores.append(F.struct(F.size(mine).alias("hits"), F.lit(-rank).alias("order"), F.lit(lang).alias("lang"),
                                F.size(F.array_distinct(mine)).alias("kinds")))
     best = F.array_max(F.filter(F.array(*scores), lambda s: (s["kinds"] >= MIN_DISTINCT) & (s["hits"] >= MIN_HITS)))
-    df = once(df, {"_best": best})
-    wins = (F.col("_n") >= MIN_WORDS) & (F.col("_best.hits") > F.col("_en") * OVER_ENGLISH)
-    return df.withColumn(name, F.when(wins, F.col("_best.lang")).otherwise("en")).drop(
-        "_n", "_stops", "_en", "_best")
+    keep = df.columns
+    df = df.select(*keep, F.inline(F.array(best)).alias("_hits", "_order", "_best", "_kinds")).drop("_order", "_kinds")
+    wins = (F.col("_n") >= MIN_WORDS) & (F.col("_hits") > F.col("_en") * OVER_ENGLISH)
+    return df.withColumn(name, F.when(wins, F.col("_best")).otherwise("en")).drop(
+        "_n", "_stops", "_en", "_best", "_hits")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import values as V
+from ..stages import let
 from .regex import SPACE, squeeze, trim, words
 
 _NAMED = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
@@ -28,10 +29,11 @@ def _expand(text: Column, opener: str, digits: str, radix: int) -> Column:
         rest = F.regexp_replace(p, f"^{digits}+;", "")
         return F.when(number == "", F.concat(F.lit(opener), p)).otherwise(F.concat(_character(code), rest))
 
-    parts = F.split(text, opener)
-    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
-    expanded = F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit(opener)), expanded).otherwise(text)
+    def joined(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+
+    return let(F.split(text, opener), joined)
 
 
 def decode_entities(c: Column) -> Column:
@@ -39,12 +41,15 @@ def decode_entities(c: Column) -> Column:
 
     ``&amp;`` goes before the other names, so ``&amp;quot;`` ends as a quote.
     """
-    out = _expand(c, "&#", "[0-9]", 10)
-    for marker in ("&#x", "&#X"):
-        out = _expand(out, marker, "[0-9A-Fa-f]", 16)
-    for name, char in _NAMED:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    def decoded(text: Column) -> Column:
+        out = _expand(text, "&#", "[0-9]", 10)
+        for marker in ("&#x", "&#X"):
+            out = _expand(out, marker, "[0-9A-Fa-f]", 16)
+        for name, char in _NAMED:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+    return let(c, decoded)
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -52,10 +57,13 @@ def repair_mojibake(c: Column) -> Column:
 
     Text holding any character above U+00FF is left alone: it cannot have come from Latin-1.
     """
-    marked = c.rlike("[ÂÃ][\\x{80}-\\x{FF}]") & ~c.rlike("[^\\x{00}-\\x{FF}]")
-    decoded = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
-    repaired = F.when(F.length(decoded) < F.length(c), decoded)
-    return F.when(marked, F.coalesce(repaired, c)).otherwise(c)
+    def repaired(text: Column) -> Column:
+        marked = text.rlike("[ÂÃ][\\x{80}-\\x{FF}]") & ~text.rlike("[^\\x{00}-\\x{FF}]")
+        decoded = F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+        shorter = let(decoded, lambda d: F.when(F.length(d) < F.length(text), d))
+        return F.when(marked, F.coalesce(shorter, text)).otherwise(text)
+
+    return let(c, repaired)
 
 
 def strip_markup(c: Column, variant: str) -> Column:
@@ -76,13 +84,16 @@ def strip_markup(c: Column, variant: str) -> Column:
 
 def split_company(title: Column, company: Column) -> Column:
     """``Company: Title`` split when no company is known and the prefix is short."""
-    prefix = F.substring_index(title, ":", 1)
-    applies = company.isNull() & F.contains(title, F.lit(":")) & (F.length(prefix) < 40)
-    rest = F.substr(title, F.length(prefix) + F.lit(2))
-    return F.struct(
-        F.when(applies, trim(prefix)).otherwise(company).alias("company"),
-        F.when(applies, trim(rest)).otherwise(title).alias("title"),
-    )
+    def split(known: Column) -> Column:
+        name, text = known["company"], known["title"]
+        prefix = F.substring_index(text, ":", 1)
+        applies = name.isNull() & F.contains(text, F.lit(":")) & (F.length(prefix) < 40)
+        rest = F.substr(text, F.length(prefix) + F.lit(2))
+        return F.struct(
+            F.when(applies, trim(prefix)).otherwise(name).alias("company"),
+            F.when(applies, trim(rest)).otherwise(text).alias("title"))
+
+    return let(F.struct(company.alias("company"), title.alias("title")), split)
 
 
 def pay_range(low: Column, high: Column) -> Column:
@@ -124,11 +135,8 @@ def company_key(name: Column) -> Column:
 
 def is_quality_company(name: Column) -> Column:
     """Specific enough to be a company: not a placeholder, not one bare generic word."""
-    key = company_key(name)
-    return F.coalesce(
-        (F.length(key) >= 3) & ~key.isin(V.NAME_BLOCKLIST) & key.rlike("[a-z]") & ~key.isin(V.GENERIC_WORDS),
-        F.lit(False),
-    )
+    return F.coalesce(let(company_key(name), lambda key: (
+        (F.length(key) >= 3) & ~key.isin(V.NAME_BLOCKLIST) & key.rlike("[a-z]") & ~key.isin(V.GENERIC_WORDS))), F.lit(False))
 
 
 def niche_of(category: Column) -> Column:
@@ -172,9 +180,11 @@ def is_local_only(title: Column, description: Column) -> Column:
 
 def excerpt(description: Column, platform: Column) -> Column:
     """Description shown to readers: allowed platforms only, long text cut at a word."""
-    head = F.regexp_replace(F.substring(description, 1, 500), f"{SPACE}+$", "")
-    last_blank = F.length(head) - F.locate(" ", F.reverse(head))  # zero-based position
-    cut = F.when((F.locate(" ", head) > 0) & (last_blank > 400), F.substring(head, F.lit(1), last_blank)).otherwise(head)
+    def cut_at_word(head: Column) -> Column:
+        last_blank = F.length(head) - F.locate(" ", F.reverse(head))  # zero-based position
+        return F.when((F.locate(" ", head) > 0) & (last_blank > 400), F.substring(head, F.lit(1), last_blank)).otherwise(head)
+
+    cut = let(F.regexp_replace(F.substring(description, 1, 500), f"{SPACE}+$", ""), cut_at_word)
     return F.when(platform.isin(V.EXCERPT_PLATFORMS) & (description != ""),
                   F.when(F.length(description) < 300, description).otherwise(cut))
 

@@ -1,6 +1,6 @@
 """URL rules.
 
-A URL is taken apart once per column into a struct; every rule reads that struct.  Percent
+A URL is taken apart once per column; every rule reads those parts.  Percent
 re-encoding, dot segments and punycode are left as written.
 """
 
@@ -21,46 +21,64 @@ _FIELDS = ["scheme", "user", "host", "port", "path", "query", "fragment"]
 MAX_LENGTH = 2048
 
 
+class Url:
+    """Handle on the parts of one taken-apart URL column; the parts are flat columns, NULL for other text."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __getitem__(self, part: str) -> Column:
+        return F.col(f"{self.name}__{part}")
+
+    @property
+    def known(self) -> Column:
+        return self["host"].isNotNull()
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"{self.name}__{part}" for part in (*_FIELDS, "bare", "tenant")]
+
+
 def with_url(df: DataFrame, source: str | Column, name: str) -> DataFrame:
-    """Add struct ``name`` with the parts of an http(s) URL, NULL when it is not one.
+    """Add the parts of an http(s) URL, to be read through ``Url(name)``.
 
     One regular expression runs per row; the pieces come from splitting its rewrite.
     """
     text = trim(F.col(source) if isinstance(source, str) else source)
-    parts = f"_{name}_parts"
-    df = once(df, {parts: F.split(F.regexp_replace(text, URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)})
-    p = F.col(parts)
-    host = F.lower(p[2])
-    scheme = F.lower(p[0])
+    raw, u = f"{name}__raw", Url(name)
+    df = once(df, {raw: F.split(F.regexp_replace(text, URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)})
+    valid = (F.size(raw) == len(_FIELDS)) & ~F.get(F.col(raw), 2).rlike(BAD_HOST)
+    part = [F.when(valid, F.get(F.col(raw), i)) for i in range(len(_FIELDS))]
+    scheme, host = F.lower(part[0]), F.lower(part[2])
     default = F.when(scheme == "https", "443").otherwise("80")
-    port = F.when((p[3] == "") | (p[3] == default), "").otherwise(F.concat(F.lit(":"), p[3]))
-    struct = F.struct(
-        scheme.alias("scheme"), p[1].alias("user"), host.alias("host"), port.alias("port"),
-        F.when(p[4] == "", "/").otherwise(p[4]).alias("path"), p[5].alias("query"), p[6].alias("fragment"),
-    )
-    df = once(df, {name: F.when((F.size(p) == len(_FIELDS)) & ~p[2].rlike(BAD_HOST), struct)}).drop(parts)
-    u = F.col(name)
+    port = F.when((part[3] == "") | (part[3] == default), "").otherwise(F.concat(F.lit(":"), part[3]))
+    path = F.when(part[4] == "", "/").otherwise(part[4])
+    df = once(df, dict(zip(u.columns, [scheme, part[1], host, port, path, part[5], part[6]]))).drop(raw)
     bare = F.regexp_replace(F.regexp_replace(u["host"], r"\.$", ""), r"^www\.", "")
-    df = once(df, {name: F.when(u.isNotNull(), F.struct(f"{name}.*", bare.alias("bare")))})
-    return once(df, {name: F.when(u.isNotNull(), F.struct(f"{name}.*", _tenant(u).alias("tenant")))})
+    df = once(df, {u.columns[-2]: bare})
+    return once(df, {u.columns[-1]: _tenant(u)})
+
+
+def drop_url(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[c for name in names for c in Url(name).columns])
 
 
-def render(u: Column) -> Column:
+def render(u: Url) -> Column:
     """Normalised text: lower-case host, no default port, ``/`` for an empty path."""
     login = F.when(u["user"] != "", F.concat(u["user"], F.lit("@"))).otherwise("")
     return F.concat(u["scheme"], F.lit("://"), login, u["host"], u["port"], u["path"], u["query"], u["fragment"])
 
 
-def host_of(u: Column) -> Column:
+def host_of(u: Url) -> Column:
     """Host without a trailing dot and without ``www.``."""
     return u["bare"]
 
 
-def origin_of(u: Column) -> Column:
+def origin_of(u: Url) -> Column:
     return F.concat(u["scheme"], F.lit("://"), u["host"], u["port"])
 
 
-def safe_source(u: Column, raw: Column) -> Column:
+def safe_source(u: Url, raw: Column) -> Column:
     """Normalised public web address, or NULL."""
     host = F.regexp_replace(u["host"], r"\.$", "")
     local = (host == "localhost") | F.endswith(host, F.lit(".localhost")) | host.rlike(IP_HOST)
@@ -68,29 +86,29 @@ def safe_source(u: Column, raw: Column) -> Column:
     return F.when(ok, render(u))
 
 
-def safe_apply(u: Column, raw: Column) -> Column:
+def safe_apply(u: Url, raw: Column) -> Column:
     """Normalised http(s) or mailto target; a bare address becomes mailto."""
     text = trim(raw)
     mailbox = F.regexp_extract(text, r"(?i)^mailto:([^?#]*)", 1)
     has_scheme = text.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:")
     target = (
-        F.when(u.isNotNull(), F.when(F.contains(u["host"], F.lit(".")), render(u)))
+        F.when(u.known, F.when(F.contains(u["host"], F.lit(".")), render(u)))
         .when(text.rlike("(?i)^mailto:"), F.when(mailbox.rlike(EMAIL), F.concat(F.lit("mailto:"), mailbox)))
         .when(~has_scheme & text.rlike(EMAIL), F.concat(F.lit("mailto:"), text))
     )
     return F.when((text != "") & (F.length(text) <= MAX_LENGTH), target)
 
 
-def _segment(u: Column, pattern: str) -> Column:
+def _segment(u: Url, pattern: str) -> Column:
     return F.nullif(F.lower(F.regexp_extract(u["path"], pattern, 1)), F.lit(""))
 
 
-def tenant_of(u: Column) -> Column:
+def tenant_of(u: Url) -> Column:
     """Applicant-tracking tenant such as ``lever:acme``."""
     return u["tenant"]
 
 
-def _tenant(u: Column) -> Column:
+def _tenant(u: Url) -> Column:
     host = u["bare"]
     first = _segment(u, "^/*([^/]+)")
     return (
@@ -105,15 +123,15 @@ def _tenant(u: Column) -> Column:
     )
 
 
-def attributable(apply: Column, source: Column) -> Column:
+def attributable(apply: Url, source: Url) -> Column:
     """Both URLs belong to one host or to one tracking tenant."""
     return F.coalesce(host_of(apply) == host_of(source), F.lit(False)) | F.coalesce(
         tenant_of(apply) == tenant_of(source), F.lit(False))
 
 
-def trusted_apply(apply: Column, raw_apply: Column, source: Column, raw_source: Column) -> Column:
+def trusted_apply(apply: Url, raw_apply: Column, source: Url, raw_source: Column) -> Column:
     """Apply link that may be stored for its source, else NULL; mailto is never trusted."""
-    ok = apply.isNotNull() & safe_source(source, raw_source).isNotNull() & attributable(apply, source)
+    ok = apply.known & safe_source(source, raw_source).isNotNull() & attributable(apply, source)
     return F.when(ok, safe_apply(apply, raw_apply))
 
 
@@ -125,11 +143,11 @@ def under_host(host: Column, trusted: list[str]) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def is_trusted_source(u: Column) -> Column:
+def is_trusted_source(u: Url) -> Column:
     return under_host(host_of(u), V.TRUSTED_HOSTS)
 
 
-def ats_of(u: Column) -> Column:
+def ats_of(u: Url) -> Column:
     """Struct(platform, token) of a tracking-system URL, NULL for other sites."""
     host = host_of(u)
 
@@ -165,7 +183,7 @@ def check_url(raw: Column) -> Column:
     return F.when(text != "", F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text)))
 
 
-def on_single_host(u: Column, host: str) -> Column:
+def on_single_host(u: Url, host: str) -> Column:
     """Canonical https URL of a board that lives on exactly one host."""
     return F.when(u["host"] == host, F.concat(
         F.lit("https://"), u["host"], F.when(u["port"] == ":443", "").otherwise(u["port"]),

@@ -39,16 +39,16 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
     marks rows whose own apply link was refused.
     """
     df = U.with_url(U.with_url(df, "source_url", "_src"), "application_url", "_app")
-    src, app = F.col("_src"), F.col("_app")
+    src, app = U.Url("_src"), U.Url("_app")
     df = once(df, {"_safe": U.safe_source(src, F.col("source_url"))})
     df = once(df, {
-        "_trusted": F.when(F.col("_safe").isNotNull() & app.isNotNull() & U.attributable(app, src),
+        "_trusted": F.when(F.col("_safe").isNotNull() & app.known & U.attributable(app, src),
                            U.safe_apply(app, F.col("application_url"))),
         "_had": F.coalesce(F.col("application_url") != "", F.lit(False)),
     })
     df = once(df, {"_ats": U.ats_of(src)})
     ats = F.col("_ats")
-    return df.withColumns({
+    return U.drop_url(df.withColumns({
         "source_url": F.col("_safe"),
         "application_url": F.when(F.col("_safe").isNotNull(), F.coalesce("_trusted", "_safe")),
         "quarantined": F.col("_safe").isNotNull() & F.col("_had") & F.col("_trusted").isNull(),
@@ -56,7 +56,7 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
         "trusted_source": F.coalesce(U.is_trusted_source(src), F.lit(False)),
         "ats_platform": ats["platform"],
         "ats_token": ats["token"],
-    }).drop("_src", "_app", "_safe", "_trusted", "_had", "_ats")
+    }).drop("_safe", "_trusted", "_had", "_ats"), "_src", "_app")
 
 
 def add_keys(df: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def classify_candidates(candidates: DataFrame, companies: DataFrame) -> DataFram
     order = Window.partitionBy("company_key").orderBy(F.desc("jobs"), "company")
     kept = df.where(good).join(known, "company_key", "left_anti").withColumn(
         "_r", F.row_number().over(order)).where("_r = 1").drop("_r").withColumn(
-        "lane", F.when(U.is_trusted_source(F.col("_u")), "auto_add").otherwise("review"))
-    ats = U.ats_of(F.col("_u"))
-    return kept.unionByName(rejected).withColumns({
+        "lane", F.when(U.is_trusted_source(U.Url("_u")), "auto_add").otherwise("review"))
+    ats = U.ats_of(U.Url("_u"))
+    return U.drop_url(kept.unionByName(rejected).withColumns({
         "company": trim(F.col("company")), "ats_platform": ats["platform"], "ats_token": ats["token"],
-        "niche": T.niche_of(F.col("category"))}).drop("_u")
+        "niche": T.niche_of(F.col("category"))}), "_u")
 
 
 def drain(classified: DataFrame, n: int = 15, ceiling: int = 120) -> DataFrame:
@@ -129,9 +129,9 @@ def enrich_batch(companies: DataFrame, n: int, seed: int) -> DataFrame:
 def cross_company_hosts(df: DataFrame, threshold: float = 3) -> DataFrame:
     """untrusted apply hosts that appear for at least ``threshold`` different companies."""
     t = U.with_url(U.with_url(df, "source_url", "_src"), "application_url", "_app")
-    ok = (U.safe_source(F.col("_src"), F.col("source_url")).isNotNull()
-          & U.safe_apply(F.col("_app"), F.col("application_url")).isNotNull() & F.col("_app").isNotNull()
-          & has_text(F.col("company")) & ~U.attributable(F.col("_app"), F.col("_src")))
-    pairs = t.where(ok).select(U.host_of(F.col("_app")).alias("host"), trim(F.lower("company")).alias("company"))
+    ok = (U.safe_source(U.Url("_src"), F.col("source_url")).isNotNull()
+          & U.safe_apply(U.Url("_app"), F.col("application_url")).isNotNull() & U.Url("_app").known
+          & has_text(F.col("company")) & ~U.attributable(U.Url("_app"), U.Url("_src")))
+    pairs = t.where(ok).select(U.host_of(U.Url("_app")).alias("host"), trim(F.lower("company")).alias("company"))
     return pairs.groupBy("host").agg(F.count_distinct("company").alias("companies")).where(
         F.col("companies") >= max(2, int(threshold)))

@@ -95,10 +95,8 @@ def geo_gate(df: DataFrame) -> DataFrame:
             "worldwide", "eligible_likely", F.lit("Worldwide/anywhere language in posting")))
         .otherwise(verdict("unknown", "unclear", F.lit("No deterministic geo signal")))
     )
-    df = once(df, {"_gate": F.coalesce("_short", rest)})
-    return df.select(*keep, F.col("_gate.scope").alias("gate_scope"),
-                     F.col("_gate.eligibility").alias("gate_eligibility"),
-                     F.col("_gate.evidence").alias("gate_evidence"))
+    final = F.coalesce("_short", rest)
+    return df.select(*keep, F.inline(F.array(final)).alias("gate_scope", "gate_eligibility", "gate_evidence"))
 
 
 def scan_landing_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -141,15 +141,15 @@ def park_pending(gated: DataFrame, as_of, reason: str) -> DataFrame:
     """Gated batch rows without a verdict become hidden ``pending-triage`` rows."""
     now = moment(as_of)
     df = U.with_url(U.with_url(gated, "source_url", "_src"), "application_url", "_app")
-    link = U.trusted_apply(F.col("_app"), F.col("application_url"), F.col("_src"), F.col("source_url"))
+    link = U.trusted_apply(U.Url("_app"), F.col("application_url"), U.Url("_src"), F.col("source_url"))
     key = F.sha2(F.concat("title", F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_KEY_CHARS)), 256)
-    return df.withColumns({
+    return U.drop_url(df.withColumns({
         "application_url": F.coalesce(link, F.col("source_url")),
         "is_active": F.lit(False), "inactive_reason": F.lit("pending-triage"),
         "geo_scope": F.col("gate_scope"), "ph_eligibility": F.lit("unclear"),
         "geo_evidence": F.lit("Pending durable triage: " + reason[:160]), "geo_checked_at": now,
         "description_hash": key, "scraped_at": now, "last_seen_at": now, "updated_at": now,
-    }).drop("_src", "_app", "gate_scope", "gate_eligibility", "gate_evidence")
+    }).drop("gate_scope", "gate_eligibility", "gate_evidence"), "_src", "_app")
 
 
 def fill_apply_url(t: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def apply_link_checks(listings: DataFrame, checks: DataFrame, use_body: bool = F
         "check_id", "id", "ts", "status", "geo_lock", "hard_dead"), "id")
     t = U.with_url(t, "source_url", "_u").join(last, "id", "left")
     c, seen = F.col("_c"), F.col("_c").isNotNull() & F.col("is_active")
-    bad = seen & U.safe_source(F.col("_u"), F.col("source_url")).isNull()
+    bad = seen & U.safe_source(U.Url("_u"), F.col("source_url")).isNull()
     live = seen & ~bad & c["status"].isNotNull()
     lock = live & c["geo_lock"].isNotNull() & c["status"].between(200, 299)
     dead = live & ~lock & c["hard_dead"]

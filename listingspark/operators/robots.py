@@ -121,20 +121,20 @@ def robots_verdicts(urls: DataFrame, docs: DataFrame, agent: str) -> DataFrame:
     pattern wins and allow wins ties.
     """
     df = U.with_url(urls, "url", "_u")
-    df = df.withColumns({"origin": U.origin_of(F.col("_u")), "_path": F.concat("_u.path", "_u.query")})
+    df = df.withColumns({"origin": U.origin_of(U.Url("_u")), "_path": F.concat(U.Url("_u")["path"], U.Url("_u")["query"])})
     df = lookup_join(df, _policy(docs, agent), ["origin"], ["url"])
     best = F.array_max(F.filter("rules", lambda r: _pattern_hit(r["pattern"], F.col("_path"))))
     df = df.withColumn("_best", best)
     won = F.col("_best").isNotNull()
-    return df.withColumns({
-        "verdict": F.when(F.col("_u").isNull(), "unknown").when(won & ~F.col("_best.allow"), "disallowed")
+    return U.drop_url(df.withColumns({
+        "verdict": F.when(~U.Url("_u").known, "unknown").when(won & ~F.col("_best.allow"), "disallowed")
             .otherwise("allowed"),
-        "evidence": F.when(F.col("_u").isNull(), F.concat(F.lit("Unparseable URL: "), F.col("url")))
+        "evidence": F.when(~U.Url("_u").known, F.concat(F.lit("Unparseable URL: "), F.col("url")))
             .when(F.col("rules").isNull(), "No applicable robots group; default allow")
             .when(won, F.concat(F.when(F.col("_best.allow"), "Allow").otherwise("Disallow"), F.lit(": "),
                                 F.col("_best.pattern"), F.lit(" matched "), F.col("_path")))
             .otherwise(F.concat(F.lit("No matching rule for "), F.col("_path"), F.lit("; default allow"))),
-    }).drop("_u", "_path", "_best", "rules")
+    }).drop("_path", "_best", "rules"), "_u")
 
 
 def robots_gate(urls: DataFrame, docs: DataFrame, agent: str, as_of, mode: str = "observe") -> DataFrame:

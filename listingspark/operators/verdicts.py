@@ -28,18 +28,28 @@ def classify_fetch(events: DataFrame, sources: DataFrame) -> DataFrame:
         .otherwise("UNKNOWN"))).drop("_status")
 
 
+class _Fields:
+    """Columns that share a prefix, read by their own name."""
+
+    def __init__(self, prefix: str) -> None:
+        self.prefix = prefix
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.prefix + name)
+
+
 def merge_verdicts(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, key: str = "source_url") -> DataFrame:
-    """Add ``decision`` and ``decision_reason`` plus the vote as struct ``_vote``.
+    """Add ``decision`` and ``decision_reason`` plus the vote as ``_vote_`` columns.
 
     Needs ``gate_scope``.  No usable vote means ``unavailable`` (nothing is published on it); the
     skeptic only counts where the gate found nothing, and an unavailable skeptic does not block.
     """
-    first = votes.select(F.col("listing_key").alias(key), F.struct(*[
-        c for c in votes.columns if c != "listing_key"]).alias("_vote"))
-    second = skeptics.select(F.col("listing_key").alias(key), F.struct(
-        "available", "eligible", "reason").alias("_skeptic"))
+    first = votes.select(F.col("listing_key").alias(key), *[
+        F.col(c).alias(f"_vote_{c}") for c in votes.columns if c != "listing_key"])
+    second = skeptics.select(F.col("listing_key").alias(key), *[
+        F.col(c).alias(f"_skeptic_{c}") for c in ("available", "eligible", "reason")])
     df = listings.join(first, key, "left").join(second, key, "left")
-    v, s = F.col("_vote"), F.col("_skeptic")
+    v, s = _Fields("_vote_"), _Fields("_skeptic_")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     refuted = (F.col("gate_scope") == "unknown") & F.coalesce(s["available"], F.lit(False)) & no(s["eligible"])
     decision = (
@@ -53,7 +63,8 @@ def merge_verdicts(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, k
         .when(F.col("decision") == "unavailable", F.coalesce(v["reason"], F.lit("no verdict on record")))
         .when(F.col("decision") == "ineligible", F.coalesce(v["reason"], F.lit("ineligible")))
         .when(F.col("decision") == "consensus-split", F.coalesce(s["reason"], F.lit("refuted")))
-        .otherwise(F.coalesce(v["reason"], F.lit("eligible"))))).drop("_skeptic")
+        .otherwise(F.coalesce(v["reason"], F.lit("eligible"))))).drop(*[
+            c for c in second.columns if c != key])
 
 
 def _clip(head: str, text: Column, size: int = EVIDENCE_CHARS) -> Column:
@@ -68,19 +79,20 @@ def apply_verdicts(merged: DataFrame, as_of) -> DataFrame:
     """
     now = moment(as_of)
     t = fill(merged, "listings", "tags", "pay_range", "experience_level", "application_url", "type", "category")
-    d, v, why = F.col("decision"), F.col("_vote"), F.col("decision_reason")
+    d, v, why = F.col("decision"), _Fields("_vote_"), F.col("decision_reason")
     t = U.with_url(t, "source_url", "_src")
     t = U.with_url(t, "application_url", "_app")
     t = U.with_url(t, v["application_url"], "_voted")
-    src, raw = F.col("_src"), F.col("source_url")
+    src, raw = U.Url("_src"), F.col("source_url")
     good = d == "eligible"
     link = F.coalesce(
-        F.when(good, U.trusted_apply(F.col("_voted"), v["application_url"], src, raw)),
-        U.trusted_apply(F.col("_app"), F.col("application_url"), src, raw), raw)
+        F.when(good, U.trusted_apply(U.Url("_voted"), v["application_url"], src, raw)),
+        U.trusted_apply(U.Url("_app"), F.col("application_url"), src, raw), raw)
     own = F.coalesce("tags", F.array().cast("array<string>"))
     rejected = F.when(d == "gate-rejected", "geo-gate-rejected").when(d == "ineligible", "triage-rejected").when(
         d == "consensus-split", "consensus-quarantined")
-    return t.withColumns({
+    votes = [c for c in t.columns if c.startswith("_vote_")]
+    return U.drop_url(t.withColumns({
         "is_active": good,
         "inactive_reason": F.when(good, F.lit(None).cast("string")).when(d == "unavailable", "pending-triage")
             .otherwise("policy-rejected"),
@@ -103,7 +115,7 @@ def apply_verdicts(merged: DataFrame, as_of) -> DataFrame:
         "type": F.when(good, F.when(v["employment_type"] == "contract", "freelance").otherwise(
             F.coalesce(v["employment_type"], F.lit("freelance")))).otherwise(F.col("type")),
         "updated_at": now,
-    }).drop("_vote", "_src", "_app", "_voted", "decision_reason", "gate_scope", "gate_eligibility", "gate_evidence")
+    }).drop(*votes, "decision_reason", "gate_scope", "gate_eligibility", "gate_evidence"), "_src", "_app", "_voted")
 
 
 def rejections_by_source(merged: DataFrame) -> DataFrame:

@@ -165,8 +165,8 @@ def outbound_clicks(clicks: DataFrame, listings: DataFrame) -> DataFrame:
     stored = listings.select("id", "source_url", "application_url")
     df = lookup_join(clicks, stored, ["id"], ["url", "click_id"], "left")
     df = U.with_url(U.with_url(df, "source_url", "_src"), "application_url", "_app")
-    source = U.safe_source(F.col("_src"), F.col("source_url"))
-    apply = U.trusted_apply(F.col("_app"), F.col("application_url"), F.col("_src"), F.col("source_url"))
-    return df.withColumn("target", F.when(F.col("url") == F.col("source_url"), source).when(
+    source = U.safe_source(U.Url("_src"), F.col("source_url"))
+    apply = U.trusted_apply(U.Url("_app"), F.col("application_url"), U.Url("_src"), F.col("source_url"))
+    return U.drop_url(df.withColumn("target", F.when(F.col("url") == F.col("source_url"), source).when(
         F.col("url") == F.col("application_url"), F.coalesce(apply, source))).drop(
-        "_src", "_app", "source_url", "application_url")
+        "source_url", "application_url"), "_src", "_app")

@@ -6,13 +6,14 @@ not parse yields no rows and fails nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls as U
 from ..functions.regex import SPACE, blank_to_null, trim
 from ..functions.times import parse_epoch_or_text, parse_time
 from ..schemas import fill
 from ..skew import lookup_join
+from ..stages import once
 
 _NODE = "struct<_VALUE:string>"
 _FEED_ITEM = f"""title {_NODE}, link struct<_VALUE:string,_href:string>, id string, pubDate string,
@@ -52,12 +53,12 @@ def extract_rss(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     items = F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)(?=[\s>]).*?</(?:item|entry)>"), F.lit(0))
     rows = _capped(_with_source(payloads, sources, "rss").select(
         "*", F.posexplode(items).alias("ordinal", "xml")))
-    rows = rows.withColumn("x", F.from_xml("xml", _FEED_ITEM)).drop("xml", "body")
+    rows = once(rows, {"x": F.from_xml("xml", _FEED_ITEM)}).drop("xml", "body")
     node = lambda c: F.col(f"x.{c}._VALUE")
     link = trim(F.coalesce("x.link._VALUE", "x.link._href", "x.id"))
     rows = rows.where(F.coalesce(node("title") != "", F.lit(False)) & link.isNotNull())
     author = blank_to_null(T.strip_markup(F.coalesce(F.col("x.`dc:creator`._VALUE"), node("author")), "rss"))
-    rows = rows.withColumn("_split", T.split_company(T.strip_markup(node("title"), "rss"), author))
+    rows = once(rows, {"_split": T.split_company(T.strip_markup(node("title"), "rss"), author)})
     categories = F.filter(F.transform(F.coalesce("x.category", F.array().cast(f"array<{_NODE}>")),
                                       lambda c: trim(c["_VALUE"])), lambda t: t != "")
     return _finish(
@@ -68,6 +69,7 @@ def extract_rss(payloads: DataFrame, sources: DataFrame) -> DataFrame:
         posted_at=parse_time(F.coalesce("x.pubDate", "x.published")))
 
 
+_BOARD_FIELDS = ["position", "company", "tags", "description", "url", "apply_url", "salary_min", "salary_max", "location", "date"]
 _BOARD_JOB = """array<struct<position:string,company:string,tags:array<string>,description:string,url:string,
     apply_url:string,salary_min:double,salary_max:double,location:string,date:string>>"""
 
@@ -77,20 +79,21 @@ def extract_json_board(payloads: DataFrame, sources: DataFrame, host: str) -> Da
     jobs = F.filter(F.from_json("body", _BOARD_JOB), lambda j: (F.coalesce(j["position"], F.lit("")) != "") & (
         F.coalesce(F.nullif(j["url"], F.lit("")), F.nullif(j["apply_url"], F.lit(""))).isNotNull()))
     rows = _capped(_with_source(payloads, sources, "json").select("*", F.posexplode(jobs).alias("ordinal", "j"))).drop("body")
-    text = lambda c: T.strip_markup(F.col(f"j.{c}"), "json")
-    rows = U.with_url(U.with_url(rows, "j.url", "_u"), "j.apply_url", "_a")
-    apply = U.on_single_host(F.col("_a"), host)
-    rows = rows.withColumns({"_title": text("position"), "_desc": F.coalesce(text("description"), F.lit("")),
-                             "_url": F.coalesce(U.on_single_host(F.col("_u"), host), apply), "_apply": apply})
+    text = lambda c: T.strip_markup(F.col(f"_j_{c}"), "json")
+    rows = rows.select(*[c for c in rows.columns if c != "j"], *[F.col(f"j.{f}").alias(f"_j_{f}") for f in _BOARD_FIELDS])
+    rows = U.with_url(U.with_url(rows, "_j_url", "_u"), "_j_apply_url", "_a")
+    apply = U.on_single_host(U.Url("_a"), host)
+    rows = once(rows, {"_title": text("position"), "_desc": F.coalesce(text("description"), F.lit("")),
+                             "_url": F.coalesce(U.on_single_host(U.Url("_u"), host), apply), "_apply": apply})
     rows = rows.where(F.col("_url").isNotNull() & ~T.is_placeholder_title(F.col("_title"))
                       & T.is_relevant_role(F.col("_title"), F.col("_desc")))
-    low, high = [F.col(f"j.salary_{x}").cast("long") for x in ("min", "max")]
+    low, high = [F.col(f"_j_salary_{x}").cast("long") for x in ("min", "max")]
     return _finish(
         rows, title=F.col("_title"), company=blank_to_null(text("company")), type=F.col("type"), source_url=F.col("_url"),
         application_url=F.coalesce("_apply", "_url"), source_platform=F.col("source_platform"),
-        tags=T.merge_tags(F.col("source_tags"), F.col("j.tags"), cap=12, normalise=True),
+        tags=T.merge_tags(F.col("source_tags"), F.col("_j_tags"), cap=12, normalise=True),
         pay_range=T.pay_range(low, high), location_raw=blank_to_null(text("location")),
-        description=blank_to_null(F.substring("_desc", 1, BODY_CHARS)), posted_at=parse_time(F.col("j.date")))
+        description=blank_to_null(F.substring("_desc", 1, BODY_CHARS)), posted_at=parse_time(F.col("_j_date")))
 
 
 _PLACE = "struct<name:string,city:string,region:string,country:string,is_remote:boolean>"
@@ -176,32 +179,37 @@ def extract_html(pages: DataFrame, job_path: str, site: str, cap: int = 100, min
 
     ``pages(page_id, html)``.  A heading inside the anchor names the job, else the anchor text does;
     "See More" anchors are skipped.  Pages without any hit go through a looser reading that also skips
-    images and very short texts.  ``site`` completes relative addresses.
+    images and very short texts.  ``site`` completes relative addresses.  A page is decided inside its
+    own row, so nothing is shuffled.
     """
-    # Tags and texts come from one pattern whose two groups are extracted in step.
-    anchor = r"(?is)<a([^>]+)>(.*?)</a>"
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("content"))).alias("ordinal", "a"))
-    rows = rows.select("page_id", "ordinal", F.regexp_extract("a.attrs", r"""(?i)href=["']([^"']+)["']""", 1).alias("href"),
-                       F.col("a.content").alias("content"))
-    rows = rows.where(F.contains("href", F.lit(job_path)) & ~F.contains("content", F.lit("See More")))
-    plain = lambda c: trim(F.regexp_replace(F.regexp_replace(c, T.TAG, ""), f"{SPACE}+", " "))
-    heading = F.nullif(F.regexp_extract("content", r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), F.lit(""))
-    slash = F.when(F.startswith("href", F.lit("/")), "").otherwise("/")
-    url = F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(site), slash, F.col("href")))
-    rows = rows.withColumns({"title": plain(F.coalesce(heading, F.col("content"))), "loose": plain(F.col("content")),
-                             "source_url": url})
-    # One row per page decides between the two readings; a page's anchors are already one page's rows.
-    strict = F.col("title") != ""
-    hits = rows.groupBy("page_id").agg(F.count_if(strict).alias("_hits"))
-    rows = rows.join(hits, "page_id")
-    fallback = (F.col("_hits") == 0) & (F.length("loose") >= min_title) & ~F.contains("content", F.lit("<img"))
-    kept = rows.where((F.col("_hits") > 0) & strict | fallback)
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal"))
-    return kept.withColumn("_n", number).where((F.col("_n") <= cap) | (F.col("_hits") == 0)).select(
-        "page_id", (F.col("_n") - 1).alias("ordinal"), F.when(F.col("_hits") > 0, F.col("title")).otherwise(
-            F.col("loose")).alias("title"), "source_url")
+    def anchors(pattern: str) -> Column:
+        """Address and content of every anchor; the two groups of one pattern, extracted in step."""
+        both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("head"),
+                            F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("content"))
+        wanted = lambda a: F.contains(a["head"], F.lit(job_path)) & ~F.contains(a["content"], F.lit("See More"))
+        return F.filter(both, wanted)
+
+    def plain(c: Column) -> Column:
+        return trim(F.regexp_replace(F.regexp_replace(c, T.TAG, ""), f"{SPACE}+", " "))
+
+    def item(title: Column, href: Column) -> Column:
+        slash = F.when(F.startswith(href, F.lit("/")), "").otherwise("/")
+        url = F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(site), slash, href))
+        return F.struct(title.alias("title"), url.alias("source_url"), href.alias("href"))
+
+    def strict_item(a: Column) -> Column:
+        heading = F.nullif(F.regexp_extract(a["content"], r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), F.lit(""))
+        href = F.regexp_extract(a["head"], r"""(?i)href=["']([^"']+)["']""", 1)
+        return item(plain(F.coalesce(heading, a["content"])), href)
+
+    strict = F.filter(F.transform(anchors(r"(?is)<a([^>]+)>(.*?)</a>"), strict_item),
+                      lambda x: (x["title"] != "") & F.contains(x["href"], F.lit(job_path)))
+    loose = F.filter(anchors(r"""(?is)<a[^>]+href=["']([^"']*/job[^"']*)["'][^>]*>(.*?)</a>"""),
+                     lambda a: ~F.contains(a["content"], F.lit("<img")))
+    loose = F.filter(F.transform(loose, lambda a: item(plain(a["content"]), a["head"])), lambda x: F.length(x["title"]) >= min_title)
+    found = once(pages, {"_strict": F.slice(strict, 1, cap)})
+    found = found.select("page_id", F.posexplode(F.when(F.size("_strict") > 0, F.col("_strict")).otherwise(loose)).alias("ordinal", "x"))
+    return found.select("page_id", "ordinal", "x.title", "x.source_url")
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

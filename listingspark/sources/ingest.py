@@ -104,14 +104,14 @@ def validate_digests(items: DataFrame) -> DataFrame:
     error = F.when(~_needs(F.col("creator_name"), DIGEST_LIMITS["creator_name"]), "creator_name")
     for name in ("video_id", "video_title"):
         error = error.when(~_needs(F.col(name), DIGEST_LIMITS[name]), name)
-    error = error.when(U.safe_source(F.col("_u"), F.col("video_url")).isNull(), "video_url")
+    error = error.when(U.safe_source(U.Url("_u"), F.col("video_url")).isNull(), "video_url")
     error = error.when(F.col("transcript_raw").isNotNull() & ~_needs(
         F.col("transcript_raw"), DIGEST_LIMITS["transcript_raw"]), "transcript_raw")
     for name, (count, size) in DIGEST_LISTS.items():
         fine = (F.size(name) <= count) & F.forall(name, _fits(size))
         error = error.when(F.col(name).isNotNull() & ~fine, name)
     error = error.when(F.col("published_at").isNotNull() & parse_time(F.col("published_at")).isNull(), "published_at")
-    df = df.withColumn("item_error", error).drop("_u")
+    df = U.drop_url(df.withColumn("item_error", error), "_u")
     verdict = df.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.when(F.col("item_error").isNotNull(), F.struct("index", F.col("item_error").alias("field")))).alias("_bad"))
@@ -127,9 +127,9 @@ def accepted_digests(validated: DataFrame, as_of) -> DataFrame:
     df = U.with_url(validated.where("payload_ok"), "video_url", "_u")
     texts = {c: text_or_null(F.col(c)) for c in ("creator_name", "video_id", "video_title", "transcript_raw")}
     lists = {c: F.transform(F.coalesce(c, F.array().cast("array<string>")), trim) for c in DIGEST_LISTS}
-    return df.withColumns({**texts, **lists, "video_url": U.safe_source(F.col("_u"), F.col("video_url")),
+    return U.drop_url(df.withColumns({**texts, **lists, "video_url": U.safe_source(U.Url("_u"), F.col("video_url")),
                            "published_at": parse_time(F.col("published_at")), "processed_at": moment(as_of)}).drop(
-        "_u", "item_error", "payload_ok", "first_error")
+        "item_error", "payload_ok", "first_error"), "_u")
 
 
 def upsert_digests(target: DataFrame, batch: DataFrame, order: str = "index") -> DataFrame:

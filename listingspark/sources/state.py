@@ -99,10 +99,10 @@ def source_health(events: DataFrame, hours: int, as_of) -> DataFrame:
 def sources_to_retry(items: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Sources that delivered an address which is still unresolved."""
     owned = U.with_url(items, "source_url", "_u").select(
-        "source_id", U.safe_source(F.col("_u"), F.col("source_url")).alias("source_url")).where(
+        "source_id", U.safe_source(U.Url("_u"), F.col("source_url")).alias("source_url")).where(
         "source_id is not null and source_url is not null").distinct()
     open_ = U.with_url(unresolved, "source_url", "_u").select(
-        U.safe_source(F.col("_u"), F.col("source_url")).alias("source_url")).distinct()
+        U.safe_source(U.Url("_u"), F.col("source_url")).alias("source_url")).distinct()
     return owned.join(open_, "source_url", "left_semi").select("source_id").distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -14,3 +16,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     keep = [c for c in df.columns if c not in columns]
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, for rules that name their input several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
