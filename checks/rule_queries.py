@@ -9,7 +9,7 @@ from listingspark.sources import ingest
 
 from . import rules_sql as R
 from .registry import in_list, literal, pattern, query, sec, seconds
-from .views import table
+from .views import table, texts
 
 ENTITIES = """replace(replace(replace(replace(replace({}, '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' ')"""
 
@@ -242,7 +242,8 @@ def _on_table(name: str, source: str):
     def wrap(fn):
         from .registry import QUERIES
         from listingspark.session import configure
-        QUERIES[name] = lambda spark, sf: fn(table(configure(spark), sf, source))
+        load = texts if source in ("documents", "pages") else table
+        QUERIES[name] = lambda spark, sf: fn(load(configure(spark), sf, source))
         return fn
     return wrap
 

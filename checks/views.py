@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listingspark.session import configure
+from listingspark.session import configure, spread
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -111,12 +111,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores when it comes in fewer splits than there are cores."""
+    return spread(table(configure(spark), sf, name))
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Derived table as a Spark plan; times become zoned timestamps of the UTC session."""
     configure(spark)
     for base in TABLES:
         if f" {base}" in VIEWS[name]:
-            table(spark, sf, base).createOrReplaceTempView(base)
+            load = texts if name == "postings" and base == "documents" else table
+            load(spark, sf, base).createOrReplaceTempView(base)
     df = spark.sql(VIEWS[name])
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 

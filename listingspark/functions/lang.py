@@ -19,14 +19,16 @@ def _belongs(words: list[str]) -> Callable[[Column], Column]:
 def with_language(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add column ``name``: a language code when the text is clearly not English, else ``en``.
 
-    The words are cut down once to those in any stopword list; every count works on that rest.
+    The words are cut down once to the foreign stopwords; the count per language works on that rest.
     """
     english = V.ENGLISH_STOPWORDS.split()
     lists = {lang: words.split() for lang, words in V.STOPWORDS.items()}
-    every = sorted({w for words in [english, *lists.values()] for w in words})
-    df = once(df, {"_words": F.filter(F.split(F.lower(text), f"[^{V.WORD_CHARS}]+"), lambda w: w != "")})
-    df = once(df, {"_n": F.size("_words"), "_stops": F.filter("_words", lambda w: w.isin(every))}).drop("_words")
-    df = df.withColumn("_en", F.size(F.filter("_stops", lambda w: w.isin(english))))
+    foreign = sorted({w for words in lists.values() for w in words})
+    df = once(df, {"_words": F.split(F.lower(text), f"[^{V.WORD_CHARS}]+")})
+    # Only the ends of a split can be empty.
+    edges = (F.element_at("_words", 1) == "").cast("int") + (F.element_at("_words", -1) == "").cast("int")
+    df = once(df, {"_n": F.size("_words") - edges, "_en": F.size(F.filter("_words", _belongs(english))),
+                   "_stops": F.filter("_words", _belongs(foreign))}).drop("_words")
     scores = []
     for rank, (lang, words) in enumerate(lists.items()):
         mine = F.filter("_stops", _belongs(words))

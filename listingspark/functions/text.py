@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import values as V
 from ..stages import let
-from .regex import SPACE, squeeze, trim, words
+from .regex import SPACE, hits, squeeze, trim, words
 
 _NAMED = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
 TAG = "<[^>]*>"
@@ -124,8 +124,8 @@ def is_placeholder_title(title: Column) -> Column:
 
 def is_relevant_role(title: Column, description: Column) -> Column:
     """A role the board carries, judged on the title and the first 500 characters."""
-    text = F.concat(title, F.lit(" "), F.substring(F.coalesce(description, F.lit("")), 1, 500))
-    return text.rlike(words(V.RELEVANT_ROLES)) & ~text.rlike(words(V.PHYSICAL_ROLES))
+    text = F.lower(F.concat(title, F.lit(" "), F.substring(F.coalesce(description, F.lit("")), 1, 500)))
+    return let(text, lambda t: hits(t, words(V.RELEVANT_ROLES)) & ~hits(t, words(V.PHYSICAL_ROLES)))
 
 
 def company_key(name: Column) -> Column:
@@ -152,30 +152,49 @@ def fold_category(category: Column) -> Column:
 def board_category(title: Column, tags: Column, category: Column) -> Column:
     """Stored category, else the first word family found in title and tags."""
     text = F.lower(F.concat(title, F.lit(" "), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
-    guess = None
-    for name, pattern in V.BOARD_CATEGORY_WORDS.items():
-        guess = (F if guess is None else guess).when(text.rlike(pattern), name)
+
+    def guess(lowered: Column) -> Column:
+        found = None
+        for name, pattern in V.BOARD_CATEGORY_WORDS.items():
+            found = (F if found is None else found).when(lowered.rlike(pattern), name)
+        return found
+
     return F.when(category.isNotNull() & (category != "other"), category).otherwise(
-        guess.otherwise(F.coalesce(category, F.lit("other"))))
+        F.coalesce(let(text, guess), category, F.lit("other")))
+
+
+def heuristic_category(lowered: Column) -> Column:
+    """Category guessed from plain substrings when no vote exists."""
+    name = None
+    for label, (pattern, _) in V.HEURISTIC_CATEGORY_WORDS.items():
+        test = F.lit(False)
+        for word in pattern.split("|"):
+            test = test | F.contains(lowered, F.lit(word))
+        name = (F if name is None else name).when(test, label)
+    return name.otherwise("other")
+
+
+def heuristic_tags(category: Column) -> Column:
+    """Tags that go with a guessed category."""
+    tags = None
+    for label, (_, found) in V.HEURISTIC_CATEGORY_WORDS.items():
+        tags = (F if tags is None else tags).when(category == label, F.array(*[F.lit(t) for t in found]))
+    return tags.otherwise(F.array(F.lit("remote")))
 
 
-def heuristic_category(title: Column, description: Column) -> Column:
-    """Category and tags guessed from plain substrings when no vote exists."""
-    text = F.lower(F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))))
-    name = tags = None
-    for label, (pattern, found) in V.HEURISTIC_CATEGORY_WORDS.items():
-        hit = text.rlike(pattern)
-        name = (F if name is None else name).when(hit, label)
-        tags = (F if tags is None else tags).when(hit, F.array(*[F.lit(t) for t in found]))
-    return F.struct(name.otherwise("other").alias("category"), tags.otherwise(F.array(F.lit("remote"))).alias("tags"))
+def whole_text(title: Column, description: Column) -> Column:
+    """Title and description as one lowered text."""
+    return F.lower(F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))))
 
 
-def is_geo_restricted(title: Column, description: Column) -> Column:
-    return F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))).rlike(words(V.GEO_RESTRICTIONS))
+def is_geo_restricted(lowered: Column) -> Column:
+    """The posting names a country restriction outright."""
+    return hits(lowered, words(V.GEO_RESTRICTIONS))
 
 
-def is_local_only(title: Column, description: Column) -> Column:
-    return F.concat(title, F.lit(" "), F.coalesce(description, F.lit(""))).rlike(words(V.LOCAL_ONLY))
+def is_local_only(lowered: Column) -> Column:
+    """The posting uses terms of one domestic labour market."""
+    return hits(lowered, words(V.LOCAL_ONLY))
 
 
 def excerpt(description: Column, platform: Column) -> Column:

@@ -72,24 +72,24 @@ def add_keys(df: DataFrame) -> DataFrame:
 def enrich_columns(df: DataFrame) -> DataFrame:
     """Company split, relevance, categories, niche and excerpt derived from the listing text."""
     df = fill(df, "listings", "tags", "type", "experience_level")
-    df = df.withColumn("_split", T.split_company(trim(F.col("title")), text_or_null(F.col("company"))))
-    df = df.withColumns({"title": F.col("_split.title"), "company": F.col("_split.company")}).drop("_split")
-    title, body = F.col("title"), F.col("description")
-    guess = T.heuristic_category(title, body)
+    split = T.split_company(trim(F.col("title")), text_or_null(F.col("company")))
+    df = df.select(*[c for c in df.columns if c not in ("title", "company")], F.inline(F.array(split)))
+    title, body, lowered = F.col("title"), F.col("description"), F.col("_lowered")
+    df = once(df, {"_lowered": T.whole_text(title, body)})
+    df = once(df, {"guessed_category": T.heuristic_category(lowered)})
     return df.withColumns({
         "is_placeholder": T.is_placeholder_title(title),
         "is_relevant": T.is_relevant_role(title, body),
-        "geo_restricted": T.is_geo_restricted(title, body),
-        "local_only": T.is_local_only(title, body),
+        "geo_restricted": T.is_geo_restricted(lowered),
+        "local_only": T.is_local_only(lowered),
         "board_category": T.board_category(title, F.col("tags"), F.col("category")),
-        "guessed_category": guess["category"],
-        "guessed_tags": guess["tags"],
+        "guessed_tags": T.heuristic_tags(F.col("guessed_category")),
         "niche": T.niche_of(F.col("category")),
         "excerpt": T.excerpt(body, F.col("source_platform")),
         "quality_company": T.is_quality_company(F.col("company")),
         "type": T.one_of(F.col("type"), V.JOB_TYPES, "freelance"),
         "experience_level": T.one_of(F.col("experience_level"), V.EXPERIENCE_LEVELS),
-    })
+    }).drop("_lowered")
 
 
 def clean_votes(raw: DataFrame, text_col: str = "response") -> DataFrame:

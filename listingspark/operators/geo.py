@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import values as V
 from ..functions import text as T
 from ..functions.lang import with_language
-from ..functions.regex import first_match, trim, words
+from ..functions.regex import first_match, hits, trim, words
 from ..schemas import fill
 from ..stages import once
 
@@ -44,19 +44,21 @@ def geo_gate(df: DataFrame) -> DataFrame:
     df = once(df, {"_text": F.concat("_title", F.lit(" "), F.substring(
         F.coalesce("description", F.lit("")), 1, GATE_CHARS))})
     loc, title = F.col("_loc"), F.col("_title")
+    df = once(df, {"_low_text": F.lower("_text"), "_low_title": F.lower("_title"), "_low_loc": F.lower("_loc")})
+    in_loc = lambda p: first_match(loc, F.col("_low_loc"), p)
+    in_title = lambda p: first_match(title, F.col("_low_title"), p)
+    in_text = lambda p: first_match(F.col("_text"), F.col("_low_text"), p)
     df = once(df, {
-        "_ph_loc": first_match(loc, PH), "_ph_text": first_match(F.col("_text"), PH),
-        "_apac": F.coalesce(first_match(loc, APAC), first_match(title, APAC)),
-        "_state": first_match(loc, STATE), "_country": first_match(loc, COUNTRY), "_city": first_match(loc, CITY),
-        "_world": loc.rlike(WORLD), "_region": first_match(loc, REGION),
-        "_onsite": F.coalesce(first_match(title, ONSITE), first_match(loc, ONSITE)),
-        "_title_place": F.coalesce(first_match(title, STATE), first_match(title, CITY)),
+        "_ph_loc": in_loc(PH), "_ph_text": in_text(PH), "_apac": F.coalesce(in_loc(APAC), in_title(APAC)),
+        "_state": in_loc(STATE), "_country": in_loc(COUNTRY), "_city": in_loc(CITY),
+        "_world": hits(F.col("_low_loc"), WORLD), "_region": in_loc(REGION),
+        "_onsite": F.coalesce(in_title(ONSITE), in_loc(ONSITE)), "_title_place": F.coalesce(in_title(STATE), in_title(CITY)),
         "_lang_tag": F.when(~F.array_contains("_tags", "english"), F.try_element_at(
             F.filter("_tags", lambda t: t.isin(V.LANGUAGE_TAGS)), F.lit(1))),
     })
     hit = lambda name: F.col(name).isNotNull()
     # Texts already decided by a Philippine or Asian mention need no language count.
-    open_text = F.when(hit("_ph_loc") | hit("_ph_text") | hit("_apac"), "").otherwise(F.col("_text"))
+    open_text = F.when(hit("_ph_loc") | hit("_ph_text") | hit("_apac"), "").otherwise(F.col("_low_text"))
     df = with_language(df, open_text, "_lang")
 
     def verdict(scope: str, eligibility: str, evidence: Column) -> Column:
@@ -87,11 +89,11 @@ def geo_gate(df: DataFrame) -> DataFrame:
             "country_locked", "ineligible", _quoted('Title names location: "', F.col("_title_place"))))
     )
     df = once(df, {"_short": short})
-    df = df.withColumn("_lock", F.when(F.col("_short").isNull(), first_match(F.col("_text"), LOCK)))
+    df = once(df, {"_lock": F.when(F.col("_short").isNull(), in_text(LOCK))})
     rest = (
         F.when(hit("_lock"), verdict("region_excl_ph", "ineligible", _quoted(
             'Residence/authorization lock: "', F.substring("_lock", 1, 60))))
-        .when(F.col("_text").rlike(WORLD), verdict(
+        .when(hits(F.col("_low_text"), WORLD), verdict(
             "worldwide", "eligible_likely", F.lit("Worldwide/anywhere language in posting")))
         .otherwise(verdict("unknown", "unclear", F.lit("No deterministic geo signal")))
     )
@@ -105,9 +107,10 @@ def scan_landing_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     The rule reads the first 4,000 visible characters; pages with fewer than 200 are not judged.
     """
     df = once(pages, {"_visible": F.substring(T.strip_markup(F.coalesce(F.col(html), F.lit("")), "page"), 1, PAGE_CHARS)})
-    df = once(df, {"_open": (F.length("_visible") >= PAGE_MIN) & ~F.col("_visible").rlike(PH)})
-    df = with_language(df, F.when(F.col("_open"), F.col("_visible")).otherwise(""), "_lang")
-    lock = F.nullif(F.substring(F.regexp_extract("_visible", LOCK, 0), 1, 80), F.lit(""))
+    df = once(df, {"_low": F.lower("_visible")})
+    df = once(df, {"_open": (F.length("_visible") >= PAGE_MIN) & ~hits(F.col("_low"), PH)})
+    df = with_language(df, F.when(F.col("_open"), F.col("_low")).otherwise(""), "_lang")
+    lock = F.substring(first_match(F.col("_visible"), F.col("_low"), LOCK, 0), 1, 80)
     return once(df, {"geo_lock": F.when(F.col("_open"), F.when(
         F.col("_lang") != "en", _quoted("Landing page is non-English (detected: ", F.col("_lang"), ")")
-    ).otherwise(_quoted('Landing page states: "', lock)))}).drop("_visible", "_open", "_lang")
+    ).otherwise(_quoted('Landing page states: "', lock)))}).drop("_visible", "_low", "_open", "_lang")
