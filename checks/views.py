@@ -107,8 +107,19 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _planned(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Keep the unexecuted plan of a table per session, so that its schema is inferred once."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return _planned(spark, sf, name, lambda: spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -118,6 +129,10 @@ def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Derived table as a Spark plan; times become zoned timestamps of the UTC session."""
+    return _planned(spark, sf, f"view:{name}", lambda: _derive(spark, sf, name))
+
+
+def _derive(spark: SparkSession, sf: str, name: str) -> DataFrame:
     configure(spark)
     for base in TABLES:
         if f" {base}" in VIEWS[name]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import values as V
-from ..stages import once
+from ..stages import once, once_sql
 from .regex import has_text, trim
 
 URL = r"(?is)^(https?)://(?:([^/?#@]*)@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)([?][^#]*)?(#.*)?$"
@@ -19,6 +19,15 @@ BAD_HOST = r"[\s<>^|%\"`\\{}\[\]]"
 _SEP = "\u0001"
 _FIELDS = ["scheme", "user", "host", "port", "path", "query", "fragment"]
 MAX_LENGTH = 2048
+# Host, vendor and where in the path the tenant stands.
+TENANT_PATHS = [
+    ("boards.greenhouse.io", "greenhouse", "^/*([^/]+)"),
+    ("boards-api.greenhouse.io", "greenhouse", "(?i)^/*v1/+boards/+([^/]+)"),
+    ("jobs.lever.co", "lever", "^/*([^/]+)"),
+    ("api.lever.co", "lever", "(?i)^/*v0/+postings/+([^/]+)"),
+    ("jobs.ashbyhq.com", "ashby", "^/*([^/]+)"),
+    ("api.ashbyhq.com", "ashby", "(?i)^/*posting-api/+job-board/+([^/]+)"),
+]
 
 
 class Url:
@@ -45,18 +54,21 @@ def with_url(df: DataFrame, source: str | Column, name: str) -> DataFrame:
     One regular expression runs per row; the pieces come from splitting its rewrite.
     """
     text = trim(F.col(source) if isinstance(source, str) else source)
-    raw, u = f"{name}__raw", Url(name)
+    raw = f"{name}__raw"
     df = once(df, {raw: F.split(F.regexp_replace(text, URL, _SEP.join(f"${i}" for i in range(1, 8))), _SEP)})
-    valid = (F.size(raw) == len(_FIELDS)) & ~F.get(F.col(raw), 2).rlike(BAD_HOST)
-    part = [F.when(valid, F.get(F.col(raw), i)) for i in range(len(_FIELDS))]
-    scheme, host = F.lower(part[0]), F.lower(part[2])
-    default = F.when(scheme == "https", "443").otherwise("80")
-    port = F.when((part[3] == "") | (part[3] == default), "").otherwise(F.concat(F.lit(":"), part[3]))
-    path = F.when(part[4] == "", "/").otherwise(part[4])
-    df = once(df, dict(zip(u.columns, [scheme, part[1], host, port, path, part[5], part[6]]))).drop(raw)
-    bare = F.regexp_replace(F.regexp_replace(u["host"], r"\.$", ""), r"^www\.", "")
-    df = once(df, {u.columns[-2]: bare})
-    return once(df, {u.columns[-1]: _tenant(u)})
+    part = [f"CASE WHEN {raw}_ok THEN get({raw}, {i}) END" for i in range(len(_FIELDS))]
+    df = df.withColumn(f"{raw}_ok", (F.size(raw) == len(_FIELDS)) & ~F.get(F.col(raw), 2).rlike(BAD_HOST))
+    default = f"CASE WHEN lower({part[0]}) = 'https' THEN '443' ELSE '80' END"
+    df = once_sql(df, {
+        f"{name}__scheme": f"lower({part[0]})", f"{name}__user": part[1], f"{name}__host": f"lower({part[2]})",
+        f"{name}__port": f"CASE WHEN {part[3]} IN ('', {default}) THEN '' ELSE concat(':', {part[3]}) END",
+        f"{name}__path": f"CASE WHEN {part[4]} = '' THEN '/' ELSE {part[4]} END",
+        f"{name}__query": part[5], f"{name}__fragment": part[6],
+        f"{name}__bare": f"regexp_replace(regexp_replace(lower({part[2]}), '[.]$', ''), '^www[.]', '')"})
+    tenants = " ".join(
+        f"WHEN '{host}' THEN concat('{vendor}:', nullif(lower(regexp_extract({name}__path, '{path}', 1)), ''))"
+        for host, vendor, path in TENANT_PATHS)
+    return once_sql(df, {f"{name}__tenant": f"CASE {name}__bare {tenants} END"}).drop(raw, f"{raw}_ok")
 
 
 def drop_url(df: DataFrame, *names: str) -> DataFrame:
@@ -99,30 +111,11 @@ def safe_apply(u: Url, raw: Column) -> Column:
     return F.when((text != "") & (F.length(text) <= MAX_LENGTH), target)
 
 
-def _segment(u: Url, pattern: str) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(u["path"], pattern, 1)), F.lit(""))
-
-
 def tenant_of(u: Url) -> Column:
     """Applicant-tracking tenant such as ``lever:acme``."""
     return u["tenant"]
 
 
-def _tenant(u: Url) -> Column:
-    host = u["bare"]
-    first = _segment(u, "^/*([^/]+)")
-    return (
-        F.when(host == "boards.greenhouse.io", F.concat(F.lit("greenhouse:"), first))
-        .when(host == "boards-api.greenhouse.io",
-              F.concat(F.lit("greenhouse:"), _segment(u, "(?i)^/*v1/+boards/+([^/]+)")))
-        .when(host == "jobs.lever.co", F.concat(F.lit("lever:"), first))
-        .when(host == "api.lever.co", F.concat(F.lit("lever:"), _segment(u, "(?i)^/*v0/+postings/+([^/]+)")))
-        .when(host == "jobs.ashbyhq.com", F.concat(F.lit("ashby:"), first))
-        .when(host == "api.ashbyhq.com",
-              F.concat(F.lit("ashby:"), _segment(u, "(?i)^/*posting-api/+job-board/+([^/]+)")))
-    )
-
-
 def attributable(apply: Url, source: Url) -> Column:
     """Both URLs belong to one host or to one tracking tenant."""
     return F.coalesce(host_of(apply) == host_of(source), F.lit(False)) | F.coalesce(

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.lang import with_language
 from ..functions.regex import first_match, hits, trim, words
 from ..schemas import fill
-from ..stages import once
+from ..stages import once, once_sql
 
 PH, APAC, WORLD = words(V.PH_POSITIVE), words(V.APAC_POSITIVE), words(V.WORLDWIDE)
 COUNTRY, STATE, CITY = words(V.COUNTRIES), words(V.US_STATES), words(V.CITIES)
@@ -54,51 +54,47 @@ def geo_gate(df: DataFrame) -> DataFrame:
         "_world": hits(F.col("_low_loc"), WORLD), "_region": in_loc(REGION),
         "_onsite": F.coalesce(in_title(ONSITE), in_loc(ONSITE)), "_title_place": F.coalesce(in_title(STATE), in_title(CITY)),
         "_lang_tag": F.when(~F.array_contains("_tags", "english"), F.try_element_at(
-            F.filter("_tags", lambda t: t.isin(V.LANGUAGE_TAGS)), F.lit(1))),
+            F.expr(f"filter(_tags, t -> t IN {tuple(V.LANGUAGE_TAGS)})"), F.lit(1))),
     })
-    hit = lambda name: F.col(name).isNotNull()
     # Texts already decided by a Philippine or Asian mention need no language count.
-    open_text = F.when(hit("_ph_loc") | hit("_ph_text") | hit("_apac"), "").otherwise(F.col("_low_text"))
+    open_text = F.expr("CASE WHEN coalesce(_ph_loc, _ph_text, _apac) IS NOT NULL THEN '' ELSE _low_text END")
     df = with_language(df, open_text, "_lang")
-
-    def verdict(scope: str, eligibility: str, evidence: Column) -> Column:
-        return F.struct(F.lit(scope).alias("scope"), F.lit(eligibility).alias("eligibility"), evidence.alias("evidence"))
-
-    place = F.coalesce("_state", "_country", "_city")
-    short = (
-        F.when(hit("_ph_loc") & ~hit("_country") & ~hit("_state"), verdict(
-            "ph_only", "eligible_verified", _quoted('Philippines-targeted: location "', loc)))
-        .when(hit("_ph_loc"), verdict(
-            "apac_incl_ph", "eligible_verified", _quoted('Philippines named: location "', loc)))
-        .when(hit("_ph_text"), verdict(
-            "apac_incl_ph", "eligible_verified", _quoted('Philippines named: text mention "', F.col("_ph_text"))))
-        .when(hit("_apac"), verdict(
-            "apac_incl_ph", "eligible_verified", _quoted('APAC region named: "', F.col("_apac"))))
-        .when(F.col("_lang") != "en", verdict(
-            "country_locked", "ineligible", _quoted("Non-English posting (detected: ", F.col("_lang"), ")")))
-        .when(hit("_lang_tag"), verdict(
-            "country_locked", "ineligible", _quoted('Source tagged language: "', F.col("_lang_tag"))))
-        .when(F.col("_world"), verdict("worldwide", "eligible_likely", _quoted('Location listed: "', loc)))
-        .when(hit("_region"), verdict("region_excl_ph", "ineligible", F.concat(
-            F.lit('Region excludes PH: "'), F.col("_region"), F.lit('" in "'), loc, F.lit('"'))))
-        .when(place.isNotNull(), verdict("country_locked", "ineligible", F.concat(
-            F.lit('Location pinned: "'), place, F.lit('" in "'), loc, F.lit('"'))))
-        .when(hit("_onsite"), verdict(
-            "country_locked", "ineligible", _quoted('Not fully remote: "', F.col("_onsite"), '" marker')))
-        .when(hit("_title_place"), verdict(
-            "country_locked", "ineligible", _quoted('Title names location: "', F.col("_title_place"))))
-    )
-    df = once(df, {"_short": short})
-    df = once(df, {"_lock": F.when(F.col("_short").isNull(), in_text(LOCK))})
-    rest = (
-        F.when(hit("_lock"), verdict("region_excl_ph", "ineligible", _quoted(
-            'Residence/authorization lock: "', F.substring("_lock", 1, 60))))
-        .when(hits(F.col("_low_text"), WORLD), verdict(
-            "worldwide", "eligible_likely", F.lit("Worldwide/anywhere language in posting")))
-        .otherwise(verdict("unknown", "unclear", F.lit("No deterministic geo signal")))
-    )
-    final = F.coalesce("_short", rest)
-    return df.select(*keep, F.inline(F.array(final)).alias("gate_scope", "gate_eligibility", "gate_evidence"))
+    df = once_sql(df, {"_place": "coalesce(_state, _country, _city)"})
+    df = once_sql(df, {"_short": f"CASE {' '.join(map(_when, SHORT_RULES))} END"})
+    df = once(df, {"_lock": F.when(F.col("_short").isNull(), in_text(LOCK)),
+                   "_world_text": F.col("_short").isNull() & hits(F.col("_low_text"), WORLD)})
+    rest = f"CASE {' '.join(map(_when, LONG_RULES))} END"
+    return df.selectExpr(*[f"`{c}`" for c in keep],
+                         f"inline(array(coalesce(_short, {rest}))) AS (gate_scope, gate_eligibility, gate_evidence)")
+
+
+# (test, scope, eligibility, evidence); the first test that holds decides.
+SHORT_RULES = [
+    ("_ph_loc IS NOT NULL AND _country IS NULL AND _state IS NULL", "ph_only", "eligible_verified",
+     """'Philippines-targeted: location "', _loc, '"'"""),
+    ("_ph_loc IS NOT NULL", "apac_incl_ph", "eligible_verified", """'Philippines named: location "', _loc, '"'"""),
+    ("_ph_text IS NOT NULL", "apac_incl_ph", "eligible_verified", """'Philippines named: text mention "', _ph_text, '"'"""),
+    ("_apac IS NOT NULL", "apac_incl_ph", "eligible_verified", """'APAC region named: "', _apac, '"'"""),
+    ("_lang <> 'en'", "country_locked", "ineligible", "'Non-English posting (detected: ', _lang, ')'"),
+    ("_lang_tag IS NOT NULL", "country_locked", "ineligible", """'Source tagged language: "', _lang_tag, '"'"""),
+    ("_world", "worldwide", "eligible_likely", """'Location listed: "', _loc, '"'"""),
+    ("_region IS NOT NULL", "region_excl_ph", "ineligible", """'Region excludes PH: "', _region, '" in "', _loc, '"'"""),
+    ("_place IS NOT NULL", "country_locked", "ineligible", """'Location pinned: "', _place, '" in "', _loc, '"'"""),
+    ("_onsite IS NOT NULL", "country_locked", "ineligible", """'Not fully remote: "', _onsite, '" marker'"""),
+    ("_title_place IS NOT NULL", "country_locked", "ineligible", """'Title names location: "', _title_place, '"'"""),
+]
+LONG_RULES = [
+    ("_lock IS NOT NULL", "region_excl_ph", "ineligible",
+     """'Residence/authorization lock: "', substring(_lock, 1, 60), '"'"""),
+    ("_world_text", "worldwide", "eligible_likely", "'Worldwide/anywhere language in posting'"),
+    ("true", "unknown", "unclear", "'No deterministic geo signal'"),
+]
+
+
+def _when(rule: tuple[str, str, str, str]) -> str:
+    test, scope, eligibility, evidence = rule
+    return (f"WHEN {test} THEN named_struct('scope', '{scope}', 'eligibility', '{eligibility}', "
+            f"'evidence', concat({evidence}))")
 
 
 def scan_landing_pages(pages: DataFrame, html: str = "html") -> DataFrame:

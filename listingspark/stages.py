@@ -12,10 +12,16 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A plain projection is copied into every later filter and expression that reads it, which repeats
     regular expressions and can outgrow the size limit of generated code.  A one-element generator is
-    a point the optimizer does not copy through; filters on other columns still pass it.
+    a point the optimizer does not copy through; filters on other columns still pass it.  The names
+    must be new.
     """
-    keep = [c for c in df.columns if c not in columns]
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def once_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """:func:`once` for expressions written in SQL."""
+    fields = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
+    return df.selectExpr("*", f"inline(array(struct({fields})))")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
