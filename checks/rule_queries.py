@@ -45,7 +45,13 @@ def clean_text_page():
     raise NotImplementedError
 
 
-@query(None, "postings")
+LATIN = "upper(array_to_string(list_transform(string_split(description, ''), lambda c: printf('%02x', ord(c))), ''))"
+
+
+@query(f"""WITH m AS (SELECT id, description, CASE WHEN regexp_matches(description, '[ÂÃ][\\x{{80}}-\\x{{FF}}]') AND NOT regexp_matches(description, '[^\\x{{00}}-\\x{{FF}}]')
+  THEN TRY(decode(from_hex({LATIN}))) END AS fixed FROM postings),
+postings2 AS (SELECT id, CASE WHEN length(fixed) < length(description) THEN fixed ELSE description END AS description FROM m),
+{DECODED.replace('FROM postings', 'FROM postings2')} SELECT id, nullif({R.squeeze(R.no_tags('dec'))}, '') AS description FROM d""", "postings")
 def clean_text_json(postings):
     return N.clean_text(postings.select("id", "description"), ["description"], "json")
 

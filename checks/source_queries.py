@@ -232,6 +232,19 @@ def robots_status():
 
 
 QUERIES["robots_status"] = lambda spark, sf: robots.robots_status(robots_docs(spark, sf)).select("origin", "status", "status_verdict")
+RULES = [  # (when over k, group, agents, rule, kind, pattern); the crawl delay belongs to the first group
+    ("true", 1, "*", 0, "disallow", "/private"), ("k % 2 = 0", 1, "*", 1, "disallow", "/en/"), ("k % 2 = 0", 1, "*", 2, "allow", "/en/7"),
+    ("k % 2 = 1", 1, "*", 1, "disallow", "/*page="), ("k % 4 = 1", 2, "otherbot,listingbot", 0, "disallow", "/de/"),
+    ("k % 4 = 1", 2, "otherbot,listingbot", 1, "allow", "/de/$"), ("k % 4 = 1", 3, "listing", 0, "disallow", "/")]
+
+
+@query(f"WITH {DOCS} " + " UNION ALL ".join(
+    f"SELECT origin, CAST({g} AS BIGINT) AS group_no, '{a}' AS agents, {'CAST(k % 10 AS DOUBLE)' if g == 1 else 'NULL'} AS crawl_delay, {r} AS rule_no, '{kind}' AS kind, '{p}' AS pattern, "
+    f"{len(p)} AS length FROM ds WHERE status = 200 AND {when}" for when, g, a, r, kind, p in RULES))
+def robots_rules():
+    raise NotImplementedError
+
+
 QUERIES["robots_rules"] = lambda spark, sf: robots.robots_rules(robots_docs(spark, sf)).withColumn("agents", F.array_join("agents", ","))
 
 
