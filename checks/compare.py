@@ -67,6 +67,7 @@ def main(argv: list[str]) -> int:
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"SQL   {name}: {str(e)[:700]}")
+            con = connect(sf)  # a fatal error of the other engine ends its connection
             continue
         (gc, gr), (wc, wr) = canonical(got), canonical(want)
         kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in gc if c in want and len(got) and got[c].dtype.kind != want[c].dtype.kind}

@@ -145,7 +145,7 @@ def _derive(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def oracle(sql: str, *views: str) -> str:
     """Prefix a comparison query with the derived tables it reads."""
     # The list constructor is the one word the two dialects spell differently.
-    heads = [f"{v} AS ({VIEWS[v].replace('array(', 'list_value(')})" for v in views]
+    heads = [f"{v} AS MATERIALIZED ({VIEWS[v].replace('array(', 'list_value(')})" for v in views]
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join([*heads, body[15:]])
