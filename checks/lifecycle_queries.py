@@ -259,7 +259,7 @@ def merge_verdicts(postings):
     return merged(postings).select("id", "decision", "decision_reason")
 
 
-@query(f"""WITH {R.gate('postings')}, {PARKED}, {VOTES}, {MERGED}, w AS (SELECT m.*, {REASON} AS why, p.tags, p.category, p.type FROM m JOIN (SELECT id, tags, category, type FROM p) p USING (id)),
+@query(f"""WITH {R.gate('postings')}, {PARKED}, {VOTES}, {MERGED}, w AS (SELECT m.*, {REASON} AS why, p.tags, p.category, p.type, p.source_url, p.source_url AS safe FROM m JOIN (SELECT id, tags, category, type, source_url FROM p) p USING (id)),
 o AS (SELECT *, decision = 'eligible' AS good, list_transform(list_concat(list_concat(tags, [vc]), ['Alpha ', 'beta']), lambda x: x) AS all_tags FROM w)
 SELECT id, decision, good AS is_active, CASE WHEN good THEN NULL WHEN decision = 'unavailable' THEN 'pending-triage' ELSE 'policy-rejected' END AS inactive_reason, gate_scope AS geo_scope,
   CASE WHEN good THEN CASE WHEN gate_eligibility = 'unclear' THEN 'eligible_likely' ELSE gate_eligibility END WHEN decision IN ('gate-rejected', 'ineligible') THEN 'ineligible' ELSE 'unclear' END AS ph_eligibility,
@@ -267,10 +267,14 @@ SELECT id, decision, good AS is_active, CASE WHEN good THEN NULL WHEN decision =
     WHEN decision = 'consensus-split' THEN 'Consensus split — skeptic: ' || why ELSE 'Pending durable triage: ' || why END AS geo_evidence,
   CASE WHEN good THEN CASE vc WHEN 'creative' THEN 'design' WHEN 'tech' THEN 'tech' ELSE 'other' END WHEN decision = 'unavailable' THEN category ELSE 'other' END AS category,
   CASE WHEN good THEN CASE WHEN employment = 'contract' THEN 'freelance' ELSE coalesce(employment, 'freelance') END ELSE type END AS type,
-  CASE WHEN good THEN 'mid' END AS experience_level FROM o""", "postings")
+  CASE WHEN good THEN 'mid' END AS experience_level,
+  array_to_string(CASE WHEN good THEN list_transform(list_filter(all_tags, lambda x, i: list_position(all_tags, x) = i), lambda x: lower(trim(x))) WHEN decision = 'unavailable' THEN tags
+    ELSE list_append(list_filter(tags, lambda x, i: list_position(tags, x) = i), CASE decision WHEN 'gate-rejected' THEN 'geo-gate-rejected' WHEN 'ineligible' THEN 'triage-rejected' ELSE 'consensus-quarantined' END) END, ',') AS tags,
+  CASE WHEN good AND NOT contains(source_url, '127.0.0.1') THEN safe || '?apply=1' ELSE source_url END AS application_url FROM o""", "postings")
 def apply_verdicts(postings):
     return verdicts.apply_verdicts(merged(postings), AS_OF).select(
-        "id", "decision", "is_active", "inactive_reason", "geo_scope", "ph_eligibility", "geo_evidence", "category", "type", "experience_level")
+        "id", "decision", "is_active", "inactive_reason", "geo_scope", "ph_eligibility", "geo_evidence", "category", "type", "experience_level",
+        F.array_join("tags", ",").alias("tags"), "application_url")
 
 
 @query(f"WITH {R.gate('postings')}, {PARKED} SELECT source_platform, count(*) AS rejected FROM p WHERE gate_eligibility = 'ineligible' GROUP BY 1", "postings")

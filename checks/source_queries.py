@@ -10,7 +10,7 @@ from listingspark.sources import registry as G, state as P
 from listingspark.streaming import states, windows
 
 from . import rules_sql as R
-from .registry import QUERIES, as_text, in_list, literal, query, sec
+from .registry import ORACLES, QUERIES, as_text, in_list, literal, query, sec
 from .views import AS_OF, table, view
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -128,6 +128,19 @@ def plan_cadence(sources, events):
     return P.plan_cadence(sources, P.latest_state(events), limited(events), CADENCE_NOW).select("source_id", "backoff_minutes", "decision")
 
 
+def _results(spark, sf):
+    sources, events, companies = [view(spark, sf, v) for v in ("sources", "fetch_events", "companies")]
+    at = F.when(F.col("id") % 7 != 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 11).cast("int")))
+    ats = G.plan_ats_fetch(resolved(companies).withColumn("verified_at", at), "greenhouse", 3)
+    cadence = P.plan_cadence(sources, P.latest_state(events), limited(events), CADENCE_NOW)
+    return G.fetch_results(cadence, ats).groupBy("kind", "decision", "skipped").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["fetch_results"] = _results
+ORACLES["fetch_results"] = f"""SELECT 'feed' AS kind, decision, decision <> 'due' AS skipped, count(*) AS n FROM ({ORACLES['plan_cadence']}) GROUP BY 2, 3
+UNION ALL SELECT 'ats', plan, plan <> 'fetch', count(*) FROM ({ORACLES['plan_ats_fetch']}) GROUP BY 2, 3"""
+
+
 # Sources whose number is 1 mod 9 fail on their newest attempts.
 FAILING = """SELECT * REPLACE (CASE WHEN CAST(substr(source_id, 4) AS INT) % 9 = 1 AND rn <= 5 THEN false ELSE ok END AS ok)
 FROM (SELECT *, row_number() OVER (PARTITION BY source_id, skipped ORDER BY ts DESC, id DESC) AS rn FROM fetch_events)"""

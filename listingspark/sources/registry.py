@@ -98,3 +98,11 @@ def plan_ats_fetch(resolved: DataFrame, rotated: str = "workable", n: int = 2) -
         "plan": plan,
         "primary_company": F.when(F.col("_state").isNull(), F.col("_first.company_name")),
     }).drop("_state", "_turn", "_first")
+
+
+def fetch_results(cadence: DataFrame, ats: DataFrame) -> DataFrame:
+    """One row per feed and tenant of a run with the decision taken, skipped ones included."""
+    feeds = cadence.select("source_id", F.lit("feed").alias("kind"), "decision", (F.col("decision") != "due").alias("skipped"))
+    tenants = ats.select(F.col("source_key").alias("source_id"), F.lit("ats").alias("kind"), F.col("plan").alias("decision"),
+                         (F.col("plan") != "fetch").alias("skipped"))
+    return feeds.unionByName(tenants)
