@@ -142,7 +142,7 @@ def enrich_columns(postings):
 
 
 @query(f"""WITH v AS (SELECT event_id AS id, user_id, event_type, value, event_id % 6 AS k FROM events)
-SELECT id, k <> 4 AND k <> 5 AS available, CASE WHEN k NOT IN (4, 5) THEN user_id % 2 = 0 END AS eligible,
+SELECT id, k <> 4 AND k <> 5 AS available, CASE WHEN k NOT IN (4, 5) THEN CAST(user_id % 2 = 0 AS VARCHAR) END AS eligible,
   CASE WHEN k = 4 THEN 'AI classified' WHEN k = 5 THEN 'text only' ELSE event_type END AS reason,
   CASE WHEN k = 4 THEN 'other' WHEN k = 5 THEN 'other' WHEN user_id % 3 = 0 THEN 'tech' ELSE 'other' END AS category,
   CASE WHEN k IN (4, 5) THEN '' ELSE 'a,b,c,d,e' END AS tags,
@@ -288,6 +288,6 @@ def _votes(events):
             .when(k == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 3, F.concat(F.lit("  "), body))
             .when(k == 4, F.lit("I cannot answer { that")).otherwise(F.lit('{"eligibleForFilipinos": "yes", "reason": "text only"}')))
     raw = events.select(F.col("event_id").alias("id"), text.alias("response"))
-    return N.clean_votes(raw).select("id", "available", "eligible", "reason", "category", F.array_join("tags", ",").alias("tags"), "employment_type")
+    return N.clean_votes(raw).select("id", "available", F.col("eligible").cast("string"), "reason", "category", F.array_join("tags", ",").alias("tags"), "employment_type")
 
 

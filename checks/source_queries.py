@@ -186,7 +186,7 @@ def persist_validators(sources, listings):
 
 @query("""WITH p AS (SELECT 'p' || page_id AS source_id, CASE WHEN page_id % 9 = 0 THEN 304 ELSE 200 END AS status, html AS body, page_id FROM pages),
 s AS (SELECT 'p' || page_id AS source_id, CASE WHEN page_id % 2 = 0 THEN sha256(html) ELSE sha256(url) END AS h, CAST(page_id % 50 AS INT) AS n FROM pages WHERE page_id % 3 <> 0)
-SELECT p.source_id, status = 304 OR coalesce(h = sha256(body), false) AS unchanged, CASE WHEN status = 304 OR coalesce(h = sha256(body), false) THEN coalesce(n, 0) END AS prior_count
+SELECT p.source_id, status = 304 OR coalesce(h = sha256(body), false) AS unchanged, CASE WHEN status = 304 OR coalesce(h = sha256(body), false) THEN coalesce(n, 0) ELSE -1 END AS prior_count
 FROM p LEFT JOIN s ON s.source_id = p.source_id""")
 def changed_payloads():
     raise NotImplementedError
@@ -198,7 +198,7 @@ def _changed(spark, sf):
     payloads = pages.select(key, F.when(F.col("page_id") % 9 == 0, 304).otherwise(200).alias("status"), F.col("html").alias("body"))
     state = pages.where("page_id % 3 <> 0").select(key, F.when(F.col("page_id") % 2 == 0, F.sha2("html", 256)).otherwise(F.sha2("url", 256)).alias("body_hash"),
                                                    (F.col("page_id") % 50).cast("int").alias("last_count"))
-    return P.changed_payloads(payloads, state).select("source_id", "unchanged", "prior_count")
+    return P.changed_payloads(payloads, state).select("source_id", "unchanged", F.coalesce("prior_count", F.lit(-1)).alias("prior_count"))
 
 
 QUERIES["changed_payloads"] = _changed
@@ -261,13 +261,14 @@ def robots_rules():
 QUERIES["robots_rules"] = lambda spark, sf: robots.robots_rules(robots_docs(spark, sf)).withColumn("agents", F.array_join("agents", ","))
 
 
-@query(f"""WITH {DOCS} SELECT origin, CASE WHEN status = 200 AND k % 3 < 2 THEN true END AS search, CASE WHEN status = 200 AND k % 3 = 1 THEN false END AS ai_input,
-  CASE WHEN status = 200 AND k % 3 = 0 THEN false END AS ai_train, CASE WHEN status = 200 AND k % 3 = 1 THEN 'reference' END AS use FROM ds""")
+@query(f"""WITH {DOCS} SELECT origin, CASE WHEN status = 200 AND k % 3 < 2 THEN 'true' END AS search, CASE WHEN status = 200 AND k % 3 = 1 THEN 'false' END AS ai_input,
+  CASE WHEN status = 200 AND k % 3 = 0 THEN 'false' END AS ai_train, CASE WHEN status = 200 AND k % 3 = 1 THEN 'reference' END AS use FROM ds""")
 def robots_signals():
     raise NotImplementedError
 
 
-QUERIES["robots_signals"] = lambda spark, sf: robots.robots_signals(robots_docs(spark, sf))
+QUERIES["robots_signals"] = lambda spark, sf: robots.robots_signals(robots_docs(spark, sf)).select(
+    "origin", *[F.col(c).cast("string") for c in ("search", "ai_input", "ai_train")], "use")
 # The applicable rules of each document written out by hand, as (pattern as regular expression, allow, length).
 VERDICT = f"""{DOCS}, uu AS (SELECT page_id, og.url, og.origin, k, status, s.path || regexp_extract(s.tail, '^([^#]*)', 1) AS path FROM og JOIN (SELECT page_id, {R.url_struct('url')} AS s FROM pages) p USING (page_id) LEFT JOIN ds ON ds.origin = og.origin),
 rl AS (SELECT page_id, unnest(CASE WHEN status IS DISTINCT FROM 200 THEN [] WHEN k % 4 = 1 THEN [{{'rx': '^/de/', 'allow': false, 'n': 4, 'p': '/de/'}}, {{'rx': '^/de/$', 'allow': true, 'n': 5, 'p': '/de/$'}}]
