@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import values as V
 from ..functions import urls as U
 from ..schemas import fill
-from ..skew import running
+from ..skew import count_since
 
 STRIKES = 3
 BODY_CHARS = 6000
@@ -67,15 +67,11 @@ def classify_unreachable(checks: DataFrame) -> DataFrame:
 def running_strikes(checks: DataFrame, key: str = "company_id", at: str = "ts", tie: str = "id") -> DataFrame:
     """Strikes after every check, in event order.
 
-    A hard-dead check adds one, an answer resets, an unreachable host changes nothing.  The count is
-    the running sum of hard-dead checks minus its value at the last reset; since that sum never falls,
-    the value at the last reset is simply the largest seen at any reset, which pre-aggregates.
+    A hard-dead check adds one, an answer resets, an unreachable host changes nothing.
     """
     df = checks.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    df = running(df, [key], at, tie, {"_dead": ("sum", F.col("hard_dead").cast("int"))})
-    reset = ~F.col("hard_dead") & (F.col("link_status") != "unreachable")
-    df = running(df, [key], at, tie, {"_at_reset": ("max", F.when(reset, F.col("_dead")))})
-    return df.withColumn("strikes", F.col("_dead") - F.coalesce("_at_reset", F.lit(0))).drop("_dead", "_at_reset")
+    answered = ~F.col("hard_dead") & (F.col("link_status") != "unreachable")
+    return count_since(df, [key], at, tie, F.col("hard_dead"), answered, "strikes").drop("strikes_any")
 
 
 def link_strikes(checks: DataFrame, key: str = "company_id", at: str = "ts", tie: str = "id") -> DataFrame:

@@ -20,29 +20,28 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def running(df: DataFrame, key: list[str], at: str, tie: str, totals: dict[str, tuple[str, Column]],
-            bucket: str = "hour") -> DataFrame:
-    """Add running totals per key in the order (``at``, ``tie``).
-
-    ``totals`` maps a new column to (function, value): ``sum`` and ``max`` include the row itself,
-    ``max_before`` covers the rows before it.  Work is split by time bucket: totals
-    per (key, bucket) first, their prefix over buckets next (one row per bucket, not per event), and a
-    short window inside each bucket last.  No task ever holds all rows of one key.
+def count_since(df: DataFrame, key: list[str], at: str, tie: str, counted: Column, reset: Column, name: str,
+                before: bool = False, bucket: str = "hour") -> DataFrame:
+    """Add ``name``: how many ``counted`` rows there were since the last ``reset`` row, per key in order.
+
+    The order is (``at``, ``tie``).  A row counts itself; its own reset applies unless ``before`` is set.
+    ``name_any`` tells whether there was a reset at all; without one the count runs from the start.
+
+    Work is split by time bucket: short windows inside (key, bucket) first, one summary row per bucket
+    next, and the prefix over those few rows last.  No task ever holds all rows of one key.
     """
-    functions = {"sum": F.sum, "max": F.max, "max_before": F.max}
-    df = df.withColumn("_bucket", F.date_trunc(bucket, F.col(at)))
-    for name, (_, value) in totals.items():
-        df = df.withColumn(f"_v_{name}", value)
-    per_bucket = df.groupBy(*key, "_bucket").agg(*[
-        functions[fn](f"_v_{n}").alias(f"_b_{n}") for n, (fn, _) in totals.items()])
-    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.select(*key, "_bucket", *[
-        functions[fn](f"_b_{n}").over(earlier).alias(f"_s_{n}") for n, (fn, _) in totals.items()])
+    df = df.withColumns({"_bucket": F.date_trunc(bucket, F.col(at)), "_counted": F.coalesce(counted, F.lit(False)).cast("int"),
+                         "_reset": F.coalesce(reset, F.lit(False))})
     inside = Window.partitionBy(*key, "_bucket").orderBy(at, tie)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_count", F.sum("_counted").over(so_far))
+    at_reset = F.when(F.col("_reset"), F.col("_count"))
+    df = df.withColumn("_mark", F.max(at_reset).over(inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)))
+    summary = df.groupBy(*key, "_bucket").agg(F.max("_count").alias("_total"), F.max(at_reset).alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = summary.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).select(
+        *key, "_bucket", "_base", F.max(F.col("_base") + F.col("_last")).over(earlier).alias("_base_mark"))
     out = df.join(starts, [*key, "_bucket"])
-    for n, (fn, _) in totals.items():
-        last = -1 if fn == "max_before" else 0
-        here = functions[fn](f"_v_{n}").over(inside.rowsBetween(Window.unboundedPreceding, last))
-        before = F.col(f"_s_{n}")
-        out = out.withColumn(n, F.coalesce(before, F.lit(0)) + here if fn == "sum" else F.greatest(before, here))
-    return out.drop("_bucket", *[f"_v_{n}" for n in totals], *[f"_s_{n}" for n in totals])
+    mark = F.greatest(F.col("_base_mark"), F.col("_base") + F.col("_mark"))
+    out = out.withColumns({name: F.col("_base") + F.col("_count") - F.coalesce(mark, F.lit(0)), f"{name}_any": mark.isNotNull()})
+    return out.drop("_bucket", "_counted", "_reset", "_count", "_mark", "_base", "_base_mark")

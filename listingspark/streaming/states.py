@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..skew import lookup_join, running
+from ..skew import count_since, lookup_join
 
 STREAK_OUT = "key string, at timestamp, streak int, backoff_minutes int"
 STRIKES_OUT = "key string, at timestamp, strikes int, reached_threshold boolean"
@@ -128,10 +128,9 @@ def incident_actions(signals: DataFrame, open_incidents: DataFrame | None = None
             F.min(F.struct("number", "healthy_streak"))["healthy_streak"].cast("int").alias("_prior"))
         df = lookup_join(df, prior, ["incident_key"], ["id"])
     key, bad, good = ["incident_key"], F.col("signal") == "failing", F.col("signal") == "healthy"
-    df = running(df, key, "ts", "id", {"_good": ("sum", good.cast("int"))})
-    df = running(df, key, "ts", "id", {"_at_bad": ("max_before", F.when(bad, F.col("_good")))})
+    df = count_since(df, key, "ts", "id", good, bad, "_since", before=True)
     # Healthy signals since the failing one before this row; NULL when no incident was ever open.
-    df = df.withColumn("_n", F.col("_good") - F.coalesce(F.col("_at_bad"), -F.col("_prior")))
+    df = df.withColumn("_n", F.when(F.col("_since_any"), F.col("_since")).otherwise(F.col("_since") + F.col("_prior")))
     n = F.col("_n")
     action = (
         F.when(bad & (n.isNull() | (n >= threshold)), "CREATE")
@@ -140,4 +139,5 @@ def incident_actions(signals: DataFrame, open_incidents: DataFrame | None = None
         .when(good & (n == threshold), "CLOSE")
         .otherwise("HOLD"))
     streak = F.when(~bad & (n < threshold), n).otherwise(0)
-    return df.withColumns({"action": action, "healthy_streak": streak.cast("int")}).drop("_prior", "_good", "_at_bad", "_n")
+    return df.withColumns({"action": action, "healthy_streak": streak.cast("int")}).drop(
+        "_prior", "_since", "_since_any", "_n")

@@ -8,7 +8,7 @@ from checks.compare import canonical, connect
 from checks.views import view
 from listingspark.operators import lifecycle as J
 from listingspark.sources import state
-from listingspark.skew import lookup_join, running
+from listingspark.skew import count_since, lookup_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,12 +58,14 @@ def test_lookup_join_equals_plain_join_and_spreads(spark, rows):
     assert salts.count() == 16 and salts.agg(F.max("count")).first()[0] < 2 * 1000 / 16
 
 
-def test_running_totals_match_a_window(spark, rows):
-    df = hot(spark)
+@pytest.mark.parametrize("before", [False, True])
+def test_count_since_matches_a_window(spark, rows, before):
+    df = hot(spark).withColumns({"hit": F.col("v") < 3, "stop": F.col("id") % 11 == 4})
     w = "over (partition by key order by ts, id rows between unbounded preceding and {})"
-    want = df.selectExpr("id", f"sum(v) {w.format('current row')} s", f"max(v) {w.format('current row')} m", f"max(v) {w.format('1 preceding')} b")
-    v = F.col("v")
-    got = running(df, ["key"], "ts", "id", {"s": ("sum", v), "m": ("max", v), "b": ("max_before", v)}).select("id", "s", "m", "b")
+    df2 = df.selectExpr("*", f"sum(int(hit)) {w.format('current row')} c")
+    frame = w.format("1 preceding" if before else "current row")
+    want = df2.selectExpr("id", "c", f"max(case when stop then c end) {frame} m").selectExpr("id", "c - coalesce(m, 0)", "m is not null")
+    got = count_since(df, ["key"], "ts", "id", F.col("hit"), F.col("stop"), "n", before).select("id", "n", "n_any")
     assert rows(got) == rows(want)
 
 
