@@ -1,6 +1,6 @@
 """Extraction from landed payloads, direct ingest, digests and the whole ingest run.
 
-Payload bodies are built from the listings by Spark, one body per platform, and extracted again; the
+Payload bodies are built from the listings by Spark, bounded in size, and extracted again; the
 comparison SQL states the rows that must come back.
 """
 
@@ -26,11 +26,11 @@ def feed_sources(sources):
 
 
 def _payloads(rows, kind, body, order="id"):
-    """One body per platform: its items in id order, joined by ``body``."""
+    """One body per platform and block of 1,000 ids, so that a body stays small: its items in id order, joined by ``body``."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, "item"))), lambda x: x["item"])
-    return rows.groupBy("source_platform").agg(items.alias("items")).select(
+    return rows.groupBy("source_platform", F.expr("id div 1000").alias("block")).agg(items.alias("items")).select(
         F.col("source_platform").alias("source_id"), F.lit(kind).alias("kind"), F.concat(F.lit("Company "), "source_platform").alias("company"),
-        F.concat(F.lit("tok-"), "source_platform").alias("token"), F.lit(200).alias("status"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"),
+        F.concat(F.lit("tok-"), "source_platform").alias("token"), F.lit(200).alias("status"), (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(secs=F.col("block"))).alias("fetched_at"),
         body(F.col("items")).alias("body"))
 
 
@@ -50,7 +50,7 @@ def _rss_payloads(listings):
 
 # The feed of platform n is capped at 20 items when n % 4 = 0.
 CAP = "(CAST(substr(source_platform, 4) AS INT) % 4 <> 0 OR ordinal < 20)"
-NUMBERED = "nb AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_platform ORDER BY id) - 1 AS INT) AS ordinal FROM listings)"
+NUMBERED = "nb AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_platform, id // 1000 ORDER BY id) - 1 AS INT) AS ordinal FROM listings)"
 
 
 @query(f"""WITH {NUMBERED} SELECT source_platform AS source_id, ordinal, title, CASE WHEN company IS NULL OR trim(company) = '' THEN CASE WHEN company IS NULL THEN 'Blue Fox' END ELSE company END AS company,
@@ -84,7 +84,7 @@ def _json_payloads(listings):
     return _payloads(listings.withColumn("item", _json_item(listings)), "json", _array)
 
 
-@query(f"""WITH {NUMBERED}, ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_platform ORDER BY id) - 1 AS INT) AS pos FROM listings WHERE id % 4 IN (0, 1) OR id % 9 = 0)
+@query(f"""WITH {NUMBERED}, ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_platform, id // 1000 ORDER BY id) - 1 AS INT) AS pos FROM listings WHERE id % 4 IN (0, 1) OR id % 9 = 0)
 SELECT source_platform AS source_id, pos AS ordinal, title, nullif({R.trim('company')}, '') AS company, CASE WHEN id % 4 = 0 THEN 'https://board.example.com/job/' || id ELSE 'https://board.example.com/apply/' || id END AS source_url,
   CASE WHEN id % 4 = 1 THEN 'https://board.example.com/apply/' || id ELSE 'https://board.example.com/job/' || id END AS application_url, CASE WHEN category = 'feed' THEN 'remote,feed' ELSE 'remote,feed,' || category || ',remote' END AS tags,
   CASE WHEN id % 15 = 0 AND id > 0 THEN 'USD ' || id * 10 || '-' || id * 20 WHEN id % 3 = 0 AND id > 0 THEN 'USD ' || id * 10 WHEN id % 5 = 0 AND id > 0 THEN 'USD ' || id * 20 END AS pay_range,
