@@ -39,3 +39,11 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf, "documents"), word_tokenizer(), end_id=1), with_ids=False)
+
+
+@register
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents: four-word shingles, four bits."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"), words=4, radius=4)
