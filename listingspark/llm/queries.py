@@ -47,3 +47,21 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"), words=4, radius=4)
+
+
+@register
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and verdict of every document."""
+    from .rules import judge
+
+    return judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracles() -> None:
+    from .rules import oracle
+
+    ORACLES["op9_quality_rules"] = oracle()
+
+
+_oracles()
