@@ -65,3 +65,14 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+@register
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the words of 13-word windows that an earlier document has."""
+    from pyspark.sql import functions as F
+
+    from .superkmer import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents"), window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
