@@ -76,3 +76,17 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     return remove_repeats(table(spark, sf, "documents"), window=13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    from pyspark.sql import functions as F
+
+    from .language import classify, fit
+
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    found = classify(docs.select("doc_id", "text"), fit(docs, learn), carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
