@@ -90,3 +90,13 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     found = classify(docs.select("doc_id", "text"), fit(docs, learn), carry=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    from pyspark.sql import functions as F
+
+    from .extraction import extract
+
+    return extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
