@@ -100,3 +100,11 @@ def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     from .extraction import extract
 
     return extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op2_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from .winnowing import compare_edited
+
+    return compare_edited(table(spark, sf, "documents"))
