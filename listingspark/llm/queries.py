@@ -58,15 +58,6 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _oracles() -> None:
-    from .rules import oracle
-
-    ORACLES["op9_quality_rules"] = oracle()
-
-
-_oracles()
-
-
 @register
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """All documents without the words of 13-word windows that an earlier document has."""
@@ -108,3 +99,35 @@ def op2_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     from .winnowing import compare_edited
 
     return compare_edited(table(spark, sf, "documents"))
+
+
+@register
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    from pyspark.sql import functions as F
+
+    from listingspark.stages import once_sql
+
+    from .chat import canonical_turns, format_turns, read_loss, read_turns, records_of
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, col1 AS turn, col2 AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant')")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = format_turns(canonical_turns(records_of(rows), "record", ("conv_id",)))
+    read = once_sql(formatted.select("conv_id", "formatted", "loss_spans"), {
+        "turns": read_turns("formatted"), "loss": f"array_join({read_loss('formatted', 'loss_spans')}, '')"})
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.expr("sha2(array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), ''), 256)").alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _oracles() -> None:
+    from . import chat, rules
+
+    ORACLES["op7_chat_format"] = chat.oracle()
+    ORACLES["op9_quality_rules"] = rules.oracle()
+
+
+_oracles()
