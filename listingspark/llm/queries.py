@@ -123,6 +123,21 @@ def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@register
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as pieces by seeded merge-dropout, and decoded again."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf, "documents")
+    encoded = encode(docs, model, dropout=0.1, seed=42).withColumn("ids_xxhash64", F.xxhash64("ids")).withColumn("n_ids", F.size("ids").cast("long"))
+    return decode(encoded, model, keep=("doc_id", "n_ids", "ids_xxhash64")).select(
+        "doc_id", "n_ids", "ids_xxhash64", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _oracles() -> None:
     from . import chat, rules
 
