@@ -17,6 +17,7 @@ repeated rows are encoded alike; other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +29,9 @@ from .common import documents, ship, texts
 
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _MARK = "▁"
+_ALL = (1 << 64) - 1
+_NONE = float("inf")
+_SHORT = 48  # characters of a word whose agenda is a list
 _LOADED: dict[tuple, Pieces] = {}
 
 
@@ -41,14 +45,14 @@ class _Segments(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = np.array(self.pieces.segment(word, self.variant), "<i4").tobytes()
+        found = self[word] = array("i", self.pieces.segment(word, self.variant)).tobytes()
         return found
 
 
 class Pieces:
     """A model file with one dropout and seed."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8, most_words: int = 60_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, most_words: int = 1_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,59 +72,82 @@ class Pieces:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
         self.limit = int(dropout * (1 << 64))
-        self.seed, self.variants = seed & (1 << 64) - 1, variants if self.limit else 1
+        self.seed, self.variants = seed & _ALL, variants if self.limit else 1
         self.longest = max(map(len, self.ids))
-        self.segments = [_Segments(self, v, most_words * 8 // self.variants) for v in range(self.variants)]
+        self.segments = [_Segments(self, v, most_words // self.variants) for v in range(self.variants)]
 
     def segment(self, word: str, variant: int) -> list[int]:
         """Ids of one word with the spaces before it."""
         from xxhash import xxh64_intdigest
 
-        ids, rank, limit = self.ids, self.rank, self.limit
-        if not limit and word in ids and len(word) == 1:
-            return [ids[word]]
+        key = xxh64_intdigest(word, self.seed + variant * 0x9E3779B97F4A7C15 & _ALL) & _ALL >> 1 if self.limit and len(word) > 1 else 0
+        ids, out = self.ids, []
+        for s in self._agenda(word, key) if len(word) > _SHORT else self._scan(word, key):
+            i = ids.get(s)
+            if i is None or s == _MARK:
+                out.extend(self.byte[b] for b in s.encode())
+            else:
+                out.append(i)
+        return out
+
+    def _scan(self, word: str, key: int) -> list[str]:
+        """A short agenda kept as a list of ranks, the least of which is looked up."""
+        from xxhash import xxh64_intdigest
+
+        get, limit = self.rank.get, self.limit
+        symbols = list(word)
+        ranks = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == _NONE:
+                break
+            i = ranks.index(least)
+            pair = symbols[i] + symbols[i + 1]
+            if limit:
+                key += 1
+                if xxh64_intdigest(pair, key) < limit:
+                    ranks[i] = _NONE
+                    continue
+            symbols[i] = pair
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] + pair, _NONE)
+            if i < len(ranks):
+                ranks[i] = get(pair + symbols[i + 1], _NONE)
+        return symbols
+
+    def _agenda(self, word: str, key: int) -> list[str]:
+        """A long agenda kept as a heap; entries of which a side was merged meanwhile are passed over."""
+        from xxhash import xxh64_intdigest
+
+        rank, limit = self.rank, self.limit
         symbols: list[str | None] = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            r = rank.get(pair)
-            if r is not None:
-                agenda.append((r, i, pair))
+        agenda = [(rank[p], i, p) for i, p in enumerate(map(str.__add__, word, word[1:])) if p in rank]
         heapify(agenda)
-        key = xxh64_intdigest(word, self.seed + variant * 0x9E3779B97F4A7C15 & (1 << 64) - 1) if limit and agenda else 0
         while agenda:
             _, i, pair = heappop(agenda)
-            if limit and xxh64_intdigest(pair, key + i & (1 << 64) - 1) < limit:
+            left, j = symbols[i], after[i]
+            if left is None or j >= n or left + symbols[j] != pair:
                 continue
-            left = symbols[i]
-            j = after[i]
-            if left is None or j >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
-                continue  # one of the two was merged meanwhile
+            if limit:
+                key += 1
+                if xxh64_intdigest(pair, key) < limit:
+                    continue
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 new = pair + symbols[k]
-                r = rank.get(new)
-                if r is not None:
-                    heappush(agenda, (r, i, new))
+                if new in rank:
+                    heappush(agenda, (rank[new], i, new))
             h = before[i]
             if h >= 0:
                 new = symbols[h] + pair
-                r = rank.get(new)
-                if r is not None:
-                    heappush(agenda, (r, h, new))
-        out = []
-        for s in symbols:
-            if s is not None:
-                i = ids.get(s) if s != _MARK else None
-                if i is None:
-                    out.extend(self.byte[b] for b in s.encode())
-                else:
-                    out.append(i)
-        return out
+                if new in rank:
+                    heappush(agenda, (rank[new], h, new))
+        return [s for s in symbols if s is not None]
 
     def encode(self, text: bytes, doc: bytes) -> bytes:
         """Packed 32-bit ids of a whole text; ``doc`` tells documents apart."""
@@ -142,7 +169,7 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
-def pieces(path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8) -> Pieces:
+def pieces(path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4) -> Pieces:
     """A model loaded once per process."""
     key = (path, dropout, seed, variants)
     if key not in _LOADED:
@@ -150,7 +177,7 @@ def pieces(path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8) ->
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, variants: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: whole texts as arrays of piece ids."""
     ship(docs.sparkSession)
 
@@ -159,7 +186,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, va
         for batch in batches:
             coded = [coder.encode(t, str(d).encode()) for d, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
             ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
