@@ -45,6 +45,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns in use, as ``doc_id`` and ``text``; other columns may have any names."""
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+def documents(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the columns in use, as ``doc_id`` and ``text``, and ``carry`` as ``_c0``, ``_c1`` and so on; any names may occur."""
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"),
+                     *[df[c].alias(f"_c{i}") for i, c in enumerate(carry)])

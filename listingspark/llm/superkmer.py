@@ -29,13 +29,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import documents, ship, texts
 
 WINDOW = 13
-SEED = 4
-BATCH_DOCS = 2048
+SEED = 3
+BATCH_DOCS = 1024
 LONGEST_RUN = 64
 
 
@@ -98,6 +98,20 @@ class Runs:
         return [joined[a:b] for a, b in zip(self.begins[self.start].tolist(), self.ends[self.start + self.count + self.window - 2].tolist(), strict=True)]
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose words fit beside one another."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def _columns(part: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+    """The columns after the third of some rows, as bytes."""
+    sink = pa.BufferOutputStream()
+    chosen = pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in part.columns[3:]], schema=pa.schema(list(part.schema)[3:]))
+    with pa.ipc.new_stream(sink, chosen.schema) as stream:
+        stream.write_batch(chosen)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
 def _pack(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     import zstandard
 
@@ -105,7 +119,7 @@ def _pack(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     for a in arrays:
         parts.append(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)))
         parts.append(a.tobytes())
-    return zstandard.compress(b"".join(parts) + blob, 1)
+    return zstandard.compress(b"".join(parts) + blob, 3)
 
 
 def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -122,17 +136,32 @@ def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def _order(runs: Runs, buckets: int) -> tuple[dict[bytes, int], list[int], list[bytes], np.ndarray]:
-    """Distinct strings of a batch by bucket and text: their numbers, a run of each, the strings, and where buckets begin."""
-    seen: dict[bytes, int] = {}
+def _order(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Distinct strings of a batch by bucket, minimiser and text: the number of each run's string, a run of each
+    number, all strings by run, and the numbers at which buckets begin."""
     strings = runs.strings()
-    for i, s in enumerate(strings):
-        seen.setdefault(s, i)
-    bucket = ((runs.key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64).tolist()
-    order = sorted(seen.items(), key=lambda x: (bucket[x[1]], x[0]))
-    run = [i for _, i in order]
-    begins = np.searchsorted(np.array([bucket[i] for i in run], np.int64), np.arange(buckets + 1))
-    return {s: k for k, (s, _) in enumerate(order)}, run, strings, begins
+    seen: dict[bytes, int] = {}
+    first = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
+    run = np.fromiter(seen.values(), np.int64, len(seen))
+    bucket, key = _bucket(runs.key[run], buckets), _short(runs.key[run])
+    order = np.lexsort((key, bucket))
+    run, bucket, key = run[order], bucket[order], key[order]
+    tied = np.flatnonzero((bucket[1:] == bucket[:-1]) & (key[1:] == key[:-1]))
+    for group in np.split(tied, np.flatnonzero(np.diff(tied) != 1) + 1) if len(tied) else ():
+        i, j = int(group[0]), int(group[-1]) + 2
+        run[i:j] = sorted(run[i:j].tolist(), key=strings.__getitem__)
+    number = np.empty(len(strings), np.int64)
+    number[run] = np.arange(len(run))
+    return number[first], run, strings, np.searchsorted(bucket, np.arange(buckets + 1))
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """What travels of a minimiser: inside a bucket 32 bits; where two agree, their strings just meet in vain."""
+    return (key & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
 def heavy_minimisers(docs: DataFrame, buckets: int, window: int, seed: int) -> np.ndarray:
@@ -146,9 +175,9 @@ def heavy_minimisers(docs: DataFrame, buckets: int, window: int, seed: int) -> n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            runs = Runs(texts(batch.column(1)), window, seed, np.zeros(batch.num_rows, bool), np.zeros(0, np.uint64))
-            total += len(runs.key)
-            k, n = np.unique(runs.key, return_counts=True)
+            found = [Runs(texts(part.column(1)), window, seed, np.zeros(part.num_rows, bool), np.zeros(0, np.uint64)).key for part in _slices(batch)]
+            k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            total += int(n.sum())
             keys, at = np.unique(np.concatenate((keys, k)), return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate((counts, n)), minlength=len(keys)).astype(np.int64)
             if len(keys) > 1 << 20:  # what is far below the limit so far is set aside; its later rows still count
@@ -169,10 +198,11 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
     """For each request the least ids of its shared windows; None where nothing is shared."""
     keys, lows, highs, strings, owner = [], [], [], [], []
     for request, payload in enumerate(payloads):
-        (key, low, high, size), blob = _unpack(payload)
+        (step, low, above, size), blob = _unpack(payload)
+        key = np.cumsum(step, dtype="<u4")
         keys.append(key)
         lows.append(low)
-        highs.append(high)
+        highs.append(low + above)
         owner.append(np.full(len(key), request))
         at = np.concatenate(([0], np.cumsum(size.astype(np.int64)))).tolist()
         strings += [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -222,35 +252,62 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
-                   batch_docs: int = BATCH_DOCS) -> DataFrame:
-    """``doc_id, kept`` (the words that stay, joined by one space)``, n_words, n_removed``."""
+                   batch_docs: int = BATCH_DOCS, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """``doc_id, kept`` (the words that stay, joined by one space)``, n_words, n_removed``, and the columns of ``carry``.
+
+    With ``untouched`` a text that loses no word is kept as it is.
+    """
     ship(docs.sparkSession)
     rows = documents(docs, id_col, text_col)
+    others = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]).schema
     batches = buckets = max(1, -(-rows.count() // batch_docs))
     hot = heavy_minimisers(rows, buckets, window, seed)
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).repartition("batch")
 
-    def runs_of(table: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray]:
-        known = table.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-        ids = table.column("doc_id").fill_null(0).to_numpy()
-        return Runs(texts(table.column("text")), window, seed, ~known, hot), ids, known
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of one batch travel together, compressed."""
+        for part in parts:
+            batch = part.column(2).to_numpy(zero_copy_only=False)
+            known, ids, rows = part.column(0).is_valid().to_numpy(zero_copy_only=False), part.column(0).fill_null(0).to_numpy(), texts(part.column(1))
+            names, payload = [], []
+            order = np.argsort(batch, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1) if len(order) else ():
+                own = [rows[i] for i in group.tolist()]
+                names.append(int(batch[group[0]]))
+                rest = _columns(part, group) if part.num_columns > 3 else np.zeros(0, np.uint8)
+                payload.append(_pack(known[group].astype(np.uint8), ids[group], np.array([len(t) for t in own], "<u4"), rest, blob=b"".join(own)))
+            yield pa.RecordBatch.from_pydict({"batch": pa.array(names, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long").alias("batch")
+    dealt = documents(docs, id_col, text_col, carry).select("doc_id", "text", place, *others.names).mapInArrow(deal, "batch long, payload binary").repartition("batch")
+
+    def runs_of(table: pa.Table) -> tuple[Runs, np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]:
+        known, ids, own, rest = [], [], [], []
+        for payload in table.column("payload").to_pylist():
+            (valid, number, size, other), blob = _unpack(payload)
+            rest.append(other)
+            known.append(valid)
+            ids.append(number)
+            at = np.concatenate(([0], np.cumsum(size.astype(np.int64)))).tolist()
+            own += [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        valid, ids = np.concatenate(known) == 1, np.concatenate(ids)
+        return Runs(own, window, seed, ~valid, hot), ids, valid, own, rest
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        runs, ids, _ = runs_of(table)
+        runs, ids, *_ = runs_of(table)
         number, run, strings, begins = _order(runs, buckets)
         low, high = np.full(len(run), np.iinfo(np.int64).max), np.full(len(run), np.iinfo(np.int64).min)
-        at = np.fromiter(map(number.__getitem__, strings), np.int64, len(strings))
         owner = ids[runs.row]
-        np.minimum.at(low, at, owner)
-        np.maximum.at(high, at, owner)
-        run_at = np.array(run, np.int64)
+        np.minimum.at(low, number, owner)
+        np.maximum.at(high, number, owner)
+        short = _short(runs.key[run])
         bucket, payload = [], []
         for b in range(buckets):
             i, j = int(begins[b]), int(begins[b + 1])
             if i < j:
-                part = [strings[k] for k in run[i:j]]
+                part = [strings[k] for k in run[i:j].tolist()]
                 bucket.append(b)
-                payload.append(_pack(runs.key[run_at[i:j]], low[i:j], high[i:j], np.array([len(s) for s in part], "<u4"), blob=b"".join(part)))
+                payload.append(_pack(np.diff(short[i:j], prepend=short.dtype.type(0)), low[i:j], high[i:j] - low[i:j], np.array([len(s) for s in part], "<u2" if max(map(len, part)) < 1 << 16 else "<u4"),
+                                     blob=b"".join(part)))
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array([key[0].as_py()] * len(bucket), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
@@ -260,8 +317,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          "payload": pa.array([a for a in answers if a is not None], pa.binary())})
 
     def drop(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        runs, ids, known = runs_of(table)
+        runs, ids, known, own, rest = runs_of(table)
         number, _, strings, begins = _order(runs, buckets)
+        del strings
         least: dict[int, list[int]] = {}
         for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
             (at, size, mins), _ = _unpack(payload)
@@ -270,8 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 least[base + k] = flat[a:b]
         gone = np.zeros(len(runs.words) + 1, np.int64)
         owner = ids[runs.row].tolist()
-        for s, start, doc in zip(strings, runs.start.tolist(), owner, strict=True):
-            found = least.get(number[s])
+        for n, start, doc in zip(number.tolist(), runs.start.tolist(), owner, strict=True):
+            found = least.get(n)
             if found is not None:
                 for i, lowest in enumerate(found):
                     if lowest < doc:
@@ -280,13 +338,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = np.cumsum(gone)[:-1] > 0
         words = runs.words
         kept, removed = [], []
-        for a, n in zip(runs.first.tolist(), runs.sizes.tolist(), strict=True):
+        for text, a, n in zip(own, runs.first.tolist(), runs.sizes.tolist(), strict=True):
             cut = gone[a:a + n]
             removed.append(int(cut.sum()))
-            kept.append(b" ".join(words[a:a + n] if not removed[-1] else [words[a + i] for i in np.flatnonzero(~cut)]))
-        return pa.table({"doc_id": pa.array(ids, mask=~known), "kept": pa.array(kept, pa.binary()).cast(pa.string()),
-                         "n_words": runs.sizes, "n_removed": pa.array(removed, pa.int64())})
+            kept.append(text if untouched and not removed[-1] else b" ".join(words[a:a + n] if not removed[-1] else [words[a + i] for i in np.flatnonzero(~cut)]))
+        out = pa.table({"doc_id": pa.array(ids, mask=~known), "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                        "n_words": runs.sizes, "n_removed": pa.array(removed, pa.int64())})
+        if carry:
+            for name, column in zip(others.names, pa.concat_tables([pa.ipc.open_stream(r.tobytes()).read_all() for r in rest]).columns, strict=True):
+                out = out.append_column(name, column)
+        return out
 
     requests = dealt.groupBy("batch").applyInArrow(ask, "bucket long, batch long, payload binary")
     verdicts = requests.groupBy("bucket").applyInArrow(judge, "batch long, bucket long, payload binary")
-    return dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(drop, "doc_id long, kept string, n_words long, n_removed long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
+                           T.StructField("n_removed", T.LongType()), *others.fields])
+    out = dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(drop, schema)
+    return out.select("doc_id", "kept", "n_words", "n_removed", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
