@@ -110,7 +110,7 @@ SELECT id, source_url, 'taken' AS part FROM t UNION ALL SELECT id, source_url, '
 WHERE NOT is_active AND source_url NOT IN (SELECT source_url FROM t)""", "listings")
 def take_new(listings):
     batch = listings.where("not is_active").select("id", "source_url")
-    taken = W.take_new(batch, 999, "id")
+    taken = W.take_new(batch, 50, "id")
     return taken.withColumn("part", F.lit("taken")).unionByName(W.left_over(batch, taken).withColumn("part", F.lit("left")))
 
 

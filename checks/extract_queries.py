@@ -19,10 +19,10 @@ HOST = "board.example.com"
 STAMP = sec("posted_at")
 
 
-def feed_sources(sources):
-    """Registry with tags and a cap on every fourth feed."""
+def feed_sources(sources, capped=False):
+    """Registry with tags and, if asked for, a cap on every fourth feed."""
     return sources.withColumns({"tags": F.array(F.lit("remote"), F.lit("feed")),
-                                "max_items": F.when(F.col("position") % 4 == 0, 20).cast("int")})
+                                "max_items": F.when((F.col("position") % 4 == 0) & F.lit(capped), 20).cast("int")})
 
 
 def _payloads(rows, kind, body, order="id"):
@@ -53,15 +53,27 @@ CAP = "(CAST(substr(source_platform, 4) AS INT) % 4 <> 0 OR ordinal < 20)"
 NUMBERED = "nb AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_platform, id // 1000 ORDER BY id) - 1 AS INT) AS ordinal FROM listings)"
 
 
-@query(f"""WITH {NUMBERED} SELECT source_platform AS source_id, ordinal, title, CASE WHEN company IS NULL OR trim(company) = '' THEN CASE WHEN company IS NULL THEN 'Blue Fox' END ELSE company END AS company,
+RSS_SQL = f"""WITH {NUMBERED} SELECT source_platform AS source_id, ordinal, title, CASE WHEN company IS NULL OR trim(company) = '' THEN CASE WHEN company IS NULL THEN 'Blue Fox' END ELSE company END AS company,
   {R.trim('source_url')} AS source_url, 'remote,feed,' || category || ',' || type AS tags, nullif(location_raw, '') AS location_raw, {sec('scraped_at')} AS posted_at,
-  sha256(title || '::' || {R.trim('source_url')}) AS content_hash FROM nb WHERE {CAP} AND id % 13 <> 0 AND id % 11 <> 3""", "listings", "sources")
-def extract_rss(listings, sources):
-    out = X.extract_rss(_rss_payloads(listings), feed_sources(sources.withColumn("source_id", F.col("platform"))))
+  sha256(title || '::' || {R.trim('source_url')}) AS content_hash FROM nb WHERE {{CAP}} AND id % 13 <> 0 AND id % 11 <> 3"""
+
+
+def _rss(listings, sources, capped):
+    out = X.extract_rss(_rss_payloads(listings), feed_sources(sources.withColumn("source_id", F.col("platform")), capped))
     return as_text(out.select("source_id", "ordinal", "title", "company", "source_url", F.array_join("tags", ",").alias("tags"),
                               "location_raw", "posted_at", "content_hash"), "posted_at")
 
 
+@query(RSS_SQL.replace("{CAP}", "true"), "listings", "sources")
+def extract_rss(listings, sources):
+    return _rss(listings, sources, False)
+
+
+@query(RSS_SQL.replace("{CAP}", CAP), "listings", "sources")
+def extract_rss_capped(listings, sources):
+    return _rss(listings, sources, True)
+
+
 def _json_item(listings):
     url = F.when(F.col("id") % 4 == 0, F.concat(F.lit("http://board.example.com/job/"), F.col("id").cast("string"))).otherwise(
         F.when(F.col("id") % 9 == 0, "https://elsewhere.example.com/x"))
@@ -88,7 +100,7 @@ def _json_payloads(listings):
 SELECT source_platform AS source_id, pos AS ordinal, title, nullif({R.trim('company')}, '') AS company, CASE WHEN id % 4 = 0 THEN 'https://board.example.com/job/' || id ELSE 'https://board.example.com/apply/' || id END AS source_url,
   CASE WHEN id % 4 = 1 THEN 'https://board.example.com/apply/' || id ELSE 'https://board.example.com/job/' || id END AS application_url, CASE WHEN category = 'feed' THEN 'remote,feed' ELSE 'remote,feed,' || category || ',remote' END AS tags,
   CASE WHEN id % 15 = 0 AND id > 0 THEN 'USD ' || id * 10 || '-' || id * 20 WHEN id % 3 = 0 AND id > 0 THEN 'USD ' || id * 10 WHEN id % 5 = 0 AND id > 0 THEN 'USD ' || id * 20 END AS pay_range,
-  'Short & sweet' AS description, {sec('scraped_at')} AS posted_at FROM ok WHERE (CAST(substr(source_platform, 4) AS INT) % 4 <> 0 OR pos < 20) AND id % 4 IN (0, 1) AND title <> 'test'
+  'Short & sweet' AS description, {sec('scraped_at')} AS posted_at FROM ok WHERE id % 4 IN (0, 1) AND title <> 'test'
   AND {R.hits(REL_T, R.V.RELEVANT_ROLES)} AND NOT {R.hits(REL_T, R.V.PHYSICAL_ROLES)}""", "listings", "sources")
 def extract_json_board(listings, sources):
     out = X.extract_json_board(_json_payloads(listings), feed_sources(sources.withColumn("source_id", F.col("platform"))), HOST)
@@ -177,16 +189,24 @@ def extract_html():
 QUERIES["extract_html"] = lambda spark, sf: X.extract_html(job_pages(spark, sf), "/jobseekers/job/", "https://www.board.example.com")
 
 
+def _html_payloads(listings):
+    """Board pages with a job anchor per listing, and one to skip."""
+    n = F.col("id").cast("string")
+    item = F.concat(F.lit("<a class='j' href='/jobseekers/job/"), n, F.lit("'><h4>"), "title", F.lit("</h4></a><a href='/jobseekers/job/0'>See More</a>"))
+    return _payloads(listings.withColumn("item", item), "html", lambda items: F.concat(F.lit("<html><body>"), F.array_join(items, "\n"), F.lit("</body></html>")))
+
+
 def all_payloads(listings):
-    out = _rss_payloads(listings.where("id % 2 = 0")).unionByName(_json_payloads(listings.where("id % 2 = 1")))
+    out = _rss_payloads(listings).unionByName(_html_payloads(listings)).unionByName(_json_payloads(listings))
     for vendor in ATS_SQL:
-        out = out.unionByName(ats_payloads(listings.where("id % 5 = 2"), vendor).withColumn("source_id", F.concat(F.lit(f"{vendor}:"), "token")))
+        out = out.unionByName(ats_payloads(listings, vendor).withColumn("source_id", F.concat(F.lit(f"{vendor}:"), "token")))
     return out
 
 
-@query(f"""WITH f AS (SELECT CASE WHEN id % 2 = 0 AND id % 13 <> 0 AND id % 11 <> 3 THEN 0 END AS feed FROM listings
-UNION ALL SELECT CASE WHEN id % 2 = 1 AND id % 4 = 1 AND title <> 'test' AND {R.hits(REL_T, R.V.RELEVANT_ROLES)} AND NOT {R.hits(REL_T, R.V.PHYSICAL_ROLES)} THEN 1 END FROM listings
-UNION ALL SELECT v FROM listings, (SELECT unnest([2, 3, 4, 5, 6]) AS v) WHERE id % 5 = 2 AND (v <> 4 OR id % 7 <> 0)) SELECT feed, count(*) AS n FROM f WHERE feed IS NOT NULL GROUP BY 1""", "listings", "sources")
+@query(f"""WITH f AS (SELECT CASE WHEN id % 13 <> 0 AND id % 11 <> 3 THEN 0 END AS feed FROM listings
+UNION ALL SELECT 1 FROM listings
+UNION ALL SELECT CASE WHEN id % 4 IN (0, 1) AND title <> 'test' AND {R.hits(REL_T, R.V.RELEVANT_ROLES)} AND NOT {R.hits(REL_T, R.V.PHYSICAL_ROLES)} THEN 2 END FROM listings
+UNION ALL SELECT v FROM listings, (SELECT unnest([3, 4, 5, 6, 7]) AS v) WHERE v <> 5 OR id % 7 <> 0) SELECT feed, count(*) AS n FROM f WHERE feed IS NOT NULL GROUP BY 1""", "listings", "sources")
 def union_feeds(listings, sources):
     registry = sources.withColumn("source_id", F.col("platform")).withColumns({"tags": F.array(F.lit("remote")), "max_items": F.lit(None).cast("int")})
     none = registry.select("source_id", F.lit(None).cast("string").alias("body_hash"), F.lit(0).alias("last_count")).where("false")
@@ -210,7 +230,7 @@ def conform_ingest(postings):
 DIGEST = """dg AS (SELECT conv_id AS payload_id, turn AS index, CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN '  ' ELSE role END AS creator_name, 'v' || (conv_id % 50) || '-' || turn AS video_id,
   CASE WHEN conv_id % 11 = 5 AND turn = 0 THEN '' ELSE 'Talk ' || conv_id END AS video_title, CASE WHEN conv_id % 13 = 6 THEN 'ftp://v.example.com/' ELSE 'https://v.example.com/' || conv_id END AS video_url, conv_id % 17 = 8 AND turn = 1 AS bad_date FROM conversations),
 de AS (SELECT *, CASE WHEN trim(creator_name) = '' THEN 'creator_name' WHEN video_title = '' THEN 'video_title' WHEN video_url LIKE 'ftp%' THEN 'video_url' WHEN bad_date THEN 'published_at' END AS item_error FROM dg),
-dp AS (SELECT payload_id, CASE WHEN count(*) > 200 THEN 'more than 200 items' ELSE 'item ' || min(index) FILTER (WHERE item_error IS NOT NULL) || ': ' || arg_min(item_error, index) FILTER (WHERE item_error IS NOT NULL) END AS first_error FROM de GROUP BY 1)"""
+dp AS (SELECT payload_id, 'item ' || min(index) FILTER (WHERE item_error IS NOT NULL) || ': ' || arg_min(item_error, index) FILTER (WHERE item_error IS NOT NULL) AS first_error FROM de GROUP BY 1)"""
 
 
 def digests(spark, sf):

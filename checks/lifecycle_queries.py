@@ -69,7 +69,7 @@ def archive_stale(listings):
     return J.archive_stale(listings, AS_OF).select(*STATE)
 
 
-HASHED = "h AS (SELECT *, sha256(title || substr(coalesce(description, ''), 1, 1500)) AS description_hash FROM listings)"
+HASHED = "h AS (SELECT *, sha256(title || coalesce(description, '')) AS description_hash FROM listings)"
 SURVIVORS = """s AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY description_hash, lower(coalesce(company, ''))
   ORDER BY coalesce(last_seen_at, posted_at, scraped_at) DESC, id DESC) AS r FROM h WHERE is_active AND description_hash IS NOT NULL) WHERE r = 1)"""
 
@@ -129,7 +129,7 @@ def parked(postings):
 
 @query(f"""WITH {R.gate('postings')}, {PARKED}, u AS (SELECT *, {R.url_struct('source_url')} AS s, {R.url_struct('application_url')} AS a FROM p WHERE NOT is_active)
 SELECT id, false AS is_active, 'pending-triage' AS inactive_reason, gate_scope AS geo_scope, 'unclear' AS ph_eligibility, 'Pending durable triage: no verdict yet' AS geo_evidence,
-  coalesce({R.trusted_apply('a', 'application_url', 's', 'source_url')}, source_url) AS application_url, sha256(title || substr(coalesce(description, ''), 1, 1500)) AS description_hash FROM u""", "postings")
+  coalesce({R.trusted_apply('a', 'application_url', 's', 'source_url')}, source_url) AS application_url, sha256(title || coalesce(description, '')) AS description_hash FROM u""", "postings")
 def park_pending(postings):
     return parked(postings).select("id", "is_active", "inactive_reason", "geo_scope", "ph_eligibility", "geo_evidence",
                                    "application_url", "description_hash")
@@ -184,7 +184,7 @@ def clear_contaminated_websites(companies):
 
 @query(f"""WITH blind AS (SELECT id, title, description, CAST(NULL AS VARCHAR) AS location_raw, tags FROM postings WHERE is_active), {R.gate('blind')}
 SELECT p.id, CASE WHEN p.is_active THEN gate_eligibility <> 'ineligible' ELSE false END AS is_active, gate_scope AS geo_scope, gate_eligibility AS ph_eligibility,
-  substr(gate_evidence, 1, 300) AS geo_evidence, p.location_raw FROM postings p LEFT JOIN gate USING (id)""", "postings")
+  gate_evidence AS geo_evidence, p.location_raw FROM postings p LEFT JOIN gate USING (id)""", "postings")
 def geo_backfill(postings):
     return J.geo_backfill(postings.withColumn("ph_eligibility", F.lit(None).cast("string")), AS_OF).select(
         "id", "is_active", "geo_scope", "ph_eligibility", "geo_evidence", "location_raw")

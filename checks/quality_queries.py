@@ -138,7 +138,7 @@ def freshness_buckets(listings):
 
 
 KEYED = """SELECT *, sha256(title || '::' || source_url) AS content_hash,
-  sha256(title || substr(coalesce(description, ''), 1, 1500)) AS description_hash FROM listings"""
+  sha256(title || coalesce(description, '')) AS description_hash FROM listings"""
 
 
 @query(f"WITH k AS ({KEYED}) " + " UNION ALL ".join(
@@ -168,7 +168,7 @@ def verify_backlog(listings):
     return Q.verify_backlog(listings, checked=20, deactivated=3, per_run=20)
 
 
-@query("""WITH c AS (SELECT source_id, CAST(strftime(ts, '%Y-%m-%d') AS VARCHAR) AS day,
+RUN_SUMMARY = """WITH c AS (SELECT source_id, CAST(strftime(ts, '%Y-%m-%d') AS VARCHAR) AS day,
   count(*) FILTER (WHERE error = 'HTTP 500') AS insert_failed_batches, count(*) FILTER (WHERE error = 'HTTP 429') AS triage_failures,
   count(*) FILTER (WHERE error = 'timeout') AS failed_sources, count(*) FILTER (WHERE skipped) AS dropped_no_url,
   bool_and(ok) AS cadence_available FROM fetch_events GROUP BY 1, 2),
@@ -180,13 +180,24 @@ s AS (SELECT source_id, day, list_filter([
   CASE WHEN NOT cadence_available THEN 'cadenceStateUnavailable' END], lambda x: x IS NOT NULL) AS t FROM c),
 j AS (SELECT *, array_to_string(t, ', ') AS joined FROM s)
 SELECT source_id, day, CAST(len(t) AS INT) AS signal_count, len(t) > 0 AS degraded,
-  CASE WHEN len(t) = 0 THEN NULL WHEN length(joined) <= 60 THEN joined
-    WHEN strpos(substr(joined, 1, 60), ', ') > 1 THEN regexp_extract(substr(joined, 1, 60), '^(.*), ', 1)
-    ELSE substr(joined, 1, 59) || '…' END AS summary FROM j""", "fetch_events")
-def run_summary(events):
-    counters = events.groupBy("source_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+  CASE WHEN len(t) = 0 THEN NULL ELSE {summary} END AS summary FROM j"""
+
+
+def _run_counters(events):
+    return events.groupBy("source_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count_if(F.col("error") == "HTTP 500").alias("insert_failed_batches"),
         F.count_if(F.col("error") == "HTTP 429").alias("triage_failures"),
         F.count_if(F.col("error") == "timeout").alias("failed_sources"),
         F.count_if("skipped").alias("dropped_no_url"), F.bool_and("ok").alias("cadence_available"))
-    return Q.run_summary(counters, 60).select("source_id", "day", "signal_count", "degraded", "summary")
+
+
+@query(RUN_SUMMARY.format(summary="joined"), "fetch_events")
+def run_summary(events):
+    return Q.run_summary(_run_counters(events)).select("source_id", "day", "signal_count", "degraded", "summary")
+
+
+@query(RUN_SUMMARY.format(summary="""CASE WHEN length(joined) <= 60 THEN joined
+    WHEN strpos(substr(joined, 1, 60), ', ') > 1 THEN regexp_extract(substr(joined, 1, 60), '^(.*), ', 1)
+    ELSE substr(joined, 1, 59) || '…' END"""), "fetch_events")
+def run_summary_60(events):
+    return Q.run_summary(_run_counters(events), 60).select("source_id", "day", "signal_count", "degraded", "summary")

@@ -104,7 +104,7 @@ def cross_company_hosts(listings):
     return discovery.cross_company_hosts(listings, 3)
 
 
-@query("""SELECT id, sha256(title || '::' || source_url) AS content_hash, sha256(title || substr(coalesce(description, ''), 1, 1500)) AS description_hash,
+@query("""SELECT id, sha256(title || '::' || source_url) AS content_hash, sha256(title || coalesce(description, '')) AS description_hash,
   trim(regexp_replace(lower(company), '\\s+', ' ', 'g')) AS company_key FROM listings""", "listings")
 def add_keys(listings):
     return N.add_keys(listings).select("id", "content_hash", "description_hash", "company_key")
@@ -123,8 +123,8 @@ HEUR_TAGS = "CASE " + " ".join(f"WHEN {R.any_substring(BODY, w)} THEN '{','.join
 c AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'Acme Labs' ELSE nullif({R.trim('raw_company')}, '') END AS company, title, description, tags, category, type,
   lower(title || ' ' || array_to_string(tags, ' ')) AS tt FROM c0)
 SELECT id, title, company, lower(trim(title)) IN {in_list(V.PLACEHOLDER_TITLES)} AS is_placeholder,
-  {R.hits("title || ' ' || substr(coalesce(description, ''), 1, 500)", V.RELEVANT_ROLES)} AND NOT
-    {R.hits("title || ' ' || substr(coalesce(description, ''), 1, 500)", V.PHYSICAL_ROLES)} AS is_relevant,
+  {R.hits("title || ' ' || coalesce(description, '')", V.RELEVANT_ROLES)} AND NOT
+    {R.hits("title || ' ' || coalesce(description, '')", V.PHYSICAL_ROLES)} AS is_relevant,
   {R.hits("title || ' ' || coalesce(description, '')", V.GEO_RESTRICTIONS)} AS geo_restricted,
   {R.hits("title || ' ' || coalesce(description, '')", V.LOCAL_ONLY)} AS local_only,
   CASE WHEN category <> 'other' THEN category ELSE {_case('tt', V.BOARD_CATEGORY_WORDS, R.any_substring)} END AS board_category,
@@ -145,7 +145,7 @@ def enrich_columns(postings):
 SELECT id, k <> 4 AND k <> 5 AS available, CASE WHEN k NOT IN (4, 5) THEN CAST(user_id % 2 = 0 AS VARCHAR) END AS eligible,
   CASE WHEN k = 4 THEN 'AI classified' WHEN k = 5 THEN 'text only' ELSE event_type END AS reason,
   CASE WHEN k = 4 THEN 'other' WHEN k = 5 THEN 'other' WHEN user_id % 3 = 0 THEN 'tech' ELSE 'other' END AS category,
-  CASE WHEN k IN (4, 5) THEN '' ELSE 'a,b,c,d,e' END AS tags,
+  CASE WHEN k IN (4, 5) THEN '' ELSE 'a,b,c,d,e,f' END AS tags,
   CASE WHEN k NOT IN (4, 5) AND id % 2 = 0 THEN 'contract' END AS employment_type FROM v""", "fetch_events!")
 def clean_votes():
     raise NotImplementedError
@@ -161,20 +161,25 @@ def geo_gate(postings):
     return geo.geo_gate(postings).select("id", "gate_scope", "gate_eligibility", "gate_evidence")
 
 
+@query(f"WITH {R.gate('postings', chars=1500)} SELECT * FROM gate", "postings")
+def geo_gate_1500(postings):
+    """The gate on the beginning of a description only."""
+    return geo.geo_gate(postings, chars=1500).select("id", "gate_scope", "gate_eligibility", "gate_evidence")
+
+
 VISIBLE = R.squeeze("regexp_replace(" + R.no_tags("regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g')") + ", '&[a-z#0-9]+;', ' ', 'gi')")
 # Every fourth page gets one of the phrases that decide.
 MARKED = """CASE page_id % 8 WHEN 0 THEN '<p>Applicants must be based in the UK.</p>' WHEN 3 THEN '<p>Open in Manila. US only.</p>' WHEN 5 THEN '<b>citizenship required</b>' ELSE '' END || html"""
 
 
-@query(f"""WITH q AS (SELECT page_id, substr({VISIBLE.replace('html', 'h')}, 1, 4000) AS v FROM (SELECT page_id, {MARKED} AS h FROM pages)),
+def _landing_sql(visible: str) -> str:
+    return f"""WITH q AS (SELECT page_id, {visible} AS v FROM (SELECT page_id, {MARKED} AS h FROM pages)),
 l AS ({R.language('q', 'page_id', 'v', 'lang_v')})
 SELECT page_id, CASE WHEN length(v) < 200 OR {R.hits('v', V.PH_POSITIVE)} THEN NULL WHEN lang_v <> 'en' THEN 'Landing page is non-English (detected: ' || lang_v || ')'
-  ELSE 'Landing page states: "' || nullif(substr(regexp_extract(v, {pattern(V.RESIDENCE_LOCKS, False)}, 0, 'i'), 1, 80), '') || '"' END AS geo_lock FROM q JOIN l USING (page_id)""")
-def scan_landing_pages():
-    raise NotImplementedError
+  ELSE 'Landing page states: "' || nullif(regexp_extract(v, {pattern(V.RESIDENCE_LOCKS, False)}, 0, 'i'), '') || '"' END AS geo_lock FROM q JOIN l USING (page_id)"""
 
 
-MARKER = "list_filter([" + ", ".join(literal(m) for m in V.PARKED_MARKERS) + "], lambda m: contains(lower(substr(coalesce(body, ''), 1, 6000)), m))[1]"
+MARKER = "list_filter([" + ", ".join(literal(m) for m in V.PARKED_MARKERS) + "], lambda m: contains(lower(coalesce(body, '')), m))[1]"
 STATUS = f"""SELECT *, CASE WHEN status BETWEEN 200 AND 299 THEN {MARKER} END AS mk FROM checks"""
 CLASS = f"""SELECT *, CASE WHEN mk IS NOT NULL THEN 'parked' WHEN status BETWEEN 200 AND 399 THEN 'ok' WHEN status IN (404, 410, 451) THEN 'dead_http'
   WHEN status IS NOT NULL THEN 'bot_wall' END AS link_status FROM ({STATUS})"""
@@ -244,10 +249,13 @@ def link_strikes(checks):
 
 
 # ---- queries on given tables ------------------------------------------------------------------
-def _on_table(name: str, source: str):
+def _on_table(name: str, source: str, sql: str | None = None):
     def wrap(fn):
-        from .registry import QUERIES
+        from .registry import ORACLES, QUERIES
+        from .views import oracle
         from listingspark.session import configure
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
         load = texts if source in ("documents", "pages") else table
         QUERIES[name] = lambda spark, sf: fn(load(configure(spark), sf, source))
         return fn
@@ -269,12 +277,22 @@ def _language(documents):
     return geo.detect_language(documents, "text").select("doc_id", "language")
 
 
-@_on_table("scan_landing_pages", "pages")
-def _landing(pages):
+def _marked(pages):
     k = F.col("page_id") % 8
     mark = F.when(k == 0, "<p>Applicants must be based in the UK.</p>").when(k == 3, "<p>Open in Manila. US only.</p>").when(
         k == 5, "<b>citizenship required</b>").otherwise("")
-    return geo.scan_landing_pages(pages.withColumn("html", F.concat(mark, "html"))).select("page_id", "geo_lock")
+    return pages.withColumn("html", F.concat(mark, "html"))
+
+
+@_on_table("scan_landing_pages", "pages", _landing_sql(VISIBLE.replace("html", "h")))
+def _landing(pages):
+    return geo.scan_landing_pages(_marked(pages)).select("page_id", "geo_lock")
+
+
+@_on_table("scan_landing_pages_4000", "pages", _landing_sql(f"substr({VISIBLE.replace('html', 'h')}, 1, 4000)"))
+def _landing_4000(pages):
+    """Landing pages judged on their beginning only."""
+    return geo.scan_landing_pages(_marked(pages), chars=4000).select("page_id", "geo_lock")
 
 
 @_on_table("clean_votes", "events")

@@ -119,12 +119,13 @@ def language(source: str, key: str, text: str, name: str = "lang_found") -> str:
       lambda x: x <> '') AS w FROM {source})))"""
 
 
-def gate(source: str, key: str = "id") -> str:
+def gate(source: str, key: str = "id", chars: int | None = None) -> str:
     """CTE list ``g0, g1, g2, gl, gate`` over ``source(title, description, location_raw, tags)``."""
     tags = in_list(V.LANGUAGE_TAGS)
+    description = "coalesce(description, '')" if chars is None else f"substr(coalesce(description, ''), 1, {chars})"
     return f"""g0 AS (SELECT {key}, {trim("coalesce(title, '')")} AS t, {trim("coalesce(location_raw, '')")} AS l,
   list_transform(coalesce(tags, []), lambda x: lower(trim(x))) AS tg, description FROM {source}),
-g1 AS (SELECT *, t || ' ' || substr(coalesce(description, ''), 1, 1500) AS x FROM g0),
+g1 AS (SELECT *, t || ' ' || {description} AS x FROM g0),
 g2 AS (SELECT *, {first('l', V.PH_POSITIVE)} AS ph_l, {first('x', V.PH_POSITIVE)} AS ph_x,
   coalesce({first('l', V.APAC_POSITIVE)}, {first('t', V.APAC_POSITIVE)}) AS apac, {first('l', V.US_STATES)} AS state,
   {first('l', V.COUNTRIES)} AS country, {first('l', V.CITIES)} AS city, {hits('l', V.WORLDWIDE)} AS world,
@@ -147,6 +148,6 @@ gate AS (SELECT {key}, CASE WHEN ph_l IS NOT NULL AND country IS NULL AND state
     WHEN region IS NOT NULL THEN 'Region excludes PH: "' || region || '" in "' || l || '"'
     WHEN coalesce(state, country, city) IS NOT NULL THEN 'Location pinned: "' || coalesce(state, country, city) || '" in "' || l || '"'
     WHEN onsite IS NOT NULL THEN 'Not fully remote: "' || onsite || '" marker' WHEN tplace IS NOT NULL THEN 'Title names location: "' || tplace || '"'
-    WHEN lock_ IS NOT NULL THEN 'Residence/authorization lock: "' || substr(lock_, 1, 60) || '"'
+    WHEN lock_ IS NOT NULL THEN 'Residence/authorization lock: "' || lock_ || '"'
     WHEN world_x THEN 'Worldwide/anywhere language in posting' ELSE 'No deterministic geo signal' END AS gate_evidence
   FROM g2 JOIN gl USING ({key}))"""

@@ -374,10 +374,10 @@ def _lanes(spark, sf):
 QUERIES["candidate_lanes"] = _lanes
 
 
-@query(f"""WITH {CLASSIFIED}, rd AS (SELECT company, jobs FROM cl) SELECT company, jobs FROM rd WHERE (SELECT count(*) FROM rd) <= 120 ORDER BY jobs DESC, company LIMIT 2""", "listings", "companies")
+@query(f"""WITH {CLASSIFIED}, rd AS (SELECT company, jobs FROM cl) SELECT company, jobs, (SELECT count(*) FROM rd) > 3 AS over_ceiling FROM rd ORDER BY jobs DESC, company LIMIT 2""", "listings", "companies")
 def drain(listings, companies):
     c = D.classify_candidates(D.prospect_candidates(listings, companies, 2, "2023-11-01", 200), companies)
-    return D.drain(c.withColumn("lane", F.lit("auto_add")), 2).select("company", "jobs")
+    return D.drain(c.withColumn("lane", F.lit("auto_add")), 2, ceiling=3).select("company", "jobs", "over_ceiling")
 
 
 @query(f"""WITH {CLASSIFIED} SELECT company_name, niche, ats_platform, ats_token, notes FROM (SELECT company_name, niche, ats_platform, ats_token, NULL AS notes FROM companies)
@@ -503,13 +503,13 @@ def activity_sessions(events):
 
 CLICKS = f"""cu AS (SELECT *, {R.url_struct('source_url')} AS s, {R.url_struct('application_url')} AS a FROM listings),
 ck AS (SELECT e.event_id AS click_id, l.id, CASE e.event_id % 3 WHEN 0 THEN l.source_url WHEN 1 THEN l.application_url ELSE 'https://evil.example.com/' END AS url, l.source_url, l.application_url, s, a
-  FROM events e JOIN cu l ON l.id = e.event_id % 400),
+  FROM events e JOIN cu l ON l.id = e.event_id % (SELECT count(*) FROM documents)),
 tg AS (SELECT click_id, id, CASE WHEN url = source_url THEN {R.safe_source('s', 'source_url')} WHEN url = application_url THEN coalesce({R.trusted_apply('a', 'application_url', 's', 'source_url')}, {R.safe_source('s', 'source_url')}) END AS target FROM ck)"""
 
 
 def clicks(spark, sf):
     listings = view(spark, sf, "listings")
-    e = table(spark, sf, "events").select(F.col("event_id").alias("click_id"), (F.col("event_id") % 400).alias("id"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("click_id"), (F.col("event_id") % table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()).alias("id"))
     k = F.col("click_id") % 3
     made = e.join(listings.select("id", "source_url", "application_url"), "id").select("click_id", "id", F.when(
         k == 0, F.col("source_url")).when(k == 1, F.col("application_url")).otherwise("https://evil.example.com/").alias("url"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listingspark.session import configure, spread
+from listingspark.session import configure
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -41,7 +41,7 @@ LISTINGS = """SELECT d.doc_id AS id,
   d.doc_id % 5 <> 4 AS is_active,
   CASE WHEN d.doc_id % 5 <> 4 THEN NULL WHEN d.doc_id % 3 = 0 THEN 'stale-feed' WHEN d.doc_id % 3 = 1 THEN 'policy-rejected' ELSE NULL END AS inactive_reason,
   CASE d.doc_id % 7 WHEN 0 THEN 'eligible_verified' WHEN 1 THEN 'eligible_likely' WHEN 2 THEN 'unclear' WHEN 3 THEN 'ineligible' WHEN 4 THEN NULL ELSE 'eligible_likely' END AS ph_eligibility
-FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id"""
+FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id"""
 
 FETCH_EVENTS = """SELECT event_id AS id, concat('src', CAST(user_id % 20 AS STRING)) AS source_id, ts,
   event_type <> 'error' AS ok, event_type = 'view' AS skipped,
@@ -76,7 +76,7 @@ UNION ALL SELECT concat('ghost', CAST(count(*) % 7 AS STRING)), 'gone', '2024-01
 UNION ALL SELECT 'src5', NULL, max(substr(CAST(ts AS STRING), 1, 10)), 'bot' FROM events"""
 
 # Link checks: one per event, spread over as many companies as there are suppliers.
-CHECKS = """SELECT event_id AS id, user_id % 40 AS company_id, ts,
+CHECKS = """SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS company_id, ts,
   CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_type = 'error' THEN 404 WHEN event_type = 'view' THEN 503
     WHEN event_type = 'click' THEN CASE WHEN event_id % 4 = 0 THEN 404 ELSE 200 END
     WHEN event_type = 'signup' THEN 410 ELSE CAST(401 + event_id % 30 AS INT) END AS status,
@@ -123,8 +123,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts, spread over all cores when it comes in fewer splits than there are cores."""
-    return spread(table(configure(spark), sf, name))
+    """A table of long texts, dealt over all cores: the given files have one split each."""
+    return table(configure(spark), sf, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -106,6 +106,11 @@ def pay_range(low: Column, high: Column) -> Column:
     )
 
 
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all of a text when there is no limit."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def merge_tags(*lists: Column, cap: int | None = None, normalise: bool = False, distinct: bool = True) -> Column:
     """Concatenate tag lists in order; first occurrence wins."""
     empty = F.array().cast("array<string>")
@@ -122,9 +127,9 @@ def is_placeholder_title(title: Column) -> Column:
     return trim(F.lower(title)).isin(V.PLACEHOLDER_TITLES)
 
 
-def is_relevant_role(title: Column, description: Column) -> Column:
-    """A role the board carries, judged on the title and the first 500 characters."""
-    text = F.lower(F.concat(title, F.lit(" "), F.substring(F.coalesce(description, F.lit("")), 1, 500)))
+def is_relevant_role(title: Column, description: Column, chars: int | None = None) -> Column:
+    """A role the board carries, judged on the title and the description, or its first ``chars``."""
+    text = F.lower(F.concat(title, F.lit(" "), head(F.coalesce(description, F.lit("")), chars)))
     return let(text, lambda t: hits(t, words(V.RELEVANT_ROLES)) & ~hits(t, words(V.PHYSICAL_ROLES)))
 
 

@@ -11,8 +11,6 @@ from ..functions.times import effective_at, parse_time, EFFECTIVE_ORDERS
 from ..schemas import fill
 from ..stages import once
 
-DESCRIPTION_KEY_CHARS = 1500
-
 
 def clean_text(df: DataFrame, cols: list[str], variant: str) -> DataFrame:
     """Markup, entities and encoding of the named columns; what ends up empty becomes NULL."""
@@ -59,12 +57,16 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
     }).drop("_safe", "_trusted", "_had", "_ats"), "_src", "_app")
 
 
-def add_keys(df: DataFrame) -> DataFrame:
-    """Duplicate keys of a listing and the canonical company name."""
-    text = F.concat("title", F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_KEY_CHARS))
+def description_key(chars: int | None = None):
+    """Duplicate key of title and description, or its first ``chars``."""
+    return F.sha2(F.concat("title", T.head(F.coalesce("description", F.lit("")), chars)), 256)
+
+
+def add_keys(df: DataFrame, chars: int | None = None) -> DataFrame:
+    """Duplicate keys of a listing and the canonical company name; the key takes the whole description or ``chars`` of it."""
     return df.withColumns({
         "content_hash": F.sha2(F.concat_ws("::", "title", "source_url"), 256),
-        "description_hash": F.sha2(text, 256),
+        "description_hash": description_key(chars),
         "company_key": T.company_key(F.col("company")),
     })
 
@@ -92,11 +94,12 @@ def enrich_columns(df: DataFrame) -> DataFrame:
     }).drop("_lowered")
 
 
-def clean_votes(raw: DataFrame, text_col: str = "response") -> DataFrame:
+def clean_votes(raw: DataFrame, text_col: str = "response", max_tags: int | None = None) -> DataFrame:
     """Typed vote table from free model text.
 
     The JSON object is the whole text or its outermost ``{...}``.  A text without an eligibility
     boolean stays unavailable, so nothing is ever published on it.
+    All tags are kept unless ``max_tags`` limits them.
     """
     body = trim(F.col(text_col))
     body = trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "^```json", ""), "^```", ""), "```$", ""))
@@ -109,9 +112,8 @@ def clean_votes(raw: DataFrame, text_col: str = "response") -> DataFrame:
                       F.try_variant_get("_v", f"$.{field}", kind.lower()))
 
     eligible = typed("eligibleForFilipinos", "BOOLEAN")
-    tags = F.filter(F.slice(F.coalesce(
-        F.try_variant_get("_v", "$.tags", "array<string>"), F.array().cast("array<string>")), 1, 5),
-        lambda t: t.isNotNull())
+    said = F.coalesce(F.try_variant_get("_v", "$.tags", "array<string>"), F.array().cast("array<string>"))
+    tags = F.filter(said if max_tags is None else F.slice(said, 1, max_tags), lambda t: t.isNotNull())
     return df.withColumns({
         "available": eligible.isNotNull(),
         "eligible": eligible,

@@ -50,11 +50,12 @@ def classify_candidates(candidates: DataFrame, companies: DataFrame) -> DataFram
         "niche": T.niche_of(F.col("category"))}), "_u")
 
 
-def drain(classified: DataFrame, n: int = 15, ceiling: int = 120) -> DataFrame:
-    """H9: the ``n`` strongest auto-add rows, or none when more than ``ceiling`` appear at once."""
+def drain(classified: DataFrame, n: int = 15, ceiling: int | None = None) -> DataFrame:
+    """H9: the ``n`` strongest auto-add rows; with a ``ceiling``, ``over_ceiling`` flags a run of more rows than that."""
     ready = classified.where("lane = 'auto_add'")
-    total = ready.agg(F.count(F.lit(1))).scalar()
-    return ready.where(total <= ceiling).orderBy(F.desc("jobs"), "company").limit(n)
+    if ceiling is not None:
+        ready = ready.withColumn("over_ceiling", ready.agg(F.count(F.lit(1))).scalar() > ceiling)
+    return ready.orderBy(F.desc("jobs"), "company").limit(n)
 
 
 def add_prospects(companies: DataFrame, drained: DataFrame, as_of) -> DataFrame:

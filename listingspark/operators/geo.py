@@ -15,7 +15,7 @@ PH, APAC, WORLD = words(V.PH_POSITIVE), words(V.APAC_POSITIVE), words(V.WORLDWID
 COUNTRY, STATE, CITY = words(V.COUNTRIES), words(V.US_STATES), words(V.CITIES)
 REGION, ONSITE = words(V.REGIONS_EXCLUDING_PH), words(V.ONSITE)
 LOCK = words(V.RESIDENCE_LOCKS, close=False)
-GATE_CHARS, PAGE_CHARS, PAGE_MIN = 1500, 4000, 200
+PAGE_MIN = 200
 
 
 def detect_language(df: DataFrame, col: str, name: str = "language") -> DataFrame:
@@ -27,12 +27,13 @@ def _quoted(head: str, value: Column, tail: str = '"') -> Column:
     return F.concat(F.lit(head), value, F.lit(tail))
 
 
-def geo_gate(df: DataFrame) -> DataFrame:
+def geo_gate(df: DataFrame, chars: int | None = None, evidence_chars: int | None = None) -> DataFrame:
     """Add ``gate_scope``, ``gate_eligibility`` and ``gate_evidence``.
 
     Eight steps, the first that speaks decides.  Every pattern is matched once, in an inner select,
     and the ordered choice reads those hits; patterns over the long text run only for rows that the
-    short fields left open.
+    short fields left open.  ``chars`` limits the description and ``evidence_chars`` a quoted phrase;
+    by default both are read and kept whole.
     """
     keep = df.columns
     df = fill(df, "listings", "tags", "location_raw", "description")
@@ -41,8 +42,7 @@ def geo_gate(df: DataFrame) -> DataFrame:
         "_loc": trim(F.coalesce("location_raw", F.lit(""))),
         "_tags": F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: trim(F.lower(t))),
     })
-    df = once(df, {"_text": F.concat("_title", F.lit(" "), F.substring(
-        F.coalesce("description", F.lit("")), 1, GATE_CHARS))})
+    df = once(df, {"_text": F.concat("_title", F.lit(" "), T.head(F.coalesce("description", F.lit("")), chars))})
     loc, title = F.col("_loc"), F.col("_title")
     df = once(df, {"_low_text": F.lower("_text"), "_low_title": F.lower("_title"), "_low_loc": F.lower("_loc")})
     in_loc = lambda p: first_match(loc, F.col("_low_loc"), p)
@@ -63,7 +63,7 @@ def geo_gate(df: DataFrame) -> DataFrame:
     df = once_sql(df, {"_short": f"CASE {' '.join(map(_when, SHORT_RULES))} END"})
     df = once(df, {"_lock": F.when(F.col("_short").isNull(), in_text(LOCK)),
                    "_world_text": F.col("_short").isNull() & hits(F.col("_low_text"), WORLD)})
-    rest = f"CASE {' '.join(map(_when, LONG_RULES))} END"
+    rest = f"CASE {' '.join(map(_when, long_rules(evidence_chars)))} END"
     return df.selectExpr(*[f"`{c}`" for c in keep],
                          f"inline(array(coalesce(_short, {rest}))) AS (gate_scope, gate_eligibility, gate_evidence)")
 
@@ -83,12 +83,15 @@ SHORT_RULES = [
     ("_onsite IS NOT NULL", "country_locked", "ineligible", """'Not fully remote: "', _onsite, '" marker'"""),
     ("_title_place IS NOT NULL", "country_locked", "ineligible", """'Title names location: "', _title_place, '"'"""),
 ]
-LONG_RULES = [
-    ("_lock IS NOT NULL", "region_excl_ph", "ineligible",
-     """'Residence/authorization lock: "', substring(_lock, 1, 60), '"'"""),
-    ("_world_text", "worldwide", "eligible_likely", "'Worldwide/anywhere language in posting'"),
-    ("true", "unknown", "unclear", "'No deterministic geo signal'"),
-]
+
+
+def long_rules(evidence_chars: int | None) -> list[tuple[str, str, str, str]]:
+    lock = "_lock" if evidence_chars is None else f"substring(_lock, 1, {evidence_chars})"
+    return [
+        ("_lock IS NOT NULL", "region_excl_ph", "ineligible", f"""'Residence/authorization lock: "', {lock}, '"'"""),
+        ("_world_text", "worldwide", "eligible_likely", "'Worldwide/anywhere language in posting'"),
+        ("true", "unknown", "unclear", "'No deterministic geo signal'"),
+    ]
 
 
 def _when(rule: tuple[str, str, str, str]) -> str:
@@ -97,16 +100,18 @@ def _when(rule: tuple[str, str, str, str]) -> str:
             f"'evidence', concat({evidence}))")
 
 
-def scan_landing_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+def scan_landing_pages(pages: DataFrame, html: str = "html", chars: int | None = None, lock_chars: int | None = None,
+                       min_chars: int = PAGE_MIN) -> DataFrame:
     """Add ``geo_lock``: why a page is closed to Philippine applicants, NULL when nothing says so.
 
-    The rule reads the first 4,000 visible characters; pages with fewer than 200 are not judged.
+    A page with fewer than ``min_chars`` visible characters says too little to be judged.  ``chars`` limits
+    the visible text and ``lock_chars`` the quoted phrase; by default both are whole.
     """
-    df = once(pages, {"_visible": F.substring(T.strip_markup(F.coalesce(F.col(html), F.lit("")), "page"), 1, PAGE_CHARS)})
+    df = once(pages, {"_visible": T.head(T.strip_markup(F.coalesce(F.col(html), F.lit("")), "page"), chars)})
     df = once(df, {"_low": F.lower("_visible")})
-    df = once(df, {"_open": (F.length("_visible") >= PAGE_MIN) & ~hits(F.col("_low"), PH)})
+    df = once(df, {"_open": (F.length("_visible") >= min_chars) & ~hits(F.col("_low"), PH)})
     df = with_language(df, F.when(F.col("_open"), F.col("_low")).otherwise(""), "_lang")
-    lock = F.substring(first_match(F.col("_visible"), F.col("_low"), LOCK, 0), 1, 80)
+    lock = T.head(first_match(F.col("_visible"), F.col("_low"), LOCK, 0), lock_chars)
     return once(df, {"geo_lock": F.when(F.col("_open"), F.when(
         F.col("_lang") != "en", _quoted("Landing page is non-English (detected: ", F.col("_lang"), ")")
     ).otherwise(_quoted('Landing page states: "', lock)))}).drop("_visible", "_low", "_open", "_lang")

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import values as V
 from ..functions import urls as U
 from ..functions.regex import has_text, trim
+from ..functions.text import head
 from ..functions.times import before, effective_at, iso, moment, parse_time
 from ..schemas import fill
-from .cleaning import DESCRIPTION_KEY_CHARS
+from .cleaning import description_key
 from .geo import geo_gate
 
 
@@ -137,18 +138,20 @@ def recover_pending(t: DataFrame, as_of) -> DataFrame:
     }).select(*t.columns)
 
 
-def park_pending(gated: DataFrame, as_of, reason: str) -> DataFrame:
-    """Gated batch rows without a verdict become hidden ``pending-triage`` rows."""
+def park_pending(gated: DataFrame, as_of, reason: str, key_chars: int | None = None, reason_chars: int | None = None) -> DataFrame:
+    """Gated batch rows without a verdict become hidden ``pending-triage`` rows.
+
+    The duplicate key takes the whole description and the reason is kept whole, unless limited.
+    """
     now = moment(as_of)
     df = U.with_url(U.with_url(gated, "source_url", "_src"), "application_url", "_app")
     link = U.trusted_apply(U.Url("_app"), F.col("application_url"), U.Url("_src"), F.col("source_url"))
-    key = F.sha2(F.concat("title", F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_KEY_CHARS)), 256)
     return U.drop_url(df.withColumns({
         "application_url": F.coalesce(link, F.col("source_url")),
         "is_active": F.lit(False), "inactive_reason": F.lit("pending-triage"),
         "geo_scope": F.col("gate_scope"), "ph_eligibility": F.lit("unclear"),
-        "geo_evidence": F.lit("Pending durable triage: " + reason[:160]), "geo_checked_at": now,
-        "description_hash": key, "scraped_at": now, "last_seen_at": now, "updated_at": now,
+        "geo_evidence": F.lit("Pending durable triage: " + reason[:reason_chars]), "geo_checked_at": now,
+        "description_hash": description_key(key_chars), "scraped_at": now, "last_seen_at": now, "updated_at": now,
     }).drop("gate_scope", "gate_eligibility", "gate_evidence"), "_src", "_app")
 
 
@@ -209,7 +212,7 @@ def clear_contaminated_websites(companies: DataFrame, host: str, names: list[str
     }).select(*t.columns)
 
 
-def geo_backfill(t: DataFrame, as_of) -> DataFrame:
+def geo_backfill(t: DataFrame, as_of, evidence_chars: int | None = None) -> DataFrame:
     """Gate every active row on its text alone; closed rows leave the board, the others are annotated."""
     cols = fill(t, "listings", "geo_scope", "geo_evidence", "geo_checked_at", "updated_at").columns
     active = t.where("is_active")
@@ -219,7 +222,7 @@ def geo_backfill(t: DataFrame, as_of) -> DataFrame:
     done = gated.withColumns({
         "location_raw": F.col("_kept_location"),
         "geo_scope": F.col("gate_scope"), "ph_eligibility": F.col("gate_eligibility"),
-        "geo_evidence": F.substring("gate_evidence", 1, 300), "geo_checked_at": moment(as_of),
+        "geo_evidence": head(F.col("gate_evidence"), evidence_chars), "geo_checked_at": moment(as_of),
         "is_active": ~closed,
         "updated_at": F.when(closed, moment(as_of)).otherwise(F.col("updated_at")),
     }).select(*cols)

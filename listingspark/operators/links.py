@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import values as V
 from ..functions import urls as U
+from ..functions.text import head
 from ..schemas import fill
 from ..skew import count_since
 
 STRIKES = 3
-BODY_CHARS = 6000
 
 
-def classify_links(checks: DataFrame, use_body: bool = True) -> DataFrame:
+def classify_links(checks: DataFrame, use_body: bool = True, body_chars: int | None = None) -> DataFrame:
     """C4: add ``link_status``, ``link_evidence`` and ``hard_dead`` from an HTTP status and body.
 
     Rows without a status are network failures and go through :func:`classify_unreachable`.
+    Parked pages are told by their whole body, or by its first ``body_chars``.
     """
     status = F.col("status")
-    body = F.lower(F.substring(F.coalesce(F.col("body"), F.lit("")), 1, BODY_CHARS)) if use_body else F.lit("")
+    body = F.lower(head(F.coalesce(F.col("body"), F.lit("")), body_chars)) if use_body else F.lit("")
     marker = F.coalesce(*[F.when(F.contains(body, F.lit(m)), F.lit(m)) for m in V.PARKED_MARKERS])
     df = checks.withColumn("_marker", F.when(status.between(200, 299), marker))
     http = F.concat(F.lit("HTTP "), status.cast("string"))
@@ -43,14 +44,14 @@ def classify_links(checks: DataFrame, use_body: bool = True) -> DataFrame:
     }).drop("_marker")
 
 
-def classify_unreachable(checks: DataFrame) -> DataFrame:
+def classify_unreachable(checks: DataFrame, code_chars: int | None = None) -> DataFrame:
     """Add ``reason_code`` and ``reason`` for network errors described by
     ``cause_code``, ``error_code``, ``error_name`` and ``error_message``."""
     cause, code, name, message = [
         F.coalesce(F.col(c), F.lit("")) for c in ("cause_code", "error_code", "error_name", "error_message")]
     short = F.coalesce(*[F.nullif(x, F.lit("")) for x in (cause, code, name)], F.lit("network failure"))
     df = checks.withColumns({
-        "reason_code": F.substring(short, 1, 40),
+        "reason_code": head(short, code_chars),
         "_code": F.upper(F.concat_ws(" ", cause, code, name)), "_msg": F.lower(message),
     })
     reason = None
@@ -90,7 +91,7 @@ def _latest(checks: DataFrame, key: str) -> DataFrame:
         c for c in rest if c not in ("ts", "check_id")])).alias("_c")).select(key, "_c")
 
 
-def apply_link_checks(listings: DataFrame, checks: DataFrame, use_body: bool = False) -> DataFrame:
+def apply_link_checks(listings: DataFrame, checks: DataFrame, use_body: bool = False, evidence_chars: int | None = None) -> DataFrame:
     """Listing table after its latest link check.
 
     ``checks(check_id, id, ts, status, body, geo_lock)``; a NULL status is a network failure and only
@@ -112,7 +113,7 @@ def apply_link_checks(listings: DataFrame, checks: DataFrame, use_body: bool = F
         "inactive_reason": F.when(bad, "invalid-source-url").when(lock, "policy-rejected")
             .when(third, "link-unavailable").otherwise(F.col("inactive_reason")),
         "ph_eligibility": F.when(lock, "ineligible").otherwise(F.col("ph_eligibility")),
-        "geo_evidence": F.when(lock, F.concat(F.lit("Verifier page scan: "), F.substring(c["geo_lock"], 1, 250)))
+        "geo_evidence": F.when(lock, F.concat(F.lit("Verifier page scan: "), head(c["geo_lock"], evidence_chars)))
             .otherwise(F.col("geo_evidence")),
         "geo_checked_at": F.when(lock, c["ts"]).otherwise(F.col("geo_checked_at")),
         "failed_count": F.when(third | lock, F.col("failed_count")).when(dead, F.coalesce("failed_count", F.lit(0)) + 1)

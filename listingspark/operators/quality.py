@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-
 from ..functions.regex import SPACE, has_text, trim
+from ..functions.text import head
 from ..functions.times import before, effective_at
 
 RECON_MEASURES = ["stale_30d", "unseen_14d", "never_verified", "missing_company"]
@@ -217,10 +217,12 @@ _COUNTERS = [  # order is severity; a summary is cut from its end
 ]
 
 
-def run_summary(counters: DataFrame, max_length: int = 500) -> DataFrame:
+def run_summary(counters: DataFrame, max_length: int | None = None, max_failures: int | None = None,
+                failure_chars: int | None = None) -> DataFrame:
     """per run ``summary``, ``signal_count`` and ``degraded`` from its counters.
 
-    A summary too long is cut after the last complete signal that fits.
+    Everything is kept by default; with ``max_length`` a longer summary is cut after the last complete signal
+    that fits, and provider failures may be limited in number and length.
     """
     have = set(counters.columns)
     signals = []
@@ -228,9 +230,10 @@ def run_summary(counters: DataFrame, max_length: int = 500) -> DataFrame:
         if column not in have:
             continue
         if column == "provider_failures":
-            clean = F.transform(F.array_distinct(F.coalesce(column, F.array().cast("array<string>"))), lambda s: F.substring(
-                trim(F.regexp_replace(s, f"{SPACE}+", " ")), 1, 180))
-            kept = F.slice(F.filter(clean, lambda s: s != ""), 1, 6)
+            clean = F.transform(F.array_distinct(F.coalesce(column, F.array().cast("array<string>"))), lambda s: head(
+                trim(F.regexp_replace(s, f"{SPACE}+", " ")), failure_chars))
+            kept = F.filter(clean, lambda s: s != "")
+            kept = kept if max_failures is None else F.slice(kept, 1, max_failures)
             signals.append(F.when(F.size(kept) > 0, F.concat(F.lit(f"{label}="), F.array_join(kept, "|"))))
         else:
             n = F.floor(F.col(column))
@@ -239,13 +242,15 @@ def run_summary(counters: DataFrame, max_length: int = 500) -> DataFrame:
         signals.append(F.when(~F.col("cadence_available"), F.lit("cadenceStateUnavailable")))
     df = counters.withColumn("_s", F.filter(F.array(*signals), lambda s: s.isNotNull()))
     joined = F.array_join("_s", ", ")
-    head = F.substring(joined, 1, max_length)
-    boundary = F.length(head) - F.locate(" ,", F.reverse(head)) - 1
-    cut = F.when(F.locate(", ", head) > 1, F.substring(head, F.lit(1), boundary)).otherwise(
-        F.concat(F.substring(head, 1, max_length - 1), F.lit("…")))
+    summary = joined
+    if max_length is not None:
+        start = F.substring(joined, 1, max_length)
+        boundary = F.length(start) - F.locate(" ,", F.reverse(start)) - 1
+        cut = F.when(F.locate(", ", start) > 1, F.substring(start, F.lit(1), boundary)).otherwise(
+            F.concat(F.substring(start, 1, max_length - 1), F.lit("…")))
+        summary = F.when(F.length(joined) <= max_length, joined).otherwise(cut)
     return df.withColumns({
-        "signal_count": F.size("_s"), "degraded": F.size("_s") > 0,
-        "summary": F.when(F.size("_s") > 0, F.when(F.length(joined) <= max_length, joined).otherwise(cut)),
+        "signal_count": F.size("_s"), "degraded": F.size("_s") > 0, "summary": F.when(F.size("_s") > 0, summary),
     }).drop("_s")
 
 

@@ -9,8 +9,6 @@ from ..functions.times import moment
 from ..schemas import fill
 from ..skew import lookup_join
 
-EVIDENCE_CHARS = 200
-
 
 def classify_fetch(events: DataFrame, sources: DataFrame) -> DataFrame:
     """C11: add ``outcome`` to fetch events: policy first, then transport, payload shape and count."""
@@ -38,12 +36,20 @@ class _Fields:
         return F.col(self.prefix + name)
 
 
+def newest(votes: DataFrame, key: str, at: str = "voted_at") -> DataFrame:
+    """One row per key: the greatest by ``at``, where there is such a column, and then by the other columns."""
+    rest = sorted((c for c in votes.columns if c != key), key=lambda c: c != at)
+    return votes.groupBy(key).agg(F.max(F.struct(*rest)).alias("_newest")).select(key, *[F.col(f"_newest.{c}").alias(c) for c in rest])
+
+
 def merge_verdicts(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, key: str = "source_url") -> DataFrame:
     """Add ``decision`` and ``decision_reason`` plus the vote as ``_vote_`` columns.
 
     Needs ``gate_scope``.  No usable vote means ``unavailable`` (nothing is published on it); the
     skeptic only counts where the gate found nothing, and an unavailable skeptic does not block.
+    Of several votes for one listing the newest counts, so no listing is doubled.
     """
+    votes, skeptics = newest(votes, "listing_key"), newest(skeptics, "listing_key")
     first = votes.select(F.col("listing_key").alias(key), *[
         F.col(c).alias(f"_vote_{c}") for c in votes.columns if c != "listing_key"])
     second = skeptics.select(F.col("listing_key").alias(key), *[
@@ -67,15 +73,16 @@ def merge_verdicts(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, k
             c for c in second.columns if c != key])
 
 
-def _clip(head: str, text: Column, size: int = EVIDENCE_CHARS) -> Column:
-    return F.concat(F.lit(head), F.substring(text, 1, size))
+def _after(label: str, text: Column, chars: int | None) -> Column:
+    return F.concat(F.lit(label), T.head(text, chars))
 
 
-def apply_verdicts(merged: DataFrame, as_of) -> DataFrame:
+def apply_verdicts(merged: DataFrame, as_of, evidence_chars: int | None = None, parked_chars: int | None = None) -> DataFrame:
     """Listing columns after the merged decision.
 
     Undecided rows are parked as ``pending-triage``.  A trusted apply link of the vote wins over the
-    one in the feed, and the source address is the last resort.
+    one in the feed, and the source address is the last resort.  Reasons are kept whole unless
+    ``evidence_chars``, or ``parked_chars`` for parked rows, limits them.
     """
     now = moment(as_of)
     t = fill(merged, "listings", "tags", "pay_range", "experience_level", "application_url", "type", "category")
@@ -99,11 +106,11 @@ def apply_verdicts(merged: DataFrame, as_of) -> DataFrame:
         "geo_scope": F.col("gate_scope"),
         "ph_eligibility": F.when(good, F.when(F.col("gate_eligibility") == "unclear", "eligible_likely").otherwise(
             F.col("gate_eligibility"))).when(d.isin("gate-rejected", "ineligible"), "ineligible").otherwise("unclear"),
-        "geo_evidence": F.when(good & (F.col("gate_scope") == "unknown"), _clip("AI triage passed: ", why))
+        "geo_evidence": F.when(good & (F.col("gate_scope") == "unknown"), _after("AI triage passed: ", why, evidence_chars))
             .when(good, F.col("gate_evidence")).when(d == "gate-rejected", F.col("gate_evidence"))
-            .when(d == "ineligible", _clip("AI triage: ", why))
-            .when(d == "consensus-split", _clip("Consensus split — skeptic: ", why))
-            .otherwise(_clip("Pending durable triage: ", why, 160)),
+            .when(d == "ineligible", _after("AI triage: ", why, evidence_chars))
+            .when(d == "consensus-split", _after("Consensus split — skeptic: ", why, evidence_chars))
+            .otherwise(_after("Pending durable triage: ", why, parked_chars)),
         "geo_checked_at": now,
         "application_url": link,
         "tags": F.when(good, T.merge_tags(own, F.array(v["category"]), v["tags"], normalise=True))
@@ -137,6 +144,7 @@ def apply_sweep(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, as_o
     now = moment(as_of)
     t = fill(listings, "listings", "geo_evidence", "geo_checked_at", "updated_at")
     cols = t.columns
+    votes, skeptics = newest(votes, "listing_key"), newest(skeptics, "listing_key")
     v1 = votes.select(F.col("listing_key").alias("id"), F.struct("available", "eligible", "reason").alias("_v"))
     v2 = skeptics.select(F.col("listing_key").alias("id"), F.struct("available", "eligible", "reason").alias("_s"))
     t = t.join(v1, "id", "left").join(v2, "id", "left")
@@ -153,11 +161,11 @@ def apply_sweep(listings: DataFrame, votes: DataFrame, skeptics: DataFrame, as_o
         "inactive_reason": F.when(against | split, "policy-rejected").otherwise(F.col("inactive_reason")),
         "ph_eligibility": F.when(against, "ineligible").when(passed, "eligible_likely").otherwise(
             F.col("ph_eligibility")),
-        "geo_evidence": F.when(against, _clip("AI re-triage: ", reason(v["reason"], "ineligible")))
-            .when(split, _clip("Re-triage consensus split — skeptic: ", reason(s["reason"], "refuted")))
-            .when(passed & s.isNotNull() & ~seen, _clip(
-                "AI re-triage passed (single vote): ", reason(v["reason"], "eligible"), 160))
-            .when(passed, _clip("AI re-triage + skeptic agreed: ", reason(v["reason"], "eligible"), 160))
+        "geo_evidence": F.when(against, _after("AI re-triage: ", reason(v["reason"], "ineligible"), None))
+            .when(split, _after("Re-triage consensus split — skeptic: ", reason(s["reason"], "refuted"), None))
+            .when(passed & s.isNotNull() & ~seen, _after(
+                "AI re-triage passed (single vote): ", reason(v["reason"], "eligible"), None))
+            .when(passed, _after("AI re-triage + skeptic agreed: ", reason(v["reason"], "eligible"), None))
             .otherwise(F.col("geo_evidence")),
         "geo_checked_at": F.when(due, now).otherwise(F.col("geo_checked_at")),
         "updated_at": F.when(due, now).otherwise(F.col("updated_at")),

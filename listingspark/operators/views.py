@@ -117,8 +117,10 @@ def pending_batch(listings: DataFrame, n: int) -> DataFrame:
 
 
 def take_new(df: DataFrame, n: int = 50, order: str = "ordinal") -> DataFrame:
-    """The first ``n`` new rows of a run; a request outside 1-100 means 50."""
-    return df.orderBy(order).limit(n if 1 <= n <= 100 else 50)
+    """The first ``n`` new rows of a run."""
+    if n < 1:
+        raise ValueError("ask for one row at least")
+    return df.orderBy(order).limit(n)
 
 
 def left_over(df: DataFrame, taken: DataFrame, key: str = "source_url") -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.geo import geo_gate
 from ..operators.lifecycle import first_per_key, fresh_rows, revive, touch_seen
 from ..operators.verdicts import apply_verdicts, merge_verdicts
 from ..session import cut_lineage
-from ..sources.extract import extract_ats, extract_json_board, extract_rss, union_feeds
+from ..sources.extract import extract_ats, extract_html_feed, extract_json_board, extract_rss, union_feeds
 from ..sources.ingest import normalize_items
 from ..sources.state import changed_payloads
 
@@ -24,11 +24,15 @@ class IngestResult:
     counts: DataFrame
 
 
-def extract_all(payloads: DataFrame, state: DataFrame, sources: DataFrame, board_host: str) -> DataFrame:
-    """Rows of every changed payload, in the fixed order of feed kinds."""
+def extract_all(payloads: DataFrame, state: DataFrame, sources: DataFrame, board_host: str, job_path: str = "/jobseekers/job/",
+                site: str | None = None) -> DataFrame:
+    """Rows of every changed payload, in the fixed order of feed kinds: of equal addresses the first wins.
+
+    ``job_path`` marks job anchors of HTML feeds and ``site`` completes their relative addresses.
+    """
     changed = changed_payloads(payloads, state).where("not unchanged").select(*payloads.columns)
     return union_feeds(
-        extract_rss(changed, sources), extract_json_board(changed, sources, board_host),
+        extract_rss(changed, sources), extract_html_feed(changed, sources, job_path, site or f"https://www.{board_host}"), extract_json_board(changed, sources, board_host),
         *[extract_ats(changed, v) for v in ("lever", "greenhouse", "ashby", "workable", "breezy")])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that the plans rely on.  They are SQL settings and can be put on a live session.
@@ -19,25 +21,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores before text rules run on it.
-
-    A scan with at least as many splits as the cluster has cores is returned untouched, so a large
-    table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session.
+    """Checkpoint to the folder that ``spark.checkpoint.dir`` names and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Without a folder the plan is returned as it
-    is: recomputing is correct, a machine-local copy would not survive a lost executor.
+    A session on one machine that has none gets a temporary one; on a cluster its absence is an error,
+    for a machine-local copy would be lost with its executor.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder and context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df
+    return df.checkpoint()

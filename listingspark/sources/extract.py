@@ -19,7 +19,6 @@ _NODE = "struct<_VALUE:string>"
 _FEED_ITEM = f"""title {_NODE}, link struct<_VALUE:string,_href:string>, id string, pubDate string,
     published string, description {_NODE}, `dc:creator` {_NODE}, author {_NODE},
     category array<{_NODE}>, region {_NODE}, location {_NODE}"""
-BODY_CHARS, SUMMARY_CHARS = 1500, 500
 
 
 def _with_source(payloads: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
@@ -44,15 +43,27 @@ def _finish(df: DataFrame, **columns: Column) -> DataFrame:
                 "tags", "pay_range", "location_raw", "description", "posted_at")
 
 
-def extract_rss(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+_MASK = "\ufdd0"  # no character of any text
+
+
+def _mask_cdata(body: str) -> Column:
+    """A feed whose CDATA sections hold no opening bracket, so tags inside them end nothing."""
+    inside = lambda p: F.substring_index(p, "]]>", 1)
+    masked = lambda p: F.concat(F.lit("<![CDATA["), F.replace(inside(p), F.lit("<"), F.lit(_MASK)), F.substr(p, F.length(inside(p)) + 1))
+    parts = F.split(body, r"<!\[CDATA\[")
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.concat(parts[0], F.array_join(F.transform(rest, masked), ""))
+
+
+def extract_rss(payloads: DataFrame, sources: DataFrame, description_chars: int | None = None, max_tags: int | None = None) -> DataFrame:
     """RSS 2.0 items and Atom entries.
 
     Items are cut out first and parsed one by one, so a broken item costs only itself and a long feed
     never becomes one nested row.  The cap counts items before any is dropped.
     """
-    items = F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)(?=[\s>]).*?</(?:item|entry)>"), F.lit(0))
+    items = F.regexp_extract_all(_mask_cdata("body"), F.lit(r"(?s)<(?:item|entry)(?=[\s>]).*?</(?:item|entry)>"), F.lit(0))
     rows = _capped(_with_source(payloads, sources, "rss").select(
-        "*", F.posexplode(items).alias("ordinal", "xml")))
+        "*", F.posexplode(items).alias("ordinal", "xml"))).withColumn("xml", F.replace("xml", F.lit(_MASK), F.lit("<")))
     rows = once(rows, {"x": F.from_xml("xml", _FEED_ITEM)}).drop("xml", "body")
     node = lambda c: F.col(f"x.{c}._VALUE")
     link = trim(F.coalesce("x.link._VALUE", "x.link._href", "x.id"))
@@ -63,9 +74,9 @@ def extract_rss(payloads: DataFrame, sources: DataFrame) -> DataFrame:
                                       lambda c: trim(c["_VALUE"])), lambda t: t != "")
     return _finish(
         rows, title=F.col("_split.title"), company=F.col("_split.company"), type=F.col("type"), source_url=link,
-        source_platform=F.col("source_platform"), tags=T.merge_tags(F.col("source_tags"), categories, cap=10, distinct=False),
+        source_platform=F.col("source_platform"), tags=T.merge_tags(F.col("source_tags"), categories, cap=max_tags, distinct=False),
         location_raw=blank_to_null(T.strip_markup(F.coalesce(node("region"), node("location")), "rss")),
-        description=blank_to_null(F.substring(T.strip_markup(node("description"), "rss"), 1, BODY_CHARS)),
+        description=blank_to_null(T.head(T.strip_markup(node("description"), "rss"), description_chars)),
         posted_at=parse_time(F.coalesce("x.pubDate", "x.published")))
 
 
@@ -74,7 +85,8 @@ _BOARD_JOB = """array<struct<position:string,company:string,tags:array<string>,d
     apply_url:string,salary_min:double,salary_max:double,location:string,date:string>>"""
 
 
-def extract_json_board(payloads: DataFrame, sources: DataFrame, host: str) -> DataFrame:
+def extract_json_board(payloads: DataFrame, sources: DataFrame, host: str, description_chars: int | None = None,
+                       max_tags: int | None = None, relevance_chars: int | None = None) -> DataFrame:
     """JSON-array board on one ``host``; placeholder and off-topic roles are dropped."""
     jobs = F.filter(F.from_json("body", _BOARD_JOB), lambda j: (F.coalesce(j["position"], F.lit("")) != "") & (
         F.coalesce(F.nullif(j["url"], F.lit("")), F.nullif(j["apply_url"], F.lit(""))).isNotNull()))
@@ -86,14 +98,14 @@ def extract_json_board(payloads: DataFrame, sources: DataFrame, host: str) -> Da
     rows = once(rows, {"_title": text("position"), "_desc": F.coalesce(text("description"), F.lit("")),
                              "_url": F.coalesce(U.on_single_host(U.Url("_u"), host), apply), "_apply": apply})
     rows = rows.where(F.col("_url").isNotNull() & ~T.is_placeholder_title(F.col("_title"))
-                      & T.is_relevant_role(F.col("_title"), F.col("_desc")))
+                      & T.is_relevant_role(F.col("_title"), F.col("_desc"), relevance_chars))
     low, high = [F.col(f"_j_salary_{x}").cast("long") for x in ("min", "max")]
     return _finish(
         rows, title=F.col("_title"), company=blank_to_null(text("company")), type=F.col("type"), source_url=F.col("_url"),
         application_url=F.coalesce("_apply", "_url"), source_platform=F.col("source_platform"),
-        tags=T.merge_tags(F.col("source_tags"), F.col("_j_tags"), cap=12, normalise=True),
+        tags=T.merge_tags(F.col("source_tags"), F.col("_j_tags"), cap=max_tags, normalise=True),
         pay_range=T.pay_range(low, high), location_raw=blank_to_null(text("location")),
-        description=blank_to_null(F.substring("_desc", 1, BODY_CHARS)), posted_at=parse_time(F.col("_j_date")))
+        description=blank_to_null(T.head(F.col("_desc"), description_chars)), posted_at=parse_time(F.col("_j_date")))
 
 
 _PLACE = "struct<name:string,city:string,region:string,country:string,is_remote:boolean>"
@@ -122,7 +134,7 @@ def _joined(*parts: Column) -> Column:
     return blank_to_null(trim(F.concat_ws(" ", *parts)))
 
 
-def extract_ats(payloads: DataFrame, vendor: str) -> DataFrame:
+def extract_ats(payloads: DataFrame, vendor: str, summary_chars: int | None = None) -> DataFrame:
     """Postings of one tracking-system vendor; payload rows carry ``company`` and ``token``."""
     field, job = _ATS[vendor]
     schema = f"array<struct<{job}>>" if field is None else f"struct<{field}:array<struct<{job}>>>"
@@ -138,8 +150,8 @@ def extract_ats(payloads: DataFrame, vendor: str) -> DataFrame:
         place = F.when((j["workplaceType"] != "unspecified") & (j["workplaceType"] != ""), F.concat(
             F.lit("("), j["workplaceType"], F.lit(")")))
         location = _joined(_text(j["categories"]["location"]), place)
-        summary = blank_to_null(F.substring(_text(F.coalesce(
-            F.nullif(j["descriptionPlain"], F.lit("")), j["description"])), 1, SUMMARY_CHARS))
+        summary = blank_to_null(T.head(_text(F.coalesce(
+            F.nullif(j["descriptionPlain"], F.lit("")), j["description"])), summary_chars))
     elif vendor == "greenhouse":
         title, link, when = j["title"], j["absolute_url"], j["updated_at"]
         location = _text(j["location"]["name"])
@@ -174,13 +186,14 @@ def extract_ats(payloads: DataFrame, vendor: str) -> DataFrame:
         location_raw=location, description=summary, posted_at=parse_epoch_or_text(when))
 
 
-def extract_html(pages: DataFrame, job_path: str, site: str, cap: int = 100, min_title: int = 5) -> DataFrame:
+def extract_html(pages: DataFrame, job_path: str, site: str, cap: int | None = None, min_title: int = 5,
+                 keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Anchors of a page whose address contains ``job_path``.
 
-    ``pages(page_id, html)``.  A heading inside the anchor names the job, else the anchor text does;
+    ``pages`` has ``html`` and the columns of ``keep``.  A heading inside the anchor names the job, else the anchor text does;
     "See More" anchors are skipped.  Pages without any hit go through a looser reading that also skips
     images and very short texts.  ``site`` completes relative addresses.  A page is decided inside its
-    own row, so nothing is shuffled.
+    own row, so nothing is shuffled.  ``cap`` limits the items of a page, in either reading.
     """
     def anchors(pattern: str) -> Column:
         """Address and content of every anchor; the two groups of one pattern, extracted in step."""
@@ -207,9 +220,31 @@ def extract_html(pages: DataFrame, job_path: str, site: str, cap: int = 100, min
     loose = F.filter(anchors(r"""(?is)<a[^>]+href=["']([^"']*/job[^"']*)["'][^>]*>(.*?)</a>"""),
                      lambda a: ~F.contains(a["content"], F.lit("<img")))
     loose = F.filter(F.transform(loose, lambda a: item(plain(a["content"]), a["head"])), lambda x: F.length(x["title"]) >= min_title)
-    found = once(pages, {"_strict": F.slice(strict, 1, cap)})
-    found = found.select("page_id", F.posexplode(F.when(F.size("_strict") > 0, F.col("_strict")).otherwise(loose)).alias("ordinal", "x"))
-    return found.select("page_id", "ordinal", "x.title", "x.source_url")
+    found = once(pages, {"_strict": strict})
+    chosen = F.when(F.size("_strict") > 0, F.col("_strict")).otherwise(loose)
+    found = found.select(*keep, (F.size("_strict") > 0).alias("strict"), F.posexplode(chosen if cap is None else F.slice(chosen, 1, cap)).alias("ordinal", "x"))
+    return found.select(*keep, "ordinal", "x.title", "x.source_url", *(["strict"] if keep != ("page_id",) else []))
+
+
+def extract_html_feed(payloads: DataFrame, sources: DataFrame, job_path: str, site: str, labels: tuple[str, str] = ("HTML board client", "HTML page client"),
+                      summaries: tuple[str, str] = ("Remote role from an HTML board.", "Remote role.")) -> DataFrame:
+    """A14 as listing rows: HTML payloads of registered sources, dated by their fetch.
+
+    Company and description are the first label for items of the strict reading, the second for the looser one.
+    """
+    facts = ("source_id", "fetched_at", "source_platform", "type", "source_tags", "max_items")
+    rows = _with_source(payloads, sources, "html").withColumn("html", F.col("body"))
+    rows = _capped(extract_html(rows.select(*facts, "html"), job_path, site, keep=facts))
+    pick = lambda both: F.when(F.col("strict"), both[0]).otherwise(both[1])
+    return _finish(
+        rows, title=F.col("title"), company=pick(labels), type=F.col("type"), source_url=F.col("source_url"), source_platform=F.col("source_platform"),
+        tags=T.merge_tags(F.col("source_tags")), description=pick(summaries), posted_at=F.col("fetched_at"))
+
+
+def unknown_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    """Feed payloads of sources that the registry does not have, to be reported: ``source_id, kind, fetched_at``."""
+    feeds = payloads.where(F.col("kind").isin("rss", "html", "json"))
+    return feeds.join(sources.select("source_id"), "source_id", "left_anti").select("source_id", "kind", "fetched_at")
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from ..operators.geo import geo_gate
 from ..operators.lifecycle import first_per_key
 from ..skew import lookup_join
 
-MAX_ITEMS, MAX_TAGS = 200, 15
 _ITEM = {
     "title": "string", "company": "string", "type": "string", "source_url": "string", "source_platform": "string",
     "tags": "array<string>", "category": "string", "location_type": "string", "client_timezone": "string",
@@ -25,7 +24,7 @@ _ITEM = {
 }
 
 
-def conform_ingest(items: DataFrame, as_of) -> DataFrame:
+def conform_ingest(items: DataFrame, as_of, max_tags: int | None = None) -> DataFrame:
     """Caller-supplied listings to table rows.
 
     Only known descriptive fields pass; the server owns state, keys and counters.  Rows without a safe
@@ -38,6 +37,7 @@ def conform_ingest(items: DataFrame, as_of) -> DataFrame:
     df = df.withColumns({c: text_or_null(F.col(c)) for c in clean})
     df = sanitize_urls(df).where("source_url is not null").drop("quarantined", "host", "trusted_source", "ats_platform", "ats_token")
     now = moment(as_of)
+    tags = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())
     df = df.withColumns({
         "title": F.coalesce("title", F.lit("Untitled")),
         "type": T.one_of(F.col("type"), V.JOB_TYPES, "freelance"),
@@ -45,7 +45,7 @@ def conform_ingest(items: DataFrame, as_of) -> DataFrame:
         "experience_level": T.one_of(F.col("experience_level"), V.EXPERIENCE_LEVELS),
         "source_platform": F.coalesce("source_platform", F.lit("ingest")),
         "category": F.coalesce("category", F.lit("other")),
-        "tags": F.slice(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()), 1, MAX_TAGS),
+        "tags": tags if max_tags is None else F.slice(tags, 1, max_tags),
         "posted_at": parse_time(F.col("posted_at")),
         "scraped_at": F.coalesce(parse_time(F.col("scraped_at")), now),
         "last_seen_at": F.coalesce(parse_time(F.col("last_seen_at")), now),
@@ -93,12 +93,13 @@ def _fits(limit: int) -> Callable[[Column], Column]:
     return lambda text: _needs(text, limit)
 
 
-def validate_digests(items: DataFrame) -> DataFrame:
+def validate_digests(items: DataFrame, max_items: int | None = None) -> DataFrame:
     """Add ``item_error``, ``payload_ok`` and ``first_error`` to digest items.
 
     ``items(payload_id, index, creator_name, video_id, video_title, video_url, transcript_raw,
     action_plan, tags, published_at)`` with dates as text.  One bad item rejects its whole payload; the
     verdict of a payload is an aggregate that is joined back salted, so a huge payload stays spread.
+    With ``max_items`` a payload of more items is rejected too.
     """
     df = U.with_url(items, "video_url", "_u")
     error = F.when(~_needs(F.col("creator_name"), DIGEST_LIMITS["creator_name"]), "creator_name")
@@ -115,8 +116,9 @@ def validate_digests(items: DataFrame) -> DataFrame:
     verdict = df.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.when(F.col("item_error").isNotNull(), F.struct("index", F.col("item_error").alias("field")))).alias("_bad"))
-    message = F.when(F.col("_n") > MAX_ITEMS, f"more than {MAX_ITEMS} items").when(F.col("_bad").isNotNull(), F.concat(
-        F.lit("item "), F.col("_bad.index").cast("string"), F.lit(": "), F.col("_bad.field")))
+    message = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("item "), F.col("_bad.index").cast("string"), F.lit(": "), F.col("_bad.field")))
+    if max_items is not None:
+        message = F.when(F.col("_n") > max_items, f"more than {max_items} items").otherwise(message)
     verdict = verdict.select("payload_id", message.alias("first_error"))
     return lookup_join(df, verdict, ["payload_id"], ["payload_id", "index"], "inner").withColumn(
         "payload_ok", F.col("first_error").isNull())

@@ -10,13 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.ingest_batch import ingest_batch
 from ..sources.tables import read_table
 
-LATE = "1 hour"
-
-
-def new_payloads(payloads: DataFrame) -> DataFrame:
+def new_payloads(payloads: DataFrame, late: str = "1 hour") -> DataFrame:
     """Payloads not seen before within the watermark: one per source and body."""
     df = payloads.where("fetched_at is not null").withColumn("body_hash", F.sha2("body", 256))
-    return df.withWatermark("fetched_at", LATE).dropDuplicatesWithinWatermark(["source_id", "body_hash"]).drop("body_hash")
+    return df.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["source_id", "body_hash"]).drop("body_hash")
 
 
 def run_ingest(payloads: DataFrame, folder: str, sources: DataFrame, votes: Callable[[], DataFrame],

@@ -1,7 +1,7 @@
 """Event-time windows over fetch events (K2, K7) and click counts (K6).
 
 All take a streaming or a batch DataFrame.  Rows without a time are dropped before the watermark;
-rows later than the watermark are dropped by it.
+rows later than the watermark, which trails the newest event by ``late``, are dropped by it.
 """
 
 from __future__ import annotations
@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.views import outbound_clicks
 
-LATE = "1 hour"
-
-
-def _timed(events: DataFrame) -> DataFrame:
-    return events.where("ts is not null and source_id is not null").withWatermark("ts", LATE)
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.where("ts is not null and source_id is not null").withWatermark("ts", late)
 
 
 def _measures() -> list:
@@ -22,17 +19,17 @@ def _measures() -> list:
             F.sum("cnt").alias("items"), F.count_if(~F.col("ok")).alias("failed")]
 
 
-def health_windows(events: DataFrame, length: str = "24 hours", slide: str | None = "1 hour") -> DataFrame:
+def health_windows(events: DataFrame, length: str = "24 hours", slide: str | None = "1 hour", late: str = "1 hour") -> DataFrame:
     """K2: source health per window; ``slide=None`` gives tumbling windows for daily or weekly digests."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    out = _timed(events).groupBy("source_id", window.alias("w")).agg(*_measures())
+    out = _timed(events, late).groupBy("source_id", window.alias("w")).agg(*_measures())
     return out.select("source_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       "attempts", "ok", "skipped", "items", "failed")
 
 
-def activity_sessions(events: DataFrame, gap: str = "3 hours") -> DataFrame:
+def activity_sessions(events: DataFrame, gap: str = "3 hours", late: str = "1 hour") -> DataFrame:
     """K7: unbroken activity per source; a gap longer than ``gap`` shows that the clock stopped."""
-    out = _timed(events).groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(
+    out = _timed(events, late).groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("attempts"), F.sum("cnt").alias("items"))
     return out.select("source_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
                       "attempts", "items")

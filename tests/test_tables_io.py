@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from listingspark.schemas import conform
-from listingspark.session import spread
 from listingspark.sources import tables
 
 
@@ -38,8 +37,3 @@ def test_listing_scan_prunes_partitions(spark, tmp_path):
     tables.write_table(t, path, ["is_active"])
     plan = tables.read_table(spark, path, "listings").where("is_active").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(is_active" in plan and "ReadSchema: struct<id:bigint>" in plan
-
-
-def test_spread_leaves_large_inputs_alone(spark):
-    small, large = spark.range(0, 10, 1, 1), spark.range(0, 10, 1, 64)
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(large) is large
