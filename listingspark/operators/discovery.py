@@ -59,8 +59,13 @@ def drain(classified: DataFrame, n: int = 15, ceiling: int | None = None) -> Dat
 
 
 def add_prospects(companies: DataFrame, drained: DataFrame, as_of) -> DataFrame:
-    """Directory plus drained companies; a discovered tenant is stored but stays disabled by policy."""
+    """Directory plus drained companies; a discovered tenant is stored but stays disabled by policy.
+
+    Rows flagged as over the ceiling of a run wait for a person.
+    """
     have = fill(companies, "companies", "notes", "is_remote")
+    if "over_ceiling" in drained.columns:
+        drained = drained.where("not over_ceiling")
     day = F.date_format(moment(as_of), "yyyy-MM-dd")
     note = F.concat(F.lit("Prospector auto-add "), day, F.lit(": discovered from "), F.col("jobs").cast("string"),
                     F.lit(" active job(s); sample "), F.coalesce("sample_url", F.lit("n/a")), F.lit("."))

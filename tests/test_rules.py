@@ -194,7 +194,7 @@ def test_votes(spark):
     texts = ['{"eligibleForFilipinos": true, "category": "tech", "tags": ["a","b","c","d","e","f"], "employmentType": "contract"}',
              'Sure! {"eligibleForFilipinos": false, "reason": "US"} bye', '```json\n{"eligibleForFilipinos": true}\n```', '{"eligibleForFilipinos": "true"}', "nothing", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
-    out = sorted(cleaning.clean_votes(df).select("i", "available", "eligible", "reason", "category", F.size("tags")).collect())
+    out = sorted(cleaning.clean_votes(df, max_tags=5).select("i", "available", "eligible", "reason", "category", F.size("tags")).collect())
     assert [tuple(r)[1:] for r in out] == [
         (True, True, "AI classified", "tech", 5), (True, False, "US", "other", 0), (True, True, "AI classified", "other", 0),
         (False, None, "AI classified", "other", 0), (False, None, "AI classified", "other", 0), (False, None, "AI classified", "other", 0)]
