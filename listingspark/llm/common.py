@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -22,14 +23,16 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Without that setting the checkpoint folder of the context is used, and without either this fails:
-    a machine-local folder would be lost with its machine.
+    Without that setting the checkpoint folder of the context is used.  Without either, a session on one machine
+    gets a temporary folder, and a cluster an error: a machine-local folder would be lost with its machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
