@@ -105,16 +105,26 @@ def limited(events):
         (n % 3 == 0) & (F.col("rn") <= n % 5 + 1), "fetch: HTTP 429").otherwise(F.col("error"))).drop("rn")
 
 
-STREAK = f"""le AS ({LIMITED}), rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, id DESC) AS r FROM le WHERE NOT skipped),
-st AS (SELECT source_id, CAST(coalesce(min(r) FILTER (WHERE NOT coalesce(contains(error, 'HTTP 429'), false)), count(*) + 1) - 1 AS INT) AS streak FROM rk WHERE r <= 20 GROUP BY 1),
+def _streak(recent: str) -> str:
+    return f"""le AS ({LIMITED}), rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, id DESC) AS r FROM le WHERE NOT skipped),
+st AS (SELECT source_id, CAST(coalesce(min(r) FILTER (WHERE NOT coalesce(contains(error, 'HTTP 429'), false)), count(*) + 1) - 1 AS INT) AS streak FROM rk WHERE {recent} GROUP BY 1),
 sb AS (SELECT *, CAST(CASE WHEN streak = 0 THEN 0 ELSE least(240, 30 * 2 ** (least(streak, 4) - 1)) END AS INT) AS backoff_minutes FROM st)"""
 
 
+STREAK = _streak("true")
+
+
 @query(f"WITH {STREAK} SELECT source_id, streak, backoff_minutes FROM sb", "fetch_events")
 def rate_limit_streak(events):
     return P.rate_limit_streak(limited(events))
 
 
+@query(f"WITH {_streak('r <= 3')} SELECT source_id, streak, backoff_minutes FROM sb", "fetch_events")
+def rate_limit_streak_3(events):
+    """Only the last three attempts are looked at."""
+    return P.rate_limit_streak(limited(events), 3)
+
+
 CADENCE_NOW = "2024-01-31 00:30:00"
 
 

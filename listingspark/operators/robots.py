@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import urls as U
 from ..functions.regex import blank_to_null, trim
 from ..functions.times import before
-from ..skew import lookup_join
 
 FRESH_HOURS = 24
 _LINE_END = r"\r\n|\r|\n"
@@ -122,7 +121,7 @@ def robots_verdicts(urls: DataFrame, docs: DataFrame, agent: str) -> DataFrame:
     """
     df = U.with_url(urls, "url", "_u")
     df = df.withColumns({"origin": U.origin_of(U.Url("_u")), "_path": F.concat(U.Url("_u")["path"], U.Url("_u")["query"])})
-    df = lookup_join(df, _policy(docs, agent), ["origin"], ["url"])
+    df = df.join(_policy(docs, agent), ["origin"], "left")
     best = F.array_max(F.filter("rules", lambda r: _pattern_hit(r["pattern"], F.col("_path"))))
     df = df.withColumn("_best", best)
     won = F.col("_best").isNotNull()
@@ -148,8 +147,7 @@ def robots_gate(urls: DataFrame, docs: DataFrame, agent: str, as_of, mode: str =
     signals = robots_signals(fresh)
     facts = fresh.select("origin", "status", "status_verdict", "error", (F.coalesce(F.length("body"), F.lit(0)) > 0
                          ).alias("_has_body")).join(signals.select("origin", "ai_input"), "origin")
-    df = lookup_join(judged.withColumnsRenamed({"verdict": "_v", "evidence": "_e", "crawl_delay": "_d"}),
-                     facts, ["origin"], ["url"])
+    df = judged.withColumnsRenamed({"verdict": "_v", "evidence": "_e", "crawl_delay": "_d"}).join(facts, ["origin"], "left")
     known = F.col("_has_body").isNotNull()
     http = F.col("status").cast("string")
     state = (

@@ -7,13 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T, urls as U
 from ..functions.times import moment
 from ..schemas import fill
-from ..skew import lookup_join
 
 
 def classify_fetch(events: DataFrame, sources: DataFrame) -> DataFrame:
     """C11: add ``outcome`` to fetch events: policy first, then transport, payload shape and count."""
     known = sources.select("source_id", F.col("status").alias("_status"))
-    df = lookup_join(events, known, ["source_id"], ["id"])
+    df = events.join(known, ["source_id"], "left")
     message = F.lower(F.coalesce("error", F.lit("")))
     return df.withColumn("outcome", (
         F.when(F.coalesce(F.col("_status"), F.lit("allowed")) != "allowed", "POLICY_BLOCKED")

@@ -9,7 +9,6 @@ from ..functions import text as T, urls as U
 from ..functions.regex import has_text
 from ..functions.times import before, effective_at, iso
 from ..schemas import fill
-from ..skew import lookup_join
 
 CARD = ["id", "title", "company", "type", "source_url", "source_platform", "posted_at", "experience_level",
         "geo_scope", "ph_eligibility", "geo_evidence"]
@@ -165,7 +164,7 @@ def outbound_clicks(clicks: DataFrame, listings: DataFrame) -> DataFrame:
     ``clicks(id, url)``.  An untrusted stored apply link leads to the source instead.
     """
     stored = listings.select("id", "source_url", "application_url")
-    df = lookup_join(clicks, stored, ["id"], ["url", "click_id"], "left")
+    df = clicks.join(stored, ["id"], "left")
     df = U.with_url(U.with_url(df, "source_url", "_src"), "application_url", "_app")
     source = U.safe_source(U.Url("_src"), F.col("source_url"))
     apply = U.trusted_apply(U.Url("_app"), F.col("application_url"), U.Url("_src"), F.col("source_url"))

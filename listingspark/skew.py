@@ -1,24 +1,9 @@
-"""Joins and running sums that hold when one key owns a third of all rows."""
+"""Running counts that hold when one key owns a third of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
-
-
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left",
-                salts: int = SALTS) -> DataFrame:
-    """Join facts to a table with at most one row per key, without gathering a hot key in one task.
-
-    Facts are spread over ``salts`` by a hash of their own ``spread`` columns and the lookup side is
-    repeated per salt, so a key with a third of the rows is read by ``salts`` tasks.  The result is
-    the plain join.  A lookup below the broadcast threshold is still broadcast by the optimizer.
-    """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
 
 def count_since(df: DataFrame, key: list[str], at: str, tie: str, counted: Column, reset: Column, name: str,
                 before: bool = False, bucket: str = "hour") -> DataFrame:

@@ -12,7 +12,6 @@ from ..functions import text as T, urls as U
 from ..functions.regex import SPACE, blank_to_null, trim
 from ..functions.times import parse_epoch_or_text, parse_time
 from ..schemas import fill
-from ..skew import lookup_join
 from ..stages import once
 
 _NODE = "struct<_VALUE:string>"
@@ -26,7 +25,7 @@ def _with_source(payloads: DataFrame, sources: DataFrame, kind: str) -> DataFram
         "source_id", F.col("platform").alias("source_platform"), F.col("default_type").alias("type"),
         F.col("tags").alias("source_tags"), "max_items")
     mine = payloads.where((F.col("kind") == kind) & F.col("body").isNotNull())
-    return lookup_join(mine, facts, ["source_id"], ["source_id", "fetched_at"], "inner")
+    return mine.join(facts, ["source_id"], "inner")
 
 
 def _capped(rows: DataFrame, default: int | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from ..functions.times import moment, parse_time
 from ..operators.cleaning import add_keys, sanitize_urls
 from ..operators.geo import geo_gate
 from ..operators.lifecycle import first_per_key
-from ..skew import lookup_join
 
 _ITEM = {
     "title": "string", "company": "string", "type": "string", "source_url": "string", "source_platform": "string",
@@ -120,7 +119,7 @@ def validate_digests(items: DataFrame, max_items: int | None = None) -> DataFram
     if max_items is not None:
         message = F.when(F.col("_n") > max_items, f"more than {max_items} items").otherwise(message)
     verdict = verdict.select("payload_id", message.alias("first_error"))
-    return lookup_join(df, verdict, ["payload_id"], ["payload_id", "index"], "inner").withColumn(
+    return df.join(verdict, ["payload_id"], "inner").withColumn(
         "payload_ok", F.col("first_error").isNull())
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.regex import has_text, trim
 from ..schemas import fill
-from ..skew import lookup_join
 
 OFF = ["paused", "deprecated"]
 
@@ -64,9 +63,9 @@ def resolve_ats_policy(companies: DataFrame, token_policy: DataFrame, platform_p
         return df.select(key, F.struct("enabled", "status", "notes").alias(name))
 
     df = _tenant_key(companies)
-    df = lookup_join(df, valid_pauses(pauses).withColumnRenamed("source_id", "source_key"), ["source_key"], ["id"])
-    df = lookup_join(df, packed(token_policy, "source_key", "_tp"), ["source_key"], ["id"])
-    df = lookup_join(df, packed(platform_policy, "ats_platform", "_pp"), ["ats_platform"], ["id"])
+    df = df.join(valid_pauses(pauses).withColumnRenamed("source_id", "source_key"), ["source_key"], "left")
+    df = df.join(packed(token_policy, "source_key", "_tp"), ["source_key"], "left")
+    df = df.join(packed(platform_policy, "ats_platform", "_pp"), ["ats_platform"], "left")
     paused = F.when(F.col("note").isNotNull(), F.struct(
         F.lit(False).alias("enabled"), F.lit("paused").alias("status"), F.col("note").alias("notes")))
     unknown = F.struct(F.lit(False).alias("enabled"), F.lit("paused").alias("status"), F.concat(
@@ -88,11 +87,11 @@ def plan_ats_fetch(resolved: DataFrame, rotated: str = "workable", n: int = 2) -
         F.col("verified_at").asc_nulls_first(), "source_key", "company_name", "id")
     turn = df.where(F.col("ats_platform") == rotated).withColumn("_r", F.row_number().over(oldest)).where(
         F.col("_r") <= n).select("source_key", F.lit(True).alias("_turn")).distinct()
-    df = lookup_join(df, turn, ["source_key"], ["id"])
+    df = df.join(turn, ["source_key"], "left")
     waits = (F.col("ats_platform") == rotated) & F.col("_turn").isNull()
     df = df.withColumn("_state", F.when(~F.col("enabled"), "policy").when(waits, "rotation"))
     first = df.where("_state is null").groupBy("source_key").agg(F.min(F.struct("company_name", "id")).alias("_first"))
-    df = lookup_join(df, first, ["source_key"], ["id"])
+    df = df.join(first, ["source_key"], "left")
     plan = F.coalesce("_state", F.when(F.col("id") == F.col("_first.id"), "fetch").otherwise("duplicate"))
     return df.withColumns({
         "plan": plan,

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import urls as U
 from ..functions.times import before, moment
 from ..schemas import fill
-from ..skew import lookup_join
 
 BACKOFF_BASE, BACKOFF_CAP = 30, 240
 
@@ -33,12 +32,19 @@ def _recent(events: DataFrame, n: int) -> DataFrame:
         "_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
 
 
-def rate_limit_streak(events: DataFrame, n: int = 20) -> DataFrame:
-    """Per source the unbroken run of ``HTTP 429`` at the newest end, and the cooldown it earns."""
+def rate_limit_streak(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Per source the unbroken run of ``HTTP 429`` at the newest end, and the cooldown it earns.
+
+    The run counts attempts after the newest one that was not refused: two sums per source, combined before
+    the shuffle.  With ``n`` only the last ``n`` attempts are looked at.
+    """
     limited = F.coalesce(F.contains(F.col("error"), F.lit("HTTP 429")), F.lit(False))
-    return _recent(events, n).groupBy("source_id").agg(
-        (F.coalesce(F.min(F.when(~limited, F.col("_rank"))), F.count(F.lit(1)) + 1) - 1).cast("int").alias("streak")
-    ).withColumn("backoff_minutes", backoff_minutes(F.col("streak")))
+    tried = _recent(events, n) if n is not None else events.where(~F.col("skipped") & F.col("source_id").isNotNull())
+    place = F.struct("ts", "id")
+    last = tried.groupBy("source_id").agg(F.max(F.when(~limited, place)).alias("_last"))
+    since = F.col("_last").isNull() | (place > F.col("_last"))
+    return tried.select("source_id", "ts", "id").join(last, "source_id").groupBy("source_id").agg(
+        F.count_if(since).cast("int").alias("streak")).withColumn("backoff_minutes", backoff_minutes(F.col("streak")))
 
 
 def backoff_minutes(streak):
@@ -48,7 +54,7 @@ def backoff_minutes(streak):
                   ).otherwise(0)
 
 
-def plan_cadence(sources: DataFrame, state: DataFrame, events: DataFrame, as_of, window: int = 20) -> DataFrame:
+def plan_cadence(sources: DataFrame, state: DataFrame, events: DataFrame, as_of, window: int | None = None) -> DataFrame:
     """Which sources may be fetched now: ``due``, ``interval``, ``group`` or ``off``.
 
     Wait for the own interval plus, inside a shared-origin group, the cooldown.  Of the members that
@@ -66,7 +72,7 @@ def plan_cadence(sources: DataFrame, state: DataFrame, events: DataFrame, as_of,
     never = F.lit("0001-01-01").cast("timestamp")
     winner = df.where(F.col("_state").isNull() & grouped).groupBy("cadence_group").agg(F.min(F.struct(
         F.coalesce("last_attempt_at", never).alias("a"), "position", "source_id"))["source_id"].alias("turn_of"))
-    df = lookup_join(df, winner, ["cadence_group"], ["source_id"])
+    df = df.join(winner, ["cadence_group"], "left")
     waits = grouped & (F.col("source_id") != F.col("turn_of"))
     return df.withColumn("decision", F.coalesce("_state", F.when(waits, "group").otherwise("due"))).drop("_state", "streak")
 

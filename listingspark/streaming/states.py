@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..skew import count_since, lookup_join
+from ..skew import count_since
 
 STREAK_OUT = "key string, at timestamp, streak int, backoff_minutes int"
 STRIKES_OUT = "key string, at timestamp, strikes int, reached_threshold boolean"
@@ -126,7 +126,7 @@ def incident_actions(signals: DataFrame, open_incidents: DataFrame | None = None
     else:
         prior = open_incidents.groupBy(F.lower("incident_key").alias("incident_key")).agg(
             F.min(F.struct("number", "healthy_streak"))["healthy_streak"].cast("int").alias("_prior"))
-        df = lookup_join(df, prior, ["incident_key"], ["id"])
+        df = df.join(prior, ["incident_key"], "left")
     key, bad, good = ["incident_key"], F.col("signal") == "failing", F.col("signal") == "healthy"
     df = count_since(df, key, "ts", "id", good, bad, "_since", before=True)
     # Healthy signals since the failing one before this row; NULL when no incident was ever open.
