@@ -27,13 +27,12 @@ def seen_rows(listings: DataFrame, batch: DataFrame) -> DataFrame:
 def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
     """First row per key in batch order; rows without the key are kept.
 
-    A row without the key is a group of its own, by its place in the batch, so the batch is read once.  A rank
-    of one is pushed below the shuffle, so at most one row per key and task travels.
+    A row without the key is a group of its own, so the batch is read once.  A rank of one is pushed below the
+    shuffle, so at most one row per key and task travels.
     """
-    alone = F.when(F.col(key).isNull(), F.xxhash64(F.struct(order)))
-    place = Window.partitionBy(key, alone).orderBy(order)
-    rank = F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.col("_rank"))
-    return batch.withColumn("_rank", F.row_number().over(place)).where(rank == 1).drop("_rank")
+    numbered = batch.withColumn("_alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    place = Window.partitionBy(key, "_alone").orderBy(order)
+    return numbered.withColumn("_rank", F.row_number().over(place)).where("_rank = 1").drop("_rank", "_alone")
 
 
 def fresh_rows(target: DataFrame, batch: DataFrame, order: str = "ordinal") -> DataFrame:
