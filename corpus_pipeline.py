@@ -18,7 +18,8 @@ from listingspark.llm.queries import word_tokenizer
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 NEAR_WORDS = 5
-NEAR_RADIUS = 12  # of 64 bits: a similarity of 0.8 or more
+NEAR_RADIUS = 16  # of 64 bits: where links are looked for
+NEAR_SIMILARITY = 0.8
 NEAR_BANDS = (16, 4)
 
 
@@ -40,11 +41,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: one document of each group of near-duplicates stays, the one with the smallest id.
 
-    Five-word shingles; similar is a SimHash similarity of 0.8 or more (12 of 64 bits or fewer differ).
-    Minima of shingle hashes give the blocks, since bits alone can't block at that radius.  Of repeated
-    rows with one id one stays; a row without an id can't be named and stays.
+    Links are looked for within 16 of 64 bits over five-word shingles, in blocks of equal minima of shingle
+    hashes, since bits alone can't block at that radius; a link stays where the sets of shingles have a
+    Jaccard similarity of 0.8 or more.  Of repeated rows with one id one stays; a row without an id can't be
+    named and stays.
     """
-    found = simhash.near_duplicates(docs, words=NEAR_WORDS, radius=NEAR_RADIUS, bands=NEAR_BANDS)
+    found = simhash.near_duplicates(docs, words=NEAR_WORDS, radius=NEAR_RADIUS, bands=NEAR_BANDS, similarity=NEAR_SIMILARITY)
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     named = docs.join(first, docs["doc_id"].cast("long") == first["_first"]).drop("_first")
     taken = set(docs.columns)

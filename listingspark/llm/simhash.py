@@ -12,7 +12,10 @@ wide radii ``bands`` of minima over the shingle hashes may give the keys instead
 distance to all of them grows plane by plane in carry-save counters, and words of which every lane
 exceeds the radius are abandoned.  A key with many nodes is split into tiles that are compared pair
 by pair in tasks of their own.  A task keeps only the links that join two trees of its forest, so a
-group of n near copies gives at most n - 1 links per tile pair, never all pairs.
+group of n near copies gives at most n - 1 links per tile pair, never all pairs.  Closer pairs join first.
+
+*Similarity.*  Where a ``similarity`` is asked for, a link stays only if the sets of shingles of the two nodes
+are that similar (Jaccard); the texts of linked nodes alone are read again for it.
 
 *Classes.*  Links are contracted by alternating large and small stars until nothing changes.
 
@@ -180,6 +183,11 @@ def _above(counter: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
+def _steps(radius: int) -> list[int]:
+    """Radii up to the one asked for, so that near pairs are joined before farther ones."""
+    return [radius] if radius < 8 else [3 * radius // 8, 5 * radius // 8, radius]
+
+
 def _compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest between two tiles, or inside one."""
     nodes = left if right is None else np.concatenate((left, right))
@@ -187,12 +195,14 @@ def _compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[n
     forest, other = _Forest(len(nodes)), left if right is None else right
     planes = planes_of(other)
     step = max(1, (1 << 16) // planes.shape[1])
-    for i in range(0, len(left), step):
-        q, lane = within(left[i:i + step], planes, len(other), radius)
-        if right is None:
-            keep = q + i < lane
-            q, lane = q[keep], lane[keep]
-        forest.join(zip((q + i).tolist(), (lane + base).tolist(), strict=True))
+    for reach in _steps(radius):
+        for i in range(0, len(left), step):
+            q, lane = within(left[i:i + step], planes, len(other), reach)
+            if right is None:
+                keep = q + i < lane
+                q, lane = q[keep], lane[keep]
+            near = np.argsort(np.bitwise_count(left[q + i] ^ other[lane]), kind="stable")
+            forest.join(zip((q + i)[near].tolist(), (lane + base)[near].tolist(), strict=True))
     return nodes[forest.a], nodes[forest.b]
 
 
@@ -297,11 +307,36 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float, words: int, lower: bool,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links of which the two nodes' first documents share at least ``similarity`` of their sets of shingles."""
+    first = found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    ends = pairs.join(first.select(F.col("node").alias("a"), F.col("doc").alias("doc_a")), "a").join(
+        first.select(F.col("node").alias("b"), F.col("doc").alias("doc_b")), "b")
+    ends = stored(ends, "linked")
+    wanted = ends.select(F.col("doc_a").alias("doc")).unionByName(ends.select(F.col("doc_b").alias("doc"))).distinct()
+    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).join(wanted, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words, lower)).view(np.int64) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+
+    sets = rows.mapInArrow(run, "doc long, shingles array<long>").dropDuplicates(["doc"])
+    both = ends.join(sets.select(F.col("doc").alias("doc_a"), F.col("shingles").alias("s")), "doc_a").join(
+        sets.select(F.col("doc").alias("doc_b"), F.col("shingles").alias("t")), "doc_b")
+    common, all_ = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
+    return both.filter(common >= similarity * all_ - 1e-9).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, parts: int = 6,
-                    lower: bool = True, bands: tuple[int, int] | None = None) -> DataFrame:
+                    lower: bool = True, bands: tuple[int, int] | None = None, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest ``doc_id`` reachable over links, itself included."""
     found = stored(fingerprints(docs, id_col, text_col, words, lower, bands), "fingerprints")
-    roots = components(links(found, radius, parts, bands is not None))
+    pairs = links(found, radius, parts, bands is not None)
+    if similarity is not None:
+        pairs = similar_links(docs, found, pairs, similarity, words, lower, id_col, text_col)
+    roots = components(pairs)
     least = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
