@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import documents, ship, texts
 
-_WORD = re.compile(r" +[^ ]*|[^ ]+")
+_WORD = re.compile(r" +[^ ]*")
 _MARK = "▁"
 _ALL = (1 << 64) - 1
 _NONE = float("inf")
@@ -36,7 +37,10 @@ _LOADED: dict[tuple, Pieces] = {}
 
 
 class _Segments(dict):
-    """Word to packed ids for one variant; dropped whole when full."""
+    """Word to packed ids for one variant; dropped whole when full.
+
+    A word after one space is kept without it, one after several spaces with all of them.
+    """
 
     def __init__(self, pieces: Pieces, variant: int, most: int):
         super().__init__()
@@ -45,7 +49,7 @@ class _Segments(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = array("i", self.pieces.segment(word, self.variant)).tobytes()
+        found = self[word] = array("i", self.pieces.segment(word if word[:1] == " " else " " + word, self.variant)).tobytes()
         return found
 
 
@@ -71,18 +75,16 @@ class Pieces:
             self.bytes_of[i] = k.encode()
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
-        self.limit = int(dropout * (1 << 64))
+        self.limit = round(dropout * (1 << 16))
         self.seed, self.variants = seed & _ALL, variants if self.limit else 1
         self.longest = max(map(len, self.ids))
         self.segments = [_Segments(self, v, most_words // self.variants) for v in range(self.variants)]
 
     def segment(self, word: str, variant: int) -> list[int]:
         """Ids of one word with the spaces before it."""
-        from xxhash import xxh64_intdigest
-
-        key = xxh64_intdigest(word, self.seed + variant * 0x9E3779B97F4A7C15 & _ALL) & _ALL >> 1 if self.limit and len(word) > 1 else 0
         ids, out = self.ids, []
-        for s in self._agenda(word, key) if len(word) > _SHORT else self._scan(word, key):
+        draw = self._draws(word, self.seed + variant * 0x9E3779B97F4A7C15 & _ALL).__next__ if self.limit else None
+        for s in self._agenda(word, draw) if len(word) > _SHORT else self._scan(word, draw):
             i = ids.get(s)
             if i is None or s == _MARK:
                 out.extend(self.byte[b] for b in s.encode())
@@ -90,10 +92,17 @@ class Pieces:
                 out.append(i)
         return out
 
-    def _scan(self, word: str, key: int) -> list[str]:
-        """A short agenda kept as a list of ranks, the least of which is looked up."""
-        from xxhash import xxh64_intdigest
+    @staticmethod
+    def _draws(word: str, key: int) -> Iterator[int]:
+        """A number below 65,536 for each candidate in turn: parts of keyed hashes of the word, eight to a hash."""
+        from xxhash import xxh3_128_digest
+
+        while True:
+            yield from unpack("<8H", xxh3_128_digest(word, key))
+            key = key + 1 & _ALL
 
+    def _scan(self, word: str, draw) -> list[str]:
+        """A short agenda kept as a list of ranks, the least of which is looked up."""
         get, limit = self.rank.get, self.limit
         symbols = list(word)
         ranks = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
@@ -102,13 +111,10 @@ class Pieces:
             if least == _NONE:
                 break
             i = ranks.index(least)
-            pair = symbols[i] + symbols[i + 1]
-            if limit:
-                key += 1
-                if xxh64_intdigest(pair, key) < limit:
-                    ranks[i] = _NONE
-                    continue
-            symbols[i] = pair
+            if limit and draw() < limit:
+                ranks[i] = _NONE
+                continue
+            pair = symbols[i] = symbols[i] + symbols[i + 1]
             del symbols[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get(symbols[i - 1] + pair, _NONE)
@@ -116,10 +122,8 @@ class Pieces:
                 ranks[i] = get(pair + symbols[i + 1], _NONE)
         return symbols
 
-    def _agenda(self, word: str, key: int) -> list[str]:
+    def _agenda(self, word: str, draw) -> list[str]:
         """A long agenda kept as a heap; entries of which a side was merged meanwhile are passed over."""
-        from xxhash import xxh64_intdigest
-
         rank, limit = self.rank, self.limit
         symbols: list[str | None] = list(word)
         n = len(symbols)
@@ -131,10 +135,8 @@ class Pieces:
             left, j = symbols[i], after[i]
             if left is None or j >= n or left + symbols[j] != pair:
                 continue
-            if limit:
-                key += 1
-                if xxh64_intdigest(pair, key) < limit:
-                    continue
+            if limit and draw() < limit:
+                continue
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
             if k < n:
@@ -153,7 +155,11 @@ class Pieces:
         """Packed 32-bit ids of a whole text; ``doc`` tells documents apart."""
         if not text:
             return b""
-        words = _WORD.findall(" " + text.decode("utf-8", "replace"))
+        plain = text.decode("utf-8", "replace")
+        if "  " in plain or plain[0] == " ":
+            words = [w if w[1:2] == " " else w[1:] for w in _WORD.findall(" " + plain)]
+        else:
+            words = plain.split(" ")
         if self.variants == 1:
             return b"".join(map(self.segments[0].__getitem__, words))
         from xxhash import xxh64_intdigest
