@@ -90,7 +90,8 @@ def _unrole(role: str) -> str:
 
 
 def canonical_turns(records: DataFrame, json_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep``, ``layout``, ``schema_hash`` and ``turns``: an array of role and text."""
+    """``keep``, ``layout``, ``schema_hash`` and ``turns``: an array of role and text.  Kept columns with these names give way."""
+    keep = tuple(c for c in keep if c not in ("layout", "schema_hash", "turns"))
     df = records.select(*[records[c].alias(f"_k{i}") for i, c in enumerate(keep)], F.try_parse_json(records[json_col]).alias("v"))
     present = ", ".join(f"IF(try_variant_get(v, '{p}', 'variant') IS NULL, NULL, '{p}')" for p in _PATHS)
     df = once_sql(df, {"schema_hash": f"xxhash64(concat_ws('|', {present}))"})

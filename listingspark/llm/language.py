@@ -95,12 +95,9 @@ class Classifier:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = 7, margin: int = 1,
              names: tuple[str, str, str] = ("lang_pred", "score", "rejected"), carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns by default) with the predicted language, its score, and whether it is rejected:
-    unknown, or by a margin under ``margin`` bytes.  The new ``names`` must not be those of carried columns."""
+    unknown, or by a margin under ``margin`` bytes.  A carried column with one of the new ``names`` gives way to it."""
     ship(docs.sparkSession)
-    carry = docs.columns if carry is None else carry
-    clash = set(names) & set(carry)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
     inner = docs.select(docs[text_col].cast("string").alias("_judged"), *[docs[c] for c in carry])
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in inner.schema.fields[1:]], T.StructField(names[0], T.StringType()),
                            T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])

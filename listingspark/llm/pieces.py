@@ -199,7 +199,8 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, va
 
 
 def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id", "ids"), ids_col: str = "ids") -> DataFrame:
-    """``keep`` and ``decoded``: the texts of piece ids."""
+    """``keep`` and ``decoded``: the texts of piece ids; a kept column of that name gives way to it."""
+    keep = tuple(c for c in keep if c != "decoded")
     ship(encoded.sparkSession)
     rows = encoded.select(encoded[ids_col].cast("array<int>").alias("_ids"), *[encoded[c] for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", decoded string"

@@ -64,12 +64,14 @@ RULES = [
 ]
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
+METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"]
 _BITS = 24  # of a packed window: its place; the others are the top bits of its hash
 _LOW = (1 << _BITS) - 1
 
 
 def metrics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the metrics, all long."""
+    """``keep`` and the metrics, all long; a kept column with the name of a metric gives way to it."""
+    keep = tuple(c for c in keep if c not in METRICS)
     df = docs.select(*[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     space = "' \\t\\n\\u000b\\u000c\\r'"
@@ -99,7 +101,7 @@ def metrics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
         filter(sequence(0L, size(_grams) - 1L), i -> size(filter(_grams, g -> g = _grams[CAST(i AS int)])) > 1),
         transform(_packed, x -> x & {_LOW}L)))"""})
     repeated = "aggregate(transform(_at, (x, j) -> IF(j = 0, 3L, least(3L, x - _at[greatest(j - 1, 0)]))), 0L, (a, x) -> a + x)"
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"]
+    names = METRICS[:-1]
     return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).cast("long").alias(c) for c in names],
                      F.expr(repeated).alias("n_repeat_words"))
 
@@ -109,7 +111,8 @@ def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
 
     Null and empty texts fail; repeated rows are judged alike; an empty table gives no rows.
     """
-    df = metrics(docs, text_col, keep)
+    made = {"base_failed", "kept", *(f"failed_{r.name}" for r in rules)}
+    df = metrics(docs, text_col, tuple(c for c in keep if c not in made))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     failed = [(~r.passes()).alias(f"failed_{r.name}") for r in rules]
     passed = ~base

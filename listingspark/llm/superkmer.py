@@ -255,8 +255,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    batch_docs: int = BATCH_DOCS, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """``doc_id, kept`` (the words that stay, joined by one space)``, n_words, n_removed``, and the columns of ``carry``.
 
-    With ``untouched`` a text that loses no word is kept as it is.
+    With ``untouched`` a text that loses no word is kept as it is.  A carried column with the name of one of the
+    first four gives way to it.
     """
+    carry = tuple(c for c in carry if c not in ("doc_id", "kept", "n_words", "n_removed"))
     ship(docs.sparkSession)
     rows = documents(docs, id_col, text_col)
     others = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]).schema

@@ -281,8 +281,8 @@ def test_language_learns_only_where_told(spark):
 
 
 def test_language_edges(odd, empty):
-    with pytest.raises(ValueError, match="other names"):
-        language.classify(odd, {}, names=("part", "score", "rejected"))
+    clash = language.classify(odd, {}, names=("part", "score", "rejected"))
+    assert clash.columns.count("part") == 1 and {r.part for r in clash.collect()} == {"und"}
     got = language.classify(odd, {}).collect()
     assert len(got) == odd.count() and all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in got)
     assert language.fit(empty) == {} and language.classify(empty, {"en": b"the of and"}).collect() == []
@@ -385,6 +385,7 @@ def test_repeats_against_brute_force(spark, odd, which, batch):
 
 
 def test_repeats_carry_columns(odd, empty):
+    assert superkmer.remove_repeats(odd, carry=("n_words", "part")).columns == ["doc_id", "kept", "n_words", "n_removed", "part"]
     got = superkmer.remove_repeats(odd, carry=("part", "node", "key"), untouched=True)
     assert got.columns == ["doc_id", "kept", "n_words", "n_removed", "part", "node", "key"]
     assert all((r.part, r.node, r.key) == ("p", "n", 3) for r in got.collect())
@@ -410,6 +411,7 @@ def test_rules_against_brute_force(odd, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_rules(r.text)
         assert r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and not (r.base_failed and r.kept)
     assert rules.judge(empty).collect() == []
+    assert rules.judge(odd, keep=("doc_id", "n_words")).columns.count("n_words") == 1
 
 
 def test_rules_keep_clean_and_drop_junk(spark):
