@@ -42,7 +42,7 @@ class _Words(dict):
 class Encoder:
     """Ids of one tokenizer file as packed little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
