@@ -315,7 +315,8 @@ def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarit
         first.select(F.col("node").alias("b"), F.col("doc").alias("doc_b")), "b")
     ends = stored(ends, "linked")
     wanted = ends.select(F.col("doc_a").alias("doc")).unionByName(ends.select(F.col("doc_b").alias("doc"))).distinct()
-    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).join(wanted, "doc")
+    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).join(
+        wanted.hint("merge"), "doc")  # one plan at every size: the documents with links grow with the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
