@@ -23,7 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import ship, stored
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -284,15 +284,21 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         "host", "best.path", (-F.col("best.col1")).alias("votes"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text`` of every page."""
-    paths = host_paths(pages, url_col, html_col).select("host", "path")
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
+    """``page_id, url, text`` of every page.
+
+    The winning paths are written first, so their size is known when they meet the pages: where it is below the
+    broadcast threshold no page is shuffled.  Beyond it, the pages of a host are dealt over ``salts`` tasks.
+    """
+    paths = stored(host_paths(pages, url_col, html_col).select("host", "path"), "host-paths")
+    paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"),
-                        pages[html_col].cast("string").alias("html"), host_of(pages[url_col]).alias("host"))
+                        pages[html_col].cast("string").alias("html"), host_of(pages[url_col]).alias("host"),
+                        F.pmod(F.xxhash64(pages[id_col], pages[url_col]), F.lit(salts)).cast("int").alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
+    return rows.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
