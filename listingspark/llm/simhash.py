@@ -15,7 +15,7 @@ by pair in tasks of their own.  A task keeps only the links that join two trees
 group of n near copies gives at most n - 1 links per tile pair, never all pairs.  Closer pairs join first.
 
 *Similarity.*  Where a ``similarity`` is asked for, a link stays only if the sets of shingles of the two nodes
-are that similar (Jaccard); the texts of linked nodes alone are read again for it.
+are that similar (Jaccard), and fingerprints weigh each distinct shingle once, as the sets do; the texts of linked nodes alone are read again for it.
 
 *Classes.*  Links are contracted by alternating large and small stars until nothing changes.
 
@@ -62,14 +62,22 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per band: a hash of ``rows`` minima of the shingle hashes under different mixings."""
+    """One key per band: a hash of ``rows`` minima of the shingle hashes, each under a full mixing of its own."""
     n = bands * rows
-    odd = np.arange(1, 2 * n, 2, dtype=np.uint64) * _PRIMES | np.uint64(1)
+    own = _mixed(np.arange(1, n + 1, dtype=np.uint64) * _PRIMES)
     least = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
-    base = hashes ^ (hashes >> np.uint64(29))
-    for i in range(0, len(base), 4096):
-        least = np.minimum(least, (base[i:i + 4096, None] * odd).min(0))
+    for i in range(0, len(hashes), 512):  # a slice that stays in the cache of a core
+        least = np.minimum(least, _mixed(own[:, None] ^ hashes[None, i:i + 512]).min(1))
     mixed = least.reshape(bands, rows)
     key = np.zeros(bands, np.uint64)
     for r in range(rows):
@@ -79,8 +87,9 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lower: bool = True,
-                 bands: tuple[int, int] | None = None) -> DataFrame:
-    """``doc_id, node`` (the fingerprint as a signed integer) and, with ``bands``, ``keys``."""
+                 bands: tuple[int, int] | None = None, distinct: bool = False) -> DataFrame:
+    """``doc_id, node`` (the fingerprint as a signed integer) and, with ``bands``, ``keys``; repeated shingles
+    weigh once with ``distinct``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             nodes, keys = np.zeros(batch.num_rows, np.uint64), []
             for i, text in enumerate(texts(batch.column(1))):
                 hashes = shingle_hashes(text, words, lower)
+                hashes = np.unique(hashes) if distinct else hashes
                 nodes[i] = fingerprint(hashes)
                 if bands:
                     keys.append(band_keys(hashes, *bands).view(np.int64))
@@ -333,7 +343,7 @@ def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarit
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, parts: int = 6,
                     lower: bool = True, bands: tuple[int, int] | None = None, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest ``doc_id`` reachable over links, itself included."""
-    found = stored(fingerprints(docs, id_col, text_col, words, lower, bands), "fingerprints")
+    found = stored(fingerprints(docs, id_col, text_col, words, lower, bands, similarity is not None), "fingerprints")
     pairs = links(found, radius, parts, bands is not None)
     if similarity is not None:
         pairs = similar_links(docs, found, pairs, similarity, words, lower, id_col, text_col)
