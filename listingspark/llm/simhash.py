@@ -15,7 +15,9 @@ by pair in tasks of their own.  A task keeps only the links that join two trees
 group of n near copies gives at most n - 1 links per tile pair, never all pairs.  Closer pairs join first.
 
 *Similarity.*  Where a ``similarity`` is asked for, a link stays only if the sets of shingles of the two nodes
-are that similar (Jaccard), and fingerprints weigh each distinct shingle once, as the sets do; the texts of linked nodes alone are read again for it.
+are that similar (Jaccard), and fingerprints weigh each distinct shingle once, as the sets do; the texts of linked nodes alone are read again for it.  A forest of near bits may
+have left out the link that passes, so blocks whose nodes are not all in one class by then are gone through again:
+nodes with a candidate in another class travel with their sets, and only pairs that pass join trees.
 
 *Classes.*  Links are contracted by alternating large and small stars until nothing changes.
 
@@ -36,6 +38,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ship, stored, texts
 
 TILE = 4096
+SMALL = 16  # nodes of a block up to which all its links are kept
+TILE_SHINGLES = 1 << 20  # shingles of a tile whose nodes travel with their sets
 _PRIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -254,7 +258,7 @@ def _links(radius: int):
             sizes = np.diff(starts)
             for i in np.flatnonzero(sizes > 1):
                 part = rows[:, starts[i]:starts[i + 1]]
-                if part[2, 0] == part[3, 0] and sizes[i] <= 16:
+                if part[2, 0] == part[3, 0] and sizes[i] <= SMALL:
                     small.append(part[5].view(np.uint64).copy())
                     waiting += int(sizes[i]) ** 2 // 2
                     if waiting > 1 << 16:
@@ -264,12 +268,25 @@ def _links(radius: int):
                     yield from group(part)
             held = rows[:, last:].copy()
         if held is not None and held.shape[1] > 1:
-            yield from group(held)
+            if held[2, 0] == held[3, 0] and held.shape[1] <= SMALL:
+                small.append(held[5].view(np.uint64))
+            else:
+                yield from group(held)
         if small:
             yield out(*_pairs(small, radius))
     return run
 
 
+def _tiled(keyed: DataFrame, sizes: DataFrame, tile: int, *extra: str) -> DataFrame:
+    """Rows of the keys in ``sizes``: a key of more than a tile is dealt over tiles; each pair of tiles is a group of its own."""
+    tiles = F.ceil(F.col("n") / tile)
+    mine = F.when(tiles == 1, 0).otherwise(F.pmod(F.xxhash64("node"), tiles))
+    dealt = keyed.join(sizes, ["tab", "key"]).withColumns({"tiles": tiles, "mine": mine}).select(
+        "tab", "key", "node", *extra, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    return dealt.select(F.col("tab").cast("long").alias("tab"), "key", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"),
+                        (F.col("mine") > F.col("other")).cast("long").alias("side"), "node", *extra)
+
+
 def links(nodes: DataFrame, radius: int = 4, parts: int = 6, bands: bool = False, tile: int = TILE) -> DataFrame:
     """Links ``a, b`` (a > b) that connect all nodes within the radius of one another.
 
@@ -280,14 +297,8 @@ def links(nodes: DataFrame, radius: int = 4, parts: int = 6, bands: bool = False
     else:
         keys = part_keys(F.col("node"), parts, radius)
         keyed = nodes.select("node").distinct().select("node", F.posexplode(F.array(*keys)).alias("tab", "key"))
-    # A key with more nodes than a tile is dealt over tiles; each pair of tiles is a group of its own.
     sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile)
-    mine = F.when(tiles == 1, 0).otherwise(F.pmod(F.xxhash64("node"), tiles))
-    dealt = keyed.join(sizes, ["tab", "key"]).withColumns({"tiles": tiles, "mine": mine}).select(
-        "tab", "key", "node", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    grouped = dealt.select(F.col("tab").cast("long").alias("tab"), "key", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"),
-                           (F.col("mine") > F.col("other")).cast("long").alias("side"), "node")
+    grouped = _tiled(keyed, sizes, tile)
     grouped = grouped.repartition("tab", "key", "first", "second").sortWithinPartitions("tab", "key", "first", "second", "side")
     return grouped.mapInArrow(_links(radius), "a long, b long").distinct()
 
@@ -317,14 +328,8 @@ def components(pairs: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float, words: int, lower: bool,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links of which the two nodes' first documents share at least ``similarity`` of their sets of shingles."""
-    first = found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    ends = pairs.join(first.select(F.col("node").alias("a"), F.col("doc").alias("doc_a")), "a").join(
-        first.select(F.col("node").alias("b"), F.col("doc").alias("doc_b")), "b")
-    ends = stored(ends, "linked")
-    wanted = ends.select(F.col("doc_a").alias("doc")).unionByName(ends.select(F.col("doc_b").alias("doc"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
+    """``doc, shingles``: the sorted distinct shingle hashes of the documents in ``wanted``."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text")).join(
         wanted.hint("merge"), "doc")  # one plan at every size: the documents with links grow with the corpus
 
@@ -333,21 +338,115 @@ def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarit
             sets = [np.unique(shingle_hashes(t, words, lower)).view(np.int64) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    sets = rows.mapInArrow(run, "doc long, shingles array<long>").dropDuplicates(["doc"])
+    return rows.mapInArrow(run, "doc long, shingles array<long>").dropDuplicates(["doc"])
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """``node, doc``: the document whose text stands for a node."""
+    return found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
+
+
+def similar_links(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float, words: int, lower: bool,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links of which the two nodes' first documents share at least ``similarity`` of their sets of shingles."""
+    first = _first(found)
+    ends = pairs.join(first.select(F.col("node").alias("a"), F.col("doc").alias("doc_a")), "a").join(
+        first.select(F.col("node").alias("b"), F.col("doc").alias("doc_b")), "b")
+    ends = stored(ends, "linked")
+    wanted = ends.select(F.col("doc_a").alias("doc")).unionByName(ends.select(F.col("doc_b").alias("doc"))).distinct()
+    sets = _sets(docs, wanted, words, lower, id_col, text_col)
     both = ends.join(sets.select(F.col("doc").alias("doc_a"), F.col("shingles").alias("s")), "doc_a").join(
         sets.select(F.col("doc").alias("doc_b"), F.col("shingles").alias("t")), "doc_b")
     common, all_ = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
     return both.filter(common >= similarity * all_ - 1e-9).select("a", "b")
 
 
+def _apart(radius: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The nodes of a group that have another within the radius in another class."""
+        side, node, root = (group.column(c).to_numpy() for c in ("side", "node", "root"))
+        left, right = (np.flatnonzero(side == s) for s in (0, 1))
+        right = right if len(right) else left
+        fits = np.zeros(len(node), bool)
+        if len(left) and (root != root[0]).any():
+            planes = planes_of(node[right].view(np.uint64))
+            step = max(1, (1 << 16) // planes.shape[1])
+            for i in range(0, len(left), step):
+                q, lane = within(node[left[i:i + step]].view(np.uint64), planes, len(right), radius)
+                q, lane = left[q + i], right[lane]
+                other = root[q] != root[lane]
+                fits[q[other]] = fits[lane[other]] = True
+        return group.select(["tab", "key", "node", "root"]).filter(pa.array(fits))
+    return run
+
+
+def _joined(radius: int, similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        """Links of a spanning forest over the pairs of a group that are within the radius and similar."""
+        side, node, root = (group.column(c).to_numpy() for c in ("side", "node", "root"))
+        node = node.view(np.uint64)
+        column = group.column("shingles").combine_chunks()
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        _, place = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        sizes, tree = np.diff(ends), np.unique(root, return_inverse=True)[1]
+        marked = np.zeros(len(place) + 1, bool)
+        left, right = (np.flatnonzero(side == s) for s in (0, 1))
+        one, a, b = group.column("first")[0].as_py() == group.column("second")[0].as_py(), [], []
+        for at, i in enumerate(left):
+            lanes = left[at + 1:] if one else right
+            lanes = lanes[(tree[lanes] != tree[i]) & (np.bitwise_count(node[lanes] ^ node[i]) <= radius)]
+            lanes = lanes[np.minimum(sizes[lanes], sizes[i]) >= similarity * np.maximum(sizes[lanes], sizes[i]) - 1e-9]
+            if not len(lanes):
+                continue
+            mine = place[ends[i]:ends[i + 1]]
+            marked[mine] = True
+            hits = np.concatenate(([0], np.cumsum(marked[np.concatenate([place[ends[j]:ends[j + 1]] for j in lanes])])))
+            marked[mine] = False
+            stops = np.cumsum(sizes[lanes])
+            common = hits[stops] - hits[stops - sizes[lanes]]
+            for j in lanes[common >= similarity * (sizes[lanes] + sizes[i] - common) - 1e-9]:
+                if tree[j] != tree[i]:
+                    tree[tree == tree[j]] = tree[i]
+                    a.append(i)
+                    b.append(j)
+        a, b = node[np.array(a, np.int64)].view(np.int64), node[np.array(b, np.int64)].view(np.int64)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    return run
+
+
+def missed_links(docs: DataFrame, found: DataFrame, roots: DataFrame, radius: int, similarity: float, words: int, lower: bool,
+                 id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame | None:
+    """Similar links between the classes ``roots`` that the forests of :func:`links` left out, or None without candidates.
+
+    Only blocks over ``SMALL`` nodes have such links.  Of those, only nodes with a candidate in another class are
+    gathered with their sets, in tiles bounded by their shingles; pairs are tested there and never written.
+    """
+    keyed = found.select("node", F.posexplode("keys").alias("tab", "key")).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.filter((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("tab", "key", "n")
+    group = ["tab", "key", "first", "second"]
+    apart = _tiled(keyed, sizes, tile, "root").groupBy(*group).applyInArrow(_apart(radius), "tab long, key long, node long, root long")
+    apart = stored(apart.distinct(), "apart")
+    if apart.isEmpty():
+        return None
+    wanted = apart.select("node").distinct().join(_first(found), "node")
+    sets = stored(_sets(docs, wanted.select("doc"), words, lower, id_col, text_col).join(wanted, "doc").select("node", "shingles"), "shingles")
+    weights = apart.join(sets.select("node", F.size("shingles").alias("w")), "node").groupBy("tab", "key").agg(F.greatest(F.sum("w"), F.lit(1)).alias("n"))
+    tiled = _tiled(apart, weights, tile_shingles, "root").join(sets, "node")
+    return tiled.groupBy(*group).applyInArrow(_joined(radius, similarity), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, parts: int = 6,
                     lower: bool = True, bands: tuple[int, int] | None = None, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest ``doc_id`` reachable over links, itself included."""
     found = stored(fingerprints(docs, id_col, text_col, words, lower, bands, similarity is not None), "fingerprints")
     pairs = links(found, radius, parts, bands is not None)
     if similarity is not None:
-        pairs = similar_links(docs, found, pairs, similarity, words, lower, id_col, text_col)
+        pairs = stored(similar_links(docs, found, pairs, similarity, words, lower, id_col, text_col), "links")
     roots = components(pairs)
+    if similarity is not None:
+        missed = missed_links(found=found, docs=docs, roots=roots, radius=radius, similarity=similarity, words=words, lower=lower, id_col=id_col, text_col=text_col)
+        roots = roots if missed is None else components(pairs.unionByName(missed))
     least = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))

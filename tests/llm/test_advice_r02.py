@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from listingspark.llm import simhash
@@ -41,3 +42,43 @@ def test_pairs_at_the_similarity_meet_in_a_band_and_radius():
         apart += not (simhash.band_keys(a, *corpus_pipeline.NEAR_BANDS) == simhash.band_keys(b, *corpus_pipeline.NEAR_BANDS)).any()
         far += (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > corpus_pipeline.NEAR_RADIUS
     assert apart <= 3 and far == 0
+
+
+def least_of_class(rows, similarity):
+    """Id to the least id reachable over pairs of that Jaccard similarity, by all pairs."""
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def edited(text, n, changed, rng):
+    for _ in range(n):
+        copy = list(text)
+        for i in rng.sample(range(0, len(text), 10), changed):
+            copy[i + rng.randint(3, 6)] = words(1, rng)[0] + "q"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("tile_shingles", [1 << 20, 20_000])
+def test_edited_copies_meet_their_original_in_large_groups(spark, monkeypatch, tile_shingles):
+    monkeypatch.setattr(simhash.missed_links, "__defaults__", (*simhash.missed_links.__defaults__[:-1], tile_shingles))
+    rng = random.Random(4)
+    text = words(300, rng)
+    rows = list(enumerate([" ".join(text), *edited(text, 300, 5, rng)], 1))
+    rng.shuffle(rows)
+    want = least_of_class(rows, 0.8)
+    assert len(set(want.values())) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs, words=5, radius=24, bands=(16, 4), similarity=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
