@@ -2,12 +2,14 @@
 
 Pieces never hold a space after anything else, so a text splits into words with the spaces before them, and
 each is segmented by an agenda: candidate merges of neighbours leave it by score, then from the left.  Each
-candidate is skipped when a keyed hash of it falls below the dropout, as if it were not there; later merges
-may propose it anew with other neighbours.  Without dropout the ids are those of the library.
+candidate is skipped with the probability of the dropout, as if it were not there; later merges may propose
+it anew with other neighbours.  Without dropout the ids are those of the library.
 
-The key comes from the seed, the word and one of ``variants`` numbers, drawn by a keyed hash for every word
-of a document: frequent words get that many segmentations, each computed once per worker, and the same seed
-gives the same ids again on any cluster.
+Skips are drawn for every word of every document on its own: a keyed hash of seed, document and place gives the
+number of candidates before the next skip (a geometric draw, which is the same as one draw per candidate).  The path
+without skips is kept per word and worker with its number of candidates, and holds when the first skip lies beyond
+them.  Paths of up to three skips are kept by word and places of the skips, others run the agenda each time; what
+is kept never changes a result.  The same seed gives the same ids again on any cluster.
 
 Characters without a piece become byte pieces, and so does the mark that pieces write for a space, so every
 text decodes to itself.  Null text is the empty text, which has no ids; an empty table gives no rows;
@@ -18,9 +20,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from struct import unpack
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +36,57 @@ _MARK = "▁"
 _ALL = (1 << 64) - 1
 _NONE = float("inf")
 _SHORT = 48  # characters of a word whose agenda is a list
+_STEP = 0x9E3779B97F4A7C15
+_MOST_GAP = 4096  # candidates that one draw covers
 _LOADED: dict[tuple, Pieces] = {}
 
 
 class _Segments(dict):
-    """Word to packed ids for one variant; dropped whole when full.
+    """Word to packed ids and number of candidates, without skips; dropped whole when full.
 
     A word after one space is kept without it, one after several spaces with all of them.
     """
 
-    def __init__(self, pieces: Pieces, variant: int, most: int):
+    def __init__(self, pieces: Pieces, most: int):
         super().__init__()
-        self.pieces, self.variant, self.most = pieces, variant, most
+        self.pieces, self.most = pieces, most
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> tuple[bytes, int]:
+        return self._keep(word, word, None)
+
+    def _keep(self, key, word: str, draw) -> tuple[bytes, int]:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = array("i", self.pieces.segment(word if word[:1] == " " else " " + word, self.variant)).tobytes()
+        found = self[key] = self.pieces.packed(word, draw)
         return found
 
 
+class _Skipped(_Segments):
+    """The same by word and the places of all skips among its candidates."""
+
+    def __missing__(self, key: tuple[str, tuple[int, ...]]) -> tuple[bytes, int]:
+        word, places = key
+        gaps = (b - a - 1 for a, b in zip((-1, *places), places, strict=False))
+        return self._keep(key, word, chain(self.pieces.skips(gaps), repeat(False)).__next__)
+
+
+def _mixed(x: int) -> int:
+    """The finalizer of SplitMix64."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     """A model file with one dropout and seed."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, most_words: int = 1_000_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, most_words: int = 1_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,34 +106,65 @@ class Pieces:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
         self.limit = round(dropout * (1 << 16))
-        self.seed, self.variants = seed & _ALL, variants if self.limit else 1
+        self.seed = seed & _ALL
+        # A hash below the k-th bound means a skip within the first k candidates; as integers, alike on any machine.
+        self.bounds, kept = [], 1 << 1024
+        while self.limit and len(self.bounds) < _MOST_GAP and kept >> 960:
+            kept = kept * ((1 << 16) - self.limit) >> 16
+            self.bounds.append(min(_ALL, (1 << 64) - (kept >> 960)))
+        self.bound_array = np.array(self.bounds, np.uint64)
         self.longest = max(map(len, self.ids))
-        self.segments = [_Segments(self, v, most_words // self.variants) for v in range(self.variants)]
+        self.plain, self.skipped = _Segments(self, most_words // 2), _Skipped(self, most_words // 2)
+
+    def packed(self, word: str, draw) -> tuple[bytes, int]:
+        """Packed ids of a word as :class:`_Segments` keeps it, and the number of candidates."""
+        ids, n = self.segment(word if word[:1] == " " else " " + word, draw)
+        return array("i", ids).tobytes(), n
 
-    def segment(self, word: str, variant: int) -> list[int]:
-        """Ids of one word with the spaces before it."""
+    def segment(self, word: str, draw=None) -> tuple[list[int], int]:
+        """Ids of one word with the spaces before it, and the number of candidates; ``draw`` tells for each if it is skipped."""
         ids, out = self.ids, []
-        draw = self._draws(word, self.seed + variant * 0x9E3779B97F4A7C15 & _ALL).__next__ if self.limit else None
-        for s in self._agenda(word, draw) if len(word) > _SHORT else self._scan(word, draw):
+        symbols, n = self._agenda(word, draw) if len(word) > _SHORT else self._scan(word, draw)
+        for s in symbols:
             i = ids.get(s)
             if i is None or s == _MARK:
                 out.extend(self.byte[b] for b in s.encode())
             else:
                 out.append(i)
-        return out
+        return out, n
 
-    @staticmethod
-    def _draws(word: str, key: int) -> Iterator[int]:
-        """A number below 65,536 for each candidate in turn: parts of keyed hashes of the word, eight to a hash."""
-        from xxhash import xxh3_128_digest
+    def skips(self, gaps: Iterator[int]) -> Iterator[bool]:
+        """Gaps as one answer per candidate; a gap as long as the bounds is not ended by a skip."""
+        for gap in gaps:
+            yield from repeat(False, gap)
+            if gap < len(self.bounds):
+                yield True
 
+    def _gaps(self, key: int) -> Iterator[int]:
         while True:
-            yield from unpack("<8H", xxh3_128_digest(word, key))
-            key = key + 1 & _ALL
+            key = _mixed(key + _STEP & _ALL)
+            yield bisect_right(self.bounds, key)
+
+    def _varied(self, word: str, first: int, second: int, key: int) -> bytes:
+        """Packed ids of a word with skips drawn: the first two gaps, then those that follow ``key``."""
+        found, n = self.plain[word]
+        places, at, most = (), 0, len(self.bounds)
+        for gap in chain((first, second), self._gaps(key)):
+            at += gap
+            if at >= n:
+                return found
+            if gap == most:
+                continue
+            places += (at,)
+            if len(places) > 3:
+                break
+            at += 1
+            found, n = self.skipped[word, places]
+        return self.packed(word, self.skips(chain((first, second), self._gaps(key))).__next__)[0]
 
-    def _scan(self, word: str, draw) -> list[str]:
+    def _scan(self, word: str, draw) -> tuple[list[str], int]:
         """A short agenda kept as a list of ranks, the least of which is looked up."""
-        get, limit = self.rank.get, self.limit
+        get, n = self.rank.get, 0
         symbols = list(word)
         ranks = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
         while ranks:
@@ -111,7 +172,8 @@ class Pieces:
             if least == _NONE:
                 break
             i = ranks.index(least)
-            if limit and draw() < limit:
+            n += 1
+            if draw and draw():
                 ranks[i] = _NONE
                 continue
             pair = symbols[i] = symbols[i] + symbols[i + 1]
@@ -120,11 +182,11 @@ class Pieces:
                 ranks[i - 1] = get(symbols[i - 1] + pair, _NONE)
             if i < len(ranks):
                 ranks[i] = get(pair + symbols[i + 1], _NONE)
-        return symbols
+        return symbols, n
 
-    def _agenda(self, word: str, draw) -> list[str]:
+    def _agenda(self, word: str, draw) -> tuple[list[str], int]:
         """A long agenda kept as a heap; entries of which a side was merged meanwhile are passed over."""
-        rank, limit = self.rank, self.limit
+        rank, candidates = self.rank, 0
         symbols: list[str | None] = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -135,7 +197,8 @@ class Pieces:
             left, j = symbols[i], after[i]
             if left is None or j >= n or left + symbols[j] != pair:
                 continue
-            if limit and draw() < limit:
+            candidates += 1
+            if draw and draw():
                 continue
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
@@ -149,7 +212,7 @@ class Pieces:
                 new = symbols[h] + pair
                 if new in rank:
                     heappush(agenda, (rank[new], h, new))
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], candidates
 
     def encode(self, text: bytes, doc: bytes) -> bytes:
         """Packed 32-bit ids of a whole text; ``doc`` tells documents apart."""
@@ -160,35 +223,47 @@ class Pieces:
             words = [w if w[1:2] == " " else w[1:] for w in _WORD.findall(" " + plain)]
         else:
             words = plain.split(" ")
-        if self.variants == 1:
-            return b"".join(map(self.segments[0].__getitem__, words))
+        found = list(map(self.plain.__getitem__, words))
+        out = [f[0] for f in found]
+        if not self.limit:
+            return b"".join(out)
         from xxhash import xxh64_intdigest
 
-        x = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxh64_intdigest(doc, self.seed))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        drawn = ((x ^ (x >> np.uint64(31))) % np.uint64(self.variants)).tolist()
-        segments = self.segments
-        return b"".join([segments[v][w] for v, w in zip(drawn, words, strict=True)])
+        x = _mixed_all(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(xxh64_intdigest(doc, self.seed)))
+        gaps = np.searchsorted(self.bound_array, x, side="right")
+        hit = np.flatnonzero(gaps < np.fromiter((f[1] for f in found), np.int64, len(found)))
+        x = _mixed_all(x[hit] + np.uint64(_STEP))
+        second = np.searchsorted(self.bound_array, x, side="right")
+        skipped, most = self.skipped, len(self.bounds)
+        for i, a, b, key in zip(hit.tolist(), gaps[hit].tolist(), second.tolist(), x.tolist(), strict=True):
+            word = words[i]
+            if a < most:
+                once, n = skipped[word, (a,)]
+                if a + 1 + b >= n:
+                    out[i] = once
+                    continue
+            out[i] = self._varied(word, a, b, key)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids that :meth:`encode` gave."""
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
-def pieces(path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4) -> Pieces:
+def pieces(path: str, dropout: float = 0.0, seed: int = 0) -> Pieces:
     """A model loaded once per process."""
-    key = (path, dropout, seed, variants)
+    key = (path, dropout, seed)
     if key not in _LOADED:
         _LOADED[key] = Pieces(*key)
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: whole texts as arrays of piece ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(model, dropout, seed, variants)
+        coder = pieces(model, dropout, seed)
         for batch in batches:
             coded = [coder.encode(t, str(d).encode()) for d, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
             ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)

@@ -1,12 +1,14 @@
 """Cases of the second review of the training-data operators."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from listingspark.llm import simhash
+from listingspark.llm import pieces, simhash
+from tests.llm.test_llm import PIECES
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -82,3 +84,28 @@ def test_edited_copies_meet_their_original_in_large_groups(spark, monkeypatch, t
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(docs, words=5, radius=24, bands=(16, 4), similarity=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+# --- pieces
+
+def word_ids(coder, word, n):
+    """Ids of n occurrences of a word in one document, each word told apart by the end mark after it."""
+    ids = np.frombuffer(coder.encode(" ".join([word, "|"] * n).encode(), b"7"), "<i4").tolist()
+    out, one = [], []
+    for i in ids:
+        if coder.bytes_of[i].endswith(b"|"):
+            out.append(tuple(one[:-1] if coder.bytes_of[one[-1]] == b" " else one))
+            one = []
+        else:
+            one.append(i)
+    return out
+
+
+@pytest.mark.parametrize("word", ["understanding", "table", "x" * 60])
+def test_every_occurrence_of_a_word_draws_its_own_skips(word):
+    coder, n, rng = pieces.Pieces(PIECES, 0.1, 3), 20_000, random.Random(5)
+    got, want = Counter(word_ids(coder, word, n)), Counter(tuple(coder.segment(" " + word, lambda: rng.random() < 0.1)[0]) for _ in range(n))
+    assert len(want) > 4 and set(k for k, c in want.items() if c > 40) <= set(got)
+    assert all(abs(got[k] - want[k]) < 6 * (got[k] + want[k]) ** 0.5 for k in got | want)
+    small = pieces.Pieces(PIECES, 0.1, 3, most_words=2)  # what is kept changes nothing
+    assert word_ids(small, word, 500) == word_ids(coder, word, 500)
