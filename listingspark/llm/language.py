@@ -7,6 +7,7 @@ bytes are added; a text that still has no smallest is rejected as undecided.
 
 Dictionaries are fitted on at most ``sample_docs`` labelled texts per language of ``sample_chars`` letters
 and up to ``dictionary_bytes`` each: a bounded sample by a hash of the id, whatever the size of the table.
+A language that has no text of such a length is fitted on texts of any length, long ones cut for the dictionary.
 
 Null text, and text without a letter, is ``und`` with score 0 and is rejected; so is everything when no
 language was learnt.  Repeated rows are judged alike; an empty table gives no rows.
@@ -46,7 +47,10 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     found: dict[str, list[str]] = {}
     for r in ranked(sized).select("lang", "rank", "text").collect():
         found.setdefault(r.lang, []).append((r.rank, r.text))
-    missing = rows.filter((F.length("text") < sample_chars[0]) & ~F.col("lang").isin(sorted(found)) if found else F.length("text") < sample_chars[0])
+    # A language without such texts is learnt from those of any length, of long ones from so many characters on from the first letter.
+    found = {k: v for k, v in found.items() if any(plain(t) for _, t in v)}
+    missing = rows.filter(~F.col("lang").isin(sorted(found))) if found else rows
+    missing = missing.filter(F.col("text").rlike(r"\p{L}")).withColumn("text", F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(sample_chars[1])))
     for r in ranked(missing).select("lang", "rank", "text").collect():
         found.setdefault(r.lang, []).append((r.rank, r.text))
     counts = {r.lang: -r["count"] for r in rows.groupBy("lang").count().collect()}

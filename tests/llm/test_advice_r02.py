@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from listingspark.llm import pieces, simhash
+from listingspark.llm import language, pieces, simhash
 from tests.llm.test_llm import PIECES
 
 STAGE = dict(corpus_pipeline.STAGES)
@@ -109,3 +109,18 @@ def test_every_occurrence_of_a_word_draws_its_own_skips(word):
     assert all(abs(got[k] - want[k]) < 6 * (got[k] + want[k]) ** 0.5 for k in got | want)
     small = pieces.Pieces(PIECES, 0.1, 3, most_words=2)  # what is kept changes nothing
     assert word_ids(small, word, 500) == word_ids(coder, word, 500)
+
+
+# --- language
+
+def test_language_with_long_texts_alone_is_learnt(spark):
+    rng = random.Random(8)
+    own = {k: words(300, rng) for k in ("aa", "bb", "cc")}
+    text = lambda k, n: " ".join(rng.choices(own[k], k=n))
+    rows = [(i, text("aa", 100), "aa") for i in range(6)] + [(i, text("bb", 2000), "bb") for i in range(6, 12)]
+    rows += [(i, "1 " * 3000 + text("cc", 2000), "cc") for i in range(12, 18)] + [(18, "12 " * 100, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language.fit(docs)
+    assert sorted(learnt) == ["aa", "bb", "cc"] and all(len(d) <= 6 * 4001 for d in learnt.values())
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.classify(docs, learnt).collect()}
+    assert all(got[d] == (lang, False) for d, _, lang in rows[:-1])
