@@ -138,6 +138,30 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_ids", "ids_xxhash64", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made periodic first."""
+    from pyspark.sql import functions as F
+
+    from listingspark.stages import once_sql
+
+    from .periodic import periodic_runs
+
+    docs = once_sql(table(spark, sf, "documents").select("doc_id", "text"), {"h": "crc32(cast(doc_id AS string))"})
+    planted = "h % 10 = 0"
+    docs = once_sql(docs, {"words": f"if({planted}, filter(split(text, '[ \\t-\\r]+'), w -> w <> ''), null)"})
+    docs = once_sql(docs, {"n": "size(words)", "g": "h div 10"})
+    docs = once_sql(docs, {"a": "if(n > 0, g % n, 0)"})
+    docs = once_sql(docs, {"p": "1 + (n - a) div (3 + g % 8)"})
+    repeated = "array_join(transform(sequence(0L, n - 1L), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')"
+    docs = docs.selectExpr("doc_id", f"if(n > 0, {repeated}, text) AS text")
+    return periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.expr("sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256)").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _oracles() -> None:
     from . import chat, rules
 
