@@ -162,11 +162,31 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@register
+def op12_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, damaged by a hash of their rows, and repaired."""
+    from pyspark.sql import functions as F
+
+    from .structure import joined_sha256, repair
+
+    rows = table(spark, sf, "conversations")
+    hit = "pmod(crc32(concat(coalesce(cast(conv_id AS string), ' '), ':', coalesce(cast(turn AS string), ' '))), 20)"
+    damaged = rows.selectExpr("conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text", f"{hit} AS hit").filter("hit <> 0").selectExpr(
+        "conv_id", "turn", "if(hit = 4, 'user', role) AS role", "CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text",
+        "explode(array_repeat(0, if(hit = 3, 2, 1))) AS copy").drop("copy")
+    conversations, turns = repair(damaged)
+    found = conversations.alias("f").join(joined_sha256(turns).alias("t"), F.expr("f.conv_id <=> t.conv_id")).drop(F.col("t.conv_id"))
+    return rows.select("conv_id").distinct().alias("o").join(found.alias("f"), F.expr("o.conv_id <=> f.conv_id"), "left").select(
+        "o.conv_id", *[F.coalesce(F.col(f"f.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _oracles() -> None:
-    from . import chat, rules
+    from . import chat, rules, structure
 
     ORACLES["op7_chat_format"] = chat.oracle()
     ORACLES["op9_quality_rules"] = rules.oracle()
+    ORACLES["op12_structure"] = structure.oracle()
 
 
 _oracles()
