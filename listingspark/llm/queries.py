@@ -181,12 +181,24 @@ def op12_structure(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@register
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents that lie in passages of ten words of the benchmark's items."""
+    from pyspark.sql import functions as F
+
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _oracles() -> None:
-    from . import chat, rules, structure
+    from . import chat, decontamination, rules, structure
 
     ORACLES["op7_chat_format"] = chat.oracle()
     ORACLES["op9_quality_rules"] = rules.oracle()
     ORACLES["op12_structure"] = structure.oracle()
+    ORACLES["op13_decontamination"] = decontamination.oracle()
 
 
 _oracles()
