@@ -296,7 +296,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     texts = placed.groupBy("seg").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("place", "turn", "role", "text"))).alias("rows"))
     turns = texts.join(edits, "seg").select("conv_id", "seg", "n_segments", "rows", "audit", "enter").mapInArrow(
         _apply, "conv_id long, segment long, n_segments long, turns array<struct<edit:string,turn:bigint,role:string,text:string>>")
-    return conversations, turns
+    return conversations, stored(turns, "structure-turns")
 
 
 def joined_sha256(turns: DataFrame) -> DataFrame:
