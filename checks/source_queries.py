@@ -1,11 +1,13 @@
 """Registry, fetch state, cadence, crawl policy, discovery and search."""
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from listingspark import values as V
 from listingspark.functions import urls as U
-from listingspark.operators import discovery as D, robots, search as S, verdicts, views as W
-from listingspark.session import configure
+from listingspark.operators import discovery as D, robots, search as S, text_index as I, verdicts, views as W
+from listingspark.session import configure, shared_folder
 from listingspark.sources import registry as G, state as P
 from listingspark.streaming import states, windows
 
@@ -451,43 +453,109 @@ def company_urls(companies):
 
 
 # ---- search ----------------------------------------------------------------------------------
-def _bm25(words: list[str], extra: str = "") -> str:
-    tf = [f"len(list_filter(toks, lambda x: x = {literal(w)}))" for w in words]
-    tfs = ", ".join(f"{t} AS tf{i}" for i, t in enumerate(tf))
-    dfs = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(words)))
-    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(words)))
-    hit = " AND ".join(f"tf{i} > 0" for i in range(len(words)))
-    return f"""tk AS (SELECT *, list_filter(regexp_split_to_array(lower(title || ' ' || coalesce(company, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS toks FROM listings),
-tq AS (SELECT *, len(toks) AS dl, {tfs} FROM tk), sx AS (SELECT count(*) AS n, avg(dl) AS av, {dfs} FROM tq),
+_TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _bm25(phrases: list[str], extra: str = "", title: str = "title") -> str:
+    """Ranked hits ``sc`` of phrases, a phrase being words joined by one space; every start of a phrase in a field counts."""
+    def tf(phrase: str) -> str:
+        words = phrase.split()
+        return " + ".join("len(list_filter(range(1, len({0}) + 1), lambda i: {1}))".format(
+            f, " AND ".join(f"{f}[i + {j}] = {literal(w)}" if j else f"{f}[i] = {literal(w)}" for j, w in enumerate(words))) for f in ("f1", "f2", "f3"))
+
+    tfs = ", ".join(f"{tf(p)} AS tf{i}" for i, p in enumerate(phrases))
+    dfs = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(phrases)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(phrases)))
+    hit = " AND ".join(f"tf{i} > 0" for i in range(len(phrases)))
+    return f"""tk AS (SELECT id, title, category, type, source_platform, is_active, {_TOKENS.format(title)} AS f1, {_TOKENS.format("company")} AS f2,
+  {_TOKENS.format("array_to_string(tags, ' ')")} AS f3 FROM postings),
+tq AS (SELECT *, len(f1) + len(f2) + len(f3) AS dl, {tfs} FROM tk), sx AS (SELECT count(*) AS n, avg(dl) AS av, {dfs} FROM tq),
 sc AS (SELECT tq.*, {score} AS score FROM tq, sx WHERE is_active AND {hit} {extra})"""
 
 
-@query(f"WITH {_bm25(['virtual', 'acme'])} SELECT id, title, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 30", "listings")
-def search(listings):
-    return S.search(listings, "Virtual ÁCME").select("id", "title", F.round("score", 6).alias("score"))
+def _page(limit: int = 30, offset: int = 0) -> str:
+    return f"SELECT id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT {limit} OFFSET {offset}"
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
+_INDEXES: dict[tuple, I.TextIndex] = {}
+
+
+def indexed(listings: DataFrame, name: str) -> I.TextIndex:
+    """The index of a table, written once per session and table to the shared folder, as it is once per day in use."""
+    key = (listings.sparkSession.sparkContext.applicationId, name, listings.semanticHash())
+    if key not in _INDEXES:
+        _INDEXES[key] = I.write_index(listings, f"{shared_folder(listings.sparkSession)}/text-index-{uuid.uuid4().hex}", row_group_bytes=1 << 18)
+    return _INDEXES[key]
+
+
+def of_texts(postings: DataFrame) -> DataFrame:
+    """Listings whose titles are whole texts."""
+    return postings.withColumn("title", F.col("description"))
+
+
+@query(f"WITH {_bm25(['virtual', 'acme'])} SELECT id, title, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 30", "postings")
+def search(postings):
+    return S.search(postings, "Virtual ÁCME").select("id", "title", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_bm25(['analyst', 'remote'], "AND category = 'admin'")} {_page()}""", "postings")
+def search_filtered(postings):
+    """The second word occurs in tags alone."""
+    return _scored(S.search(postings, "analyst REMOTE", category="admin"))
+
+
+@query(f"WITH {_bm25(['react developer'])} SELECT count(*) AS total FROM sc", "postings")
+def search_phrase_total(postings):
+    return S.search_total(postings, "react-developer")
+
+
+@query(f"WITH {_bm25(['support', 'agent'])} {_page()}", "postings")
+def search_index(postings):
+    return _scored(I.search_index(indexed(postings, "postings"), postings, "support agent"))
+
+
+@query(f"WITH {_bm25(['senior react', 'acme'])} {_page(10, 10)}", "postings")
+def search_index_phrase(postings):
+    """A phrase and a word, the second page."""
+    return _scored(I.search_index(indexed(postings, "postings"), postings, "Senior-React âcmë", size=10, page=2))
+
+
+@query(f"""WITH {_bm25(['remote'], "AND category = 'admin' AND type = 'VA'")} {_page(5)}""", "postings")
+def search_index_filtered(postings):
+    return _scored(I.search_index(indexed(postings, "postings"), postings, "remote", size=5, category="admin", type="VA"))
 
 
-@query(f"""WITH {_bm25(['analyst'], "AND category = 'admin' AND type = 'VA'")} SELECT id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 30""", "listings")
-def search_filtered(listings):
-    return S.search(listings, "analyst", category="admin", type="VA").select("id", F.round("score", 6).alias("score"))
+@query(f"WITH {_bm25(['the'], title='description')} {_page(20)}", "postings")
+def search_index_texts(postings):
+    """A common word in whole texts: blocks under the twentieth score are not read."""
+    texts = of_texts(postings)
+    return _scored(I.search_index(indexed(texts, "texts"), texts, "thé", size=20))
 
 
-@query("SELECT count(*) AS total FROM listings WHERE is_active AND contains(lower(title), 'react developer')", "listings")
-def search_phrase_total(listings):
-    return S.search_total(listings, "react-developer")
+@query(f"WITH {_bm25(['que la', 'de'], title='description')} {_page(20)}", "postings")
+def search_index_texts_phrase(postings):
+    texts = of_texts(postings)
+    return _scored(I.search_index(indexed(texts, "texts"), texts, "que-la dé", size=20))
 
 
-@query(f"WITH {_bm25(['support', 'agent'])} SELECT id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 30", "listings")
-def search_index(listings):
-    found = S.search_index(S.term_index(listings), S.corpus_stats(listings), listings, "support agent")
-    return found.select("id", F.round("score", 6).alias("score"))
+@query(f"""WITH {_bm25(['und die'], "AND category = 'other'", title='description')} SELECT count(*) AS total FROM sc""", "postings")
+def search_index_total(postings):
+    texts = of_texts(postings)
+    return I.search_index_total(indexed(texts, "texts"), texts, "und-die", category="other")
 
 
-@query("""WITH f AS (SELECT id, 'title' AS field, title AS x FROM listings UNION ALL SELECT id, 'company', company FROM listings),
-t AS (SELECT id, field, unnest(list_filter(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+'), lambda y: y <> '')) AS term FROM f WHERE x IS NOT NULL)
-SELECT field, term, count(*) AS tf, count(DISTINCT id) AS docs FROM t GROUP BY 1, 2""", "listings")
-def term_index(listings):
-    return S.term_index(listings).groupBy("field", "term").agg(F.sum("tf").alias("tf"), F.count_distinct("id").alias("docs"))
+@query(f"""WITH f AS (SELECT id, 'title' AS field, title AS x FROM postings UNION ALL SELECT id, 'company', company FROM postings
+  UNION ALL SELECT id, 'tags', array_to_string(tags, ' ') FROM postings), t AS (SELECT id, field, unnest({_TOKENS.format("x")}) AS term FROM f)
+SELECT field, term, count(*) AS tf, count(DISTINCT id) AS docs FROM t GROUP BY 1, 2""", "postings")
+def term_index(postings):
+    """The position lists of the index, counted per field and term."""
+    found = indexed(postings, "postings").postings.select("term", F.inline("entries")).select("term", "id", F.explode("places").alias("place"))
+    field = F.element_at(F.array(*[F.lit(f) for f in S.FIELDS]), F.shiftright("place", 40).cast("int") + 1)
+    return found.groupBy(field.alias("field"), "term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("id").alias("docs"))
 
 
 # ---- windows and clicks ------------------------------------------------------------------------

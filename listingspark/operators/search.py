@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import reduce
 
@@ -12,19 +11,35 @@ from ..schemas import fill
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 FIELDS = ["title", "company", "tags"]
-# Latin letters whose accent the tokenizer drops (fixed values).
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűųźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuuzzz"
 
 
-def _fold(text: str) -> str:
-    plain = unicodedata.normalize("NFKD", text.lower())
-    return "".join(c for c in plain if not unicodedata.combining(c)).translate(str.maketrans(_ACCENTED, _PLAIN))
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that fold to a plain Latin one, and what they fold to; marks of their own fold to nothing.
+
+    A letter folds when it is decomposed into one of a to z and marks; two that aren't decomposed are added.
+    """
+    letters = {"ø": "o", "ł": "l"}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        low = chr(code).lower()
+        plain, *marks = unicodedata.normalize("NFKD", low)
+        if len(low) == 1 and "a" <= plain <= "z" and marks and all(map(unicodedata.combining, marks)):
+            letters[low] = plain
+    return "".join([*letters, *map(chr, range(0x300, 0x370))]), "".join(letters.values())
+
+
+_ACCENTED, _PLAIN = _folds()
+_FOLD = dict(zip(map(ord, _ACCENTED), [*_PLAIN, *[None] * (len(_ACCENTED) - len(_PLAIN))], strict=True))
+
+
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a text, by the rule that :func:`tokens` has for columns."""
+    folded = text.lower().translate(_FOLD)
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded).split(" ")
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """Query words as token phrases; ``e-commerce`` is the phrase ``e commerce``."""
-    phrases = [[t for t in re.split(r"[\W_]+", _fold(word)) if t] for word in query.split()]
+    phrases = [[t for t in query_tokens(word) if t] for word in query.split()]
     return [p for p in phrases if p]
 
 
@@ -33,11 +48,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _with_tokens(listings: DataFrame) -> DataFrame:
+def with_tokens(listings: DataFrame) -> DataFrame:
+    """Add the tokens of each field and their number ``_len``."""
     df = fill(listings, "listings", "tags")
-    return df.withColumns({
+    df = df.withColumns({
         "_title": tokens(F.col("title")), "_company": tokens(F.col("company")),
         "_tags": tokens(F.array_join("tags", " "))})
+    return df.withColumn("_len", reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS]))
+
+
+def filtered(category: str | None = None, type: str | None = None, platform: str | None = None) -> Column:
+    """Visible listings that pass the filters."""
+    hit = F.col("is_active")
+    for column, value in (("category", category), ("type", type), ("source_platform", platform)):
+        if value is not None:
+            hit = hit & (F.col(column) == value)
+    return hit
 
 
 def _spans(column: str, size: int) -> Column:
@@ -55,19 +81,6 @@ def _frequency(phrase: list[str]) -> Column:
     return reduce(lambda a, b: a + b, per_field)
 
 
-def term_index(listings: DataFrame) -> DataFrame:
-    """Inverted index ``(id, field, term, tf, doc_length)``; inactive rows are included.
-
-    Write it partitioned or sorted by term: a lookup then reads only the row groups of its terms.
-    """
-    df = _with_tokens(listings)
-    length = reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS])
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("terms")) for f in FIELDS])
-    rows = df.select("id", length.alias("doc_length"), F.explode(fields).alias("f")).select(
-        "id", "doc_length", "f.field", F.explode("f.terms").alias("term"))
-    return rows.groupBy("id", "field", "term", "doc_length").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _score(frequencies: list[Column], found: list[Column], total: Column, average: Column, length: Column) -> Column:
     parts = []
     for tf, df_ in zip(frequencies, found):
@@ -84,7 +97,7 @@ def matches(listings: DataFrame, query: str, category: str | None = None, type:
     side is a single scan without a shuffle.
     """
     phrases = query_phrases(query)
-    df = _with_tokens(listings).withColumn("_len", reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS]))
+    df = with_tokens(listings)
     df = df.withColumns({f"_tf{i}": _frequency(p) for i, p in enumerate(phrases)})
     if not phrases:
         return df.where(F.lit(False)).withColumn("score", F.lit(0.0)).drop(*[c for c in df.columns if c.startswith("_")])
@@ -92,12 +105,9 @@ def matches(listings: DataFrame, query: str, category: str | None = None, type:
     stats = df.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col(n) > 0).alias(f"df{n}") for n in names])).scalar()
-    hit = F.col("is_active")
+    hit = filtered(category, type, platform)
     for n in names:
         hit = hit & (F.col(n) > 0)
-    for column, value in (("category", category), ("type", type), ("source_platform", platform)):
-        if value is not None:
-            hit = hit & (F.col(column) == value)
     scored = df.where(hit).withColumn("_st", stats)
     st = F.col("_st")
     score = _score([F.col(n) for n in names], [st[f"df{n}"] for n in names], st["n"], st["avg"], F.col("_len"))
@@ -113,27 +123,3 @@ def search(listings: DataFrame, query: str, size: int = 30, page: int = 1, **fil
 def search_total(listings: DataFrame, query: str, **filters) -> DataFrame:
     """H3: number of hits."""
     return matches(listings, query, **filters).agg(F.count(F.lit(1)).alias("total"))
-
-
-def search_index(index: DataFrame, corpus: DataFrame, listings: DataFrame, query: str, size: int = 30) -> DataFrame:
-    """H3 on a stored index, for single-word terms: only postings of the query terms are read.
-
-    ``corpus`` is the one-row table of :func:`corpus_stats`.
-    """
-    terms = sorted({t for p in query_phrases(query) for t in p})
-    posts = index.where(F.col("term").isin(terms)).groupBy("id", "doc_length").agg(*[
-        F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    names = [f"_tf{i}" for i in range(len(terms))]
-    found = posts.agg(F.struct(*[F.count_if(F.col(n) > 0).alias(n) for n in names])).scalar()
-    base = corpus.agg(F.struct(F.first("n").alias("n"), F.first("avg").alias("avg"))).scalar()
-    hits = posts.where(reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names])).withColumns({"_st": base, "_df": found})
-    hits = hits.withColumn("score", _score(
-        [F.col(n) for n in names], [F.col("_df")[n] for n in names], F.col("_st")["n"], F.col("_st")["avg"],
-        F.col("doc_length"))).select("id", "score")
-    return listings.where("is_active").join(hits, "id").orderBy(F.desc(F.round("score", 9)), "id").limit(size)
-
-
-def corpus_stats(listings: DataFrame) -> DataFrame:
-    """Rows and mean token count of the searchable fields, as one row."""
-    length = reduce(lambda a, b: a + b, [F.size(f"_{f}") for f in FIELDS])
-    return _with_tokens(listings).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg"))

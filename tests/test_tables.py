@@ -88,8 +88,6 @@ def test_ranked_search(spark):
     assert [r.id for r in S.search(t, "E-Commerce").collect()] == [6]
     assert [r.id for r in S.search(t, "cafe manager").collect()] == [6]
     assert S.search(t, "commerce-e").count() == 0 and S.search(t, "  ").count() == 0
-    assert [r.id for r in S.search_index(S.term_index(t), S.corpus_stats(t), t, "assistant").collect()][0] == 2
-    assert S.term_index(t).where("id = 4").count() > 0  # inactive rows are indexed
 
 
 def test_verification_rotates(spark):
