@@ -6,7 +6,7 @@ comparison SQL states the rows that must come back.
 
 from pyspark.sql import functions as F
 
-from listingspark.plans.ingest_batch import extract_all, ingest_items
+from listingspark.plans.ingest_batch import extract_all, ingest_batch, ingest_items
 from listingspark.session import configure
 from listingspark.sources import extract as X, ingest as I
 
@@ -301,3 +301,48 @@ SELECT source_url, inactive_reason, inactive_reason IS NULL AS is_active FROM dc
 SELECT source_url, CASE WHEN NOT is_active AND source_url NOT IN (SELECT safe FROM kn) THEN 'stale-feed' END, is_active OR source_url IN (SELECT safe FROM kn) FROM postings WHERE id % 2 = 0""", "postings")
 def ingest_run(postings):
     return run_ingest(postings).listings.select("source_url", "inactive_reason", "is_active")
+
+
+# ---- a run from bodies -------------------------------------------------------------------------
+# Stored: even ids.  Items of all eight kinds in the order of kinds; feeds only of registered platforms.
+BODIES = f"""reg AS (SELECT platform FROM sources WHERE position % 5 <> 1), fd AS (
+  SELECT 0 AS feed, id, title, {R.trim('source_url')} AS u FROM listings WHERE id % 13 <> 0 AND id % 11 <> 3 AND source_platform IN (SELECT platform FROM reg)
+  UNION ALL SELECT 1, id, title, 'https://www.board.example.com/jobseekers/job/' || id FROM listings WHERE source_platform IN (SELECT platform FROM reg)
+  UNION ALL SELECT 2, id, title, CASE WHEN id % 4 = 0 THEN 'https://board.example.com/job/' || id ELSE 'https://board.example.com/apply/' || id END FROM listings
+    WHERE id % 4 IN (0, 1) AND title <> 'test' AND {R.hits(REL_T, R.V.RELEVANT_ROLES)} AND NOT {R.hits(REL_T, R.V.PHYSICAL_ROLES)} AND source_platform IN (SELECT platform FROM reg)
+  UNION ALL SELECT v, id, title, CASE WHEN v = 6 THEN 'https://apply.workable.com/tok-' || source_platform || '/j/S' || id || '/' ELSE source_url END
+    FROM listings, (SELECT unnest([3, 4, 5, 6, 7]) AS v) WHERE v <> 5 OR id % 7 <> 0),
+fu AS (SELECT feed, id, title, u, {R.url_struct('u')} AS s FROM fd), fs AS (SELECT *, {R.safe_source('s', 'u')} AS safe FROM fu), fk AS (SELECT * FROM fs WHERE safe IS NOT NULL),
+st AS (SELECT source_url, title FROM listings WHERE id % 2 = 0), ad AS (SELECT safe, arg_min(title, (feed, id)) AS title FROM fk GROUP BY 1)"""
+
+
+def registered(sources):
+    return feed_sources(sources.where("position % 5 <> 1").withColumn("source_id", F.col("platform")))
+
+
+def no_state(sources):
+    return sources.select(F.col("platform").alias("source_id"), F.lit(None).cast("string").alias("body_hash"), F.lit(0).alias("last_count")).where("false")
+
+
+def stored_half(listings):
+    return listings.where("id % 2 = 0").withColumns({
+        "content_hash": F.sha2(F.concat_ws("::", "title", "source_url"), 256), "tags": F.lit(None).cast("array<string>"), "updated_at": F.lit(None).cast("timestamp")}).drop("lang")
+
+
+def run_bodies(listings, sources):
+    v, s = votes(listings, "source_url")
+    return ingest_batch(all_payloads(listings), no_state(sources), registered(sources), stored_half(listings), v, s, AS_OF, HOST)
+
+
+@query(f"""WITH {BODIES} SELECT (SELECT count(*) FROM fs) AS raw, (SELECT count(*) FROM fs) - (SELECT count(*) FROM fk) AS dropped, (SELECT count(*) FROM ad WHERE safe IN (SELECT source_url FROM st)) AS known,
+  (SELECT count(*) FROM fk) - (SELECT count(*) FROM ad) AS repeated, (SELECT count(*) FROM ad WHERE safe NOT IN (SELECT source_url FROM st)) AS inserted, CAST(0 AS BIGINT) AS conflicting, CAST(0 AS BIGINT) AS unaccounted""", "listings", "sources")
+def ingest_full_counts(listings, sources):
+    """From bodies of all kinds to counts that close."""
+    counts = run_bodies(listings, sources).counts
+    return counts.select("raw", "dropped", "known", "repeated", "inserted", "conflicting", F.expr("raw - dropped - known - repeated - inserted - conflicting").alias("unaccounted"))
+
+
+@query(f"WITH {BODIES} SELECT source_url, title FROM st UNION ALL SELECT safe, title FROM ad WHERE safe NOT IN (SELECT source_url FROM st)", "listings", "sources")
+def ingest_full(listings, sources):
+    """The table after a run from bodies; of equal addresses the first kind of feed wins."""
+    return run_bodies(listings, sources).listings.select("source_url", "title")

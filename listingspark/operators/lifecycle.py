@@ -54,28 +54,42 @@ def _with_seen(t: DataFrame, seen: DataFrame) -> DataFrame:
     return t.join(urls, "source_url", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
 
 
+def _due(as_of, hours: int):
+    return F.col("_seen") & (F.col("last_seen_at").isNull() | (F.col("last_seen_at") < before(as_of, hours=hours)))
+
+
+def _back():
+    return F.coalesce(F.col("_seen") & ~F.col("is_active") & F.col("inactive_reason").isin(V.RECOVERABLE_REASONS), F.lit(False))
+
+
+def _stamped(flag: str, as_of) -> dict:
+    return {c: F.when(F.col(flag), moment(as_of)).otherwise(F.col(c)) for c in ("last_seen_at", "updated_at")}
+
+
+def _revived(flag: str, as_of) -> dict:
+    b = F.col(flag)
+    return {"is_active": F.col("is_active") | b, "inactive_reason": F.when(~b, F.col("inactive_reason")),
+            "failed_count": F.when(b, 0).otherwise(F.col("failed_count"))}
+
+
 def touch_seen(t: DataFrame, seen: DataFrame, as_of, hours: int = 12) -> DataFrame:
     """Stamp rows seen again, only when the stamp is missing or older than ``hours``."""
     t = fill(t, "listings", "updated_at")
-    due = F.col("_seen") & (F.col("last_seen_at").isNull() | (F.col("last_seen_at") < before(as_of, hours=hours)))
-    return _with_seen(t, seen).withColumn("_due", due).withColumns({
-        c: F.when(F.col("_due"), moment(as_of)).otherwise(F.col(c)) for c in ("last_seen_at", "updated_at")
-    }).select(*t.columns)
+    return _with_seen(t, seen).withColumn("_due", _due(as_of, hours)).withColumns(_stamped("_due", as_of)).select(*t.columns)
 
 
 def revive(t: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     """Reactivate rows seen again that were archived for staleness or a dead link only."""
     t = fill(t, "listings", "updated_at", "failed_count")
-    back = F.col("_seen") & ~F.col("is_active") & F.col("inactive_reason").isin(V.RECOVERABLE_REASONS)
-    df = _with_seen(t, seen).withColumn("_back", F.coalesce(back, F.lit(False)))
-    b = F.col("_back")
-    return df.withColumns({
-        "is_active": F.col("is_active") | b,
-        "inactive_reason": F.when(~b, F.col("inactive_reason")),
-        "failed_count": F.when(b, 0).otherwise(F.col("failed_count")),
-        "last_seen_at": F.when(b, moment(as_of)).otherwise(F.col("last_seen_at")),
-        "updated_at": F.when(b, moment(as_of)).otherwise(F.col("updated_at")),
-    }).select(*t.columns)
+    return _with_seen(t, seen).withColumn("_back", _back()).withColumns({**_revived("_back", as_of), **_stamped("_back", as_of)}).select(*t.columns)
+
+
+def seen_again(t: DataFrame, seen: DataFrame, as_of, hours: int = 12, flag: str | None = None) -> DataFrame:
+    """J2 and J3 in one join of the table; ``flag`` names a column that tells which rows change."""
+    t = fill(t, "listings", "updated_at", "failed_count")
+    df = _with_seen(t, seen).withColumns({"_due": _due(as_of, hours), "_back": _back()}).withColumn("_any", F.col("_due") | F.col("_back"))
+    df = df.withColumns({**_revived("_back", as_of), **_stamped("_any", as_of)})
+    return df.select(*t.columns, *([F.col("_any").alias(flag)] if flag else []))
 
 
 def _archive(t: DataFrame, test, reason: str | None, as_of) -> DataFrame:

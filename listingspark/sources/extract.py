@@ -14,6 +14,8 @@ from ..functions.times import parse_epoch_or_text, parse_time
 from ..schemas import fill
 from ..stages import once
 
+FEED_KINDS = ("rss", "html", "json")  # kinds that only registered sources may send
+
 _NODE = "struct<_VALUE:string>"
 _FEED_ITEM = f"""title {_NODE}, link struct<_VALUE:string,_href:string>, id string, pubDate string,
     published string, description {_NODE}, `dc:creator` {_NODE}, author {_NODE},
@@ -242,7 +244,7 @@ def extract_html_feed(payloads: DataFrame, sources: DataFrame, job_path: str, si
 
 def unknown_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     """Feed payloads of sources that the registry does not have, to be reported: ``source_id, kind, fetched_at``."""
-    feeds = payloads.where(F.col("kind").isin("rss", "html", "json"))
+    feeds = payloads.where(F.col("kind").isin(*FEED_KINDS))
     return feeds.join(sources.select("source_id"), "source_id", "left_anti").select("source_id", "kind", "fetched_at")
 
 
