@@ -29,17 +29,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship, stored, texts
+from .common import ship, slices, stored, texts
 
 WINDOW = 10
 BLOCK = 2  # words that decide a shift
 SUFFIX = 4  # words that select a bucket
 SHIFT_BITS, BUCKET_BITS, WHOLE_BITS = 20, 22, 24  # sizes of the tables, as powers of two
 LANE = 512  # places of a text that one search goes through
-BATCH_BYTES = 8 << 20
 SALTS = 16
 _UPPER = bytes(range(65, 91))
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -153,17 +151,6 @@ def patterns_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Da
     return rows.mapInArrow(cut, "n_words int, pattern string, item_id string").distinct()
 
 
-def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``most`` bytes of its second column; a longer text is a part of its own."""
-    if not batch.num_rows:
-        return
-    size = pc.binary_length(batch.column(1).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def tables_of(patterns: DataFrame) -> dict[int, Tables]:
     """The joined tables of each number of words; at most ``window`` times some 4 MB, before compression."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

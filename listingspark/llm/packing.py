@@ -20,13 +20,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, ship, stored, texts
+from .common import documents, ship, slices, stored, texts
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,8 +42,8 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col:
         seen, full = Counter(), 0
         for batch in batches:
             out = {k: [] for k in ("n", "window_crcs", "rest", "rest_ids", "rest_crc", "rank", "first_full")}
-            for text in texts(batch.column(1)):
-                ids = enc.encode(text) + end
+            for coded in chain.from_iterable(enc.encode_all(texts(p.column(1))) for p in slices(batch, 4 << 20)):
+                ids = coded + end
                 n = len(ids) // wide
                 as_four = np.frombuffer(ids, enc.dtype).astype("<u4")
                 cut = n - n % window

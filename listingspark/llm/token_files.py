@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import range_coder
-from .common import documents, shared_folder, ship, stored, texts
+from .common import documents, shared_folder, ship, slices, stored, texts
 from .tokens import encoder
 
 MAGIC = b"CMRC0001"
@@ -71,12 +71,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col:
                 known.append(np.array(column.is_valid().to_pylist(), np.uint8))
                 doc_ids = np.array(column.fill_null(0).to_pylist(), "<i8")
                 lengths = []
-                for text in texts(first.column(1)):
-                    coded = enc.encode(text) + end
-                    lengths.append(len(coded) // enc.dtype.itemsize)
-                    ids += coded
-                    if len(ids) >= step:
-                        blocks(step)
+                for part in slices(first, 4 << 20):
+                    for coded in enc.encode_all(texts(part.column(1))):
+                        lengths.append(len(coded) // enc.dtype.itemsize + 1)
+                        ids += coded
+                        ids += end
+                        if len(ids) >= step:
+                            blocks(step)
                 sizes.append((doc_ids, np.array(lengths, "<u4")))
                 total += int(sizes[-1][1].sum())
                 first = next(batches, None)
