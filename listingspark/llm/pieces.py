@@ -6,10 +6,10 @@ candidate is skipped with the probability of the dropout, as if it were not ther
 it anew with other neighbours.  Without dropout the ids are those of the library.
 
 Skips are drawn for every word of every document on its own: a keyed hash of seed, document and place gives the
-number of candidates before the next skip (a geometric draw, which is the same as one draw per candidate).  The path
-without skips is kept per word and worker with its number of candidates, and holds when the first skip lies beyond
-them.  Paths of up to three skips are kept by word and places of the skips, others run the agenda each time; what
-is kept never changes a result.  The same seed gives the same ids again on any cluster.
+number of candidates before the next skip (a geometric draw, which is the same as one draw per candidate).  All words of a
+batch take their steps together.  The path without skips is kept for words met lately, with its number of candidates, and
+holds when the first skip lies beyond them; every other word runs its own agenda.  What is kept never changes a result.  The same
+seed gives the same ids again on any cluster.
 
 Characters without a piece become byte pieces, and so does the mark that pieces write for a space, so every
 text decodes to itself.  Null text is the empty text, which has no ids; an empty table gives no rows;
@@ -19,7 +19,6 @@ repeated rows are encoded alike; other columns are not read.
 from __future__ import annotations
 
 import re
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -29,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, ship, texts
+from .agenda import LONGEST, Pairs, merge
+from .common import documents, ship, slices, texts
+from .tokens import Kept
 
 _WORD = re.compile(r" +[^ ]*")
 _MARK = "▁"
@@ -41,35 +42,6 @@ _MOST_GAP = 4096  # candidates that one draw covers
 _LOADED: dict[tuple, Pieces] = {}
 
 
-class _Segments(dict):
-    """Word to packed ids and number of candidates, without skips; dropped whole when full.
-
-    A word after one space is kept without it, one after several spaces with all of them.
-    """
-
-    def __init__(self, pieces: Pieces, most: int):
-        super().__init__()
-        self.pieces, self.most = pieces, most
-
-    def __missing__(self, word: str) -> tuple[bytes, int]:
-        return self._keep(word, word, None)
-
-    def _keep(self, key, word: str, draw) -> tuple[bytes, int]:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.pieces.packed(word, draw)
-        return found
-
-
-class _Skipped(_Segments):
-    """The same by word and the places of all skips among its candidates."""
-
-    def __missing__(self, key: tuple[str, tuple[int, ...]]) -> tuple[bytes, int]:
-        word, places = key
-        gaps = (b - a - 1 for a, b in zip((-1, *places), places, strict=False))
-        return self._keep(key, word, chain(self.pieces.skips(gaps), repeat(False)).__next__)
-
-
 def _mixed(x: int) -> int:
     """The finalizer of SplitMix64."""
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
@@ -86,7 +58,7 @@ def _mixed_all(x: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model file with one dropout and seed."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, most_words: int = 1_000_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, most_words: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -113,13 +85,63 @@ class Pieces:
             kept = kept * ((1 << 16) - self.limit) >> 16
             self.bounds.append(min(_ALL, (1 << 64) - (kept >> 960)))
         self.bound_array = np.array(self.bounds, np.uint64)
-        self.longest = max(map(len, self.ids))
-        self.plain, self.skipped = _Segments(self, most_words // 2), _Skipped(self, most_words // 2)
-
-    def packed(self, word: str, draw) -> tuple[bytes, int]:
-        """Packed ids of a word as :class:`_Segments` keeps it, and the number of candidates."""
-        ids, n = self.segment(word if word[:1] == " " else " " + word, draw)
-        return array("i", ids).tobytes(), n
+        self.kept = Kept(300 * most_words)
+        self._symbols()
+
+    def _symbols(self) -> None:
+        """Numbers for pieces and characters, the pairs that make a piece, and the ids that a symbol stands for at the end."""
+        number = {s: i for i, s in enumerate(dict.fromkeys([*self.ids, *(c for s in self.ids for c in s)]))}
+        ranks = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
+        parts = [(number[s[:i]], number[s[i:]], ranks[self.rank[s]], number[s])
+                 for s in self.ids for i in range(1, len(s)) if s[:i] in number and s[i:] in number]
+        self.pairs = Pairs(*np.array(parts, np.int64).reshape(-1, 4).T, symbols=len(number))
+        self.of_char = np.full(0x110000, -1, np.int32)  # -1: a character of no piece
+        for s, i in number.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+        self.of_symbol = np.array([self.ids.get(s, -1) for s in number] + [-1], np.int32)  # -1: to be written in bytes
+
+    def _draw(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = _mixed_all(keys + np.uint64(_STEP))
+        return keys, self._next(keys)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """Candidates before the next skip; a word merged at once has fewer than the bounds reach."""
+        gaps = np.searchsorted(self.bound_array, keys, side="right")
+        return np.where(gaps == len(self.bounds), 1 << 40, gaps)
+
+    def packed_all(self, words: list[str], gaps: np.ndarray | None = None, keys: np.ndarray | None = None) -> list[tuple[bytes, int]]:
+        """Packed ids of each word and its number of candidates.  A word after one space comes without it."""
+        spelled = [w if w[:1] == " " else " " + w for w in words]
+        lens = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        chars = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32)
+        flat = self.of_char[chars]
+        alive, n = merge(self.pairs, flat, lens, gaps, keys, self._draw)
+        there = np.flatnonzero(alive)
+        ids = self.of_symbol[flat[there]]
+        ends = np.cumsum(alive)[np.cumsum(lens) - 1]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):  # characters written in bytes
+            coded = [np.array([self.byte[b] for b in chr(c).encode()], np.int32) for c in chars[there[odd]].tolist()]
+            sizes = np.ones(len(ids), np.int64)
+            sizes[odd] = list(map(len, coded))
+            first = np.cumsum(sizes) - sizes
+            wide = np.empty(int(sizes.sum()), np.int32)
+            wide[first] = ids
+            wide[np.repeat(first[odd], sizes[odd]) + np.concatenate([np.arange(len(c)) for c in coded])] = np.concatenate(coded)
+            ids, ends = wide, np.cumsum(sizes)[ends - 1]
+        packed, at = ids.astype("<i4").tobytes(), 0
+        out = []
+        for end, k in zip((4 * ends).tolist(), n.tolist(), strict=True):
+            out.append((packed[at:end], k))
+            at = end
+        for i in np.flatnonzero(lens > LONGEST).tolist():
+            draw = None
+            if keys is not None:
+                draw = self.skips(chain((int(np.searchsorted(self.bound_array, keys[i], side="right")),), self._gaps(int(keys[i])))).__next__
+            found, k = self.segment(spelled[i], draw)
+            out[i] = np.array(found, "<i4").tobytes(), k
+        return out
 
     def segment(self, word: str, draw=None) -> tuple[list[int], int]:
         """Ids of one word with the spaces before it, and the number of candidates; ``draw`` tells for each if it is skipped."""
@@ -145,23 +167,6 @@ class Pieces:
             key = _mixed(key + _STEP & _ALL)
             yield bisect_right(self.bounds, key)
 
-    def _varied(self, word: str, first: int, second: int, key: int) -> bytes:
-        """Packed ids of a word with skips drawn: the first two gaps, then those that follow ``key``."""
-        found, n = self.plain[word]
-        places, at, most = (), 0, len(self.bounds)
-        for gap in chain((first, second), self._gaps(key)):
-            at += gap
-            if at >= n:
-                return found
-            if gap == most:
-                continue
-            places += (at,)
-            if len(places) > 3:
-                break
-            at += 1
-            found, n = self.skipped[word, places]
-        return self.packed(word, self.skips(chain((first, second), self._gaps(key))).__next__)[0]
-
     def _scan(self, word: str, draw) -> tuple[list[str], int]:
         """A short agenda kept as a list of ranks, the least of which is looked up."""
         get, n = self.rank.get, 0
@@ -216,34 +221,35 @@ class Pieces:
 
     def encode(self, text: bytes, doc: bytes) -> bytes:
         """Packed 32-bit ids of a whole text; ``doc`` tells documents apart."""
-        if not text:
-            return b""
-        plain = text.decode("utf-8", "replace")
-        if "  " in plain or plain[0] == " ":
-            words = [w if w[1:2] == " " else w[1:] for w in _WORD.findall(" " + plain)]
-        else:
-            words = plain.split(" ")
-        found = list(map(self.plain.__getitem__, words))
+        return self.encode_all([text], [doc])[0]
+
+    def encode_all(self, rows: list[bytes], docs: list[bytes]) -> list[bytes]:
+        """:meth:`encode` for texts and their documents."""
+        words, sizes = [], []
+        for text in rows:
+            plain = text.decode("utf-8", "replace")
+            if not plain:
+                own = []
+            elif "  " in plain or plain[0] == " ":
+                own = [w if w[1:2] == " " else w[1:] for w in _WORD.findall(" " + plain)]
+            else:
+                own = plain.split(" ")
+            words += own
+            sizes.append(len(own))
+        found = self.kept.all(words, self.packed_all)
         out = [f[0] for f in found]
-        if not self.limit:
-            return b"".join(out)
-        from xxhash import xxh64_intdigest
-
-        x = _mixed_all(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(xxh64_intdigest(doc, self.seed)))
-        gaps = np.searchsorted(self.bound_array, x, side="right")
-        hit = np.flatnonzero(gaps < np.fromiter((f[1] for f in found), np.int64, len(found)))
-        x = _mixed_all(x[hit] + np.uint64(_STEP))
-        second = np.searchsorted(self.bound_array, x, side="right")
-        skipped, most = self.skipped, len(self.bounds)
-        for i, a, b, key in zip(hit.tolist(), gaps[hit].tolist(), second.tolist(), x.tolist(), strict=True):
-            word = words[i]
-            if a < most:
-                once, n = skipped[word, (a,)]
-                if a + 1 + b >= n:
-                    out[i] = once
-                    continue
-            out[i] = self._varied(word, a, b, key)
-        return b"".join(out)
+        if self.limit and words:
+            from xxhash import xxh64_intdigest
+
+            seeds = np.array([xxh64_intdigest(d, self.seed) for d in docs], np.uint64)
+            places = np.arange(1, len(words) + 1, dtype=np.uint64) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.uint64)
+            keys = _mixed_all(places * np.uint64(_STEP) + np.repeat(seeds, sizes))
+            gaps = self._next(keys)
+            hit = np.flatnonzero(gaps < np.fromiter((f[1] for f in found), np.int64, len(found)))
+            for i, (ids, _) in zip(hit.tolist(), self.packed_all([words[i] for i in hit.tolist()], gaps[hit], keys[hit]), strict=True):
+                out[i] = ids
+        ends = np.cumsum(sizes).tolist()
+        return [b"".join(out[b - n:b]) for b, n in zip(ends, sizes, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids that :meth:`encode` gave."""
@@ -265,7 +271,9 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model, dropout, seed)
         for batch in batches:
-            coded = [coder.encode(t, str(d).encode()) for d, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
+            coded = []
+            for part in slices(batch, 2 << 20):
+                coded += coder.encode_all(texts(part.column(1)), [str(d).encode() for d in part.column(0).to_pylist()])
             ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
