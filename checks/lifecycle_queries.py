@@ -88,8 +88,13 @@ def archive_duplicates(listings):
 LAST_CHECK = f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ts DESC, id DESC) AS r FROM ({CLASS})), c AS (SELECT * FROM c0 WHERE r = 1)"""
 
 
-@query(f"""WITH {LAST_CHECK}, u AS (SELECT l.*, {R.url_struct('l.source_url')} AS s, c.company_id IS NOT NULL AND l.is_active AS seen, c.status, c.id % 5 = 0 AS locked, c.ts
-  FROM listings l LEFT JOIN (SELECT * FROM c) c ON c.company_id = l.id),
+# The checks spread over all listings.
+LAST_LISTING_CHECK = f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY ts DESC, id DESC) AS r
+  FROM (SELECT *, id % (SELECT count(*) FROM listings) AS listing FROM ({CLASS}))), c AS (SELECT * FROM c0 WHERE r = 1)"""
+
+
+@query(f"""WITH {LAST_LISTING_CHECK}, u AS (SELECT l.*, {R.url_struct('l.source_url')} AS s, c.listing IS NOT NULL AND l.is_active AS seen, c.status, c.id % 5 = 0 AS locked, c.ts
+  FROM listings l LEFT JOIN (SELECT * FROM c) c ON c.listing = l.id),
 v AS (SELECT *, seen AND ({R.safe_source('s', 'source_url')}) IS NULL AS bad FROM u),
 w AS (SELECT *, seen AND NOT bad AND status IS NOT NULL AS live FROM v),
 x AS (SELECT *, live AND locked AND status BETWEEN 200 AND 299 AS lock_, live AND NOT (locked AND status BETWEEN 200 AND 299) AND status IN (404, 410, 451) AS dead FROM w)
@@ -99,7 +104,8 @@ SELECT id, is_active AND NOT (bad OR lock_ OR (dead AND failed_count + 1 >= 3))
   CASE WHEN lock_ THEN 'ineligible' ELSE ph_eligibility END AS ph_eligibility, CASE WHEN lock_ THEN 'Verifier page scan: locked' END AS geo_evidence,
   CASE WHEN seen THEN {sec('ts')} ELSE {sec('last_verified_at')} END AS last_verified_at FROM x""", "listings", "checks")
 def apply_link_checks(listings, checks):
-    c = checks.select(F.col("id").alias("check_id"), F.col("company_id").alias("id"), "ts", "status", "body",
+    listing = F.col("id") % listings.agg(F.count(F.lit(1))).scalar()
+    c = checks.select(F.col("id").alias("check_id"), listing.alias("id"), "ts", "status", "body",
                       F.when(F.col("id") % 5 == 0, "locked").alias("geo_lock"))
     out = links.apply_link_checks(listings, c)
     return as_text(out.select(*STATE, "failed_count", "ph_eligibility", "geo_evidence", "last_verified_at"), "last_verified_at")
@@ -123,11 +129,10 @@ PARKED = f"p AS (SELECT p0.*, gate_scope, gate_eligibility, gate_evidence FROM p
 
 def parked(postings):
     gated = geo.geo_gate(postings)
-    p = J.park_pending(gated.where("not is_active"), AS_OF, "no verdict yet")
-    return p
+    return J.park_pending(gated, AS_OF, "no verdict yet")
 
 
-@query(f"""WITH {R.gate('postings')}, {PARKED}, u AS (SELECT *, {R.url_struct('source_url')} AS s, {R.url_struct('application_url')} AS a FROM p WHERE NOT is_active)
+@query(f"""WITH {R.gate('postings')}, {PARKED}, u AS (SELECT *, {R.url_struct('source_url')} AS s, {R.url_struct('application_url')} AS a FROM p)
 SELECT id, false AS is_active, 'pending-triage' AS inactive_reason, gate_scope AS geo_scope, 'unclear' AS ph_eligibility, 'Pending durable triage: no verdict yet' AS geo_evidence,
   coalesce({R.trusted_apply('a', 'application_url', 's', 'source_url')}, source_url) AS application_url, sha256(title || coalesce(description, '')) AS description_hash FROM u""", "postings")
 def park_pending(postings):
@@ -138,7 +143,7 @@ def park_pending(postings):
 @query(f"""WITH {R.gate('postings')}, {PARKED}
 SELECT id, gate_scope IN {in_list(V.GATE_ELIGIBLE_SCOPES)} AS is_active, CASE WHEN gate_scope NOT IN {in_list(V.GATE_ELIGIBLE_SCOPES)} THEN 'pending-triage' END AS inactive_reason,
   CASE WHEN gate_scope IN {in_list(V.GATE_ELIGIBLE_SCOPES)} THEN 'Geo-gate eligible; auto-published pending AI re-vet' ELSE 'Pending durable triage: no verdict yet' END AS geo_evidence,
-  'unclear' AS ph_eligibility FROM p WHERE NOT is_active""", "postings")
+  'unclear' AS ph_eligibility FROM p""", "postings")
 def recover_pending(postings):
     return J.recover_pending(parked(postings), AS_OF).select(*STATE, "geo_evidence", "ph_eligibility")
 

@@ -107,9 +107,9 @@ def language(source: str, key: str, text: str, name: str = "lang_found") -> str:
     langs = list(V.STOPWORDS)
     cols = []
     for lang, words in V.STOPWORDS.items():
-        lst = "[" + ", ".join(literal(w) for w in words.split()) + "]"
+        lst = "[" + ", ".join(literal(w) for w in words) + "]"
         cols.append(f"list_filter(w, lambda x: list_contains({lst}, x)) AS f_{lang}")
-    en = "[" + ", ".join(literal(w) for w in V.ENGLISH_STOPWORDS.split()) + "]"
+    en = "[" + ", ".join(literal(w) for w in V.ENGLISH_STOPWORDS) + "]"
     score = lambda i, c: f"CASE WHEN len(list_distinct(f_{c})) >= 4 AND len(f_{c}) >= 6 THEN len(f_{c}) * 10 + {9 - i} ELSE 0 END"
     best = "greatest(" + ", ".join(score(i, c) for i, c in enumerate(langs)) + ")"
     pick = " ".join(f"WHEN {9 - i} THEN '{c}'" for i, c in enumerate(langs))

@@ -24,33 +24,41 @@ def landed(df: DataFrame, name: str) -> tuple[SparkSession, str]:
     return df.sparkSession, path
 
 
-def streamed(df: DataFrame, name: str, make) -> DataFrame:
-    """All output rows of a stream over the rows of ``df``, run until its input is used up."""
-    spark, path = landed(df, name)
-    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 100).parquet(f"{path}/in")
+SLICES = 4
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    out = make(live)
-    out.writeStream.foreachBatch(step).outputMode("update" if name != "incidents" else "append").option(
-        "checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+def landed_slices(df: DataFrame, name: str) -> tuple[SparkSession, str]:
+    """A new folder with the rows of ``df`` in files of equal size by time, written one after the other."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    seconds = F.col("ts").cast("double")
+    cuts = df.agg(F.percentile_approx(seconds, [i / SLICES for i in range(1, SLICES)], 10_000).alias("c")).first().c or []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = df.where(F.lit(True) if low is None else seconds > low).where(F.lit(True) if high is None else seconds <= high)
+        part.coalesce(1).write.parquet(f"{path}/in/slice={i}")
+    return spark, path
+
+
+def folded(df: DataFrame, name: str, fold: states.Fold) -> tuple[DataFrame, DataFrame]:
+    """All output rows and the last state of a fold over the rows of ``df``, a slice per micro-batch, so that states are read back."""
+    spark, path = landed_slices(df, name)
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/slice=*")
+    states.run_fold(live, fold, f"{path}/fold", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/fold/out"), spark.read.parquet(f"{path}/fold/state/version={SLICES}")
 
 
 @query(f"WITH {source_queries.STREAK} SELECT source_id AS key, streak, backoff_minutes FROM sb", "fetch_events")
 def streak_stream(events):
-    """K3: the last state per source of the refusal stream."""
-    rows = streamed(source_queries.limited(events).select("id", "source_id", "ts", "skipped", "error"), "streaks", states.streak_stream)
-    return rows.groupBy("key").agg(F.max(F.struct("at", "streak", "backoff_minutes")).alias("m")).select("key", "m.streak", "m.backoff_minutes")
+    """K3: the last output per source of the refusal stream."""
+    rows, _ = folded(source_queries.limited(events).select("id", "source_id", "ts", "skipped", "error"), "streaks", states.streak_fold())
+    return rows.groupBy("key").agg(F.max(F.struct("version", "streak", "backoff_minutes")).alias("m")).select("key", "m.streak", "m.backoff_minutes")
 
 
 @query(f"""WITH {rule_queries.STRIKES} SELECT CAST(company_id AS VARCHAR) AS key, CAST(arg_max(strikes, (ts, id)) AS INT) AS strikes, max(strikes) >= 3 AS reached_threshold
   FROM s2 GROUP BY 1""", "checks")
 def strikes_stream(checks):
     """K5: the last state per company of the link-check stream."""
-    rows = streamed(rule_queries.checked(checks).select("id", "company_id", "ts", "hard_dead", "link_status"), "strikes", states.strikes_stream)
-    return rows.groupBy("key").agg(F.max(F.struct("at", "strikes", "reached_threshold")).alias("m")).select("key", "m.strikes", "m.reached_threshold")
+    _, state = folded(rule_queries.checked(checks).select("id", "company_id", "ts", "hard_dead", "link_status"), "strikes", states.strikes_fold())
+    return state.select("key", "strikes", "reached_threshold")
 
 
 def incident_stream(events):
@@ -58,7 +66,8 @@ def incident_stream(events):
     i = F.col("id")
     signal = F.when(i % 5 == 0, "failing").when((i % 5 == 4) & (i % 3 == 0), "failing").when(i % 5 == 4, "unknown").otherwise("healthy")
     signals = events.select("id", F.concat(F.lit("K"), (i % 6).cast("string")).alias("incident_key"), "ts", signal.alias("signal"))
-    return streamed(signals, "incidents", states.incident_stream).select(F.col("key").alias("incident_key"), "id", "action", "healthy_streak")
+    rows, _ = folded(signals, "incidents", states.incident_fold())
+    return rows.select(F.col("key").alias("incident_key"), "id", "action", "healthy_streak")
 
 
 query(None, "fetch_events", name="incident_stream")(incident_stream)

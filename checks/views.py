@@ -11,14 +11,15 @@ from listingspark.session import configure
 
 AS_OF = "2024-01-31 00:00:00"
 
+# Exact copies of a text have a company in common, up to case, so they are duplicates.
 LISTINGS = """SELECT d.doc_id AS id,
   CASE d.doc_id % 11 WHEN 0 THEN 'Virtual Assistant' WHEN 1 THEN 'Senior React Developer' WHEN 2 THEN 'Bookkeeper'
     WHEN 3 THEN 'Customer Support Agent (Hybrid)' WHEN 4 THEN 'Graphic Designer' WHEN 5 THEN 'SEO Content Writer'
     WHEN 6 THEN 'Support Engineer - Texas' WHEN 7 THEN 'Warehouse Driver' WHEN 8 THEN 'Data Analyst, Philippines'
     WHEN 9 THEN 'test' ELSE 'Payroll Specialist' END AS title,
   CASE WHEN d.doc_id % 23 = 0 THEN NULL WHEN d.doc_id % 29 = 0 THEN '  '
-    WHEN d.doc_id % 2 = 0 THEN concat('Acme ', CAST(d.doc_id % 14 AS STRING))
-    ELSE concat('ACME ', CAST(d.doc_id % 14 AS STRING)) END AS company,
+    WHEN d.doc_id % 2 = 0 THEN concat('Acme ', CAST(length(d.text) % 14 AS STRING))
+    ELSE concat('ACME ', CAST(length(d.text) % 14 AS STRING)) END AS company,
   CASE d.doc_id % 5 WHEN 0 THEN 'VA' WHEN 1 THEN 'freelance' WHEN 2 THEN 'project' WHEN 3 THEN 'full-time' ELSE 'part-time' END AS type,
   CASE WHEN p.url IS NOT NULL THEN p.url
     WHEN d.doc_id % 17 = 0 THEN concat('http://127.0.0.1/job/', CAST(d.doc_id AS STRING))
@@ -31,7 +32,7 @@ LISTINGS = """SELECT d.doc_id AS id,
     WHEN 4 THEN 'customer-service' WHEN 5 THEN 'finance' ELSE 'other' END AS category,
   CASE d.doc_id % 12 WHEN 0 THEN 'Anywhere in the World' WHEN 1 THEN 'Florida, United States' WHEN 2 THEN 'Manila, Philippines'
     WHEN 3 THEN 'EMEA' WHEN 4 THEN 'London' WHEN 5 THEN 'APAC' WHEN 6 THEN '' WHEN 7 THEN 'Singapore (on-site)' ELSE NULL END AS location_raw,
-  CASE WHEN d.doc_id % 3 = 0 THEN 'Shared posting text' ELSE d.text END AS description, d.lang AS lang,
+  d.text AS description, d.lang AS lang,
   CASE WHEN d.doc_id % 31 = 0 THEN NULL WHEN d.doc_id % 4 = 0 THEN e.ts WHEN d.doc_id % 4 = 1 THEN e.ts - INTERVAL 20 DAY
     WHEN d.doc_id % 4 = 2 THEN e.ts - INTERVAL 40 DAY ELSE e.ts - INTERVAL 75 DAY END AS posted_at,
   e.ts AS scraped_at,
@@ -43,7 +44,10 @@ LISTINGS = """SELECT d.doc_id AS id,
   CASE d.doc_id % 7 WHEN 0 THEN 'eligible_verified' WHEN 1 THEN 'eligible_likely' WHEN 2 THEN 'unclear' WHEN 3 THEN 'ineligible' WHEN 4 THEN NULL ELSE 'eligible_likely' END AS ph_eligibility
 FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id"""
 
-FETCH_EVENTS = """SELECT event_id AS id, concat('src', CAST(user_id % 20 AS STRING)) AS source_id, ts,
+# Events of as many sources as the documents have.
+N_SOURCES = "(SELECT count(DISTINCT source) FROM documents)"
+
+FETCH_EVENTS = f"""SELECT event_id AS id, concat('src', CAST(user_id % {N_SOURCES} AS STRING)) AS source_id, ts,
   event_type <> 'error' AS ok, event_type = 'view' AS skipped,
   CASE WHEN event_type = 'error' OR event_type = 'view' THEN 0 ELSE CAST(event_id % 50 AS INT) END AS cnt,
   CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'HTTP 500' WHEN event_id % 3 = 1 THEN 'HTTP 429' ELSE 'timeout' END AS error
@@ -69,9 +73,9 @@ SOURCES = """SELECT concat('src', substr(source, 4)) AS source_id, concat('Feed
   CAST(n AS INT) AS position
 FROM (SELECT source, CAST(substr(source, 4) AS INT) AS n FROM (SELECT DISTINCT source FROM documents) s0) s1"""
 
-# One pause per failing source and one that names nothing.
-PAUSES = """SELECT concat('src', CAST(user_id % 20 AS STRING)) AS source_id, 'keeps failing' AS reason,
-  '2024-01-30' AS paused_at, 'bot' AS paused_by FROM events WHERE event_type = 'error' AND user_id % 20 IN (3, 9) GROUP BY user_id % 20
+# Pauses of a sixth of the failing sources, one that names nothing, and one without a reason.
+PAUSES = f"""SELECT concat('src', CAST(k AS STRING)) AS source_id, 'keeps failing' AS reason, '2024-01-30' AS paused_at, 'bot' AS paused_by
+  FROM (SELECT user_id % {N_SOURCES} AS k FROM events WHERE event_type = 'error') f WHERE k % 6 = 3 GROUP BY k
 UNION ALL SELECT concat('ghost', CAST(count(*) % 7 AS STRING)), 'gone', '2024-01-30', 'bot' FROM events
 UNION ALL SELECT 'src5', NULL, max(substr(CAST(ts AS STRING), 1, 10)), 'bot' FROM events"""
 

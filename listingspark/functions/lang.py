@@ -19,12 +19,12 @@ def with_language(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     The words are cut down once to the foreign stopwords; the count per language works on that rest.
     """
-    lists = {lang: words.split() for lang, words in V.STOPWORDS.items()}
+    lists = V.STOPWORDS
     foreign = sorted({w for words in lists.values() for w in words})
     # Matching the words is several times faster than splitting at the negated class.
     df = once(df, {"_words": F.regexp_extract_all(F.lower(text), F.lit(f"[{V.WORD_CHARS}]+"), F.lit(0))})
     df = once_sql(df, {
-        "_n": "size(_words)", "_en": f"size(filter(_words, w -> w IN {_in(V.ENGLISH_STOPWORDS.split())}))",
+        "_n": "size(_words)", "_en": f"size(filter(_words, w -> w IN {_in(V.ENGLISH_STOPWORDS)}))",
         "_stops": f"filter(_words, w -> w IN {_in(foreign)})"})
     mine = {lang: f"filter(_stops, w -> w IN {_in(words)})" for lang, words in lists.items()}
     scores = ", ".join(

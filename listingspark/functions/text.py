@@ -8,7 +8,6 @@ from .. import values as V
 from ..stages import let
 from .regex import SPACE, hits, squeeze, trim, words
 
-_NAMED = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
 TAG = "<[^>]*>"
 # Markup of a visible page that carries no text.
 PAGE_DROPS = ["(?is)<script.*?</script>", "(?is)<style.*?</style>", TAG, "(?i)&[a-z#0-9]+;"]
@@ -45,7 +44,7 @@ def decode_entities(c: Column) -> Column:
         out = _expand(text, "&#", "[0-9]", 10)
         for marker in ("&#x", "&#X"):
             out = _expand(out, marker, "[0-9A-Fa-f]", 16)
-        for name, char in _NAMED:
+        for name, char in V.NAMED_ENTITIES:
             out = F.replace(out, F.lit(name), F.lit(char))
         return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 

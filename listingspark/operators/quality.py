@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import values as V
 from ..functions.regex import SPACE, has_text, trim
 from ..functions.text import head
 from ..functions.times import before, effective_at
@@ -206,17 +207,6 @@ def verify_backlog(listings: DataFrame, checked: int, deactivated: int, per_run:
         "sweep_days": F.ceil(F.col("backlog") / per_run / runs_per_day)})
 
 
-_COUNTERS = [  # order is severity; a summary is cut from its end
-    ("insert_failed_batches", "insertFailedBatches"), ("insert_errors", "insertErrors"),
-    ("rejected_failed_batches", "rejectedInsertFailedBatches"),
-    ("pending_failed_batches", "pendingInsertFailedBatches"),
-    ("fetch_event_failed_batches", "fetchEventFailedBatches"), ("triage_failures", "triageFailures"),
-    ("triage_unavailable", "triageAiUnavailable"), ("provider_failures", "aiProviders"),
-    ("triage_deferred", "triageBudgetDeferred"), ("failed_sources", "failedSources"),
-    ("dropped_no_url", "droppedNoUrl"),
-]
-
-
 def run_summary(counters: DataFrame, max_length: int | None = None, max_failures: int | None = None,
                 failure_chars: int | None = None) -> DataFrame:
     """per run ``summary``, ``signal_count`` and ``degraded`` from its counters.
@@ -226,7 +216,7 @@ def run_summary(counters: DataFrame, max_length: int | None = None, max_failures
     """
     have = set(counters.columns)
     signals = []
-    for column, label in _COUNTERS:
+    for column, label in V.COUNTERS:
         if column not in have:
             continue
         if column == "provider_failures":

@@ -1,114 +1,138 @@
 """Per-key state over event streams: rate-limit streak (K3), incidents (K4, G7), link strikes (K5).
 
-Each query is one ``applyInPandasWithState`` operator with two or three numbers of state per key.  The
-state function reads its group as a sequence of Arrow batches.  A micro-batch is bounded by the
-trigger's file limit, so the ordering inside a group is bounded too.
+A stream folds each micro-batch into a state table with one row per key.  The events of a batch are cut into pieces by
+one range partitioning over key and time; what a piece does to a state is a few numbers (counts before and after its
+resets), and the numbers of neighbouring pieces combine, so a key that owns a third of all events is never in one task.
+No row passes through Python.
+
+Version ``n + 1`` of a state is made from version ``n`` and micro-batch ``n``; a replayed batch reads and writes the same
+versions.  The state knows the last event of each key; events that aren't after it are set aside in a table of late ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from ..skew import count_since
+from ..skew import count_since, in_pieces
 
-STREAK_OUT = "key string, at timestamp, streak int, backoff_minutes int"
-STRIKES_OUT = "key string, at timestamp, strikes int, reached_threshold boolean"
-INCIDENT_OUT = "key string, id bigint, at timestamp, action string, healthy_streak int"
+Folded = tuple[DataFrame, DataFrame]
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(batches)
-    return pd.concat(frames).sort_values(["at", "id"], kind="stable") if frames else pd.DataFrame()
+@dataclass(frozen=True)
+class Fold:
+    """``events`` shapes a batch into ``key, id, at`` and more; ``step(fresh, state)`` gives output rows and the state of
+    the keys that occur; ``state`` are the columns after ``key, at, id`` of the last event."""
 
+    events: Callable[[DataFrame], DataFrame]
+    step: Callable[[DataFrame], Folded]
+    state: str
 
-def _streak(limited: pd.Series, start: int) -> int:
-    """Length of the run of refusals at the newest end, continuing ``start`` when unbroken."""
-    broken = (~limited).to_numpy().nonzero()[0]
-    return start + len(limited) if len(broken) == 0 else len(limited) - 1 - int(broken[-1])
+    @property
+    def schema(self) -> str:
+        return "key string, at timestamp, id long, " + self.state
 
 
 def backoff(streak: int, base: int = 30, cap: int = 240) -> int:
     return min(cap, base * 2 ** (min(streak, 10) - 1)) if streak > 0 else 0
 
 
-def _streak_step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _ordered(batches)
-    streak = _streak(rows["flag"].astype(bool), state.get[0] if state.exists else 0)
-    state.update((streak,))
-    yield pd.DataFrame({"key": [key[0]], "at": [rows["at"].iloc[-1]], "streak": [streak],
-                        "backoff_minutes": [backoff(streak)]})
-
-
-def _strikes_step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _ordered(batches)
-    strikes, reached = state.get if state.exists else (0, False)
-    kind = rows["kind"].to_numpy()
-    resets = (kind == "reset").nonzero()[0]
-    # Strikes never fall between two resets, so the largest value stands right before one or at the end.
-    bounds = [*resets.tolist(), len(kind)]
-    begin = 0
-    for end in bounds:
-        strikes += int((kind[begin:end] == "dead").sum())
-        reached = reached or strikes >= 3
-        if end < len(kind):
-            strikes = 0
-        begin = end
-    state.update((strikes, reached))
-    yield pd.DataFrame({"key": [key[0]], "at": [rows["at"].iloc[-1]], "strikes": [strikes], "reached_threshold": [reached]})
-
-
-def _incident_step(threshold: int) -> Callable:
-    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches)
-        open_, healthy = state.get if state.exists else (False, 0)
-        actions, streaks = [], []
-        for signal in rows["signal"]:
-            action = "HOLD"
-            if signal == "failing":
-                action = "CREATE" if not open_ else "UPDATE" if healthy else "HOLD"
-                open_, healthy = True, 0
-            elif signal == "healthy" and open_:
-                healthy += 1
-                action = "CLOSE" if healthy >= threshold else "UPDATE"
-                if action == "CLOSE":
-                    open_, healthy = False, 0
-            actions.append(action)
-            streaks.append(healthy)
-        state.update((open_, healthy))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "at": rows["at"].to_numpy(), "action": actions,
-                            "healthy_streak": pd.array(streaks, dtype="int32")})
-    return step
-
-
-def _stateful(df: DataFrame, step: Callable, out: str, state: str, mode: str) -> DataFrame:
-    return df.groupBy("key").applyInPandasWithState(step, out, state, mode, GroupStateTimeout.NoTimeout)
-
-
-def streak_stream(events: DataFrame) -> DataFrame:
-    """K3: current refusal streak and cooldown per source (update mode); skipped attempts do not count."""
-    df = events.where("not skipped and source_id is not null and ts is not null").select(
+def fold_batch(fold: Fold, batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Output rows, the new state and the late events of one micro-batch."""
+    known = state.select("key", F.struct("at", "id").alias("_newest"), F.struct(*state.columns[3:]).alias("_state"))
+    rows = fold.events(batch).withColumn("id", F.col("id").cast("long")).join(known, "key", "left")
+    late = F.coalesce(F.struct("at", "id") <= F.col("_newest"), F.lit(False))
+    aside = rows.where(late).drop("_newest", "_state")
+    fresh = in_pieces(rows.where(~late).drop("_newest"), ["key"], "at", "id")
+    out, changed = fold.step(fresh)
+    changed = changed.select("key", "at", "id", *state.columns[3:])
+    return out, changed.unionByName(state.join(changed.select("key"), "key", "left_anti")), aside
+
+
+def run_fold(events: DataFrame, fold: Fold, folder: str, checkpoint: str) -> StreamingQuery:
+    """Fold a stream: ``out``, ``late`` and ``state`` below ``folder`` have one version per micro-batch."""
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(fold.schema).parquet(f"{folder}/state/version={n}") if n else spark.createDataFrame([], fold.schema)
+        for name, df in zip(("out", "state", "late"), fold_batch(fold, batch, state), strict=True):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/version={n + 1}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _last(rows: DataFrame, **columns) -> DataFrame:
+    """Per key its last event with some columns of it, and aggregates."""
+    kept = {n: c for n, c in columns.items() if isinstance(c, str)}
+    found = rows.groupBy("key").agg(F.max(F.struct("at", "id", *[F.col(c).alias(n) for n, c in kept.items()])).alias("_m"),
+                                    *[c.alias(n) for n, c in columns.items() if n not in kept])
+    return found.select("key", "_m.*", *[n for n in columns if n not in kept])
+
+
+def _streak_step(fresh: DataFrame) -> Folded:
+    rows = count_since(fresh, ["key"], "at", "id", F.col("flag"), ~F.col("flag"), "n", piece="_piece")
+    rows = rows.withColumn("streak", (F.col("n") + F.when(F.col("n_any"), 0).otherwise(F.coalesce("_state.streak", F.lit(0)))).cast("int"))
+    state = _last(rows, streak="streak")
+    wait = F.least(F.lit(240), 30 * F.pow(F.lit(2), F.least("streak", F.lit(10)) - 1)).cast("int")
+    return state.select("key", "at", "streak", F.when(F.col("streak") > 0, wait).otherwise(0).alias("backoff_minutes")), state
+
+
+def _strikes_step(fresh: DataFrame) -> Folded:
+    rows = count_since(fresh, ["key"], "at", "id", F.col("kind") == "dead", F.col("kind") == "reset", "n", piece="_piece")
+    rows = rows.withColumn("strikes", (F.col("n") + F.when(F.col("n_any"), 0).otherwise(F.coalesce("_state.strikes", F.lit(0)))).cast("int"))
+    reached = F.max((F.col("strikes") >= 3) | F.coalesce("_state.reached_threshold", F.lit(False)))
+    state = _last(rows, strikes="strikes", reached_threshold=reached)
+    return state.select("key", "at", "strikes", "reached_threshold"), state
+
+
+def streak_fold() -> Fold:
+    """K3: current refusal streak and cooldown per source; skipped attempts do not count."""
+    return Fold(lambda events: events.where("not skipped and source_id is not null and ts is not null").select(
         F.col("source_id").alias("key"), "id", F.col("ts").alias("at"),
-        F.coalesce(F.contains("error", F.lit("HTTP 429")), F.lit(False)).alias("flag"))
-    return _stateful(df, _streak_step, STREAK_OUT, "streak int", "update")
+        F.coalesce(F.contains("error", F.lit("HTTP 429")), F.lit(False)).alias("flag")), _streak_step, "streak int")
 
 
-def strikes_stream(checks: DataFrame) -> DataFrame:
-    """K5: strikes per company (update mode); an unreachable host changes nothing."""
-    df = checks.where("company_id is not null and ts is not null").select(
+def strikes_fold() -> Fold:
+    """K5: strikes per company; an unreachable host changes nothing."""
+    return Fold(lambda checks: checks.where("company_id is not null and ts is not null").select(
         F.col("company_id").cast("string").alias("key"), "id", F.col("ts").alias("at"),
-        F.when(F.col("hard_dead"), "dead").when(F.col("link_status") == "unreachable", "none").otherwise("reset").alias("kind"))
-    return _stateful(df, _strikes_step, STRIKES_OUT, "strikes int, reached boolean", "update")
+        F.when(F.col("hard_dead"), "dead").when(F.col("link_status") == "unreachable", "none").otherwise("reset").alias("kind")), _strikes_step, "strikes int, reached_threshold boolean")
 
 
-def incident_stream(signals: DataFrame, threshold: int = 2) -> DataFrame:
-    """K4: one action per signal and incident class (append mode); ``signals(incident_key, id, ts, signal)``."""
-    df = signals.where("incident_key is not null and ts is not null").select(
-        F.lower("incident_key").alias("key"), "id", F.col("ts").alias("at"), "signal")
-    return _stateful(df, _incident_step(max(1, threshold)), INCIDENT_OUT, "open boolean, healthy int", "append")
+def incident_fold(threshold: int = 2) -> Fold:
+    """K4: one action per signal and incident class; ``signals(incident_key, id, ts, signal)``.  The state is the number of
+    healthy signals of an open incident, NULL when none is open."""
+    threshold = max(1, threshold)
+
+    def step(fresh: DataFrame) -> Folded:
+        rows = _actions(fresh.withColumn("_prior", F.col("_state.healthy")), "key", "at", threshold, "_piece")
+        n = F.col("_n")
+        state = _last(rows.withColumn("healthy", F.when(n < threshold, n).cast("int")), healthy="healthy")
+        return rows.select("key", "id", "at", "action", "healthy_streak"), state
+
+    return Fold(lambda signals: signals.where("incident_key is not null and ts is not null").select(
+        F.lower("incident_key").alias("key"), "id", F.col("ts").alias("at"), "signal"), step, "healthy int")
+
+
+def _actions(df: DataFrame, key: str, at: str, threshold: int, piece: str | None = None) -> DataFrame:
+    """Add ``action`` and ``healthy_streak``, and as ``_n`` the healthy signals since the failing one before; NULL when no
+    incident was ever open.  ``_prior`` are those of an incident open before the first signal."""
+    bad, good = F.col("signal") == "failing", F.col("signal") == "healthy"
+    df = count_since(df, [key], at, "id", good, bad, "_since", before=True, piece=piece)
+    df = df.withColumn("_n", F.when(F.col("_since_any"), F.col("_since")).otherwise(F.col("_since") + F.col("_prior")))
+    n = F.col("_n")
+    action = (
+        F.when(bad & (n.isNull() | (n >= threshold)), "CREATE")
+        .when(bad & (n > 0), "UPDATE")
+        .when(good & (n < threshold), "UPDATE")
+        .when(good & (n == threshold), "CLOSE")
+        .otherwise("HOLD"))
+    streak = F.when(~bad & (n < threshold), n).otherwise(0)
+    df = df.withColumns({"action": action, "healthy_streak": streak.cast("int")})
+    # A failing signal opens an incident anew.
+    return df.withColumn("_n", F.when(bad, 0).otherwise(n)).drop("_since", "_since_any")
 
 
 def incident_actions(signals: DataFrame, open_incidents: DataFrame | None = None, threshold: int = 2) -> DataFrame:
@@ -127,17 +151,4 @@ def incident_actions(signals: DataFrame, open_incidents: DataFrame | None = None
         prior = open_incidents.groupBy(F.lower("incident_key").alias("incident_key")).agg(
             F.min(F.struct("number", "healthy_streak"))["healthy_streak"].cast("int").alias("_prior"))
         df = df.join(prior, ["incident_key"], "left")
-    key, bad, good = ["incident_key"], F.col("signal") == "failing", F.col("signal") == "healthy"
-    df = count_since(df, key, "ts", "id", good, bad, "_since", before=True)
-    # Healthy signals since the failing one before this row; NULL when no incident was ever open.
-    df = df.withColumn("_n", F.when(F.col("_since_any"), F.col("_since")).otherwise(F.col("_since") + F.col("_prior")))
-    n = F.col("_n")
-    action = (
-        F.when(bad & (n.isNull() | (n >= threshold)), "CREATE")
-        .when(bad & (n > 0), "UPDATE")
-        .when(good & (n < threshold), "UPDATE")
-        .when(good & (n == threshold), "CLOSE")
-        .otherwise("HOLD"))
-    streak = F.when(~bad & (n < threshold), n).otherwise(0)
-    return df.withColumns({"action": action, "healthy_streak": streak.cast("int")}).drop(
-        "_prior", "_since", "_since_any", "_n")
+    return _actions(df, "incident_key", "ts", threshold).drop("_prior", "_n")

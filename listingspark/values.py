@@ -100,25 +100,41 @@ LOCAL_ONLY = [
 # ---- Fixed values: stopwords per language, first listed wins ties --------------------------
 WORD_CHARS = "a-zà-ÿœßąćęłńóśźż"
 STOPWORDS = {
-    "it": "di il la che per con del della delle sono siamo nostro nostra lavoro azienda cerchiamo "
-          "ricerca requisiti esperienza gestione clienti attività servizio durante essere presso",
-    "de": "der die das und für mit wir sie bei eine einen einem unser unsere arbeit erfahrung "
-          "kenntnisse aufgaben unternehmen suchen bewerbung sowie oder nicht werden",
-    "fr": "le les des une et pour avec nous vous notre dans poste entreprise expérience recherche "
-          "mission gestion clients être vos nos chez afin ainsi",
-    "es": "el los las una para con que nuestro nuestra empresa trabajo experiencia buscamos gestión "
-          "clientes servicio requisitos estamos sobre como más años",
-    "pt": "os as um uma para com que nosso nossa empresa trabalho experiência buscamos gestão "
-          "clientes serviço você são não mais anos",
-    "nl": "de het een en voor met wij bij ons onze werk ervaring bedrijf zoeken klanten jouw je "
-          "niet zijn worden",
-    "pl": "się jest praca firma doświadczenie klientów zespołu oferujemy wymagania oraz dla nie "
-          "być pracy których",
+    "it": [
+        "di", "il", "la", "che", "per", "con", "del", "della", "delle", "sono", "siamo", "nostro", "nostra", "lavoro",
+        "azienda", "cerchiamo", "ricerca", "requisiti", "esperienza", "gestione", "clienti", "attività", "servizio",
+        "durante", "essere", "presso",
+    ],
+    "de": [
+        "der", "die", "das", "und", "für", "mit", "wir", "sie", "bei", "eine", "einen", "einem", "unser", "unsere",
+        "arbeit", "erfahrung", "kenntnisse", "aufgaben", "unternehmen", "suchen", "bewerbung", "sowie", "oder",
+        "nicht", "werden",
+    ],
+    "fr": [
+        "le", "les", "des", "une", "et", "pour", "avec", "nous", "vous", "notre", "dans", "poste", "entreprise",
+        "expérience", "recherche", "mission", "gestion", "clients", "être", "vos", "nos", "chez", "afin", "ainsi",
+    ],
+    "es": [
+        "el", "los", "las", "una", "para", "con", "que", "nuestro", "nuestra", "empresa", "trabajo", "experiencia",
+        "buscamos", "gestión", "clientes", "servicio", "requisitos", "estamos", "sobre", "como", "más", "años",
+    ],
+    "pt": [
+        "os", "as", "um", "uma", "para", "com", "que", "nosso", "nossa", "empresa", "trabalho", "experiência",
+        "buscamos", "gestão", "clientes", "serviço", "você", "são", "não", "mais", "anos",
+    ],
+    "nl": [
+        "de", "het", "een", "en", "voor", "met", "wij", "bij", "ons", "onze", "werk", "ervaring", "bedrijf", "zoeken",
+        "klanten", "jouw", "je", "niet", "zijn", "worden",
+    ],
+    "pl": [
+        "się", "jest", "praca", "firma", "doświadczenie", "klientów", "zespołu", "oferujemy", "wymagania", "oraz",
+        "dla", "nie", "być", "pracy", "których",
+    ],
 }
-ENGLISH_STOPWORDS = (
-    "the and for with you our are will have this that from your work team role experience skills "
-    "we to of in is on as be an"
-)
+ENGLISH_STOPWORDS = [
+    "the", "and", "for", "with", "you", "our", "are", "will", "have", "this", "that", "from", "your", "work", "team",
+    "role", "experience", "skills", "we", "to", "of", "in", "is", "on", "as", "be", "an",
+]
 
 # ---- Fixed values: role relevance and categories -------------------------------------------
 PLACEHOLDER_TITLES = ["", "test", "sdf", "asdffd", "sadfsdf", "sdsfda"]
@@ -227,3 +243,15 @@ UNREACHABLE_RULES = {
         "connection refused|connection reset|connection closed"),
     "EGRESS_BLOCKED": (None, "too many subrequests|network connection lost|egress|blocked|proxy"),
 }
+
+# ---- Fixed values: counters of a run summary and named entities ----------------------------
+COUNTERS = [  # order is severity; a summary is cut from its end
+    ("insert_failed_batches", "insertFailedBatches"), ("insert_errors", "insertErrors"),
+    ("rejected_failed_batches", "rejectedInsertFailedBatches"),
+    ("pending_failed_batches", "pendingInsertFailedBatches"),
+    ("fetch_event_failed_batches", "fetchEventFailedBatches"), ("triage_failures", "triageFailures"),
+    ("triage_unavailable", "triageAiUnavailable"), ("provider_failures", "aiProviders"),
+    ("triage_deferred", "triageBudgetDeferred"), ("failed_sources", "failedSources"),
+    ("dropped_no_url", "droppedNoUrl"),
+]
+NAMED_ENTITIES = [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]

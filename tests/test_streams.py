@@ -9,6 +9,7 @@ from checks.source_queries import clicks, limited
 from checks.views import view
 from listingspark.operators import links
 from listingspark.schemas import conform
+from listingspark.skew import in_pieces
 from listingspark.sources import state as P
 from listingspark.streaming import ingest, states, windows
 
@@ -37,30 +38,69 @@ def run(df, mode, tmp_path, spark, name):
     return spark.table(name)
 
 
+def folded(spark, df, fold, tmp_path):
+    """Three micro-batches; returns all output, the last state and all late events."""
+    path = split_files(df, str(tmp_path / "in"), ["ts", "id"])
+    live = stream(spark, path, spark.read.parquet(f"{path}/*").schema)
+    states.run_fold(live, fold, str(tmp_path / "fold"), str(tmp_path / "cp")).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "fold" / name))
+    return read("out"), read("state/version=3"), read("late")
+
+
 def test_streak_stream_matches_batch(spark, tmp_path, rows):
     events = limited(view(spark, SF, "fetch_events"))
-    path = split_files(events, str(tmp_path / "e"), ["ts", "id"])
-    out = run(states.streak_stream(stream(spark, path, spark.read.parquet(f"{path}/*").schema)), "update", tmp_path, spark, "streaks")
-    last = out.groupBy("key").agg(F.max(F.struct("at", "streak", "backoff_minutes")).alias("m")).select("key", "m.streak", "m.backoff_minutes")
-    want = P.rate_limit_streak(events, 10_000).select("source_id", "streak", "backoff_minutes")
-    assert rows(last) == rows(want)
+    _, state, late = folded(spark, events, states.streak_fold(), tmp_path)
+    want = P.rate_limit_streak(events, 10_000)
+    assert rows(state, "key", "streak") == rows(want, "source_id", "streak") and late.count() == 0
 
 
 def test_strikes_stream_matches_batch(spark, tmp_path, rows):
     checks = checked(view(spark, SF, "checks")).select("id", "company_id", "ts", "hard_dead", "link_status")
-    path = split_files(checks, str(tmp_path / "c"), ["ts", "id"])
-    out = run(states.strikes_stream(stream(spark, path, spark.read.parquet(f"{path}/*").schema)), "update", tmp_path, spark, "strikes")
-    last = out.groupBy("key").agg(F.max(F.struct("at", "strikes", "reached_threshold")).alias("m")).select("key", "m.strikes", "m.reached_threshold")
+    _, state, _ = folded(spark, checks, states.strikes_fold(), tmp_path)
     want = links.link_strikes(checks).select(F.col("company_id").cast("string"), "strikes", "reached_threshold")
-    assert rows(last) == rows(want)
+    assert rows(state, "key", "strikes", "reached_threshold") == rows(want)
+
+
+def test_late_events_are_set_aside(spark, rows):
+    fold = states.streak_fold()
+    event = lambda *e: spark.createDataFrame(list(e), "source_id string, id int, t string, error string").select(
+        "source_id", "id", F.col("t").cast("timestamp").alias("ts"), F.lit(False).alias("skipped"), "error")
+    out, state, late = states.fold_batch(fold, event(("a", 1, "2024-01-01", "HTTP 429"), ("a", 2, "2024-01-02", "HTTP 429"), ("b", 3, "2024-01-05", None)), spark.createDataFrame([], fold.schema))
+    assert rows(out, "key", "streak", "backoff_minutes") == [("a", 2, 60), ("b", 0, 0)] and late.count() == 0
+    out, state, late = states.fold_batch(fold, event(("a", 2, "2024-01-02", "HTTP 429"), ("a", 4, "2024-01-01", None), ("a", 5, "2024-01-02", "HTTP 429"), ("c", 1, "2024-01-01", "HTTP 429")), state)
+    assert rows(out, "key", "streak") == [("a", 3), ("c", 1)] and rows(late, "key", "id") == [("a", 2), ("a", 4)]
+    assert rows(state, "key", "id", "streak") == [("a", 5, 3), ("b", 3, 0), ("c", 1, 1)]
+
+
+def test_a_hot_key_is_cut_into_pieces(spark, rows):
+    """One key owns nearly all events, many at one time; no window holds more than a partition of them."""
+    events = spark.range(4000).select(F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("source_id"), "id", F.expr("timestamp_seconds(1704067200 + id div 400 * 7200 + id % 3)").alias("ts"),
+                                      F.lit(False).alias("skipped"), F.expr("CASE WHEN id % 97 <> 5 THEN 'HTTP 429' END").alias("error"), F.lit(1).alias("cnt"), F.lit(True).alias("ok"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows make one partition
+    try:
+        pieces = in_pieces(events, ["source_id"], "ts", "id")
+        assert pieces.groupBy("source_id", "_piece").count().where("source_id = 'hot'").count() >= 3
+        fold = states.streak_fold()
+        _, state, _ = states.fold_batch(fold, events, spark.createDataFrame([], fold.schema))
+        assert rows(state, "key", "streak") == rows(P.rate_limit_streak(events, 10_000), "source_id", "streak")
+        cut = {gap: windows.activity_sessions(events, gap) for gap in ("1 hour", "2 hours", "3 hours")}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for gap, found in cut.items():
+        whole = events.groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("attempts"), F.sum("cnt").alias("items"))
+        assert rows(found) == rows(whole.select("source_id", "w.start", "w.end", "attempts", "items"))
+
+
+def test_late_and_undated_rows_have_a_table(spark, rows):
+    events = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 09:30:00"), ("a", None), (None, "2024-01-01 10:00:00")], "source_id string, t string").select("source_id", F.col("t").cast("timestamp").alias("ts"))
+    assert rows(windows.late_events(events, "2024-01-01 10:00:00"), "source_id", "reason") == [("a", "late"), ("a", "undated"), (None, "without source")]
 
 
 def test_incident_stream_matches_batch(spark, tmp_path, rows):
     i = F.col("id")
     signal = F.when(i % 5 == 0, "failing").when(i % 7 == 3, "unknown").otherwise("healthy")
     signals = view(spark, SF, "fetch_events").select("id", F.concat(F.lit("k"), (i % 4).cast("string")).alias("incident_key"), "ts", signal.alias("signal"))
-    path = split_files(signals, str(tmp_path / "s"), ["ts", "id"])
-    out = run(states.incident_stream(stream(spark, path, spark.read.parquet(f"{path}/*").schema), 3), "append", tmp_path, spark, "incidents")
+    out, _, _ = folded(spark, signals, states.incident_fold(3), tmp_path)
     want = states.incident_actions(signals, threshold=3)
     assert rows(out, "key", "id", "action", "healthy_streak") == rows(want, "incident_key", "id", "action", "healthy_streak")
 
