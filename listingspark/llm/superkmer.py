@@ -4,9 +4,11 @@
 ``seed`` words, so equal windows have equal minimisers.  Consecutive windows that share a minimiser travel
 together as one string of words to the bucket of that minimiser.
 
-*Requests.*  Documents are dealt over batches by a hash of their id.  A batch sends each bucket its distinct
-strings once, in sorted order, with the least and the greatest id that holds each, packed and compressed:
-a passage in a third of all documents is one entry per batch.  A minimiser that would fill much of a bucket
+*Requests.*  Documents are dealt over batches of some megabytes by a hash of their id.  A batch has for each bucket its distinct
+strings once, in sorted order, with the least and the greatest id that holds each:
+a passage in a third of all documents is one entry per batch.  What goes to the buckets of one lane travels as one packed and
+compressed message, and lanes are as many as tasks, so messages grow with the batches and not with their square.  A lane
+takes its messages apart and sorts the requests by bucket outside Python's memory; one bucket is judged at a time.  A minimiser that would fill much of a bucket
 (a very common line with a different surrounding each time) is found by counts over all documents first;
 its windows travel one by one and are dealt by the hash of the whole window.
 
@@ -35,7 +37,7 @@ from .common import documents, ship, texts
 
 WINDOW = 13
 SEED = 3
-BATCH_DOCS = 1024
+BATCH_BYTES = 5 << 19  # of texts, before any packing
 LONGEST_RUN = 64
 
 
@@ -115,17 +117,24 @@ def _columns(part: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
 def _pack(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     import zstandard
 
+    return zstandard.compress(_join(*arrays, blob=blob), 3)
+
+
+def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    import zstandard
+
+    return _split(zstandard.decompress(data))
+
+
+def _join(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     parts = [struct.pack("<H", len(arrays))]
     for a in arrays:
         parts.append(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)))
         parts.append(a.tobytes())
-    return zstandard.compress(b"".join(parts) + blob, 3)
+    return b"".join(parts) + blob
 
 
-def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
+def _split(raw: bytes) -> tuple[list[np.ndarray], bytes]:
     n, = struct.unpack_from("<H", raw)
     at, out = 2, []
     for _ in range(n):
@@ -138,7 +147,7 @@ def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
 
 def _order(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Distinct strings of a batch by bucket, minimiser and text: the number of each run's string, a run of each
-    number, all strings by run, and the numbers at which buckets begin."""
+    number, all strings by run, and the bucket of each number."""
     strings = runs.strings()
     seen: dict[bytes, int] = {}
     first = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
@@ -152,7 +161,7 @@ def _order(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes
         run[i:j] = sorted(run[i:j].tolist(), key=strings.__getitem__)
     number = np.empty(len(strings), np.int64)
     number[run] = np.arange(len(run))
-    return number[first], run, strings, np.searchsorted(bucket, np.arange(buckets + 1))
+    return number[first], run, strings, bucket
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -198,7 +207,7 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
     """For each request the least ids of its shared windows; None where nothing is shared."""
     keys, lows, highs, strings, owner = [], [], [], [], []
     for request, payload in enumerate(payloads):
-        (step, low, above, size), blob = _unpack(payload)
+        (step, low, above, size), blob = _split(payload)
         key = np.cumsum(step, dtype="<u4")
         keys.append(key)
         lows.append(low)
@@ -248,21 +257,24 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
                     at.append(number[m])
                     size.append(len(answer))
                     mins.extend(answer)
-    return [_pack(np.array(at, "<u4"), np.array(size, "<u2"), np.array(mins, "<i8")) if at else None for at, size, mins in out]
+    return [_join(np.array(at, "<u4"), np.array(size, "<u2"), np.array(mins, "<i8")) if at else None for at, size, mins in out]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
-                   batch_docs: int = BATCH_DOCS, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+                   batch_bytes: int = BATCH_BYTES, lanes: int | None = None, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """``doc_id, kept`` (the words that stay, joined by one space)``, n_words, n_removed``, and the columns of ``carry``.
 
-    With ``untouched`` a text that loses no word is kept as it is.  A carried column with the name of one of the
+    ``lanes`` is the number of tasks that judge, by default that of shuffle partitions.  With ``untouched`` a text that loses
+    no word is kept as it is.  A carried column with the name of one of the
     first four gives way to it.
     """
     carry = tuple(c for c in carry if c not in ("doc_id", "kept", "n_words", "n_removed"))
     ship(docs.sparkSession)
     rows = documents(docs, id_col, text_col)
     others = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]).schema
-    batches = buckets = max(1, -(-rows.count() // batch_docs))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = buckets = max(1, -(-size // batch_bytes))
+    lanes = min(buckets, lanes or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = heavy_minimisers(rows, buckets, window, seed)
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,21 +314,58 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.minimum.at(low, number, owner)
         np.maximum.at(high, number, owner)
         short = _short(runs.key[run])
-        bucket, payload = [], []
-        for b in range(buckets):
-            i, j = int(begins[b]), int(begins[b + 1])
-            if i < j:
-                part = [strings[k] for k in run[i:j].tolist()]
-                bucket.append(b)
-                payload.append(_pack(np.diff(short[i:j], prepend=short.dtype.type(0)), low[i:j], high[i:j] - low[i:j], np.array([len(s) for s in part], "<u2" if max(map(len, part)) < 1 << 16 else "<u4"),
-                                     blob=b"".join(part)))
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array([key[0].as_py()] * len(bucket), pa.int64()), "payload": pa.array(payload, pa.binary())})
-
-    def judge(key: tuple, table: pa.Table) -> pa.Table:
-        answers = _verdicts(table.column("payload").to_pylist(), window)
-        batch = [b for b, a in zip(table.column("batch").to_pylist(), answers, strict=True) if a is not None]
-        return pa.table({"batch": pa.array(batch, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(batch), pa.int64()),
-                         "payload": pa.array([a for a in answers if a is not None], pa.binary())})
+        bucket, part = [], []
+        edges = [*np.flatnonzero(np.diff(begins, prepend=-1)).tolist(), len(run)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            own = [strings[k] for k in run[i:j].tolist()]
+            bucket.append(int(begins[i]))
+            part.append(_join(np.diff(short[i:j], prepend=short.dtype.type(0)), low[i:j], high[i:j] - low[i:j], np.array([len(s) for s in own], "<u2" if max(map(len, own)) < 1 << 16 else "<u4"),
+                              blob=b"".join(own)))
+        lane = np.array(bucket, np.int64) % lanes
+        order = np.argsort(lane, kind="stable")
+        message = []
+        found, first = np.unique(lane[order], return_index=True)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)] if len(order) else [], strict=True):
+            own = [part[k] for k in order[a:b].tolist()]
+            message.append(_pack(np.array([bucket[k] for k in order[a:b].tolist()], "<i8"), np.array(list(map(len, own)), "<u4"), blob=b"".join(own)))
+        return pa.table({"lane": pa.array(found, pa.int64()), "batch": pa.array([key[0].as_py()] * len(found), pa.int64()), "payload": pa.array(message, pa.binary())})
+
+    def open_messages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for batch, payload in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                (bucket, sizes), blob = _unpack(payload)
+                ends = np.cumsum(sizes.astype(np.int64)).tolist()
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array([batch] * len(bucket), pa.int64()),
+                                                  "payload": pa.array([blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets follow one another; answers of some buckets go out together."""
+        bucket, batches_, payloads, out = None, [], [], []
+
+        def settle() -> None:
+            for b, a in zip(batches_, _verdicts(payloads, window), strict=True):
+                if a is not None:
+                    out.append((b, bucket, a))
+            batches_.clear()
+            payloads.clear()
+
+        def answers() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["batch", "bucket", "payload"])
+
+        for part in parts:
+            for k, batch, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if k != bucket and payloads:
+                    settle()
+                bucket = k
+                batches_.append(batch)
+                payloads.append(payload)
+            if len(out) > 1000:
+                yield answers()
+        if payloads:
+            settle()
+        yield answers()
 
     def drop(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         runs, ids, known, own, rest = runs_of(table)
@@ -324,8 +373,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         del strings
         least: dict[int, list[int]] = {}
         for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
-            (at, size, mins), _ = _unpack(payload)
-            ends, flat, base = np.cumsum(size.astype(np.int64)).tolist(), mins.tolist(), int(begins[bucket])
+            (at, size, mins), _ = _split(payload)
+            ends, flat, base = np.cumsum(size.astype(np.int64)).tolist(), mins.tolist(), int(np.searchsorted(begins, bucket))
             for k, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
                 least[base + k] = flat[a:b]
         gone = np.zeros(len(runs.words) + 1, np.int64)
@@ -351,8 +400,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = out.append_column(name, column)
         return out
 
-    requests = dealt.groupBy("batch").applyInArrow(ask, "bucket long, batch long, payload binary")
-    verdicts = requests.groupBy("bucket").applyInArrow(judge, "batch long, bucket long, payload binary")
+    messages = dealt.groupBy("batch").applyInArrow(ask, "lane long, batch long, payload binary").repartition(lanes, "lane")
+    requests = messages.mapInArrow(open_messages, "bucket long, batch long, payload binary").sortWithinPartitions("bucket", "batch")
+    verdicts = requests.mapInArrow(judge, "batch long, bucket long, payload binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), *others.fields])
     out = dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(drop, schema)
