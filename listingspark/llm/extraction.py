@@ -7,7 +7,9 @@ winning path of its host.  A page that has no such element, or hardly any text t
 
 Boilerplate is by tag (menus, asides, footers, forms, scripts, styles and the like), by words in class, id or
 role (comments, adverts, notices, sharing and the like), and by being hidden; of a header inside the article
-only its headings stay.  Broken markup is closed the way browsers do it: an opening block ends a paragraph, a
+only its headings stay.  Names that tell a feature or a state (has-sidebar, comments-open) don't count.  An element that holds most
+of the page's text outside links stays though it is a form or named after what may frame a page (sidebar, overlay, share and the
+like), and so does an article or main element.  Broken markup is closed the way browsers do it: an opening block ends a paragraph, a
 closing tag ends what is open inside it, an open comment or script runs to the end.
 
 Null or empty html gives the empty text, and so does a page without text.  A null address is the host of the
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,7 +31,8 @@ from .common import ship, stored
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|iframe|title|select|object|canvas|math|xmp)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)  # a quote left open ends with its tag
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CLASS = re.compile(r"""(?<![-\w])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?<![-\w])hidden(?![-\w])|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
@@ -46,6 +50,13 @@ _BAD = set("nav navbar navigation menu menus breadcrumb breadcrumbs masthead foo
            "disqus respond ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies "
            "consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
            "recommendations pager pagination toolbar login paywall search complementary contentinfo".split())
+# What a word of _BAD says of a part of the page, not of its frame: such an element goes however much text it holds.
+_ALWAYS = set("comment comments reply replies disqus respond related recommended recommendations sponsor sponsored sponsors ad ads advert adverts "
+              "advertisement advertising adsense promo promos promotion cookie cookies consent gdpr nav navbar navigation menu menus breadcrumb "
+              "breadcrumbs masthead footer pager pagination contentinfo".split())
+# Words that make the rest of a name a state or a feature of the element: has-sidebar, with-ads, comments-open, share-ready.
+_FEATURE = set("has have with no not without is hide show enable disable".split())
+_STATE = set("open opened closed close ready enabled disabled active inactive on off loaded allowed visible".split())
 _HEAD_WORDS = {"header", "banner", "top", "topbar"}
 _GOOD = set("article content entry post story body main text title".split())
 # An element of these names ends an open element of these, up to a list or table around it.
@@ -54,6 +65,15 @@ _PEERS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 _BONUS = {"article": 1.5, "main": 1.3, "html": 0.7, "body": 0.8}
 
 
+def words_of(token: str) -> list[str]:
+    """Lower-case words of one name, without those of a feature or a state."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    for i, w in enumerate(words):
+        if w in _FEATURE:
+            return words[:i]
+    return [] if len(words) > 1 and words[-1] in _STATE else words
+
+
 class Page:
     """A page as nodes and a flat list of events: a text, an opening (node number) or a closing (-1 - node number)."""
 
@@ -62,16 +82,17 @@ class Page:
         self.begin, self.end = [0], [0]
         self.events: list[str | int] = [0]
         self._stack = [0]
+        self._doubtful: set[int] = set()
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
                 self.events.append(html[at:m.start()])
             at = m.end()
-            name = m[3]
+            name = m[3] or m[6]
             if name is None:
                 continue
             name = name.lower()
-            if m[2]:
+            if m[2] or m[5]:
                 self._close(name)
             elif name == "br":
                 self.events.append(" ")
@@ -81,12 +102,32 @@ class Page:
                     self._open(name, "")
                     self._pop(len(self._stack) - 1)
             else:
-                self._start(name, m[4])
+                self._start(name, m[4] if m[3] else m[7])
         if at < len(html):
             rest = html[at:]
             cut = re.search(r"</?[a-zA-Z][^>]*\Z", rest)  # a tag that is never finished
             self.events.append(rest[:cut.start()] if cut else rest)
         self._pop(0)
+        self._settle()
+
+    def _settle(self) -> None:
+        """An element that its name or its being a form would drop stays when it holds most of the page's text outside links."""
+        if not self._doubtful:
+            return
+        sizes, link, i = [0] * (len(self.events) + 1), 0, 0
+        while i < len(self.events):
+            event = self.events[i]
+            skip = i
+            if isinstance(event, str):
+                sizes[i + 1] = 0 if link else len(event.strip())
+            elif event >= 0 and self.dropped[event] and event not in self._doubtful:
+                skip = self.end[event]
+            elif self.tag[event if event >= 0 else -1 - event] == "a":
+                link += 1 if event >= 0 else -1
+            i = skip + 1
+        before = list(accumulate(sizes))
+        for node in self._doubtful:
+            self.dropped[node] = 2 * (before[self.end[node]] - before[self.begin[node]]) <= before[-1]
 
     def _start(self, name: str, attributes: str) -> None:
         if name in ("html", "body") and name in [self.tag[i] for i in self._stack]:
@@ -120,18 +161,27 @@ class Page:
         node = len(self.tag)
         parent = self._stack[-1]
         classes, dropped = "", name in _DROP
+        doubtful = name == "form"
         if attributes and not attributes.isspace():
             m = _CLASS.search(attributes)
             classes = (m[1] or m[2] or m[3] or "") if m else ""
             if not dropped and name not in ("html", "body"):
-                words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[2] or m[3] or m[4] or "")}
-                dropped = bool(words & _BAD) or bool(words & _HEAD_WORDS) and not words & _GOOD and name not in _HEADINGS and name != "header"
-                dropped = dropped or _HIDDEN.search(re.sub(r"""(class|id|role|href|src|title|alt|data-[-\w]+)\s*=\s*("[^"]*"|'[^']*')""", "", attributes, flags=re.I)) is not None
+                words = {w for m in _NAMES.finditer(attributes) for token in (m[2] or m[3] or m[4] or "").split() for w in words_of(token)}
+                bad = words & _BAD
+                if name in ("article", "main"):
+                    bad &= _ALWAYS
+                by_name = bool(bad) or bool(words & _HEAD_WORDS) and not words & _GOOD and name not in _HEADINGS and name != "header"
+                if by_name:
+                    dropped, doubtful = True, not bad & _ALWAYS
+            if (not dropped or doubtful) and name not in ("html", "body") and _HIDDEN.search(
+                    re.sub(r"""(class|id|role|href|src|title|alt|data-[-\w]+)\s*=\s*("[^"]*"|'[^']*')""", "", attributes, flags=re.I)):
+                dropped, doubtful = True, False
+        if dropped and doubtful:
+            self._doubtful.add(node)
         inside = self.tag[parent] == "header" and name not in _HEADINGS and name not in ("div", "section")
-        if name == "header" and not any(self.tag[i] in ("article", "main") for i in self._stack):
-            dropped = True
-        elif inside and name in _BLOCK:
+        if name == "header" and not any(self.tag[i] in ("article", "main") for i in self._stack) or inside and name in _BLOCK:
             dropped = True
+            self._doubtful.discard(node)
         self.tag.append(name)
         self.classes.append(classes)
         self.parent.append(parent)

@@ -280,6 +280,48 @@ def test_language_learns_only_where_told(spark):
     assert got[1] == ("aa", False) and got[2] == ("bb", False) and got[3] == ("und", True) and got[4] == ("und", True)
 
 
+def test_languages_never_learnt_and_random_letters_are_rejected(spark):
+    """Of each language left out, and of random letters, nine in ten texts of any length go; of learnt ones one in a hundred at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").cache()
+    rng, rows = random.Random(5), docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect()
+    for left in ("de", "es"):
+        judge = language.Classifier(language.fit(docs.filter(F.col("lang") != left)))
+        words = [w for r in rows if r.lang == left for w in r.text.split()]
+        for n in (20, 100, 500, 2000):
+            foreign = [" ".join(words[a:a + n]) for a in (rng.randrange(len(words) - n) for _ in range(40))]
+            noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(n)) for _ in range(40)]
+            assert sum(judge.judge(t)[2] for t in foreign) >= 36 and sum(judge.judge(t)[2] for t in noise) >= 36
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    judge = language.Classifier(language.fit(docs, ~held_out))
+    own = [judge.judge(r.text) + (r.lang,) for r in docs.filter(held_out & F.expr("lang IS NOT NULL AND length(text) > 300")).collect()]
+    assert len(own) > 100 and sum(o[2] for o in own) <= max(2, len(own) // 50) and sum(o[0] == o[3] for o in own) >= 0.99 * len(own)
+
+
+def test_a_long_text_is_judged_by_all_its_pieces(spark):
+    assert b"".join(language.Classifier.pieces(b"ab " * 5000 + b"x" * 9000)) == b"ab " * 5000 + b"x" * 9000
+    assert max(map(len, language.Classifier.pieces(b"ab " * 5000 + b"x" * 9000))) <= 4000 and language.Classifier.pieces(b"") == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judge = language.Classifier(language.fit(docs))
+    some = [r for r in docs.filter("lang = 'fr' AND length(text) > 500").limit(5).collect()]
+    assert all(judge.judge(r.text * 200)[0] == "fr" for r in some)
+
+
+def test_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "some words of it", f"l{i}") for i in range(12)], "doc_id long, text string, lang string")
+    assert len(language.fit(docs, most_languages=12)) == 12
+    with pytest.raises(ValueError):
+        language.fit(docs, most_languages=11)
+
+
+def test_sample_is_the_least_places(spark):
+    """The bound known from the counts lets the same rows through as a ranking of all."""
+    from pyspark.sql import Window
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, "bb").otherwise("aa").alias("lang"), F.concat(F.lit("t"), "id").alias("text"), F.xxhash64(F.col("id").cast("string")).alias("place"))
+    got = language._sample(rows, {"aa": 4900, "bb": 100}, 30)
+    want = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter("r <= 30").collect()
+    assert {(k, *x) for k, xs in got.items() for x in xs} == {(r.lang, r.r, r.text) for r in want}
+
+
 def test_language_edges(odd, empty):
     clash = language.classify(odd, {}, names=("part", "score", "rejected"))
     assert clash.columns.count("part") == 1 and {r.part for r in clash.collect()} == {"und"}
@@ -296,6 +338,38 @@ PAGE = """<html><body><header><h1>Site</h1></header><nav><li>Menu</nav><div clas
 <section id="comments"><p>great post, I liked it a lot, it was so long and so fine</p></section></main><aside>side</aside><footer>foot"""
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} of the article tells what there is to tell about the matter at some length.</p>" for i in range(6))
+WRAPPERS = ["<div class='content has-sidebar'>{}</div>", "<main class='layout-with-sidebar'>{}</main>", "<article class='post comments-open'>{}</article>", "<div id='main-overlay'>{}</div>",
+            "<div class='post-share-ready'>{}</div>", "<form action='/x' id='aspnetForm'>{}</form>", "<div class='sidebar'>{}</div>", "<div class='no-comments'><div class='page widget'>{}</div></div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_of_the_content_stay(wrapper):
+    extra = ("<nav><a href=/>Home</a></nav><div class='share-box'>tweet this</div>", "<section class='comments'><p>great, I liked all of it</p></section><div class='sidebar'>side box</div>"
+             "<form><label>Mail</label>subscribe now</form><footer>foot</footer>")
+    want = "\n\n".join(re.findall("<p>(.*?)</p>", ARTICLE))
+    assert extraction.main_text(f"<body>{extra[0]}{wrapper.format(ARTICLE)}{extra[1]}") == want
+    assert extraction.main_text(f"<body>{wrapper.format(extra[0] + ARTICLE + extra[1])}") == want
+
+
+def test_long_comments_and_notices_still_go():
+    long = "".join(f"<p>I think {i} that this is the best I have read in all the years of my life, thank you so much.</p>" for i in range(30))
+    for around in ("<section id='comments'>{}</section>", "<div class='comment-list'><article class='comment'>{}</article></div>", "<div class='cookie-notice'>{}</div>", "<div class='related'>{}</div>"):
+        assert extraction.main_text(f"<article><p>A short article of two lines.</p></article>{around.format(long)}") == "A short article of two lines."
+
+
+def test_a_quote_left_open_ends_with_its_tag():
+    assert extraction.main_text("<article><p>One <a title=\"y>link</a> and more text of it.</p><p class='x>Two</p></article>") == "One link and more text of it.\n\nTwo"
+
+
+def test_wrappers_over_a_site(spark):
+    """Votes of a host whose theme wraps every article in a doubtful name."""
+    rows = [(i, f"https://w.example/{i}", f"<body><nav>menu</nav><div class='page has-sidebar'><div class='entry-{i} share-ready'>{ARTICLE}<p>Number {i}</p></div></div><aside>side</aside>") for i in range(6)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "\n\n".join(re.findall("<p>(.*?)</p>", ARTICLE))
+    assert got == {i: f"{want}\n\nNumber {i}" for i in range(6)}
+
+
 def test_extraction_of_a_page():
     assert extraction.main_text(PAGE) == "T & x\n\nHello there link y\n\nSecond part, which is longer than the others by far.\n\none\n\ntwo"
     for html, want in ((None, ""), ("", ""), ("just text", "just text"), ("<p>a</p><!-- x", "a"), ("a < b & c<p>d", "a < b & c\n\nd"), ("<p>x<br>y</p><scr", "x y")):
@@ -373,17 +447,37 @@ def brute_repeats(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("which,batch", [("odd", 2), ("odd", 1000), ("docs", 16), ("hot", 8)])
+@pytest.mark.parametrize("which,batch", [("odd", 400), ("odd", 1 << 20), ("docs", 40_000), ("hot", 3000)])
 def test_repeats_against_brute_force(spark, odd, which, batch):
     if which == "hot":  # a passage in every document, with another surrounding each time
         common = passage(20, 99)
         df = spark.createDataFrame([(i, f"{passage(15, i)} {common} {passage(15, 1000 + i)}") for i in range(200)], "doc_id long, text string")
     else:
         df = odd if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
-    got = superkmer.remove_repeats(df, batch_docs=batch)
+    got = superkmer.remove_repeats(df, batch_bytes=batch, lanes=3)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(rows_of(df), 13)
 
 
+def test_repeats_of_a_very_long_text_and_a_hot_line(spark):
+    line = passage(16, 5)
+    long = passage(60_000, 8)
+    rows = [(i, f"{passage(25, i)}\n{line}\n{passage(9, 500 + i)}") for i in range(150)] + [(900, long), (7000, " ".join(long.split()[20_000:20_100]))]
+    got = superkmer.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), batch_bytes=20_000, lanes=2)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(rows, 13)
+
+
+def test_messages_grow_with_the_batches(spark):
+    """A batch sends one message to a lane, however many buckets there are."""
+    rows = [(i, passage(300, i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    for batches in (8, 32):
+        plan = superkmer.remove_repeats(df, batch_bytes=-(-size // batches), lanes=3)
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(lane" in text and "REPARTITION_BY_NUM" in text
+
+
 def test_repeats_carry_columns(odd, empty):
     assert superkmer.remove_repeats(odd, carry=("n_words", "part")).columns == ["doc_id", "kept", "n_words", "n_removed", "part"]
     got = superkmer.remove_repeats(odd, carry=("part", "node", "key"), untouched=True)
