@@ -5,10 +5,10 @@
 together as one string of words to the bucket of that minimiser.
 
 *Requests.*  Documents are dealt over batches of some megabytes by a hash of their id.  A batch has for each bucket its distinct
-strings once, in sorted order, with the least and the greatest id that holds each:
-a passage in a third of all documents is one entry per batch.  What goes to the buckets of one lane travels as one packed and
-compressed message, and lanes are as many as tasks, so messages grow with the batches and not with their square.  A lane
-takes its messages apart and sorts the requests by bucket outside Python's memory; one bucket is judged at a time.  A minimiser that would fill much of a bucket
+strings once, in sorted order, with the least and the greatest id that holds each,
+packed and compressed: a passage in a third of all documents is one entry per batch.  What goes to the buckets of one lane
+travels as one message, and lanes are as many as tasks, so messages grow with the batches and not with their square.  Spark takes
+the messages of a lane apart and sorts the requests by bucket, outside Python's memory; one bucket is judged at a time.  A minimiser that would fill much of a bucket
 (a very common line with a different surrounding each time) is found by counts over all documents first;
 its windows travel one by one and are dealt by the hash of the whole window.
 
@@ -117,24 +117,17 @@ def _columns(part: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
 def _pack(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     import zstandard
 
-    return zstandard.compress(_join(*arrays, blob=blob), 3)
-
-
-def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
-    import zstandard
-
-    return _split(zstandard.decompress(data))
-
-
-def _join(*arrays: np.ndarray, blob: bytes = b"") -> bytes:
     parts = [struct.pack("<H", len(arrays))]
     for a in arrays:
         parts.append(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)))
         parts.append(a.tobytes())
-    return b"".join(parts) + blob
+    return zstandard.compress(b"".join(parts) + blob, 3)
+
 
+def _unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    import zstandard
 
-def _split(raw: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(data)
     n, = struct.unpack_from("<H", raw)
     at, out = 2, []
     for _ in range(n):
@@ -207,7 +200,7 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
     """For each request the least ids of its shared windows; None where nothing is shared."""
     keys, lows, highs, strings, owner = [], [], [], [], []
     for request, payload in enumerate(payloads):
-        (step, low, above, size), blob = _split(payload)
+        (step, low, above, size), blob = _unpack(payload)
         key = np.cumsum(step, dtype="<u4")
         keys.append(key)
         lows.append(low)
@@ -257,7 +250,7 @@ def _verdicts(payloads: list[bytes], window: int) -> list[bytes | None]:
                     at.append(number[m])
                     size.append(len(answer))
                     mins.extend(answer)
-    return [_join(np.array(at, "<u4"), np.array(size, "<u2"), np.array(mins, "<i8")) if at else None for at, size, mins in out]
+    return [_pack(np.array(at, "<u4"), np.array(size, "<u2"), np.array(mins, "<i8")) if at else None for at, size, mins in out]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
@@ -319,24 +312,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             own = [strings[k] for k in run[i:j].tolist()]
             bucket.append(int(begins[i]))
-            part.append(_join(np.diff(short[i:j], prepend=short.dtype.type(0)), low[i:j], high[i:j] - low[i:j], np.array([len(s) for s in own], "<u2" if max(map(len, own)) < 1 << 16 else "<u4"),
+            part.append(_pack(np.diff(short[i:j], prepend=short.dtype.type(0)), low[i:j], high[i:j] - low[i:j], np.array([len(s) for s in own], "<u2" if max(map(len, own)) < 1 << 16 else "<u4"),
                               blob=b"".join(own)))
         lane = np.array(bucket, np.int64) % lanes
         order = np.argsort(lane, kind="stable")
-        message = []
         found, first = np.unique(lane[order], return_index=True)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)] if len(order) else [], strict=True):
-            own = [part[k] for k in order[a:b].tolist()]
-            message.append(_pack(np.array([bucket[k] for k in order[a:b].tolist()], "<i8"), np.array(list(map(len, own)), "<u4"), blob=b"".join(own)))
-        return pa.table({"lane": pa.array(found, pa.int64()), "batch": pa.array([key[0].as_py()] * len(found), pa.int64()), "payload": pa.array(message, pa.binary())})
-
-    def open_messages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for batch, payload in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                (bucket, sizes), blob = _unpack(payload)
-                ends = np.cumsum(sizes.astype(np.int64)).tolist()
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "batch": pa.array([batch] * len(bucket), pa.int64()),
-                                                  "payload": pa.array([blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+        requests_ = pa.StructArray.from_arrays([pa.array([bucket[k] for k in order.tolist()], pa.int64()), pa.array([part[k] for k in order.tolist()], pa.binary())], names=["bucket", "payload"])
+        return pa.table({"lane": pa.array(found, pa.int64()), "batch": pa.array([key[0].as_py()] * len(found), pa.int64()),
+                         "requests": pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), requests_)})
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets follow one another; answers of some buckets go out together."""
@@ -373,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         del strings
         least: dict[int, list[int]] = {}
         for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
-            (at, size, mins), _ = _split(payload)
+            (at, size, mins), _ = _unpack(payload)
             ends, flat, base = np.cumsum(size.astype(np.int64)).tolist(), mins.tolist(), int(np.searchsorted(begins, bucket))
             for k, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
                 least[base + k] = flat[a:b]
@@ -400,8 +383,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = out.append_column(name, column)
         return out
 
-    messages = dealt.groupBy("batch").applyInArrow(ask, "lane long, batch long, payload binary").repartition(lanes, "lane")
-    requests = messages.mapInArrow(open_messages, "bucket long, batch long, payload binary").sortWithinPartitions("bucket", "batch")
+    messages = dealt.groupBy("batch").applyInArrow(ask, "lane long, batch long, requests array<struct<bucket:bigint,payload:binary>>").repartition(lanes, "lane")
+    requests = messages.select("batch", F.inline("requests")).select("bucket", "batch", "payload").sortWithinPartitions("bucket", "batch")
     verdicts = requests.mapInArrow(judge, "batch long, bucket long, payload binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), *others.fields])
