@@ -321,34 +321,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"lane": pa.array(found, pa.int64()), "batch": pa.array([key[0].as_py()] * len(found), pa.int64()),
                          "requests": pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), requests_)})
 
-    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets follow one another; answers of some buckets go out together."""
-        bucket, batches_, payloads, out = None, [], [], []
-
-        def settle() -> None:
-            for b, a in zip(batches_, _verdicts(payloads, window), strict=True):
-                if a is not None:
-                    out.append((b, bucket, a))
-            batches_.clear()
-            payloads.clear()
-
-        def answers() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["batch", "bucket", "payload"])
-
-        for part in parts:
-            for k, batch, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if k != bucket and payloads:
-                    settle()
-                bucket = k
-                batches_.append(batch)
-                payloads.append(payload)
-            if len(out) > 1000:
-                yield answers()
-        if payloads:
-            settle()
-        yield answers()
+    def judge(key: tuple, table: pa.Table) -> pa.Table:
+        found = _verdicts(table.column("payload").to_pylist(), window)
+        batch = [b for b, a in zip(table.column("batch").to_pylist(), found, strict=True) if a is not None]
+        return pa.table({"batch": pa.array(batch, pa.int64()), "bucket": pa.array([key[1].as_py()] * len(batch), pa.int64()),
+                         "payload": pa.array([a for a in found if a is not None], pa.binary())})
 
     def drop(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         runs, ids, known, own, rest = runs_of(table)
@@ -384,8 +361,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out
 
     messages = dealt.groupBy("batch").applyInArrow(ask, "lane long, batch long, requests array<struct<bucket:bigint,payload:binary>>").repartition(lanes, "lane")
-    requests = messages.select("batch", F.inline("requests")).select("bucket", "batch", "payload").sortWithinPartitions("bucket", "batch")
-    verdicts = requests.mapInArrow(judge, "batch long, bucket long, payload binary")
+    # Lanes are dealt already, so the buckets inside them are grouped by a sort, without another shuffle.
+    requests = messages.select("lane", "batch", F.inline("requests"))
+    verdicts = requests.groupBy("lane", "bucket").applyInArrow(judge, "batch long, bucket long, payload binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), *others.fields])
     out = dealt.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(drop, schema)

@@ -476,6 +476,7 @@ def test_messages_grow_with_the_batches(spark):
         plan.collect()
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(lane" in text and "REPARTITION_BY_NUM" in text
+        assert "hashpartitioning(bucket" not in text and "hashpartitioning(lane#" in text and text.count("FlatMapGroupsInArrow [lane") >= 1
 
 
 def test_repeats_carry_columns(odd, empty):
