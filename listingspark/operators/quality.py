@@ -166,15 +166,12 @@ def freshness_buckets(listings: DataFrame, as_of) -> DataFrame:
 
 
 def dup_keys(listings: DataFrame, keys: tuple[str, ...] = ("source_url", "content_hash", "description_hash")) -> DataFrame:
-    """groups sharing a key and the rows in them, for each key column."""
-    out = None
-    for key in keys:
-        groups = listings.where(f"is_active and {key} is not null and {key} <> ''").groupBy(key).agg(
-            F.count(F.lit(1)).alias("n")).where("n > 1")
-        part = groups.agg(F.count(F.lit(1)).alias("dup_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("dup_rows")
-                          ).select(F.lit(key).alias("key"), "dup_groups", "dup_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """groups sharing a key and the rows in them, for each key column; the table is read once for all keys."""
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("k")
+    groups = listings.where("is_active").select(named).select("k.*").where("value is not null and value <> ''").groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    shared = groups.where("n > 1")
+    one = shared.agg(*[F.struct(F.count_if(F.col("key") == k).alias("dup_groups"), F.coalesce(F.sum(F.when(F.col("key") == k, F.col("n"))), F.lit(0)).alias("dup_rows")).alias(k) for k in keys])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"{k}.dup_groups").alias("dup_groups"), F.col(f"{k}.dup_rows").alias("dup_rows")) for k in keys])).alias("e")).select("e.*")
 
 
 def stale_policy(listings: DataFrame, sources: DataFrame, as_of, grace_days: int = 14) -> DataFrame:

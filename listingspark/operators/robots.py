@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
 from ..functions.regex import blank_to_null, trim
 from ..functions.times import before
+from ..stages import let, once
 
 FRESH_HOURS = 24
 _LINE_END = r"\r\n|\r|\n"
@@ -21,21 +22,42 @@ def robots_status(docs: DataFrame) -> DataFrame:
                            .when(s.between(400, 499), "allowed").otherwise("unknown"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line of each document, with its directive when it has one.
+def _lines(body: Column) -> Column:
+    """The directives of a document in order, as ``(is_comment, field, value)``; a comment may hold one too."""
+    lines = F.transform(F.split(body, _LINE_END), lambda raw: F.struct(raw.alias("raw"), trim(raw).alias("t")))
+    texts = F.transform(lines, lambda x: F.struct(F.startswith(x["t"], F.lit("#")).alias("c"), F.when(
+        F.startswith(x["t"], F.lit("#")), trim(F.substring(x["t"], 2, 1 << 30))).otherwise(trim(F.substring_index(x["raw"], "#", 1))).alias("d")))
+    named = F.transform(F.filter(texts, lambda x: F.contains(x["d"], F.lit(":"))), lambda x: F.struct(
+        x["c"].alias("is_comment"), trim(F.lower(F.substring_index(x["d"], ":", 1))).alias("field"), trim(F.substr(x["d"], F.locate(":", x["d"]) + 1)).alias("value")))
+    return F.filter(named, lambda x: x["field"] != "")
 
-    A document is one row, so the lines of an origin are bounded by the size of its robots file.
+
+def _groups(directives: str, starts: str) -> Column:
+    """The groups of a document: agents in lower case, the last valid delay, and rules in order.
+
+    ``starts`` are the places at which a run of agent lines begins; a group reaches to the next one.
     """
-    df = docs.where(F.col("body").isNotNull()).select(
-        "origin", F.posexplode(F.split("body", _LINE_END)).alias("line_no", "raw"))
-    df = df.withColumn("_t", trim(F.col("raw"))).withColumn("is_comment", F.startswith("_t", F.lit("#")))
-    comment = trim(F.substring("_t", 2, 1 << 30))
-    text = F.when(F.col("is_comment"), comment).otherwise(trim(F.substring_index("raw", "#", 1)))
-    df = df.withColumn("_d", text).where(F.contains("_d", F.lit(":")))
-    field = trim(F.lower(F.substring_index("_d", ":", 1)))
-    value = trim(F.substr("_d", F.locate(":", F.col("_d")) + 1))
-    return df.select("origin", "line_no", "is_comment", field.alias("field"), value.alias("value")).where(
-        "field <> ''")
+    def group(s: Column, k: Column) -> Column:
+        end = F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(F.size(directives))
+        return F.slice(directives, s + 1, end - s)
+
+    delays = lambda g: F.filter(F.transform(F.filter(g, lambda x: x["field"] == "crawl-delay"), lambda x: x["value"].try_cast("double")),
+                                lambda d: (d >= 0) & (d < float("inf")))
+    rules = lambda g: F.transform(F.filter(g, lambda x: x["field"].isin("allow", "disallow") & F.startswith(x["value"], F.lit("/"))),
+                                  lambda x: F.struct(x["field"].alias("kind"), x["value"].alias("pattern")))
+    return F.transform(F.transform(starts, group), lambda g: F.struct(
+        F.transform(F.filter(g, lambda x: x["field"] == "user-agent"), lambda x: F.lower(x["value"])).alias("agents"),
+        F.get(F.reverse(delays(g)), F.lit(0)).alias("crawl_delay"), rules(g).alias("rules")))
+
+
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Add ``_all`` (all directives) and ``_groups`` to documents; all work stays in the row of a document."""
+    df = once(docs, {"_all": _lines(F.col("body"))})
+    df = once(df, {"_dirs": F.filter("_all", lambda x: ~x["is_comment"] & ~((x["field"] == "user-agent") & (x["value"] == "")))})
+    agent = lambda i: F.get("_dirs", i)["field"] == "user-agent"
+    begins = F.transform("_dirs", lambda x, i: F.when((x["field"] == "user-agent") & ((i == 0) | ~F.coalesce(agent(i - 1), F.lit(False))), i))
+    df = once(df, {"_starts": F.filter(begins, lambda i: i.isNotNull())})
+    return once(df, {"_groups": _groups("_dirs", "_starts")}).drop("_dirs", "_starts")
 
 
 def robots_rules(docs: DataFrame) -> DataFrame:
@@ -44,110 +66,118 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     Consecutive agent lines share a group and any other directive ends the run.  Groups without rules
     keep one row with a NULL pattern, since an empty group still counts when an agent is looked up.
     """
-    lines = _lines(docs).where("not is_comment and not (field = 'user-agent' and value = '')")
-    order = Window.partitionBy("origin").orderBy("line_no")
-    is_agent = F.col("field") == "user-agent"
-    df = lines.withColumn("_agent", is_agent).withColumn(
-        "_starts", F.col("_agent") & ~F.coalesce(F.lag("_agent").over(order), F.lit(False)))
-    df = df.withColumn("group_no", F.sum(F.col("_starts").cast("int")).over(
-        order.rowsBetween(Window.unboundedPreceding, 0))).where("group_no > 0")
-    is_rule = F.col("field").isin("allow", "disallow") & F.startswith("value", F.lit("/"))
-    seconds = F.expr("try_cast(value AS double)")
-    delay = F.when((F.col("field") == "crawl-delay") & (seconds >= 0) & (seconds < float("inf")), seconds)
-    groups = df.groupBy("origin", "group_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_agent"), F.struct(
-            "line_no", F.lower("value").alias("a"))))), lambda x: x["a"]).alias("agents"),
-        F.max(F.when(delay.isNotNull(), F.struct("line_no", delay.alias("s"))))["s"].alias("crawl_delay"),
-        F.array_sort(F.collect_list(F.when(is_rule, F.struct("line_no", F.col("field").alias("kind"), F.col(
-            "value").alias("pattern"))))).alias("rules"))
-    return groups.select("origin", "group_no", "agents", "crawl_delay", F.posexplode_outer("rules").alias(
+    groups = _parsed(docs.where("body is not null").select("origin", "body")).select("origin", F.posexplode("_groups").alias("no", "g"))
+    return groups.select("origin", (F.col("no") + 1).cast("long").alias("group_no"), "g.agents", "g.crawl_delay", F.posexplode_outer("g.rules").alias(
         "rule_no", "r")).select("origin", "group_no", "agents", "crawl_delay", "rule_no", F.col("r.kind").alias("kind"),
                                 F.col("r.pattern").alias("pattern"), F.length("r.pattern").alias("length"))
 
 
+def _signals(lines: str) -> Column:
+    """C8 of a document: what its content signals say; of several the last one counts."""
+    values = F.transform(F.filter(lines, lambda x: x["field"] == "content-signal"), lambda x: F.filter(F.split(x["value"], ","), lambda p: F.contains(p, F.lit("="))))
+    parts = F.transform(F.flatten(values), lambda p: F.struct(trim(F.lower(F.substring_index(p, "=", 1))).alias("key"), trim(F.substr(p, F.locate("=", p) + 1)).alias("raw")))
+
+    def last(parts: Column, key: str) -> Column:
+        return F.get(F.reverse(F.filter(parts, lambda p: p["key"] == key)), F.lit(0))["raw"]
+
+    def flag(raw: Column) -> Column:
+        return F.when(F.lower(raw) == "yes", True).when(F.lower(raw) == "no", False)
+
+    return let(parts, lambda ps: F.struct(*[flag(last(ps, n.replace("_", "-"))).alias(n) for n in _SIGNALS], blank_to_null(last(ps, "use")).alias("use")))
+
+
 def robots_signals(docs: DataFrame) -> DataFrame:
     """Content signals per document, from the directive or its comment form; the last one wins.
 
     NULL means the operator stated nothing, which is not a refusal.
     """
-    parts = _lines(docs).where("field = 'content-signal'").select(
-        "origin", "line_no", F.posexplode(F.split("value", ",")).alias("part_no", "part")).where("part like '%=%'")
-    key = trim(F.lower(F.substring_index("part", "=", 1)))
-    raw = trim(F.substr("part", F.locate("=", F.col("part")) + 1))
-    df = parts.select("origin", F.struct("line_no", "part_no").alias("at"), key.alias("key"), raw.alias("raw"))
-    lower = F.lower("raw")
-    flag = F.when(lower == "yes", True).when(lower == "no", False)
-
-    def last(name: str, value: Column) -> Column:
-        return F.max(F.when(F.col("key") == name.replace("_", "-"), F.struct("at", value.alias("v"))))["v"].alias(name)
-
-    found = df.groupBy("origin").agg(*[last(n, flag) for n in _SIGNALS], last("use", blank_to_null(F.col("raw"))))
-    return docs.select("origin").join(found, "origin", "left")
+    df = once(docs.select("origin", "body"), {"_all": _lines(F.col("body"))})
+    return df.select("origin", _signals("_all").alias("s")).select("origin", "s.*")
 
 
-def _policy(docs: DataFrame, agent: str) -> DataFrame:
-    """One row per origin: the rules of the group that speaks to ``agent``.
+def _policy(groups: str, agent: str) -> Column:
+    """The group that speaks to ``agent``, with its rules as ``(length, allow, pattern)``; NULL without one.
 
     The longest agent token contained in ours wins, the first group on ties; ``*`` is the fallback.
     """
-    rules = robots_rules(docs)
-    named = F.array_max(F.transform(
-        F.filter("agents", lambda a: (a != "*") & F.contains(F.lit(agent.lower()), a)), lambda a: F.length(a)))
-    rank = F.coalesce(named, F.when(F.array_contains("agents", "*"), F.lit(0)))
-    ranked = rules.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
-    pick = ranked.groupBy("origin").agg(F.max(F.struct("_rank", -F.col("group_no")))["col2"].alias("_neg"))
-    mine = ranked.join(pick, "origin").where(F.col("group_no") == -F.col("_neg"))
-    return mine.groupBy("origin").agg(
-        F.first("crawl_delay").alias("crawl_delay"),
-        F.collect_list(F.when(F.col("pattern").isNotNull(), F.struct(
-            F.col("length"), (F.col("kind") == "allow").alias("allow"), F.col("pattern")))).alias("rules"))
+    def rank(g: Column) -> Column:
+        named = F.array_max(F.transform(F.filter(g["agents"], lambda a: (a != "*") & F.contains(F.lit(agent.lower()), a)), lambda a: F.length(a)))
+        return F.coalesce(named, F.when(F.array_contains(g["agents"], "*"), F.lit(0)))
+
+    ranked = F.filter(F.transform(groups, lambda g, k: F.struct(rank(g).alias("rank"), (-k).alias("k"))), lambda r: r["rank"].isNotNull())
+    mine = let(F.array_max(ranked), lambda r: F.get(groups, -r["k"]))
+    return let(mine, lambda g: F.when(g.isNotNull(), F.struct(g["crawl_delay"].alias("crawl_delay"), F.transform(g["rules"], lambda r: F.struct(
+        F.length(r["pattern"]).alias("length"), (r["kind"] == "allow").alias("allow"), r["pattern"].alias("pattern"))).alias("rules"))))
 
 
 def _pattern_hit(pattern: Column, path: Column) -> Column:
-    """Robots pattern test; only patterns that use ``*`` or ``$`` become a regular expression."""
-    body = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    regex = F.concat(F.lit("(?s)^"), F.replace(quoted, F.lit("*"), F.lit(".*")),
-                     F.when(F.endswith(pattern, F.lit("$")), r"\z").otherwise(""))
-    special = F.contains(pattern, F.lit("*")) | F.endswith(pattern, F.lit("$"))
-    return F.when(special, F.rlike(path, regex)).otherwise(F.startswith(path, pattern))
+    """Robots pattern test: the pieces between ``*`` follow one another in the path; ``$`` ends it."""
+    anchored = F.endswith(pattern, F.lit("$"))
+    pieces = F.split(F.when(anchored, F.substr(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern), r"\*", -1)
 
+    def follow(ps: Column) -> Column:
+        n = F.size(ps)
+        inner = F.slice(ps, F.lit(2), F.greatest(n - F.when(anchored, 2).otherwise(1), F.lit(0)))
+        # The place behind the last piece found, 0 once one is missing.
+        after = F.aggregate(inner, F.length(F.get(ps, F.lit(0))) + 1, lambda at, p: F.when((at == 0) | (p == ""), at).otherwise(
+            let(_locate(p, path, at), lambda found: F.when(found == 0, 0).otherwise(found + F.length(p)))))
+        last = F.get(ps, n - 1)
+        tail = F.when(~anchored, True).when(n == 1, path == last).otherwise(F.endswith(path, last) & (F.length(path) - F.length(last) + 1 >= after))
+        return F.startswith(path, F.get(ps, F.lit(0))) & (after > 0) & tail
 
-def robots_verdicts(urls: DataFrame, docs: DataFrame, agent: str) -> DataFrame:
-    """Add ``origin``, ``verdict``, ``evidence`` and ``crawl_delay`` to rows with a ``url``.
+    return let(pieces, follow)
 
-    The rules of an origin travel as one array, so each address stays one row: the longest matching
-    pattern wins and allow wins ties.
-    """
-    df = U.with_url(urls, "url", "_u")
-    df = df.withColumns({"origin": U.origin_of(U.Url("_u")), "_path": F.concat(U.Url("_u")["path"], U.Url("_u")["query"])})
-    df = df.join(_policy(docs, agent), ["origin"], "left")
-    best = F.array_max(F.filter("rules", lambda r: _pattern_hit(r["pattern"], F.col("_path"))))
-    df = df.withColumn("_best", best)
+
+def _locate(piece: Column, text: Column, start: Column) -> Column:
+    return F.call_function("locate", piece, text, start)
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """Verdict and evidence of rows that have ``_u``, ``_path`` and the ``_rules`` of their origin (NULL without a group)."""
+    best = F.array_max(F.filter("_rules", lambda r: _pattern_hit(r["pattern"], F.col("_path"))))
+    df = once(df, {"_best": best})
     won = F.col("_best").isNotNull()
-    return U.drop_url(df.withColumns({
+    return df.withColumns({
         "verdict": F.when(~U.Url("_u").known, "unknown").when(won & ~F.col("_best.allow"), "disallowed")
             .otherwise("allowed"),
         "evidence": F.when(~U.Url("_u").known, F.concat(F.lit("Unparseable URL: "), F.col("url")))
-            .when(F.col("rules").isNull(), "No applicable robots group; default allow")
+            .when(F.col("_rules").isNull(), "No applicable robots group; default allow")
             .when(won, F.concat(F.when(F.col("_best.allow"), "Allow").otherwise("Disallow"), F.lit(": "),
                                 F.col("_best.pattern"), F.lit(" matched "), F.col("_path")))
             .otherwise(F.concat(F.lit("No matching rule for "), F.col("_path"), F.lit("; default allow"))),
-    }).drop("_path", "_best", "rules"), "_u")
+    }).drop("_best", "_rules", "_path")
+
+
+def _addressed(urls: DataFrame) -> DataFrame:
+    df = U.with_url(urls, "url", "_u")
+    return df.withColumns({"origin": U.origin_of(U.Url("_u")), "_path": F.concat(U.Url("_u")["path"], U.Url("_u")["query"])})
+
+
+def robots_verdicts(urls: DataFrame, docs: DataFrame, agent: str) -> DataFrame:
+    """Add ``origin``, ``verdict``, ``evidence`` and ``crawl_delay`` to rows with a ``url``.
+
+    The rules of an origin travel as one array, so each address stays one row: the longest matching
+    pattern wins and allow wins ties.  Documents have one row per origin.
+    """
+    policies = once(_parsed(docs.where("body is not null").select("origin", "body")), {"_p": _policy("_groups", agent)}).select(
+        "origin", F.col("_p.crawl_delay").alias("crawl_delay"), F.col("_p.rules").alias("_rules"))
+    return U.drop_url(_judged(_addressed(urls).join(policies, ["origin"], "left")), "_u")
 
 
 def robots_gate(urls: DataFrame, docs: DataFrame, agent: str, as_of, mode: str = "observe") -> DataFrame:
     """May each address be fetched, judged from robots documents younger than a day.
 
     An origin without a fresh document is ``stale``: its document must be fetched first.  Only an
-    explicit allowance clears the gate; ``observe`` reports what ``enforce`` would block.
+    explicit allowance clears the gate; ``observe`` reports what ``enforce`` would block.  Status, signals and policy of a
+    document are read in its row, so addresses and documents meet in one join.
     """
     fresh = robots_status(docs).where(F.col("fetched_at") > before(as_of, hours=FRESH_HOURS))
-    judged = robots_verdicts(urls, fresh.where("error is null and status_verdict = 'allowed'"), agent)
-    signals = robots_signals(fresh)
-    facts = fresh.select("origin", "status", "status_verdict", "error", (F.coalesce(F.length("body"), F.lit(0)) > 0
-                         ).alias("_has_body")).join(signals.select("origin", "ai_input"), "origin")
-    df = judged.withColumnsRenamed({"verdict": "_v", "evidence": "_e", "crawl_delay": "_d"}).join(facts, ["origin"], "left")
+    usable = F.col("error").isNull() & (F.col("status_verdict") == "allowed")
+    df = _parsed(fresh)
+    facts = once(df, {"_p": F.when(usable, _policy("_groups", agent))}).select(
+        "origin", "status", "status_verdict", "error", (F.coalesce(F.length("body"), F.lit(0)) > 0).alias("_has_body"),
+        _signals("_all")["ai_input"].alias("ai_input"), F.col("_p.crawl_delay").alias("_d"), F.col("_p.rules").alias("_rules"))
+    df = _judged(_addressed(urls).join(facts, ["origin"], "left")).withColumnsRenamed({"verdict": "_v", "evidence": "_e"})
     known = F.col("_has_body").isNotNull()
     http = F.col("status").cast("string")
     state = (
@@ -164,13 +194,13 @@ def robots_gate(urls: DataFrame, docs: DataFrame, agent: str, as_of, mode: str =
         .otherwise(F.concat(F.lit("No robots.txt published (HTTP "), http, F.lit("); no restrictions"))))
     blocked = F.col("verdict") != "allowed"
     rules = F.col("_state") == "rules"
-    return df.withColumns({"verdict": verdict, "evidence": evidence}).withColumns({
+    return U.drop_url(df.withColumns({"verdict": verdict, "evidence": evidence}).withColumns({
         "crawl_delay": F.when(rules, F.col("_d")),
         "ai_input_allowed": F.when(rules, F.coalesce(F.col("ai_input"), F.lit(True))).otherwise(True),
         "would_block": blocked,
         "allowed": ~blocked if mode == "enforce" else F.lit(True),
         "mode": F.lit(mode),
-    }).drop("_v", "_e", "_d", "_state", "_has_body", "status", "status_verdict", "error", "ai_input")
+    }).drop("_v", "_e", "_d", "_state", "_has_body", "status", "status_verdict", "error", "ai_input"), "_u")
 
 
 def robots_rollup(events: DataFrame) -> DataFrame:
