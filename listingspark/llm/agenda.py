@@ -17,7 +17,7 @@ import numpy as np
 
 LONGEST = 256  # symbols of a word that is merged here
 SIZES = (4, 6, 8, 10, 13, 16, 20, 28, 48, 96, LONGEST)
-AT_ONCE = 1 << 20  # symbols
+AT_ONCE = 1 << 18  # symbols
 _NONE = np.int32(0x7FFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -51,11 +51,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``most`` bytes of its second column; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of one column; a longer text is a part of its own."""
     if not batch.num_rows:
         return
-    size = pc.binary_length(batch.column(1).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

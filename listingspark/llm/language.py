@@ -29,7 +29,7 @@ from math import exp
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import ship
+from .common import ship, slices
 
 _OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -189,10 +189,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(dictionaries, level)
-        for batch in batches:
-            found = [classifier.judge(t) for t in batch.column(0).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, 1 << 20, 0)):
+            found = [classifier.judge(t) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                [*part.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                  pa.array([f[2] for f in found], pa.bool_())], names=[*carry, *names])
 
     return inner.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col:
         seen, full = Counter(), 0
         for batch in batches:
             out = {k: [] for k in ("n", "window_crcs", "rest", "rest_ids", "rest_crc", "rank", "first_full")}
-            for coded in chain.from_iterable(enc.encode_all(texts(p.column(1))) for p in slices(batch, 4 << 20)):
+            for coded in chain.from_iterable(enc.encode_all(texts(p.column(1))) for p in slices(batch, 1 << 20)):
                 ids = coded + end
                 n = len(ids) // wide
                 as_four = np.frombuffer(ids, enc.dtype).astype("<u4")

@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col:
                 known.append(np.array(column.is_valid().to_pylist(), np.uint8))
                 doc_ids = np.array(column.fill_null(0).to_pylist(), "<i8")
                 lengths = []
-                for part in slices(first, 4 << 20):
+                for part in slices(first, 1 << 20):
                     for coded in enc.encode_all(texts(part.column(1))):
                         lengths.append(len(coded) // enc.dtype.itemsize + 1)
                         ids += coded
