@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,15 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers of this session import the library from where the driver has it."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
-    return spark
+from listingspark.session import ship  # noqa: F401
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -2,7 +2,8 @@
 
 Listings are sorted by their number of tokens and cut into blocks of like length, the same blocks for all terms.  A
 posting row holds one term in one block: the listings that have it, where it stands in them, and ``top``, the greatest
-part it can add to a score there (before its rarity counts).  Rows are written in the order of term and falling ``top``.
+part it can add to a score there (before its rarity counts).  Each file has its rows in the order of term and falling ``top``;
+the rows of a term are dealt over a few files.
 
 A page of ``k`` hits first reads the small columns of the query's terms.  A block that holds all terms can't score over
 the sum of its tops, weighted by rarity.  The blocks with the highest such bounds are scored; their ``k``-th hit is a
@@ -18,16 +19,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import ship
+from .postings import block_postings
 from .search import B, FIELDS, K1, MIN_IDF, filtered, query_phrases, with_tokens
 
 BLOCK = 128  # listings; a power of two
+SPREAD = 8  # partitions that a term's rows are dealt over
 SEEDS = 4  # blocks per block's worth of hits that are scored first
 SLACK = 1e-7  # scores are ordered by nine digits
-_FIELD = 1 << 40  # positions of one field
 
 
 @dataclass(frozen=True)
@@ -43,32 +46,32 @@ def _part(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_index(listings: DataFrame, path: str, block: int = BLOCK, row_group_bytes: int = 8 << 20) -> TextIndex:
-    """Index all listings, inactive ones too, into a new folder."""
+    """Index all listings, inactive ones too, into a new folder.
+
+    The range exchange reads its input twice, to sample it, so it starts from a file of tokens, one text per field.
+    """
     if block < 1 or block & (block - 1):
         raise ValueError("block must be a power of two")
-    spark = listings.sparkSession
-    rows = with_tokens(listings).select("id", F.col("_len").alias("length"), *[F.col(f"_{f}").alias(f) for f in FIELDS])
+    spark = ship(listings.sparkSession)
+    texts = [F.array_join(f"_{f}", " ").alias(f) for f in FIELDS]
+    rows = _write(with_tokens(listings).select("id", F.col("_len").alias("length"), *texts), f"{path}/tokens")
+    corpus = _write(rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")), f"{path}/corpus")
     keys = [F.asc("length"), F.asc("id")]
     # Row numbers within a partition have 33 bits of their own, so no block spans two partitions.
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
         "block", F.shiftright(F.monotonically_increasing_id(), block.bit_length() - 1))
-    placed.write.parquet(f"{path}/listings")
-    docs = spark.read.parquet(f"{path}/listings")
-    docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).write.parquet(f"{path}/corpus")
-    average = spark.read.parquet(f"{path}/corpus").first().average
-
-    fields = F.array(*[F.struct(F.lit(i * _FIELD).alias("base"), F.col(f).alias("terms")) for i, f in enumerate(FIELDS)])
-    found = docs.select("id", "block", "length", F.explode(fields).alias("f")).select(
-        "id", "block", "length", "f.base", F.posexplode("f.terms").alias("pos", "term"))
-    # One exchange by term and block serves both groupings.
-    found = found.select("term", "block", "id", "length", (F.col("base") + F.col("pos")).alias("place")).repartition("term", "block")
-    entries = found.groupBy("term", "block", "id", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    tf = F.size("places").cast("double")
-    posts = entries.withColumn("part", _part(tf, F.col("length"), average or 1.0)).groupBy("term", "block").agg(
-        F.max("part").alias("top"), F.count(F.lit(1)).alias("docs"), F.sort_array(F.collect_list(F.struct("id", "length", "places"))).alias("entries"))
-    order = [F.asc("term"), F.desc("top"), F.asc("block")]
-    posts.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes).parquet(f"{path}/postings")
+    kinds = dict(placed.dtypes)
+    posts = placed.mapInArrow(
+        partial(block_postings, fields=FIELDS, average=corpus.first().average or 1.0),
+        f"term string, block bigint, top double, docs bigint, entries array<struct<id:{kinds['id']},length:{kinds['length']},places:array<bigint>>>")
+    posts.repartition("term", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions(F.asc("term"), F.desc("top"), F.asc("block")).write.option(
+        "parquet.block.size", row_group_bytes).parquet(f"{path}/postings")
     return read_index(spark, path)
 
 

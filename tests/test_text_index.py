@@ -3,10 +3,12 @@
 import glob
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from listingspark.operators import search as S, text_index as I
+from listingspark.operators.postings import FIELD, block_postings
 
 SCHEMA = "id long, title string, company string, tags array<string>, category string, type string, source_platform string, is_active boolean"
 WORDS = ["content", "seo", "writer", "Café", "remote", "C3", "naïve", "Ǎbc", "Łódź", "e", "commerce", "data", "ops"]
@@ -130,3 +132,34 @@ def test_empty_index(spark, tmp_path):
 def test_block_size_is_checked(spark, listings, tmp_path):
     with pytest.raises(ValueError):
         I.write_index(listings, str(tmp_path / "i"), block=100)
+
+
+def test_listings_are_read_once(spark, tmp_path):
+    """Tokens are cut before the range exchange, which reads its input twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    t = drawn(spark, 300, seed=4)
+    index = I.write_index(t.mapInArrow(counted, t.schema), str(tmp_path / "i"), block=16)
+    assert seen.value == 300
+    same(index, t, "content-seo", 7)
+
+
+def test_blocks_are_whole_in_any_batches():
+    """Batches that cut blocks make the same postings; repeated rows of one id and length share an entry."""
+    rows = [{"block": i // 4, "id": i // 2 % 5, "length": 3, "title": "a b a" if i % 2 else "b c b", "company": "", "tags": "a"} for i in range(40)]
+    made = []
+    for size in (1, 3, 40):
+        batches = [pa.RecordBatch.from_pylist(rows[i:i + size]) for i in range(0, 40, size)]
+        for tokens in (1, 1 << 20):
+            out = [r for b in block_postings(iter(batches), S.FIELDS, 3.0, tokens) for r in b.to_pylist()]
+            assert len(out) == len({(r["term"], r["block"]) for r in out})
+            made.append(sorted(out, key=lambda r: (r["term"], r["block"])))
+    assert all(m == made[0] for m in made) and len(made[0]) == 30
+    one = made[0][0]
+    assert (one["term"], one["block"], one["docs"]) == ("a", 0, 2)
+    assert one["entries"][0] == {"id": 0, "length": 3, "places": [0, 2, 2 * FIELD, 2 * FIELD]}
