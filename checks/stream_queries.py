@@ -92,7 +92,8 @@ def written_report(events):
 
 
 def ingest_stream(listings, sources) -> tuple[SparkSession, str]:
-    """The payload stream over three landed slices, one micro-batch each: all payloads; repeats, undated and newer ones; late ones and repeats."""
+    """The payload stream over three slices, each landed as many files and taken in by one micro-batch: all payloads; repeats, undated
+    and newer ones; late ones and repeats."""
     spark = listings.sparkSession
     path = f"{shared_folder(spark)}/payload-stream-{uuid.uuid4().hex}"
     bodies = conform(extract_queries.all_payloads(listings), "payloads")
@@ -102,12 +103,12 @@ def ingest_stream(listings, sources) -> tuple[SparkSession, str]:
         bodies.where("kind = 'rss'").withColumns({"body": other, "fetched_at": F.lit(None).cast("timestamp")})).unionByName(newer),
         newer.unionByName(bodies.where("kind = 'html'").withColumns({"body": other, "fetched_at": later(-5)}))]
     ingest.start_table(extract_queries.stored_half(listings), f"{path}/table", buckets=8)
-    for i, part in enumerate(slices):  # one file each, in this order
-        part.coalesce(1).write.parquet(f"{path}/in/slice={i}")
-    live = spark.readStream.schema(SCHEMAS["payloads"]).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/slice=*")
+    live = spark.readStream.schema(SCHEMAS["payloads"]).parquet(f"{path}/in/slice=*")
     v, s = votes(listings, "source_url")
-    ingest.run_ingest(live, f"{path}/table", extract_queries.registered(sources), lambda: v, lambda: s, lambda: extract_queries.no_state(sources),
-                      extract_queries.HOST, lambda: AS_OF, f"{path}/state").awaitTermination()
+    for i, part in enumerate(slices):
+        part.write.parquet(f"{path}/in/slice={i}")
+        ingest.run_ingest(live, f"{path}/table", extract_queries.registered(sources), lambda: v, lambda: s, lambda: extract_queries.no_state(sources),
+                          extract_queries.HOST, lambda: AS_OF, f"{path}/state").awaitTermination()
     return spark, f"{path}/table"
 
 

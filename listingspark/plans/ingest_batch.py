@@ -16,6 +16,9 @@ from ..sources.extract import extract_ats, extract_html_feed, extract_json_board
 from ..sources.state import changed_payloads
 
 
+SPREAD = 2  # partitions per core that the bodies of a kind are dealt over
+
+
 @dataclass
 class IngestResult:
     listings: DataFrame
@@ -27,12 +30,15 @@ def extract_all(payloads: DataFrame, state: DataFrame, sources: DataFrame, board
                 site: str | None = None) -> DataFrame:
     """Rows of every changed payload, in the fixed order of feed kinds: of equal addresses the first wins.
 
-    ``job_path`` marks job anchors of HTML feeds and ``site`` completes their relative addresses.
+    ``job_path`` marks job anchors of HTML feeds and ``site`` completes their relative addresses.  A body is little to move and
+    much to take apart, so the bodies of a kind are dealt over all cores, however few files or partitions they come in.
     """
     changed = changed_payloads(payloads, state).where("not unchanged").select(*payloads.columns)
+    parts = SPREAD * payloads.sparkSession.sparkContext.defaultParallelism
+    of = lambda kind: changed.where(F.col("kind") == kind).repartition(parts)
     return union_feeds(
-        extract_rss(changed, sources), extract_html_feed(changed, sources, job_path, site or f"https://www.{board_host}"), extract_json_board(changed, sources, board_host),
-        *[extract_ats(changed, v) for v in ("lever", "greenhouse", "ashby", "workable", "breezy")])
+        extract_rss(of("rss"), sources), extract_html_feed(of("html"), sources, job_path, site or f"https://www.{board_host}"), extract_json_board(of("json"), sources, board_host),
+        *[extract_ats(of(v), v) for v in ("lever", "greenhouse", "ashby", "workable", "breezy")])
 
 
 def flag_batch(items: DataFrame, listings: DataFrame, order: str) -> DataFrame:

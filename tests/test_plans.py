@@ -80,3 +80,17 @@ FAST = ["core_totals", "reconcile", "facets", "dup_keys", "top_per_category", "p
 def test_query_equals_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), connect(SF).execute(ORACLES[name]).df()
     assert canonical(got) == canonical(want)
+
+
+def test_bodies_of_one_partition_are_dealt_over_tasks(spark):
+    """Few files of many bodies must not make few tasks."""
+    from listingspark.plans.ingest_batch import extract_all
+
+    payloads = spark.createDataFrame(
+        [(f"s{i}", "lever", "Acme", "t", 200, None, f'[{{"text":"Role {i}","hostedUrl":"https://a.example.com/{i}"}}]') for i in range(40)],
+        "source_id string, kind string, company string, token string, status int, fetched_at timestamp, body string").coalesce(1)
+    state = spark.createDataFrame([], "source_id string, body_hash string, last_count int")
+    sources = spark.createDataFrame([], "source_id string, platform string, default_type string, tags array<string>, max_items int")
+    rows = extract_all(payloads, state, sources, "board.example.com").selectExpr("title", "spark_partition_id() AS p").collect()
+    assert sorted(r.title for r in rows) == sorted(f"Role {i}" for i in range(40))
+    assert len({r.p for r in rows}) >= 4
