@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-SPACE = "[\\s\\x0B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+# The ranges in front of ``&&`` rule out a visible ASCII character by two comparisons instead of one per member.
+SPACE = "[\\x00-\\x20\\x80-\\uFFFF&&[\\s\\x0B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]]"
 
 
 WORD = "[0-9A-Za-z_]"

@@ -28,6 +28,8 @@ TENANT_PATHS = [
     ("jobs.ashbyhq.com", "ashby", "^/*([^/]+)"),
     ("api.ashbyhq.com", "ashby", "(?i)^/*posting-api/+job-board/+([^/]+)"),
 ]
+# Domain of each tracking system.
+ATS_DOMAINS = {"greenhouse": "greenhouse.io", "ashby": "ashbyhq.com", "lever": "lever.co", "breezy": "breezy.hr", "workable": "workable.com"}
 
 
 class Url:
@@ -140,25 +142,35 @@ def is_trusted_source(u: Url) -> Column:
     return under_host(host_of(u), V.TRUSTED_HOSTS)
 
 
-def ats_of(u: Url) -> Column:
-    """Struct(platform, token) of a tracking-system URL, NULL for other sites."""
-    host = host_of(u)
+def ats_platform(u: Url) -> Column:
+    """Tracking system that a host belongs to, NULL for other sites."""
+    name = F
+    for platform, domain in ATS_DOMAINS.items():
+        name = name.when(under_host(host_of(u), [domain]), platform)
+    return name
 
-    def found(platform: str, token: Column) -> Column:
-        return F.when(token.isNotNull(), F.struct(F.lit(platform).alias("platform"), token.alias("token")))
+
+def ats_token(u: Url) -> Column:
+    """Tenant of a tracking-system URL, NULL for other sites and where the path names none."""
+    host = host_of(u)
 
     def token(prefix: str, not_token: str = "") -> Column:
         raw = F.regexp_extract(u["path"], prefix + "/([^/]+)", 1)
         return F.when(~raw.isin("", not_token), F.lower(trim(raw)))
 
     sub = F.regexp_replace(host, r"\.breezy\.hr$", "")
-    return (
-        F.when(under_host(host, ["greenhouse.io"]), found("greenhouse", token(r"(?:/v\d+/boards)?", "boards")))
-        .when(under_host(host, ["ashbyhq.com"]), found("ashby", token("(?:/posting-api/job-board)?", "posting-api")))
-        .when(under_host(host, ["lever.co"]), found("lever", token(r"(?:/v\d+/postings)?", "postings")))
-        .when(under_host(host, ["breezy.hr"]), found("breezy", F.when((sub != "") & (sub != "breezy"), sub)))
-        .when(under_host(host, ["workable.com"]), found("workable", token("")))
-    )
+    tokens = {"greenhouse": token(r"(?:/v\d+/boards)?", "boards"), "ashby": token("(?:/posting-api/job-board)?", "posting-api"),
+              "lever": token(r"(?:/v\d+/postings)?", "postings"), "breezy": F.when((sub != "") & (sub != "breezy"), sub), "workable": token("")}
+    found = F
+    for platform, domain in ATS_DOMAINS.items():
+        found = found.when(under_host(host, [domain]), tokens[platform])
+    return found
+
+
+def ats_of(u: Url) -> Column:
+    """Struct(platform, token) of a tracking-system URL, NULL for other sites."""
+    token = ats_token(u)
+    return F.when(token.isNotNull(), F.struct(ats_platform(u).alias("platform"), token.alias("token")))
 
 
 def ats_url(platform: Column, token: Column, pages: dict[str, str]) -> Column:

@@ -44,17 +44,19 @@ def sanitize_urls(df: DataFrame) -> DataFrame:
                            U.safe_apply(app, F.col("application_url"))),
         "_had": F.coalesce(F.col("application_url") != "", F.lit(False)),
     })
-    df = once(df, {"_ats": U.ats_of(src)})
-    ats = F.col("_ats")
+    # Steps of their own: together their generated code is too long for the JVM to compile.
+    df = once(df, {"_trusted_source": F.coalesce(U.is_trusted_source(src), F.lit(False))})
+    df = once(df, {"_token": U.ats_token(src)})
+    df = once(df, {"_platform": F.when(F.col("_token").isNotNull(), U.ats_platform(src))})
     return U.drop_url(df.withColumns({
         "source_url": F.col("_safe"),
         "application_url": F.when(F.col("_safe").isNotNull(), F.coalesce("_trusted", "_safe")),
         "quarantined": F.col("_safe").isNotNull() & F.col("_had") & F.col("_trusted").isNull(),
         "host": U.host_of(src),
-        "trusted_source": F.coalesce(U.is_trusted_source(src), F.lit(False)),
-        "ats_platform": ats["platform"],
-        "ats_token": ats["token"],
-    }).drop("_safe", "_trusted", "_had", "_ats"), "_src", "_app")
+        "trusted_source": F.col("_trusted_source"),
+        "ats_platform": F.col("_platform"),
+        "ats_token": F.col("_token"),
+    }).drop("_safe", "_trusted", "_had", "_trusted_source", "_token", "_platform"), "_src", "_app")
 
 
 def description_key(chars: int | None = None):

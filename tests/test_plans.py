@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from checks.all import ORACLES, QUERIES
 from checks.compare import canonical, connect
 from checks.views import view
+from listingspark.functions.regex import SPACE
 from listingspark.operators import lifecycle as J
+from listingspark.operators.cleaning import sanitize_urls
 from listingspark.sources import state
 from listingspark.skew import count_since
 
@@ -94,3 +96,22 @@ def test_bodies_of_one_partition_are_dealt_over_tasks(spark):
     rows = extract_all(payloads, state, sources, "board.example.com").selectExpr("title", "spark_partition_id() AS p").collect()
     assert sorted(r.title for r in rows) == sorted(f"Role {i}" for i in range(40))
     assert len({r.p for r in rows}) >= 4
+
+
+def test_generated_code_of_addresses_is_compiled(spark):
+    """The JVM never compiles a method of over 8,000 bytes; every row would run through its interpreter."""
+    rows = spark.range(9).selectExpr("concat('https://jobs.lever.co/acme/', id) AS source_url", "concat('https://jobs.lever.co/acme/apply', id) AS application_url",
+                                     *[f"concat('c', id) AS c{i}" for i in range(12)])
+    out = sanitize_urls(rows)
+    codes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(out._jdf.queryExecution().executedPlan())
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert sizes and max(sizes) < 8000
+    assert {(r.ats_platform, r.ats_token, r.trusted_source) for r in out.collect()} == {("lever", "acme", True)}
+
+
+def test_white_space_class_is_the_plain_one(spark):
+    """The ranges that rule out most characters early must not rule out any white space."""
+    chars = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c", "id")
+    plain = "[\\s\\x0B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+    assert chars.where(F.col("c").rlike(SPACE) != F.col("c").rlike(plain)).count() == 0
+    assert chars.where(F.col("c").rlike(SPACE)).count() == 25
